@@ -8,6 +8,7 @@ from .ann import nearest
 from .common import documents
 from .exact_dedup import exact_groups
 from .licenses import license_digest
+from .lm_scoring import cross_entropy_difference
 from .mixing import mix
 from .packing import pack
 from .secrets import secret_digest
@@ -43,12 +44,17 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality > 0")
+    return cross_entropy_difference(documents(spark, sf_dir), good)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_simhash, op4_secrets, op5_packing, op6_licenses, op7_nearest, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_simhash, op4_secrets, op5_packing, op6_licenses, op7_nearest, op9_lm_scoring, op10_exact_dedup)}
 
 
 #: White space runs become one space, as in exact_dedup.normalised.
