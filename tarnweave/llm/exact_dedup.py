@@ -85,7 +85,8 @@ class DigestIndex:
         shared = self.level().where("group_size > 1").select(_DIGEST)
         hits = self._write(self.runs().join(shared, _DIGEST).select(F.col(_DIGEST).alias("__tw_d"), F.col(_ID).alias("__tw_i")), f"hits{self.levels}")
         texts = self._entries(docs, id_col, text_col)
-        texts = texts.join(hits, (F.col(_DIGEST) == F.col("__tw_d")) & F.col(_ID).eqNullSafe(F.col("__tw_i")), "left_semi")
+        # the same plan at every size: hits are hashed, texts are not sorted
+        texts = texts.join(hits.hint("shuffle_hash"), (F.col(_DIGEST) == F.col("__tw_d")) & F.col(_ID).eqNullSafe(F.col("__tw_i")), "left_semi")
         return texts.groupBy(_DIGEST).agg(F.min(_TEXT).alias("lo"), F.max(_TEXT).alias("hi")).where("lo <> hi").select(_DIGEST)
 
 
