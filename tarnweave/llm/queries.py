@@ -11,6 +11,7 @@ from .licenses import license_digest
 from .lm_scoring import cross_entropy_difference
 from .mixing import mix
 from .packing import pack
+from .repeats import repeats_digest
 from .secrets import secret_digest
 from .simhash import near_groups
 from .toxicity import toxicity_scores
@@ -44,6 +45,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(documents(spark, sf_dir))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality > 0")
     return cross_entropy_difference(documents(spark, sf_dir), good)
@@ -54,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_simhash, op4_secrets, op5_packing, op6_licenses, op7_nearest, op9_lm_scoring, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_simhash, op4_secrets, op5_packing, op6_licenses, op7_nearest, op8_repeats, op9_lm_scoring, op10_exact_dedup)}
 
 
 #: White space runs become one space, as in exact_dedup.normalised.
