@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, store
 
 #: Characters of a chunk (a longer document is a chunk of its own) and of a hash partition.
 CHUNK_CHARS, PART_CHARS = 6_000_000, 12_000_000
@@ -43,6 +43,25 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def _pack_words(words: list[str], tokens: np.ndarray, ends: np.ndarray) -> bytes:
+    """Words and the texts' tokens, small: frequent words get small numbers, whose bytes are
+    stored place by place."""
+    order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), dtype=np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    planes = rank[tokens].view(np.uint8).reshape(-1, 4).T
+    text = np.frombuffer("\n".join(words[i] for i in order).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return _pack(text, np.array([len(words)]), *planes, ends)
+
+
+def _unpack_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words; the words as numbers; the end of each text."""
+    text, n, *planes, ends = _unpack(data)
+    words = text.tobytes().split(b"\n")[: int(n[0])]
+    types = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), dtype=np.uint64, count=len(words))
+    return types, np.stack(planes, axis=1).reshape(-1).view(np.uint32).astype(np.int64), ends
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays)] + [x for a in arrays for x in (len(a), ord(a.dtype.char))], dtype=np.int64)
     return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
@@ -163,8 +182,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def read_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct words; the words as numbers; the end of each text."""
+def read_words(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words; the texts' words as their numbers; the end of each text."""
     number: dict = defaultdict()
     number.default_factory = number.__len__
     parts, ends, n = [], [], 0
@@ -173,8 +192,7 @@ def read_words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
         n += len(words)
         ends.append(n)
-    types = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7) for w in number), dtype=np.uint64, count=len(number))
-    return types, np.concatenate(parts) if parts else np.empty(0, dtype=np.int32), np.array(ends, dtype=np.int64)
+    return list(number), np.concatenate(parts) if parts else np.empty(0, dtype=np.int32), np.array(ends, dtype=np.int64)
 
 
 def _flags(numbers, docs: int) -> np.ndarray:
@@ -206,13 +224,13 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
 
     def read(batches):
         for chunk, held in _chunks(batches, lambda r: len(r[1] or "")):
-            types, tokens, ends = read_words(r[1] for r in held)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([[r[0] for r in held]], type=pa.list_(arrow_id)), pa.array([_pack(types, tokens, ends)], type=pa.binary())], names=["chunk", "ids", "words"])
+            words = _pack_words(*read_words(r[1] for r in held))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([[r[0] for r in held]], type=pa.list_(arrow_id)), pa.array([words], type=pa.binary())], names=["chunk", "ids", "words"])
 
     def ask(batches):
         for b in batches:
             for chunk, words, target, n_docs in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                c = Chunk(*_unpack(words))
+                c = Chunk(*_unpack_words(words))
                 if len(c.ends) != n_docs:
                     raise RuntimeError("the chunks differ between two reads of the documents")
                 every, some = c.counts(_flags(target, n_docs))
@@ -244,7 +262,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     # the same plan at every size: marks are hashed, words are not sorted
     asked = rows.mapInArrow(read, f"chunk long, ids array<{id_type}>, words binary").select("chunk", "words").join(marked.hint("shuffle_hash"), "chunk")
     asked = asked.select("chunk", "words", "target", "n_docs").mapInArrow(ask, "part int, chunk long, asked binary")
-    told = checkpoint(asked.groupBy("part").applyInArrow(answer, "part int, chunk long, told binary"))
+    told = store(asked.groupBy("part").applyInArrow(answer, "part int, chunk long, told binary"), "totals")
     sums = np.zeros(5, dtype=np.int64)
     # a row of five numbers for each hash partition
     for r in told.where("chunk = -1").select("told").toLocalIterator():
@@ -255,7 +273,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         names = {"doc_id": arrow_id, "n_words": pa.int64(), "target_loss": pa.float64(), "background_loss": pa.float64()}
         if words.num_rows == 0:
             return pa.table({k: pa.array([], type=t) for k, t in names.items()})
-        c = Chunk(*_unpack(words.column("words")[0].as_py()))
+        c = Chunk(*_unpack_words(words.column("words")[0].as_py()))
         n_docs = words.column("n_docs")[0].as_py()
         if len(c.ends) != n_docs:
             raise RuntimeError("the chunks differ between two reads of the documents")
