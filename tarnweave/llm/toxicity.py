@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import release_memory
+
 P, DECAY, FLOOR = 3, 0.7, 0.66
 LANDMARKS, CONTRASTS = 24, 8
 TRAIN_DOCS, TRAIN_CHARS = 2500, 24_000_000
@@ -39,7 +41,8 @@ TRAIN_DOCS, TRAIN_CHARS = 2500, 24_000_000
 STEM = (4, 10)
 #: Longer words are read in pieces of this many letters that overlap by half.
 PIECE = 24
-CACHE_WORDS = 200_000
+#: Documents scored at once, and words remembered meanwhile.
+BATCH_DOCS, CACHE_WORDS = 512, 120_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…–—"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
@@ -341,8 +344,8 @@ def score(docs: DataFrame, machine: Machine | float, text_col: str = "text") ->
     def run(batches):
         scorer = Scorer(Landmarks(machine.landmarks)) if isinstance(machine, Machine) else None
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for lo in range(0, whole.num_rows, BATCH_DOCS):
+                b = whole.slice(lo, BATCH_DOCS)
                 if scorer is None:
                     out = [float(machine)] * b.num_rows
                 else:
@@ -351,6 +354,8 @@ def score(docs: DataFrame, machine: Machine | float, text_col: str = "text") ->
                     scorer.learn(set().union(*sets))
                     out = [machine.score(scorer.document(t, w)) for t, w in zip(texts, sets)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.float64())], names=["__tw_row", "__tw_score"])
+        scorer = texts = sets = whole = b = None
+        release_memory()
 
     return rows.mapInArrow(run, StructType([rows.schema["__tw_row"], StructField("__tw_score", DoubleType())]))
 
