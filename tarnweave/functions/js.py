@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def js_slice(s: Column, start: int, end: int | None = None) -> Column:
@@ -135,20 +136,20 @@ def spliced(a: Column, start: int, count: int, new: Column) -> Column:
     return F.concat(F.slice(a, 1, F.least(F.lit(start), n)), new, F.slice(a, start + count + 1, F.greatest(n - start - count, F.lit(0))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def from_code_points(codes: pd.Series) -> pd.Series:
     """Text of an array of code points; SQL's chr stops at 255."""
     return codes.map(lambda c: None if c is None else "".join(chr(int(x)) for x in c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalised_nfc(s: pd.Series) -> pd.Series:
     import unicodedata
 
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def number_from_bits(s: pd.Series) -> pd.Series:
     """number:<16 hex digits> to the double of these bits."""
     import struct
