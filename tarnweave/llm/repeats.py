@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import store
 
 K, TRIGGER = 200, 32
 #: Bytes parsed at once; below 2 ** 22.
@@ -117,8 +117,10 @@ def _groups(batches, k: int):
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row numbers are the same in each scan of the same table."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"), F.col(f"`{id_col}`").alias("doc_id"))
+    """row: a key of id and text, the same in each scan; rows that repeat both share it, and what is found in them."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit("|"), text)))
+    return docs.select(row.alias("row"), text.cast("binary").alias("text"), F.col(f"`{id_col}`").alias("doc_id"))
 
 
 def _trigger_counts(k: int):
@@ -140,7 +142,7 @@ def _phrases(k: int):
             text = np.searchsorted(ends, start, side="right")
             place = start - (ends - sizes)[text] + places[text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(np.array(rows, dtype=np.int64)[text]), pa.array(place), pa.array(run_.astype(np.int32))],
+                [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(rows, type=pa.binary()).take(pa.array(text)), pa.array(place), pa.array(run_.astype(np.int32))],
                 names=["trigger", "phrase", "row", "start", "run"],
             )
 
@@ -174,11 +176,11 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
 
 
-_MARK = "row long, start long, run int"
+_MARK = "row binary, start long, run int"
 
 
-def _marks(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["row", "start", "run"])
+def _marks(rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32()))], names=["row", "start", "run"])
 
 
 def _sorted_marks(k: int):
@@ -212,7 +214,7 @@ def _cut_phrases(k: int):
                 w = wanted
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x["trigger"] for x in w], type=pa.int64()), pa.array([x["n"] for x in w], type=pa.int64()), pa.array([x["row"] for x in w], type=pa.int64()),
+                        pa.array([x["trigger"] for x in w], type=pa.int64()), pa.array([x["n"] for x in w], type=pa.int64()), pa.array([x["row"] for x in w], type=pa.binary()),
                         pa.array([x["start"] for x in w], type=pa.int64()), pa.array([text[x["start"] : x["start"] + x["run"] + k - 1] for x in w], type=pa.binary()),
                     ],
                     names=["trigger", "n", "row", "start", "text"],
@@ -226,25 +228,20 @@ def _cut_strings(k: int):
         for b in batches:
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 out = [(xxhash.xxh3_128_digest(text[s : s + k]), x["n"], x["row"], s) for x in wanted for s in range(x["start"], x["start"] + x["run"])]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["string", "n", "row", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.int64()))], names=["string", "n", "row", "start"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, group_phrases: int = GROUP_PHRASES) -> tuple[DataFrame, DataFrame]:
-    """The texts (row, text, doc_id) and, for rows that have any, starts of repeated k-byte
+    """The texts (row: a key, text, doc_id) and, for keys that have any, starts of repeated k-byte
     strings: row, marks (array of first start and number of starts)."""
-    spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     plain = texts.select("row", "text")
     shared = plain.mapInArrow(_trigger_counts(k), "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger")
-    path = work_path(spark, "phrases")
     # the same plan at every size: shared triggers are hashed, phrases are not sorted
-    plain.mapInArrow(_phrases(k), "trigger long, phrase long, row long, start long, run int").join(shared.hint("shuffle_hash"), "trigger", "left_semi").write.parquet(path)
-    parsed = spark.read.parquet(path)
-    path = work_path(spark, "dictionary")
-    parsed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "run")).alias("one")).write.parquet(path)
-    dictionary = spark.read.parquet(path)
+    parsed = store(plain.mapInArrow(_phrases(k), "trigger long, phrase long, row binary, start long, run int").join(shared.hint("shuffle_hash"), "trigger", "left_semi"), "phrases")
+    dictionary = store(parsed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "run")).alias("one")), "dictionary")
     whole = parsed.join(dictionary.where("n > 1").select("trigger", "phrase").hint("shuffle_hash"), ["trigger", "phrase"], "left_semi").select("row", "start", "run")
     sizes = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     open_ = dictionary.join(sizes, "trigger").select("trigger", "n", "k", F.col("one.row").alias("row"), F.col("one.start").alias("start"), F.col("one.run").alias("run"))
@@ -253,11 +250,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked = wanted.groupBy("row").agg(F.collect_list(F.struct("trigger", "n", "row", "start", "run")).alias("wanted"))
         return plain.join(asked.hint("shuffle_hash"), "row").select("text", "wanted")
 
-    cut = texts_with(open_.where(F.col("k") <= group_phrases)).mapInArrow(_cut_phrases(k), "trigger long, n long, row long, start long, text binary")
+    cut = texts_with(open_.where(F.col("k") <= group_phrases)).mapInArrow(_cut_phrases(k), "trigger long, n long, row binary, start long, text binary")
     by_trigger = cut.repartition("trigger").sortWithinPartitions("trigger")
     marks = whole.unionByName(by_trigger.mapInArrow(_sorted_marks(k), _MARK))
     if not sizes.where(F.col("k") > group_phrases).isEmpty():
-        strings = texts_with(open_.where(F.col("k") > group_phrases)).mapInArrow(_cut_strings(k), "string binary, n long, row long, start long")
+        strings = texts_with(open_.where(F.col("k") > group_phrases)).mapInArrow(_cut_strings(k), "string binary, n long, row binary, start long")
         many = strings.groupBy("string").agg(F.sum("n").alias("places")).where("places > 1")
         marks = marks.unionByName(strings.where("n = 1").join(many, "string", "left_semi").select("row", "start", F.lit(1).alias("run")))
     return texts, marks.groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("marks"))
