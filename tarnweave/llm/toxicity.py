@@ -339,22 +339,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, machine: Machine | float, text_col: str = "text") -> DataFrame:
     """A row for each row of docs: __tw_row, a struct of all its columns, and __tw_score."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__tw_row"), F.col(f"`{text_col}`").cast("string").alias("__tw_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__tw_row"))
+    place = docs.columns.index(text_col)
 
     def run(batches):
         scorer = Scorer(Landmarks(machine.landmarks)) if isinstance(machine, Machine) else None
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH_DOCS):
                 b = whole.slice(lo, BATCH_DOCS)
+                text = whole.column(0).field(place).slice(lo, BATCH_DOCS)
                 if scorer is None:
                     out = [float(machine)] * b.num_rows
                 else:
-                    texts = [(t or "").lower() for t in b.column(1).to_pylist()]
+                    texts = [(t or "").lower() for t in text.to_pylist()]
                     sets = [words_of(t) for t in texts]
                     scorer.learn(set().union(*sets))
                     out = [machine.score(scorer.document(t, w)) for t, w in zip(texts, sets)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.float64())], names=["__tw_row", "__tw_score"])
-        scorer = texts = sets = whole = b = None
+        scorer = texts = sets = whole = b = text = None
         release_memory()
 
     return rows.mapInArrow(run, StructType([rows.schema["__tw_row"], StructField("__tw_score", DoubleType())]))
