@@ -2,7 +2,8 @@
 
 The kernel of two words sums, over all common subsequences of `P` letters, the decay to the
 power of the stretch each takes up in either word; so an insult still matches with letters
-inserted or gaps between its letters, and a stem matches with any ending. Values are scaled by
+inserted or gaps between its letters, and a stem matches with any ending; the start of a word is
+a letter of its own. Values are scaled by
 the landmark's kernel with itself and end at 1. A word also counts without its marks between
 letters, and a run of single letters counts as one word. A word that lacks more than a quarter
 (at least one) of a landmark's letters, or whose kernel is below `FLOOR`, counts 0. A sentence
@@ -39,6 +40,8 @@ LANDMARKS, CONTRASTS = 24, 8
 TRAIN_DOCS, TRAIN_CHARS = 2500, 24_000_000
 #: Letters of a landmark: stems and whole words.
 STEM = (4, 10)
+#: A letter before each word and stem, so that stems match best where words begin.
+START = "^"
 #: Longer words are read in pieces of this many letters that overlap by half.
 PIECE = 24
 #: Documents scored at once, and words remembered meanwhile.
@@ -49,13 +52,13 @@ _SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 
 
 def views(word: str) -> list[str]:
-    """The letter strings under which a raw word is compared."""
+    """The letter strings under which a raw word is compared; START marks where the word begins."""
     word = word.strip(_EDGES)
-    out = [word] if len(word) >= P else []
+    out = [START + word] if len(word) >= P else []
     if word and not word.isalnum():
         bare = "".join(c for c in word if c.isalnum())
         if len(bare) >= P:
-            out.append(bare)
+            out.append(START + bare)
     return [w[i : i + PIECE] for w in out for i in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
 
 
@@ -151,14 +154,16 @@ class Scorer:
 
     def document(self, text: str, words: set[str]) -> np.ndarray:
         """Landmark values of each sentence that has any."""
-        if not any(self.known[w] is not None for w in words):
-            return np.zeros((0, len(self.landmarks.words)), dtype=np.float32)
-        out = []
+        hits = {w: v for w in words if (v := self.known[w]) is not None}
+        none = np.zeros((0, len(self.landmarks.words)), dtype=np.float32)
+        if not hits:
+            return none
+        spelled, out = any(w not in text for w in hits), []
         for sentence in _SENTENCE.split(text):
-            hits = [v for v in (self.known.get(w) for w in words_of(sentence)) if v is not None]
-            if hits:
-                out.append(np.max(hits, axis=0))
-        return np.array(out, dtype=np.float32).reshape(len(out), -1) if out else np.zeros((0, len(self.landmarks.words)), dtype=np.float32)
+            found = hits.keys() & (words_of(sentence) if spelled else set(sentence.split()))
+            if found:
+                out.append(np.max([hits[w] for w in found], axis=0))
+        return np.array(out, dtype=np.float32) if out else none
 
 
 def words_of(text: str) -> set[str]:
@@ -192,7 +197,7 @@ def _stems(words: set[str]) -> set[str]:
     out = set()
     for w in words:
         for v in views(w):
-            out.update(v[:n] for n in range(STEM[0], min(len(v), STEM[1]) + 1))
+            out.update(v[: n + 1] for n in range(STEM[0], min(len(v) - 1, STEM[1]) + 1))
     return out
 
 
