@@ -238,7 +238,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings: row, marks (array of first start and number of starts)."""
     texts = _texts(docs, id_col, text_col)
     plain = texts.select("row", "text")
-    shared = plain.mapInArrow(_trigger_counts(k), "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger")
+    # stored, so that the join below deals both sides anew and a hot trigger can be split
+    shared = store(plain.mapInArrow(_trigger_counts(k), "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1").select("trigger"), "triggers")
     # the same plan at every size: shared triggers are hashed, phrases are not sorted
     parsed = store(plain.mapInArrow(_phrases(k), "trigger long, phrase long, row binary, start long, run int").join(shared.hint("shuffle_hash"), "trigger", "left_semi"), "phrases")
     dictionary = store(parsed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "run")).alias("one")), "dictionary")
@@ -257,7 +258,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         strings = texts_with(open_.where(F.col("k") > group_phrases)).mapInArrow(_cut_strings(k), "string binary, n long, row binary, start long")
         many = strings.groupBy("string").agg(F.sum("n").alias("places")).where("places > 1")
         marks = marks.unionByName(strings.where("n = 1").join(many, "string", "left_semi").select("row", "start", F.lit(1).alias("run")))
-    return texts, marks.groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("marks"))
+    # stored, so that the shuffle of the texts that were cut is gone before the texts are dealt again
+    return texts, store(marks.groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("marks")), "marks")
 
 
 def _cut(marks, k: int) -> list[tuple[int, int]]:
