@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_paths: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -35,7 +36,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for tables in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tarnweave-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tarnweave-{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that operators of this driver have put in the shared folder. Results that
+    were not written yet need them."""
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

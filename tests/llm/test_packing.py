@@ -24,7 +24,7 @@ def test_boundaries_are_optimal():
 
 def test_round_trip_and_budget(spark):
     docs = documents(spark, odd_rows())
-    rows = pack(docs, max_length=50, buckets=4, token_budget=120, group_rows=8, with_text=True).collect()
+    rows = pack(docs, max_length=50, buckets=4, token_budget=120, group_words=400, with_text=True).collect()
     back = {}
     for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["first_word"])):
         assert r["length"] == len(r["text"].split()) <= r["bucket"] and r["padding"] == r["bucket"] - r["length"]
