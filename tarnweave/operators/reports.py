@@ -55,15 +55,22 @@ def class_partition(rows: DataFrame) -> DataFrame:
     return per.select("domain", F.explode(classes).alias("domain_class"))
 
 
+#: Bins of routes per domain: name, most routes.
+BINS = (("1", 1), ("2-5", 5), ("6-10", 10), ("11-20", 20), ("21-50", 50), ("51+", 1 << 62))
+
+
 def routes_per_domain(rows: DataFrame) -> DataFrame:
-    """Bins of routes per domain: domains, routes, and their shares."""
+    """Bins of routes per domain: domains, routes, and their shares. One aggregate of the
+    per-domain counts gives all bins and totals at once."""
     per = mixed(rows).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n")
-    label = F.when(n == 1, "1").when(n <= 5, "2-5").when(n <= 10, "6-10").when(n <= 20, "11-20").when(n <= 50, "21-50").otherwise("51+")
-    out = per.groupBy(label.alias("bin")).agg(F.count(F.lit(1)).alias("domains"), F.sum("n").alias("routes"))
-    total = per.agg(F.count(F.lit(1)).alias("all_domains"), F.sum("n").alias("all_routes"), F.floor(F.median("n")).alias("median"), F.max("n").alias("most"))
-    # total is one row
-    out = out.join(F.broadcast(total), F.lit(True))
+    n, low, aggs, items = F.col("n"), 0, [], []
+    for i, (name, high) in enumerate(BINS):
+        inside = (n > low) & (n <= high)
+        aggs += [F.count_if(inside).alias(f"d{i}"), F.sum(F.when(inside, n).otherwise(0)).alias(f"r{i}")]
+        items.append(F.struct(F.lit(name).alias("bin"), F.col(f"d{i}").alias("domains"), F.col(f"r{i}").alias("routes")))
+        low = high
+    one = per.agg(*aggs, F.count(F.lit(1)).alias("all_domains"), F.sum("n").alias("all_routes"), F.floor(F.median("n")).alias("median"), F.max("n").alias("most"))
+    out = one.select(F.explode(F.array(*items)).alias("x"), "all_domains", "all_routes", "median", "most").select("x.*", "all_domains", "all_routes", "median", "most").where("domains > 0")
     return out.select("bin", "domains", "routes", percent(F.col("domains"), F.col("all_domains")).alias("domain_pct"), percent(F.col("routes"), F.col("all_routes")).alias("route_pct"), "median", "most")
 
 

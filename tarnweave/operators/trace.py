@@ -58,12 +58,14 @@ def merge_ranges(rows: DataFrame, by: str) -> DataFrame:
 
 
 def running_topk(totals: DataFrame, key: str, value: str, k: int) -> DataFrame:
-    """The k largest with running sum and share of the whole; ties by key."""
+    """The k largest with running sum and the sum of all; ties by key. The windows run over the k
+    rows and one row with the sum."""
     whole = totals.agg(F.sum(value).alias("__all"))
-    top = totals.orderBy(F.desc(value), key).limit(k)
-    w = Window.orderBy(F.desc(value), key)
-    # whole is one row, top k rows
-    return top.join(F.broadcast(whole), F.lit(True)).select(key, value, F.row_number().over(w).alias("rank"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.col("__all").alias("whole"))
+    top = totals.orderBy(F.desc(value), key).limit(k).select(key, value)
+    rows = top.withColumn("__all", F.lit(None).cast(whole.schema["__all"].dataType)).unionByName(whole, allowMissingColumns=True)
+    w = Window.orderBy(F.desc_nulls_last(value), key)
+    rows = rows.select(key, value, F.row_number().over(w).alias("rank"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.max("__all").over(Window.partitionBy()).alias("whole"))
+    return rows.where(F.col(value).isNotNull())
 
 
 def time_delta(rows: DataFrame, by: str, time: str, order: list[str]) -> DataFrame:
