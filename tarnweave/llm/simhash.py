@@ -37,6 +37,8 @@ from .common import UPPER, checkpoint
 SHINGLE, DISTANCE, BITS = 4, 4, 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET_ROWS = 8192
+#: Signatures are not made longer than about this.
+MOST_BITS = 40
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _CHUNK = 1 << 15
@@ -85,7 +87,6 @@ def signatures(n: int, occupancy: int = 64) -> list[int]:
     m - d pieces out of m must be indexed, for d the distance left to the other bits. m grows
     until a bucket of unrelated fingerprints has at most `occupancy` members on average.
     """
-    whole = (1 << BITS) - 1
     base = []
     for at, size in SEGMENTS:
         segment = ((1 << size) - 1) << at
@@ -96,12 +97,16 @@ def signatures(n: int, occupancy: int = 64) -> list[int]:
     out = []
     for mask, segment, left in base:
         rest = [b for b in range(BITS) if not segment >> b & 1]
+
+        def length(pieces: int) -> int:
+            return bin(mask).count("1") + len(rest) * (pieces - left) // pieces  # noqa: B023
+
         pieces = left
-        while n >> bin(mask).count("1") > occupancy and len(rest) * (pieces - left) // pieces + bin(mask).count("1") < BITS // 2 + 8 and n / 2 ** (bin(mask).count("1") + len(rest) * (pieces - left) // pieces) > occupancy:
+        while n >> length(pieces) > occupancy and length(pieces) < MOST_BITS:
             pieces += 1
         cut = [rest[i * len(rest) // pieces : (i + 1) * len(rest) // pieces] for i in range(pieces)]
         for chosen in itertools.combinations(cut, pieces - left):
-            out.append((mask | sum(1 << b for piece in chosen for b in piece)) & whole)
+            out.append(mask | sum(1 << b for piece in chosen for b in piece))
     return out
 
 
