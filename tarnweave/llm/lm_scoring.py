@@ -263,10 +263,15 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     asked = rows.mapInArrow(read, f"chunk long, ids array<{id_type}>, words binary").select("chunk", "words").join(marked.hint("shuffle_hash"), "chunk")
     asked = asked.select("chunk", "words", "target", "n_docs").mapInArrow(ask, "part int, chunk long, asked binary")
     told = store(asked.groupBy("part").applyInArrow(answer, "part int, chunk long, told binary"), "totals")
-    sums = np.zeros(5, dtype=np.int64)
-    # a row of five numbers for each hash partition
-    for r in told.where("chunk = -1").select("told").toLocalIterator():
-        sums += _unpack(r[0])[0]
+    numbers = [f"s{i}" for i in range(5)]
+
+    def stated(batches):
+        for b in batches:
+            rows = np.array([_unpack(x)[0] for x in b.column(0).to_pylist()], dtype=np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=numbers)
+
+    totals = told.where("chunk = -1").select("told").mapInArrow(stated, ", ".join(f"{c} long" for c in numbers))
+    sums = [x or 0 for x in totals.agg(*[F.sum(c) for c in numbers]).first()]
     stats = {"vocabulary": int(sums[0]), "tokens": (int(sums[1]), int(sums[2])), "known": (int(sums[3]), int(sums[4]))}
 
     def finish(words: pa.Table, totals: pa.Table) -> pa.Table:
