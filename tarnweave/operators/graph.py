@@ -123,10 +123,13 @@ def taint_routes(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, max_
     return found.join(sinks.select("node").distinct(), "node").where("source <> node").select("source", F.col("node").alias("sink"), "path")
 
 
-def call_links(calls: DataFrame, functions: DataFrame) -> DataFrame:
+def call_links(calls: DataFrame, functions: DataFrame, *, internal: tuple[str, ...] = ()) -> DataFrame:
     """calls: call_id, prop. functions: func_id, name, ord. A call goes to the first function of
-    that name; common and very short names link nothing."""
-    good = functions.where((F.length("name") > 0) & (F.col("name") != "global") & ~F.contains("name", F.lit("HermesInternal")))
+    that name; common and very short names link nothing. internal: parts of the names of the
+    script engine's own functions, which are left out."""
+    good = functions.where((F.length("name") > 0) & (F.col("name") != "global"))
+    for part in internal:
+        good = good.where(~F.contains("name", F.lit(part)))
     first = good.groupBy("name").agg(F.min_by("func_id", "ord").alias("func_id"))
     asked = calls.where((F.length("prop") > 2) & ~F.col("prop").isin(*COMMON_METHODS))
     return asked.join(first, asked["prop"] == first["name"]).select("call_id", "func_id")
