@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tarnweave.llm.repeats import drop_repeats, repeats_digest, sort_to_depth
+from tarnweave.llm import repeats
+from tarnweave.llm.repeats import drop_repeats, parse, repeats_digest, sort_to_depth
 
 from .data import documents, odd_rows, prose
 
@@ -60,7 +62,7 @@ def test_ranks_are_suffix_order():
     assert all((rank[i] == rank[j]) == (data[i : i + 40] == data[j : j + 40]) for i in range(n) for j in (0, i // 2, min(i + 230, n - 1)))
 
 
-def test_kept_bytes_and_long_texts(spark, monkeypatch):
+def test_kept_bytes(spark):
     text = prose(8, 500)
     docs = documents(spark, [(1, text, "a"), (2, prose(9, 40) + text[:1200] + prose(10, 40), "b"), (3, None, "c")])
     rows = {r["doc_id"]: r for r in drop_repeats(docs).collect()}
@@ -71,3 +73,31 @@ def test_kept_bytes_and_long_texts(spark, monkeypatch):
             at = s["end"]
         assert bytes(rows[i]["kept"]) == kept + t.encode()[at:]
     assert repeats_digest(documents(spark, [])).count() == 0
+
+
+def strings(batches, k=200):
+    """Each k-byte string's row and place, with the trigger it belongs to."""
+    out = {}
+    for buf, sizes, rows, places in repeats._groups(batches, k):
+        start, run, trigger = parse(buf, sizes, k)
+        ends = np.cumsum(sizes)
+        for s, n, t in zip(start, run, trigger):
+            text = int(np.searchsorted(ends, s, side="right"))
+            for i in range(n):
+                key = (rows[text], int(s + i - (ends - sizes)[text] + places[text]))
+                assert key not in out
+                out[key] = int(t)
+    return out
+
+
+def test_long_texts_in_pieces_give_the_same_triggers(monkeypatch):
+    texts = [prose(1, 900).encode(), b"short", prose(2, 300).encode(), b"", b"y" * 2500, prose(1, 900).encode()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, type=pa.binary())], names=["row", "text"])
+    whole = strings([batch])
+    assert len(whole) == sum(max(0, len(t) - 199) for t in texts)
+    monkeypatch.setattr(repeats, "PIECE", 1000)
+    assert strings([batch.slice(0, 2), batch.slice(2)]) == whole
+    by_text: dict = {}
+    for (row, place), trigger in whole.items():
+        by_text.setdefault(texts[row][place : place + 200], set()).add(trigger)
+    assert all(len(t) == 1 for t in by_text.values())
