@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 
 from .. import registries as R
 
-#: Method names that link nothing when they are called.
-COMMON_METHODS = (
-    "push", "pop", "call", "apply", "bind", "then", "catch", "forEach", "map", "filter", "join", "split", "slice", "concat", "indexOf", "toString", "get", "set", "test", "replace",
-)
-
 
 def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
@@ -131,7 +126,7 @@ def call_links(calls: DataFrame, functions: DataFrame, *, internal: tuple[str, .
     for part in internal:
         good = good.where(~F.contains("name", F.lit(part)))
     first = good.groupBy("name").agg(F.min_by("func_id", "ord").alias("func_id"))
-    asked = calls.where((F.length("prop") > 2) & ~F.col("prop").isin(*COMMON_METHODS))
+    asked = calls.where((F.length("prop") > 2) & ~F.col("prop").isin(*R.COMMON_METHODS))
     return asked.join(first, asked["prop"] == first["name"]).select("call_id", "func_id")
 
 
@@ -165,12 +160,75 @@ def sink_table(spark) -> DataFrame:
 
 
 def severity(sink_type: Column) -> Column:
+    """Of an unknown type: that of Network."""
+    table = F.create_map(*[F.lit(x) for t, tag, _ in R.SEVERITIES for x in (t, tag)])
+    return F.coalesce(F.try_element_at(table, sink_type), F.lit(R.SEVERITIES[0][1]))
+
+
+def category(sink_type: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for t, _, c in R.SEVERITIES for x in (t, c)])
+    return F.coalesce(F.try_element_at(table, sink_type), F.lit(R.SEVERITIES[0][2]))
+
+
+def object_name(kind: Column, prop: Column, callee_func: Column, callee_prop: Column) -> Column:
+    """The name of a value as an object. kind: null without a value, '' for one that is no
+    instruction; prop: literal of a property load; callee_func, callee_prop: of a call."""
+    call = F.coalesce(F.concat(callee_func, F.lit("()")), F.concat(callee_prop, F.lit("()")), F.lit("AnonymousFunction()"))
     return (
-        F.when(sink_type == "Network", "[CRITICAL]").when(sink_type == "Code Injection", "[CRITICAL]").when(sink_type == "XSS", "[HIGH]")
-        .when(sink_type == "Navigation", "[WARNING]").when(sink_type == "Storage", "[MEDIUM]").otherwise("[LOW]")
+        F.when(kind.isNull(), "Unknown").when((kind == "LoadPropertyInst") & prop.isNotNull(), prop)
+        .when(F.endswith(kind, F.lit("CallInst")), call).when(kind == "", "UnknownSource").otherwise(kind)
     )
 
 
+def backtracked_property(loads: DataFrame, stores: DataFrame) -> DataFrame:
+    """load_id, name: the literal of a load, else that of the last store of its block whose object
+    or property is the load's own property value, else DynamicProperty. loads: load_id, block_id,
+    literal, prop_id. stores: block_id, pos, object_id, prop_id, stored (literal)."""
+    s = stores.where("stored is not null").select("block_id", "pos", F.explode(F.array_distinct(F.array("object_id", "prop_id"))).alias("prop_id"), "stored")
+    last = loads.where("literal is null").join(s, ["block_id", "prop_id"]).groupBy("load_id").agg(F.max_by("stored", "pos").alias("found"))
+    return loads.join(last, "load_id", "left").select("load_id", F.coalesce("literal", "found", F.lit("DynamicProperty")).alias("name"))
+
+
+def source_label(found: Column, kind: Column) -> Column:
+    """The registry's name of a source, else a label by its kind."""
+    named = F.when(F.coalesce(found, F.lit("")) != "", found)
+    return F.coalesce(named, F.when(kind == "LoadPropertyInst", "Obfuscated_Property (LoadPropertyInst)").when(F.endswith(kind, F.lit("CallInst")), "Obfuscated_Call (CallInst)").otherwise(F.concat(F.lit("Dynamic_Source ("), kind, F.lit(")"))))
+
+
+def trigger_context(function: Column, event_driven: Column) -> Column:
+    """Of a source's function: null: UNKNOWN; global code and functions that no event starts: AUTONOMOUS."""
+    return F.when(function.isNull(), "UNKNOWN").when(function.isin("global", "main", ""), "AUTONOMOUS").when(F.coalesce(event_driven, F.lit(False)), "EVENT_DRIVEN").otherwise("AUTONOMOUS")
+
+
+def source_instructions(values: DataFrame) -> DataFrame:
+    """values: value_id, full_name (object.property or null), prop, callee_prop. Those that are
+    sources: registered names, fingerprint properties, decoding calls."""
+    names = [n for n, _, _ in R.SOURCES]
+    inside = lambda c, names: F.coalesce(F.col(c).isin(*names), F.lit(False))
+    return values.where(inside("full_name", names) | inside("prop", R.FINGERPRINT_PROPERTIES) | inside("callee_prop", R.ENCODING_CALLS))
+
+
+def tainted_globals(stores: DataFrame, loads: DataFrame) -> DataFrame:
+    """Loads of globals that a tainted store of the module wrote, by name only. stores: module_id,
+    name. loads: module_id, name, value_id."""
+    good = stores.where((F.length("name") > 1) & ~F.col("name").isin(*R.IGNORED_GLOBALS)).select("module_id", "name").distinct()
+    return loads.join(good, ["module_id", "name"], "left_semi")
+
+
+def sink_instructions(stores: DataFrame, calls: DataFrame) -> DataFrame:
+    """value_id, sink, type. stores: value_id, object_name, prop. calls: value_id, object_name,
+    method. Stores to src or href always count, as evasions; else object.name before name."""
+    spark = stores.sparkSession
+    table = F.broadcast(sink_table(spark))  # a fixed number of rows
+    evade = F.col("prop").isin("src", "href")
+    forced = stores.where(evade).select("value_id", F.concat("object_name", F.lit("."), "prop", F.lit(" (Evasion Suspected)")).alias("sink"), F.lit("Network").alias("type"))
+    props, methods = table.where("not is_method"), table.where("is_method and contains(name, '.')")
+    near = stores.where(~evade).withColumn("name", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat_ws(".", "object_name", "prop").alias("name")), F.struct(F.lit(1).alias("n"), F.col("prop").alias("name")))))
+    hit = near.select("value_id", "name.n", "name.name").join(props, "name").groupBy("value_id").agg(F.min_by(F.struct("name", "type"), "n").alias("x"))
+    asked = calls.select("value_id", F.concat_ws(".", "object_name", "method").alias("name")).join(methods, "name")
+    return forced.unionByName(hit.select("value_id", F.col("x.name").alias("sink"), F.col("x.type").alias("type"))).unionByName(asked.select("value_id", F.col("name").alias("sink"), "type"))
+
+
 def dependencies(scripts: DataFrame) -> DataFrame:
     """key, name, kind: modules that a script asks for. scripts: key, text."""
     kinds = {"ESM": r"\bimport\s+(?:[^'\"()]*?\bfrom\s+)?['\"]([^'\"]+)['\"]", "Async": r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]", "Require": r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]"}

@@ -56,7 +56,7 @@ def class_partition(rows: DataFrame) -> DataFrame:
 
 
 #: Bins of routes per domain: name, most routes.
-BINS = (("1", 1), ("2-5", 5), ("6-10", 10), ("11-20", 20), ("21-50", 50), ("51+", 1 << 62))
+BINS = (("1", 1), ("2-3", 3), ("4-5", 5), ("6-10", 10), ("11-20", 20), ("21-50", 50), ("51+", 1 << 62))
 
 
 def routes_per_domain(rows: DataFrame) -> DataFrame:
@@ -89,13 +89,18 @@ def counts(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(items).alias("x")).select("x.*")
 
 
+def semantic_rule(kind: str) -> Column:
+    return F.contains("threat_type", F.lit(kind)) & (F.contains("threat_type", F.lit("Rule 5")) | F.contains("threat_type", F.lit("Semantic_CrossValidation")))
+
+
 def rule_distribution(rows: DataFrame) -> DataFrame:
-    threat = F.col("threat_type")
-    certain, likely = F.contains(threat, F.lit("Deterministic")), F.contains(threat, F.lit("Probabilistic"))
-    evasive, hidden = F.contains("sink", F.lit("Evasion Suspected")), F.contains(threat, F.lit("Dynamic Obfuscated"))
+    """Rule 4 goes by the sink. Rows that are deterministic and probabilistic count as
+    deterministic; device leaks are no part of rule 5's total."""
+    certain, likely = semantic_rule("Deterministic"), semantic_rule("Probabilistic")
+    evasive, hidden = F.contains("sink", F.lit("Evasion Suspected")), F.contains("threat_type", F.lit("Dynamic Obfuscated"))
     return counts(mixed(rows), {
         "R1": has_rule(1), "R2": has_rule(2), "R3": has_rule(3), "R4": evasive, "R4 hidden": evasive & hidden, "R4 identified": evasive & ~hidden,
-        "R5": has_rule(5), "R5 deterministic": certain, "R5 probabilistic": likely & ~certain, "R5 fingerprint": F.contains(threat, F.lit("Fingerprinting_Leak")),
+        "R5": certain | likely, "R5 deterministic": certain, "R5 probabilistic": likely & ~certain, "R5 device": F.contains("threat_type", F.lit("Fingerprinting_Leak")),
     })
 
 
@@ -105,19 +110,34 @@ def trigger_contexts(rows: DataFrame) -> DataFrame:
 
 
 def sink_family() -> Column:
+    """The first that holds."""
     s = F.col("sink")
+    has = lambda x: F.contains(s, F.lit(x))
     return (
-        F.when(F.contains(s, F.lit("Evasion Suspected")), "dom").when(F.contains(s, F.lit("cookie")), "cookie").when(F.contains(s, F.lit("Storage")), "storage")
-        .when(F.contains(s, F.lit("location")) | F.contains(s, F.lit("window.open")), "navigation").when(F.contains(s, F.lit("sendBeacon")), "beacon").otherwise("other")
+        F.when(has("LoadFrameInst"), "dom iframe").when(s == "createElement().href (Evasion Suspected)", "dom create").when(s == "Image().src (Evasion Suspected)", "dom image")
+        .when(has("Evasion Suspected"), "dom other").when(s == "document.cookie", "cookie").when(has("Storage"), "storage")
+        .when(has("window.open") | has("location."), "navigation").when(has("sendBeacon"), "beacon").otherwise("other")
     )
 
 
+def dom_sink() -> Column:
+    return F.contains("sink", F.lit("Evasion"))
+
+
+def third_party() -> Column:
+    return F.startswith("party", F.lit("3rd-Party")) | F.startswith("party", F.lit("Confirmed 3rd"))
+
+
+def date_source() -> Column:
+    return F.col("source").isin("Date", "Date.now")
+
+
 def sink_distribution(rows: DataFrame) -> DataFrame:
     return mixed(rows).groupBy(sink_family().alias("sink_family")).agg(F.count(F.lit(1)).alias("routes"), F.count_distinct("domain").alias("domains"))
 
 
 def cloaked() -> Column:
-    return F.contains("party", F.lit("CNAME Cloaked"))
+    return F.contains("party", F.lit("CNAME"))
 
 
 def cname_beneficiaries(rows: DataFrame) -> DataFrame:
@@ -130,40 +150,36 @@ def cname_beneficiaries(rows: DataFrame) -> DataFrame:
 def cname_profile(rows: DataFrame) -> DataFrame:
     """Per domain with cloaked routes: their number, the share through the DOM, distinct hosts."""
     hosts = F.filter(F.transform(F.split("observed_trackers", r" \| "), F.trim), lambda h: (h != "") & (h != "None"))
-    per = mixed(rows).where(cloaked()).groupBy("domain").agg(F.count(F.lit(1)).alias("routes"), F.count_if(sink_family() == "dom").alias("dom"), F.size(F.array_distinct(F.flatten(F.collect_set(hosts)))).alias("hosts"))
+    per = mixed(rows).where(cloaked()).groupBy("domain").agg(F.count(F.lit(1)).alias("routes"), F.count_if(dom_sink()).alias("dom"), F.size(F.array_distinct(F.flatten(F.collect_set(hosts)))).alias("hosts"))
     return per.withColumn("dom_pct", percent(F.col("dom"), F.col("routes")))
 
 
 def cookie_cohorts(rows: DataFrame) -> DataFrame:
     """Domains with and without a cookie write, and how many of either do what."""
-    foreign = F.contains("party", F.lit("3rd-Party"))
+    stored = F.col("source").isin("localStorage.getItem", "sessionStorage.getItem") & F.contains("sink", F.lit("Evasion Suspected"))
     per = mixed(rows).groupBy("domain").agg(
-        F.max(sink_family() == "cookie").alias("cookie"), F.max(sink_family() == "dom").alias("dom"), F.max(F.contains("source", F.lit("Date"))).alias("date"), F.max(foreign).alias("foreign"),
-        F.max((F.col("source") == "localStorage.getItem") & (sink_family() == "dom")).alias("stored"),
+        F.max(F.col("sink") == "document.cookie").alias("cookie"), F.max(dom_sink()).alias("dom"), F.max(date_source()).alias("date"), F.max(third_party()).alias("foreign"), F.max(stored).alias("stored"),
     )
     return per.groupBy("cookie").agg(F.count(F.lit(1)).alias("domains"), *[F.count_if(F.col(c)).alias(c) for c in ("dom", "date", "foreign", "stored")])
 
 
-def source_family() -> Column:
-    s = F.col("source")
-    return (
-        F.when(F.startswith(s, F.lit("screen.")) | F.startswith(s, F.lit("navigator.")), "device").when(F.startswith(s, F.lit("location.")), "location").when(s == "document.cookie", "cookie")
-        .when(F.contains(s, F.lit("Storage")), "storage").when(F.contains(s, F.lit("Date")), "date").when(F.startswith(s, F.lit("Obfuscated")) | F.startswith(s, F.lit("Dynamic")), "obfuscated")
-        .when(F.startswith(s, F.lit("Inferred")) | (s == ""), "inferred").otherwise("other")
-    )
-
-
 def source_families(rows: DataFrame) -> DataFrame:
-    return mixed(rows).groupBy(source_family().alias("source_family")).agg(F.count(F.lit(1)).alias("routes"), F.count_distinct("domain").alias("domains"))
+    s = F.col("source")
+    exact = s.isin("Obfuscated_Property (LoadPropertyInst)", "Obfuscated_Call (CallInst)")
+    return counts(mixed(rows), {"location": F.startswith(s, F.lit("location.")), "obfuscated": exact, "obfuscated in name": F.contains(s, F.lit("Obfuscated")), "date": date_source(), "cookie read": s == "document.cookie"})
 
 
 def source_sink_flows(rows: DataFrame) -> DataFrame:
-    return mixed(rows).groupBy(source_family().alias("source_family"), sink_family().alias("sink_family")).agg(F.count(F.lit(1)).alias("routes"), F.count_distinct("domain").alias("domains"))
+    s, frame = F.col("source"), F.contains("sink", F.lit("LoadFrameInst"))
+    return counts(mixed(rows), {
+        "obfuscated to iframe": F.contains(s, F.lit("Obfuscated")) & frame, "location to iframe": (s == "location.href") & frame,
+        "location to createElement": (s == "location.href") & F.contains("sink", F.lit("createElement")), "date to cookie": date_source() & (F.col("sink") == "document.cookie"),
+    })
 
 
 def obfuscation_axes(rows: DataFrame) -> DataFrame:
     """Hidden destination, hidden source, DOM sink and all three, by class and in all (null)."""
-    a, b, c = F.contains("destination", F.lit("DYNAMIC_URL")), source_family() == "obfuscated", sink_family() == "dom"
+    a, b, c = F.col("destination") == "DYNAMIC_URL", F.contains("source", F.lit("Obfuscated")), dom_sink()
     aggs = [F.count(F.lit(1)).alias("routes")]
     for name, x in (("dest", a), ("source", b), ("dom", c), ("all", a & b & c)):
         aggs += [F.count_if(x).alias(f"{name}_routes"), F.count_distinct(F.when(x, F.col("domain"))).alias(f"{name}_domains")]
@@ -171,13 +187,13 @@ def obfuscation_axes(rows: DataFrame) -> DataFrame:
 
 
 def party_breakdown(rows: DataFrame) -> DataFrame:
-    family = F.when(F.startswith("party", F.lit("1st-Party")), "first").when(F.contains("party", F.lit("3rd-Party")), "third").when(F.startswith("party", F.lit("Local")), "local").otherwise("unknown")
+    family = F.when(third_party(), "third").when(F.startswith("party", F.lit("1st-Party")), "first").when(F.startswith("party", F.lit("Local")), "local").otherwise("unknown")
     return mixed(rows).groupBy("party", family.alias("family")).agg(F.count(F.lit(1)).alias("routes"), F.count_distinct("domain").alias("domains"))
 
 
 def single_rule_domains(rows: DataFrame) -> DataFrame:
-    """Domains all of whose routes have exactly one rule."""
-    return mixed(rows).groupBy("domain").agg(F.min(rule_count() == 1).alias("single"), F.count(F.lit(1)).alias("routes")).where("single").select("domain", "routes")
+    """Domains all of whose novel routes have exactly one rule."""
+    return mixed(rows).where("route_class = 'novel'").groupBy("domain").agg(F.min(rule_count() == 1).alias("single"), F.count(F.lit(1)).alias("routes")).where("single").select("domain", "routes")
 
 
 def score_histogram(rows: DataFrame) -> DataFrame:
@@ -187,13 +203,15 @@ def score_histogram(rows: DataFrame) -> DataFrame:
 
 
 def score_averages(rows: DataFrame) -> DataFrame:
-    m = cloaked() & (sink_family() == "dom")
-    return mixed(rows).agg(F.sum("confidence").alias("total"), F.count(F.lit(1)).alias("routes"), F.sum(F.when(m, F.col("confidence"))).alias("cloaked_total"), F.count_if(m).alias("cloaked_routes"), F.count_if(F.col("confidence") == 5).alias("top_routes"), F.avg("confidence").alias("average"))
+    m = cloaked() & dom_sink()
+    return mixed(rows).agg(F.sum("confidence").alias("total"), F.count(F.lit(1)).alias("routes"), F.sum(F.when(m, F.col("confidence"))).alias("cloaked_total"), F.count_if(m).alias("cloaked_routes"), F.count_if(F.col("confidence") >= 5).alias("top_routes"), F.avg("confidence").alias("average"))
 
 
 def rule_combos(rows: DataFrame) -> DataFrame:
-    three = has_rule(3) & F.contains("sink", F.lit("Evasion Suspected")) & has_rule(5)
-    return counts(mixed(rows), {"R3+R4+R5": three, "R3+R4+R5 deterministic": three & F.contains("threat_type", F.lit("Deterministic")), "R3 only": has_rule(3) & (rule_count() == 1)})
+    both = has_rule(3) & F.contains("sink", F.lit("Evasion Suspected"))
+    certain = F.contains("threat_type", F.lit("Deterministic"))
+    any_ = semantic_rule("Deterministic") | semantic_rule("Probabilistic")
+    return counts(mixed(rows), {"R3+R4+R5": both & any_, "R3+R4+R5 deterministic": both & certain, "R3+R4+R5 deterministic, cloaked": both & certain & cloaked()})
 
 
 def check_table(computed: DataFrame, expected: DataFrame) -> DataFrame:
@@ -205,5 +223,5 @@ def check_table(computed: DataFrame, expected: DataFrame) -> DataFrame:
 def pipeline_outcomes(messages: DataFrame) -> DataFrame:
     """status, n: outcome lines by ordered tests."""
     m = F.col("message")
-    status = F.when(F.contains(m, F.lit("SUCCESS")), "SUCCESS").when(F.contains(m, F.lit("TIMEOUT")), "TIMEOUT").when(F.contains(m, F.lit("No taint")), "NO_TAINT").when(F.contains(m, F.lit("parse")), "PARSE_ERROR").otherwise("ENGINE_CRASH")
+    status = F.when(F.contains(m, F.lit("SUCCESS")), "SUCCESS").when(F.contains(m, F.lit("TIMEOUT")), "TIMEOUT").when(F.contains(m, F.lit("No taint path")), "NO_TAINT").when(F.contains(m, F.lit("PARSE ERROR")), "PARSE_ERROR").otherwise("ENGINE_CRASH")
     return messages.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))

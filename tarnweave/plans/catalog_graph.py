@@ -104,7 +104,7 @@ def source_registry(spark, d):
 
 @query("sink_registry", f"""WITH {X.BASE_SQL}, s(name, type, m) AS (VALUES {', '.join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in R.SINKS)})
   SELECT domain, route_id, CASE WHEN regexp_matches(sink_name, '\\.(src|href) \\(Evasion') THEN 'Network' ELSE coalesce(type, 'Unknown') END AS found,
-  CASE sink_type WHEN 'Network' THEN '[CRITICAL]' WHEN 'XSS' THEN '[HIGH]' WHEN 'Navigation' THEN '[WARNING]' WHEN 'Storage' THEN '[MEDIUM]' ELSE '[LOW]' END AS severity FROM fx_routes LEFT JOIN s ON name = sink_name""")
+  CASE sink_type WHEN 'Network' THEN '[CRITICAL]' WHEN 'XSS' THEN '[MEDIUM]' WHEN 'Navigation' THEN '[LOW]' WHEN 'Storage' THEN '[WARNING]' ELSE '[HIGH]' END AS severity FROM fx_routes LEFT JOIN s ON name = sink_name""")
 def sink_registry(spark, d):
     table = F.broadcast(O.sink_table(spark))
     rows = X.routes(spark, d).join(table, F.col("sink_name") == F.col("name"), "left")
@@ -140,3 +140,52 @@ def dependencies(spark, d):
 def dot_export(spark, d):
     r = X.routes(spark, d)
     return O.dot_lines(O.taint_graph_nodes(r), O.taint_graph_edges(r))
+
+
+@query("context_labels", f"""WITH {X.BASE_SQL} SELECT domain, route_id, CASE WHEN source_name <> '' THEN source_name WHEN path_nodes[1] = 'LoadPropertyInst' THEN 'Obfuscated_Property (LoadPropertyInst)' ELSE 'x' END AS label,
+  CASE WHEN route_id % 4 = 0 THEN 'UNKNOWN' WHEN route_id % 4 = 1 THEN 'AUTONOMOUS' WHEN route_id % 3 = 0 THEN 'EVENT_DRIVEN' ELSE 'AUTONOMOUS' END AS context FROM fx_routes""")
+def context_labels(spark, d):
+    k = F.col("route_id") % 4
+    function = F.when(k == 1, "global").when(k == 2, "f").when(k == 3, "g")
+    return X.routes(spark, d).select("domain", "route_id", O.source_label(F.col("source_name"), F.get("path_nodes", F.lit(0))).alias("label"), O.trigger_context(function, F.col("route_id") % 3 == 0).alias("context"))
+
+
+@query("source_detection", "SELECT p_partkey AS value_id FROM part WHERE p_partkey % 6 IN (1, 3, 5)")
+def source_detection(spark, d):
+    k = F.col("p_partkey")
+    full = F.when(k % 6 == 1, "navigator.userAgent").when(k % 6 == 2, "x.y")
+    values = X.table(spark, d, "part").select(k.alias("value_id"), full.alias("full_name"), F.when(k % 6 == 3, "timeZone").when(k % 6 == 4, "other").alias("prop"), F.when(k % 6 == 5, "atob").alias("callee_prop"))
+    return O.source_instructions(values).select("value_id")
+
+
+@query("sink_detection", """SELECT p_partkey AS value_id, CASE p_partkey % 6 WHEN 0 THEN 'Image().src (Evasion Suspected)' WHEN 1 THEN 'document.cookie' WHEN 2 THEN 'innerHTML' WHEN 3 THEN 'window.open' END AS sink,
+  CASE p_partkey % 6 WHEN 0 THEN 'Network' WHEN 1 THEN 'Storage' WHEN 2 THEN 'XSS' WHEN 3 THEN 'Navigation' END AS type FROM part WHERE p_partkey % 6 < 4""")
+def sink_detection(spark, d):
+    k = F.col("p_partkey") % 6
+    p = X.table(spark, d, "part")
+    stores = p.where((k < 3) | (k == 4)).select(F.col("p_partkey").alias("value_id"), F.when(k == 0, "Image()").when(k == 1, "document").otherwise("e").alias("object_name"), F.when(k == 0, "src").when(k == 1, "cookie").when(k == 2, "innerHTML").otherwise("zzz").alias("prop"))
+    calls = p.where((k == 3) | (k == 5)).select(F.col("p_partkey").alias("value_id"), F.lit("window").alias("object_name"), F.when(k == 3, "open").otherwise("nothing").alias("method"))
+    return O.sink_instructions(stores, calls)
+
+
+@query("global_join", "SELECT p_partkey AS value_id FROM part WHERE p_partkey % 2 = 1 AND p_brand <> 'Brand#1' AND (p_size, p_brand) IN (SELECT (p_size, p_brand) FROM part WHERE p_partkey % 4 = 0)")
+def global_join(spark, d):
+    p = X.table(spark, d, "part")
+    side = lambda c: p.where(c).select(F.col("p_size").alias("module_id"), F.when(F.col("p_brand") == "Brand#1", "window").otherwise(F.col("p_brand")).alias("name"), F.col("p_partkey").alias("value_id"))
+    return O.tainted_globals(side("p_partkey % 4 = 0").select("module_id", "name"), side("p_partkey % 2 = 1")).select("value_id")
+
+
+@query("property_backtrack", """WITH s AS (SELECT p_partkey % 40 AS b, p_partkey AS pos, p_partkey % 7 AS o, p_partkey % 5 AS q, p_brand AS v FROM part WHERE p_partkey % 3 = 0), l AS (SELECT p_partkey AS id, p_partkey % 40 AS b, p_partkey % 11 AS q, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS lit FROM part WHERE p_partkey % 3 = 1)
+  SELECT id AS load_id, coalesce(any_value(lit), arg_max(v, pos) FILTER (WHERE lit IS NULL), 'DynamicProperty') AS name FROM l LEFT JOIN s ON l.b = s.b AND (s.o = l.q OR s.q = l.q) GROUP BY id""")
+def property_backtrack(spark, d):
+    k, p = F.col("p_partkey"), X.table(spark, d, "part")
+    loads = p.where(k % 3 == 1).select(k.alias("load_id"), (k % 40).alias("block_id"), F.when(k % 5 == 0, F.col("p_type")).alias("literal"), (k % 11).alias("prop_id"))
+    stores = p.where(k % 3 == 0).select((k % 40).alias("block_id"), k.alias("pos"), (k % 7).alias("object_id"), (k % 5).alias("prop_id"), F.col("p_brand").alias("stored"))
+    return O.backtracked_property(loads, stores)
+
+
+@query("object_names", "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Unknown' WHEN 1 THEN p_brand WHEN 2 THEN p_brand || '()' WHEN 3 THEN 'AnonymousFunction()' WHEN 4 THEN 'UnknownSource' ELSE 'PhiInst' END AS name FROM part")
+def object_names(spark, d):
+    k, b = F.col("p_partkey") % 6, F.col("p_brand")
+    kind = F.when(k == 1, "LoadPropertyInst").when((k == 2) | (k == 3), "CallInst").when(k == 4, "").when(k == 5, "PhiInst")
+    return X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), O.object_name(kind, F.when(k == 1, b), F.lit(None).cast("string"), F.when(k == 2, b)).alias("name"))

@@ -38,11 +38,10 @@ ok AS (SELECT *, CASE WHEN tracker_class = 'Mixed Tracker - Known' THEN 'known'
   WHEN starts_with(tracker_class, 'R3 Only') THEN 'r3_only' WHEN starts_with(tracker_class, 'Tracker Only') THEN 'tracker_only' END AS route_class
   FROM lab WHERE tracker_class IS NOT NULL AND NOT starts_with(tracker_class, 'Routes:')),
 mix AS (SELECT *, len(list_distinct(regexp_extract_all(threat_type, '\\(Rule (\\d)\\)', 1) || CASE WHEN contains(threat_type, 'Fingerprinting_Leak') THEN ['5'] ELSE [] END)) AS rules,
-  CASE WHEN contains(sink, 'Evasion Suspected') THEN 'dom' WHEN contains(sink, 'cookie') THEN 'cookie' WHEN contains(sink, 'Storage') THEN 'storage' WHEN contains(sink, 'location') OR contains(sink, 'window.open') THEN 'navigation'
-    WHEN contains(sink, 'sendBeacon') THEN 'beacon' ELSE 'other' END AS sink_family,
-  CASE WHEN starts_with(source, 'screen.') OR starts_with(source, 'navigator.') THEN 'device' WHEN starts_with(source, 'location.') THEN 'location' WHEN source = 'document.cookie' THEN 'cookie' WHEN contains(source, 'Storage') THEN 'storage'
-    WHEN contains(source, 'Date') THEN 'date' WHEN starts_with(source, 'Obfuscated') OR starts_with(source, 'Dynamic') THEN 'obfuscated' WHEN starts_with(source, 'Inferred') OR source = '' THEN 'inferred' ELSE 'other' END AS source_family,
-  contains(party, 'CNAME Cloaked') AS cloaked FROM ok WHERE route_class IN ('known', 'novel'))"""
+  CASE WHEN contains(sink, 'LoadFrameInst') THEN 'dom iframe' WHEN sink = 'createElement().href (Evasion Suspected)' THEN 'dom create' WHEN sink = 'Image().src (Evasion Suspected)' THEN 'dom image' WHEN contains(sink, 'Evasion Suspected') THEN 'dom other'
+    WHEN sink = 'document.cookie' THEN 'cookie' WHEN contains(sink, 'Storage') THEN 'storage' WHEN contains(sink, 'window.open') OR contains(sink, 'location.') THEN 'navigation' WHEN contains(sink, 'sendBeacon') THEN 'beacon' ELSE 'other' END AS sink_family,
+  contains(sink, 'Evasion') AS dom, source IN ('Date', 'Date.now') AS dated, starts_with(party, '3rd-Party') OR starts_with(party, 'Confirmed 3rd') AS third,
+  contains(party, 'CNAME') AS cloaked FROM ok WHERE route_class IN ('known', 'novel'))"""
 
 
 def _rule(n):
@@ -64,33 +63,35 @@ def _pct(n, d):
 
 _EV, _DET = "contains(sink, 'Evasion Suspected')", "contains(threat_type, 'Deterministic')"
 _HID = "contains(threat_type, 'Dynamic Obfuscated')"
+_SEM = "(contains(threat_type, 'Rule 5') OR contains(threat_type, 'Semantic_CrossValidation'))"
+_CERTAIN, _LIKELY = f"({_DET} AND {_SEM})", f"(contains(threat_type, 'Probabilistic') AND {_SEM})"
 
 _SQL = {
     "class_partition": f"""{_L}, h AS (SELECT domain, list(DISTINCT route_class) AS has FROM ok WHERE route_class IS NOT NULL GROUP BY domain)
       SELECT domain, unnest(CASE WHEN list_contains(has, 'known') THEN ['known'] WHEN list_contains(has, 'novel') THEN ['novel'] ELSE has END) AS domain_class FROM h""",
     "routes_per_domain": f"""{_L}, p AS (SELECT domain, count(*) AS n FROM mix GROUP BY domain), t AS (SELECT count(*) AS ad, sum(n) AS ar, floor(median(n))::BIGINT AS median, max(n) AS most FROM p),
-      b AS (SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' WHEN n <= 50 THEN '21-50' ELSE '51+' END AS bin, count(*) AS domains, sum(n)::BIGINT AS routes FROM p GROUP BY 1)
+      b AS (SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 5 THEN '4-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' WHEN n <= 50 THEN '21-50' ELSE '51+' END AS bin, count(*) AS domains, sum(n)::BIGINT AS routes FROM p GROUP BY 1)
       SELECT bin, domains, routes, {_pct('domains', 'ad')} AS domain_pct, {_pct('routes', 'ar')} AS route_pct, median, most FROM b, t""",
     "rule_complexity": f"{_L} SELECT rules, count(*) FILTER (WHERE route_class = 'known') AS known, count(*) FILTER (WHERE route_class = 'novel') AS novel FROM mix GROUP BY rules",
-    "rule_distribution": _counts({"R1": _rule(1), "R2": _rule(2), "R3": _rule(3), "R4": _EV, "R4 hidden": f"{_EV} AND {_HID}", "R4 identified": f"{_EV} AND NOT {_HID}", "R5": _rule(5), "R5 deterministic": _DET,
-      "R5 probabilistic": f"contains(threat_type, 'Probabilistic') AND NOT {_DET}", "R5 fingerprint": "contains(threat_type, 'Fingerprinting_Leak')"}),
+    "rule_distribution": _counts({"R1": _rule(1), "R2": _rule(2), "R3": _rule(3), "R4": _EV, "R4 hidden": f"{_EV} AND {_HID}", "R4 identified": f"{_EV} AND NOT {_HID}", "R5": f"({_CERTAIN} OR {_LIKELY})", "R5 deterministic": _CERTAIN,
+      "R5 probabilistic": f"{_LIKELY} AND NOT {_CERTAIN}", "R5 device": "contains(threat_type, 'Fingerprinting_Leak')"}),
     "trigger_contexts": _grouped("route_class, trigger_context"),
     "sink_distribution": _grouped("sink_family"),
-    "cname_beneficiaries": f"""{_L} SELECT host, count(*) AS routes, count(DISTINCT domain) AS domains FROM (SELECT domain, trim(unnest(string_split(observed_trackers, ' | '))) AS host FROM ok WHERE contains(party, 'CNAME Cloaked')) WHERE host NOT IN ('', 'None') GROUP BY host""",
-    "cname_profile": f"""{_L}, c AS (SELECT domain, count(*) AS routes, count(*) FILTER (WHERE sink_family = 'dom') AS dom, list_distinct(flatten(list(list_filter(string_split(observed_trackers, ' | '), lambda h: h NOT IN ('', 'None'))))) AS hs FROM mix WHERE cloaked GROUP BY domain)
+    "cname_beneficiaries": f"""{_L} SELECT host, count(*) AS routes, count(DISTINCT domain) AS domains FROM (SELECT domain, trim(unnest(string_split(observed_trackers, ' | '))) AS host FROM ok WHERE contains(party, 'CNAME')) WHERE host NOT IN ('', 'None') GROUP BY host""",
+    "cname_profile": f"""{_L}, c AS (SELECT domain, count(*) AS routes, count(*) FILTER (WHERE dom) AS dom, list_distinct(flatten(list(list_filter(string_split(observed_trackers, ' | '), lambda h: h NOT IN ('', 'None'))))) AS hs FROM mix WHERE cloaked GROUP BY domain)
       SELECT domain, routes, dom, len(hs)::INT AS hosts, {_pct('dom', 'routes')} AS dom_pct FROM c""",
-    "cookie_cohorts": f"""{_L}, p AS (SELECT domain, bool_or(sink_family = 'cookie') AS cookie, bool_or(sink_family = 'dom') AS dom, bool_or(contains(source, 'Date')) AS date, bool_or(contains(party, '3rd-Party')) AS f, bool_or(source = 'localStorage.getItem' AND sink_family = 'dom') AS s FROM mix GROUP BY domain)
+    "cookie_cohorts": f"""{_L}, p AS (SELECT domain, bool_or(sink = 'document.cookie') AS cookie, bool_or(dom) AS dom, bool_or(dated) AS date, bool_or(third) AS f, bool_or(source IN ('localStorage.getItem', 'sessionStorage.getItem') AND contains(sink, 'Evasion Suspected')) AS s FROM mix GROUP BY domain)
       SELECT cookie, count(*) AS domains, count(*) FILTER (WHERE dom) AS dom, count(*) FILTER (WHERE date) AS date, count(*) FILTER (WHERE f) AS "foreign", count(*) FILTER (WHERE s) AS stored FROM p GROUP BY cookie""",
-    "source_families": _grouped("source_family"),
-    "source_sink_flows": _grouped("source_family, sink_family"),
+    "source_families": _counts({"location": "starts_with(source, 'location.')", "obfuscated": "source IN ('Obfuscated_Property (LoadPropertyInst)', 'Obfuscated_Call (CallInst)')", "obfuscated in name": "contains(source, 'Obfuscated')", "date": "dated", "cookie read": "source = 'document.cookie'"}),
+    "source_sink_flows": _counts({"obfuscated to iframe": "contains(source, 'Obfuscated') AND contains(sink, 'LoadFrameInst')", "location to iframe": "source = 'location.href' AND contains(sink, 'LoadFrameInst')", "location to createElement": "source = 'location.href' AND contains(sink, 'createElement')", "date to cookie": "dated AND sink = 'document.cookie'"}),
     "obfuscation_axes": f"{_L} SELECT route_class, count(*) AS routes, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}_routes, count(DISTINCT domain) FILTER (WHERE {c}) AS {n}_domains" for n, c in {
-      "dest": "contains(destination, 'DYNAMIC_URL')", "source": "source_family = 'obfuscated'", "dom": "sink_family = 'dom'", "all": "contains(destination, 'DYNAMIC_URL') AND source_family = 'obfuscated' AND sink_family = 'dom'"}.items()) + " FROM mix GROUP BY ROLLUP (route_class)",
-    "party_breakdown": f"""{_L} SELECT party, CASE WHEN starts_with(party, '1st-Party') THEN 'first' WHEN contains(party, '3rd-Party') THEN 'third' WHEN starts_with(party, 'Local') THEN 'local' ELSE 'unknown' END AS family, count(*) AS routes, count(DISTINCT domain) AS domains FROM mix GROUP BY ALL""",
-    "single_rule_domains": f"{_L} SELECT domain, count(*) AS routes FROM mix GROUP BY domain HAVING bool_and(rules = 1)",
+      "dest": "destination = 'DYNAMIC_URL'", "source": "contains(source, 'Obfuscated')", "dom": "dom", "all": "destination = 'DYNAMIC_URL' AND contains(source, 'Obfuscated') AND dom"}.items()) + " FROM mix GROUP BY ROLLUP (route_class)",
+    "party_breakdown": f"""{_L} SELECT party, CASE WHEN third THEN 'third' WHEN starts_with(party, '1st-Party') THEN 'first' WHEN starts_with(party, 'Local') THEN 'local' ELSE 'unknown' END AS family, count(*) AS routes, count(DISTINCT domain) AS domains FROM mix GROUP BY ALL""",
+    "single_rule_domains": f"{_L} SELECT domain, count(*) AS routes FROM mix WHERE route_class = 'novel' GROUP BY domain HAVING bool_and(rules = 1)",
     "score_histogram": f"{_L}, p AS (SELECT domain, max(confidence) AS score, bool_or(route_class = 'known') AS k FROM mix GROUP BY domain) SELECT score, count(*) FILTER (WHERE k) AS known, count(*) FILTER (WHERE NOT k) AS novel FROM p GROUP BY score",
-    "score_averages": f"""{_L} SELECT sum(confidence)::BIGINT AS total, count(*) AS routes, (sum(confidence) FILTER (WHERE cloaked AND sink_family = 'dom'))::BIGINT AS cloaked_total, count(*) FILTER (WHERE cloaked AND sink_family = 'dom') AS cloaked_routes,
-      count(*) FILTER (WHERE confidence = 5) AS top_routes, avg(confidence) AS average FROM mix""",
-    "rule_combos": _counts({"R3+R4+R5": f"{_rule(3)} AND {_EV} AND {_rule(5)}", "R3+R4+R5 deterministic": f"{_rule(3)} AND {_EV} AND {_rule(5)} AND {_DET}", "R3 only": f"{_rule(3)} AND rules = 1"}),
+    "score_averages": f"""{_L} SELECT sum(confidence)::BIGINT AS total, count(*) AS routes, (sum(confidence) FILTER (WHERE cloaked AND dom))::BIGINT AS cloaked_total, count(*) FILTER (WHERE cloaked AND dom) AS cloaked_routes,
+      count(*) FILTER (WHERE confidence >= 5) AS top_routes, avg(confidence) AS average FROM mix""",
+    "rule_combos": _counts({"R3+R4+R5": f"{_rule(3)} AND {_EV} AND ({_CERTAIN} OR {_LIKELY})", "R3+R4+R5 deterministic": f"{_rule(3)} AND {_EV} AND {_DET}", "R3+R4+R5 deterministic, cloaked": f"{_rule(3)} AND {_EV} AND {_DET} AND cloaked"}),
 }
 
 
@@ -112,10 +113,10 @@ def expected_check(spark, d):
     return O.check_table(by(m), by(m.where(O.rule_count() > 0)))
 
 
-_MESSAGES = ("SUCCESS", "SUCCESS (fallback)", "FAILED (TIMEOUT: 300s)", "FAILED (No taint path found -- clean exit)", "FAILED (parse error)", "FAILED (exit -11)")
+_MESSAGES = ("SUCCESS", "SUCCESS (fallback)", "TIMEOUT (>300s)", "FAILED (No taint path found -- clean exit)", "PARSE ERROR -> x", "ENGINE CRASH (exit=-11) -> x")
 
 
 @query("pipeline_outcomes", f"""WITH m AS (SELECT {X._sql_pick(_MESSAGES, 'page_id % 6')} AS message FROM pages)
-  SELECT CASE WHEN contains(message, 'SUCCESS') THEN 'SUCCESS' WHEN contains(message, 'TIMEOUT') THEN 'TIMEOUT' WHEN contains(message, 'No taint') THEN 'NO_TAINT' WHEN contains(message, 'parse') THEN 'PARSE_ERROR' ELSE 'ENGINE_CRASH' END AS status, count(*) AS n FROM m GROUP BY 1""")
+  SELECT CASE WHEN contains(message, 'SUCCESS') THEN 'SUCCESS' WHEN contains(message, 'TIMEOUT') THEN 'TIMEOUT' WHEN contains(message, 'No taint path') THEN 'NO_TAINT' WHEN contains(message, 'PARSE ERROR') THEN 'PARSE_ERROR' ELSE 'ENGINE_CRASH' END AS status, count(*) AS n FROM m GROUP BY 1""")
 def pipeline_outcomes(spark, d):
     return O.pipeline_outcomes(X.pages(spark, d).select(X._pick(_MESSAGES, F.col("page_id") % 6).alias("message")))

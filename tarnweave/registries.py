@@ -92,3 +92,27 @@ SINKS = (
 )
 
 ENCODING_CALLS = ("atob", "btoa", "decodeURIComponent", "unescape", "decodeURI")
+
+#: Properties that are sources whatever object they are read from.
+FINGERPRINT_PROPERTIES = (
+    "userAgent", "platform", "deviceMemory", "hardwareConcurrency", "language", "languages", "connection", "plugins",
+    "doNotTrack", "toDataURL", "AudioContext", "timeZone",
+)
+
+#: Names under which a global never carries taint.
+IGNORED_GLOBALS = (
+    "exports", "module", "window", "self", "global", "document", "console", "process", "now", "date", "time", "expires",
+    "path", "domain", "secure", "undefined", "null", "true", "false", "prototype", "length", "width", "height",
+)
+
+#: Method names that link no call to a function.
+COMMON_METHODS = (
+    "add", "get", "set", "push", "pop", "call", "apply", "bind", "toString", "hasOwnProperty",
+    "slice", "splice", "map", "filter", "forEach", "length", "qb", "sb", "Fh", "Wd",
+)
+
+#: Sink type, severity, category.
+SEVERITIES = (
+    ("Network", "[CRITICAL]", "Data Exfiltration (Tracking)"), ("Storage", "[WARNING]", "Fingerprinting / Storage"),
+    ("Code Injection", "[HIGH]", "Code Injection"), ("XSS", "[MEDIUM]", "DOM Manipulation (XSS)"), ("Navigation", "[LOW]", "Page Navigation"),
+)
