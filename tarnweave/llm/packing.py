@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, checkpoint
 from .mixing import word_count
 
 MAX_LENGTH, BUCKETS, TOKEN_BUDGET, GROUP_ROWS = 2048, 16, 16_384, 50_000
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max
     """A row for each sequence: id_col, chunk, first_word, length, bucket (its upper end), batch,
     slot, padding (and text, on request). A batch holds bucket * sequences <= token_budget, or
     one sequence where the budget is less than the bucket."""
-    plain = sequences_of(docs, id_col, text_col, max_length)
+    plain = checkpoint(sequences_of(docs, id_col, text_col, max_length))
     histogram = length_histogram(plain)
     ends = optimal_boundaries(histogram, buckets)
     if not ends:
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max
     per_bucket = [sum(n for x, n in histogram.items() if (ends[i - 1] if i else 0) < x <= e) for i, e in enumerate(ends)]
     groups = F.array(*[F.lit(max(1, -(-n // group_rows))) for n in per_bucket])
     capacity = F.array(*[F.lit(max(1, token_budget // e)) for e in ends])
-    rows = sequences_of(docs, id_col, text_col, max_length, words=with_text)
+    rows = sequences_of(docs, id_col, text_col, max_length, words=True) if with_text else plain
     rows = rows.withColumn("__tw_b", (F.size(F.filter(bounds, lambda e: e < F.col("length"))) + 1).cast("int"))
     rows = rows.withColumn("__tw_h", F.xxhash64("doc_id", "chunk")).withColumn("__tw_g", F.pmod(F.col("__tw_h"), F.element_at(groups, F.col("__tw_b"))))
     order = Window.partitionBy("__tw_b", "__tw_g").orderBy("__tw_h", "doc_id", "chunk", "length")
