@@ -3,8 +3,8 @@
 Documents are cut into sequences of at most `max_length` words (nothing is dropped). Over the
 global histogram of sequence lengths, which has at most max_length entries, dynamic programming
 chooses the bucket boundaries with the least padding. Inside each bucket, sequences form batches
-of floor(token_budget / boundary) sequences. A bucket is dealt into groups of about `group_rows`
-sequences by a hash of the id, so that no bucket, however hot, is numbered in one task; each
+of floor(token_budget / boundary) sequences. A bucket is dealt into groups of about `group_words`
+words by a hash of id and text, so that no bucket, however hot, is numbered in one task; each
 group has one batch that is not full at most.
 
 Edge cases: documents without words (also null texts) give no sequence; rows that repeat an id
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, checkpoint
 from .mixing import word_count
 
-MAX_LENGTH, BUCKETS, TOKEN_BUDGET, GROUP_ROWS = 2048, 16, 16_384, 50_000
+MAX_LENGTH, BUCKETS, TOKEN_BUDGET, GROUP_WORDS = 2048, 16, 16_384, 4_000_000
 
 
 def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -73,7 +73,8 @@ def length_histogram(sequences: DataFrame) -> dict[int, int]:
 
 
 def sequences_of(docs: DataFrame, id_col: str, text_col: str, max_length: int, *, words: bool = False) -> DataFrame:
-    """A row for each sequence: doc_id, chunk, first_word, length (and words, on request)."""
+    """A row for each sequence: doc_id, chunk, first_word, length, salt (a hash of the text; and
+    text, on request)."""
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("__tw_text"))
     if words:
         out = out.withColumn("__tw_words", F.filter(F.split(F.coalesce("__tw_text", F.lit("")), SPACE), lambda w: w != ""))
@@ -81,13 +82,13 @@ def sequences_of(docs: DataFrame, id_col: str, text_col: str, max_length: int, *
     else:
         out = out.withColumn("__tw_n", word_count(F.col("__tw_text")))
     out = out.where("__tw_n > 0").withColumn("first_word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tw_n") - 1, F.lit(max_length).cast("long"))))
-    cols = ["doc_id", (F.col("first_word") / max_length).cast("int").alias("chunk"), "first_word", F.least(F.col("__tw_n") - F.col("first_word"), F.lit(max_length)).cast("int").alias("length")]
+    cols = ["doc_id", (F.col("first_word") / max_length).cast("int").alias("chunk"), "first_word", F.least(F.col("__tw_n") - F.col("first_word"), F.lit(max_length)).cast("int").alias("length"), F.xxhash64("__tw_text").alias("salt")]
     if words:
         cols.append(F.array_join(F.slice("__tw_words", (F.col("first_word") + 1).cast("int"), max_length), " ").alias("text"))
     return out.select(*cols)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, group_rows: int = GROUP_ROWS, with_text: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, group_words: int = GROUP_WORDS, with_text: bool = False) -> DataFrame:
     """A row for each sequence: id_col, chunk, first_word, length, bucket (its upper end), batch,
     slot, padding (and text, on request). A batch holds bucket * sequences <= token_budget, or
     one sequence where the budget is less than the bucket."""
@@ -98,11 +99,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max
         ends = [max_length]
     bounds = F.array(*[F.lit(e) for e in ends])
     per_bucket = [sum(n for x, n in histogram.items() if (ends[i - 1] if i else 0) < x <= e) for i, e in enumerate(ends)]
-    groups = F.array(*[F.lit(max(1, -(-n // group_rows))) for n in per_bucket])
+    groups = F.array(*[F.lit(max(1, -(-n * e // group_words))) for n, e in zip(per_bucket, ends)])
     capacity = F.array(*[F.lit(max(1, token_budget // e)) for e in ends])
     rows = sequences_of(docs, id_col, text_col, max_length, words=True) if with_text else plain
     rows = rows.withColumn("__tw_b", (F.size(F.filter(bounds, lambda e: e < F.col("length"))) + 1).cast("int"))
-    rows = rows.withColumn("__tw_h", F.xxhash64("doc_id", "chunk")).withColumn("__tw_g", F.pmod(F.col("__tw_h"), F.element_at(groups, F.col("__tw_b"))))
+    rows = rows.withColumn("__tw_h", F.xxhash64("doc_id", "chunk", "salt")).withColumn("__tw_g", F.pmod(F.col("__tw_h"), F.element_at(groups, F.col("__tw_b"))))
     order = Window.partitionBy("__tw_b", "__tw_g").orderBy("__tw_h", "doc_id", "chunk", "length")
     rows = rows.withColumn("__tw_r", F.row_number().over(order) - 1).withColumn("bucket", F.element_at(bounds, F.col("__tw_b")))
     cap = F.element_at(capacity, F.col("__tw_b"))
