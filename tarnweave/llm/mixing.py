@@ -145,13 +145,13 @@ def _fly(seed: int, last: bool):
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=WEIGHTS, total_share: float = 1.5, max_repeats: float = 2.0, block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
     """A row for each row of docs: id_col, source, size, source_size, target, copies, taken (words)."""
-    base = checkpoint(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")))
+    base = checkpoint(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("salt")))
     targets = checkpoint(source_targets(base, weights=weights, total_share=total_share, max_repeats=max_repeats))
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = base.join(targets.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src")))
     rows = rows.withColumn("whole", F.floor(due + F.lit(_EPS)).cast("int")).withColumn("p", due - F.col("whole"))
-    rows = rows.withColumn("ord", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    rows = rows.withColumn("ord", F.xxhash64(F.lit(seed), "doc_id", "size", "salt"))
     still = (F.col("size") == 0) | (F.col("p") <= _EPS)
     state = rows.select(
         "src_no", F.pmod(F.col("ord"), F.greatest(F.ceil(F.col("n_docs") / block_rows), F.lit(1))).alias("block"), "ord", "doc_id", "size",
