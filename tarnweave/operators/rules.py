@@ -88,77 +88,115 @@ def evasion(routes: DataFrame) -> DataFrame:
     return routes.withColumn("label", evasion_label()).where("label is not null")
 
 
+def _quiet() -> Column:
+    return (F.size("path_nodes") > 0) & ~F.arrays_overlap("path_nodes", F.array(*map(F.lit, R.UI_NODES)))
+
+
+def _device() -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith("source_name", F.lit(p)) for p in R.FINGERPRINT_PREFIXES])
+
+
+def _render() -> Column:
+    return U.any_of(F.col("sink_name"), R.RENDER_SINKS) | (F.col("sink_type") == "Render")
+
+
+def _named_source() -> Column:
+    return F.when(F.coalesce("source_name", F.lit("")) == "", "[Dynamic_Source]").otherwise(F.col("source_name"))
+
+
 def isolated(routes: DataFrame) -> DataFrame:
     """Rule 1, before rows that rule 4 names already are taken out."""
-    quiet = (F.size("path_nodes") > 0) & ~F.arrays_overlap("path_nodes", F.array(*map(F.lit, R.UI_NODES)))
-    return routes.where(_exfil() & quiet).withColumn("label", F.lit(R.R1))
+    return routes.where(_exfil() & _quiet()).withColumn("label", F.lit(R.R1))
 
 
 def isolated_only(routes: DataFrame) -> DataFrame:
-    seen = evasion(routes).select("domain", "source_name", "sink_name", "destination_url").distinct()
-    return isolated(routes).join(seen, ["domain", "source_name", "sink_name", "destination_url"], "left_anti")
+    """Rule 1 without routes whose domain, source, sink and destination rule 4 names. Rule 4 reads
+    no more than these of an exfiltrating route, so a route can tell by itself."""
+    return isolated(routes).where(evasion_label().isNull())
+
+
+def _shared_sources(routes: DataFrame) -> DataFrame:
+    """domain, __source of sources that feed a rendering and an exfiltrating sink."""
+    facts = routes.groupBy("domain", _named_source().alias("__source")).agg(F.max(_render()).alias("r"), F.max(_exfil()).alias("n"))
+    return facts.where("r and n").select("domain", "__source")
 
 
 def parasitic(routes: DataFrame) -> DataFrame:
     """Rule 2: a source that feeds both a rendering and an exfiltrating sink of its domain."""
-    render = U.any_of(F.col("sink_name"), R.RENDER_SINKS) | (F.col("sink_type") == "Render")
-    source = F.when(F.coalesce("source_name", F.lit("")) == "", "[Dynamic_Source]").otherwise(F.col("source_name"))
-    rows = routes.withColumn("__source", source)
-    both = rows.groupBy("domain", "__source").agg(F.max(render).alias("r"), F.max(_exfil()).alias("n")).where("r and n").select("domain", "__source")
-    return rows.where(_exfil()).join(both, ["domain", "__source"], "left_semi").drop("__source").withColumn("label", F.lit(R.R2))
+    rows = routes.where(_exfil()).withColumn("__source", _named_source())
+    return rows.join(_shared_sources(routes), ["domain", "__source"], "left_semi").drop("__source").withColumn("label", F.lit(R.R2))
 
 
-def dual_context(routes: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
-    """Rule 3: self-starting routes of domains that also have event-driven code. handlers:
-    domain, event_driven_functions."""
+def _mixed_domains(routes: DataFrame, handlers: DataFrame | None) -> DataFrame:
     facts = routes.groupBy("domain").agg(F.max(F.col("trigger_context") == "EVENT_DRIVEN").alias("event"), F.max(F.col("trigger_context") == "AUTONOMOUS").alias("auto"))
     if handlers is not None:
         facts = facts.join(handlers, "domain", "left").withColumn("event", F.col("event") | (F.coalesce("event_driven_functions", F.lit(0)) > 0))
-    mixed = facts.where("event and auto").select("domain")
-    hit = (F.col("trigger_context") == "AUTONOMOUS") & (_exfil() | (F.col("sink_type") == "Storage"))
-    return routes.where(hit).join(mixed, "domain", "left_semi").withColumn("label", F.lit(R.R3))
+    return facts.where("event and auto").select("domain")
+
+
+def _self_starting() -> Column:
+    return (F.col("trigger_context") == "AUTONOMOUS") & (_exfil() | (F.col("sink_type") == "Storage"))
+
+
+def dual_context(routes: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
+    """Rule 3: self-starting routes of domains that also have event-driven code. handlers:
+    domain, event_driven_functions."""
+    return routes.where(_self_starting()).join(_mixed_domains(routes, handlers), "domain", "left_semi").withColumn("label", F.lit(R.R3))
+
+
+def _semantic_label(has_tracker: Column) -> Column:
+    dest = F.col("destination_url")
+    open_ = _exfil() & ~_device() & ~(U.is_first_party(F.col("domain"), dest) & U.has_whitelist(dest)) & U.any_of(F.col("source_name"), R.SENSITIVE_SOURCES)
+    return F.when(open_, F.when(U.has_tracker(dest), R.R5_CERTAIN).when(U.is_unresolved(dest) & F.coalesce(has_tracker, F.lit(False)), R.R5_LIKELY))
 
 
 def semantic(routes: DataFrame, trackers: DataFrame) -> DataFrame:
     """Rule 5, destinations: trackers: domain, has_tracker."""
-    dest = F.col("destination_url")
-    device = reduce(lambda a, b: a | b, [F.startswith("source_name", F.lit(p)) for p in R.FINGERPRINT_PREFIXES])
-    rows = routes.where(_exfil() & ~device & ~(U.is_first_party(F.col("domain"), dest) & U.has_whitelist(dest)))
-    rows = rows.where(U.any_of(F.col("source_name"), R.SENSITIVE_SOURCES))
-    rows = rows.join(trackers.select("domain", "has_tracker"), "domain", "left")
-    label = F.when(U.has_tracker(dest), R.R5_CERTAIN).when(U.is_unresolved(dest) & F.coalesce("has_tracker", F.lit(False)), R.R5_LIKELY)
-    return rows.withColumn("label", label).where("label is not null").drop("has_tracker")
+    rows = routes.join(trackers.select("domain", "has_tracker"), "domain", "left")
+    return rows.withColumn("label", _semantic_label(F.col("has_tracker"))).where("label is not null").drop("has_tracker")
+
+
+def _leak() -> Column:
+    return _exfil() & _device() & ~U.is_first_party(F.col("domain"), F.col("destination_url"))
 
 
 def fingerprinting(routes: DataFrame) -> DataFrame:
     """Rule 5, device attributes that leave the first party."""
-    device = reduce(lambda a, b: a | b, [F.startswith("source_name", F.lit(p)) for p in R.FINGERPRINT_PREFIXES])
-    return routes.where(_exfil() & device & ~U.is_first_party(F.col("domain"), F.col("destination_url"))).withColumn("label", F.lit(R.R5_FINGERPRINT))
+    return routes.where(_leak()).withColumn("label", F.lit(R.R5_FINGERPRINT))
 
 
 def threats(routes: DataFrame, netlog: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
     """All threat rows of rewritten routes: domain, seq, label, trigger_context, source, sink,
-    destination, observed_trackers, party. seq orders the rows of a domain."""
+    destination, observed_trackers, party. seq orders the rows of a domain.
+
+    The facts of domains and of their sources are joined once; each route then names all its
+    labels in one pass.
+    """
     found = tracker_domains(netlog)
-    plain = U.party(F.col("domain"), F.col("destination_url"), F.col("sink_type"))
-    certain = F.col("label") == R.R5_CERTAIN
-    groups = [
-        (evasion(routes), plain),
-        (isolated_only(routes), F.lit("Unknown (WCC Isolated)")),
-        (parasitic(routes), F.lit("3rd-Party (Parasitic)")),
-        (dual_context(routes, handlers), plain),
-        (semantic(routes, found), F.when(certain, "Confirmed 3rd-Party Tracker (Semantic)").otherwise("3rd-Party (Domain-level Evidence)")),
-        (fingerprinting(routes), F.lit("3rd-Party/Unknown")),
-    ]
-    parts = []
-    for n, (rows, party) in enumerate(groups):
-        parts.append(rows.select(
-            "domain", F.struct(F.lit(n).alias("rule_group"), F.col("route_id")).alias("seq"), "label", "trigger_context",
-            F.when(F.coalesce("source_name", F.lit("")) == "", "Unknown").otherwise(F.col("source_name")).alias("source"),
-            F.col("sink_name").alias("sink"), F.coalesce("destination_url", F.lit(R.DYNAMIC)).alias("destination"), party.alias("party"),
-        ))
-    rows = reduce(DataFrame.unionByName, parts).join(found.select("domain", "observed_trackers"), "domain", "left")
-    return rows.withColumn("observed_trackers", F.when(F.coalesce("observed_trackers", F.lit("")) == "", "None").otherwise(F.col("observed_trackers")))
+    rows = routes.withColumn("__source", _named_source())
+    rows = rows.join(_shared_sources(routes).withColumn("__shared", F.lit(True)), ["domain", "__source"], "left")
+    rows = rows.join(_mixed_domains(routes, handlers).withColumn("__mixed", F.lit(True)), "domain", "left").join(found, "domain", "left")
+    rows = rows.withColumns({"__r4": evasion_label(), "__r5": _semantic_label(F.col("has_tracker")), "__party": U.party(F.col("domain"), F.col("destination_url"), F.col("sink_type"))})
+
+    def item(group: int, test: Column, label: Column, party: Column) -> Column:
+        return F.when(test, F.struct(F.lit(group).alias("rule_group"), label.alias("label"), party.alias("party")))
+
+    plain, r4, r5 = F.col("__party"), F.col("__r4"), F.col("__r5")
+    items = F.array(
+        item(0, r4.isNotNull(), r4, plain),
+        item(1, _exfil() & _quiet() & r4.isNull(), F.lit(R.R1), F.lit("Unknown (WCC Isolated)")),
+        item(2, _exfil() & F.col("__shared"), F.lit(R.R2), F.lit("3rd-Party (Parasitic)")),
+        item(3, _self_starting() & F.col("__mixed"), F.lit(R.R3), plain),
+        item(4, r5.isNotNull(), r5, F.when(r5 == R.R5_CERTAIN, "Confirmed 3rd-Party Tracker (Semantic)").otherwise("3rd-Party (Domain-level Evidence)")),
+        item(5, _leak(), F.lit(R.R5_FINGERPRINT), F.lit("3rd-Party/Unknown")),
+    )
+    rows = rows.withColumn("x", F.explode(F.array_compact(items)))
+    return rows.select(
+        "domain", F.struct(F.col("x.rule_group"), F.col("route_id")).alias("seq"), "x.label", "trigger_context",
+        F.when(F.coalesce("source_name", F.lit("")) == "", "Unknown").otherwise(F.col("source_name")).alias("source"),
+        F.col("sink_name").alias("sink"), F.coalesce("destination_url", F.lit(R.DYNAMIC)).alias("destination"),
+        F.when(F.coalesce("observed_trackers", F.lit("")) == "", "None").otherwise(F.col("observed_trackers")).alias("observed_trackers"), F.col("x.party").alias("party"),
+    )
 
 
 def merge_threats(rows: DataFrame) -> DataFrame:
