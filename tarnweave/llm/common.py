@@ -73,6 +73,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session hands at most `rows` rows at a time to Python workers: whole texts
+    are long, and both sides hold a batch. The plan reads this when it runs, so it stays set."""
+    now = int(spark.conf.get(_BATCH, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
 def release_memory() -> None:
     """Hand back to the system what a Python worker has freed; idle workers keep it otherwise."""
     import pyarrow as pa

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import release_memory
+from .common import release_memory, small_batches
 
 P, DECAY, FLOOR = 3, 0.7, 0.66
 LANDMARKS, CONTRASTS = 24, 8
@@ -45,7 +45,7 @@ START = "^"
 #: Longer words are read in pieces of this many letters that overlap by half.
 PIECE = 24
 #: Documents scored at once, and words remembered meanwhile.
-BATCH_DOCS, CACHE_WORDS = 512, 120_000
+BATCH_DOCS, CACHE_WORDS = 500, 120_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…–—"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
@@ -120,8 +120,8 @@ class Landmarks:
             for z in range(len(self.words)):
                 near[:, z] = np.bitwise_count(masks & self.masks[z]) >= self.need[z]
             rows, cols = np.nonzero(near)
-            for i in range(0, len(rows), 8192):
-                r, c = rows[i : i + 8192], cols[i : i + 8192]
+            for i in range(0, len(rows), 4096):
+                r, c = rows[i : i + 4096], cols[i : i + 4096]
                 k = np.minimum(subsequence_kernel(codes[r], self.codes[c]) / self.norms[c], 1.0)
                 out[at[r], c] = np.where(k >= FLOOR, k, 0.0)
         return out
@@ -346,6 +346,7 @@ def score(docs: DataFrame, machine: Machine | float, text_col: str = "text") ->
     """A row for each row of docs: __tw_row, a struct of all its columns, and __tw_score."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__tw_row"))
     place = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         scorer = Scorer(Landmarks(machine.landmarks)) if isinstance(machine, Machine) else None
