@@ -29,7 +29,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, checkpoint
@@ -67,16 +67,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id_col as doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+def _digest(text: Column) -> Column:
+    return F.coalesce(F.sha2(text, 256), F.lit("null"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, *, digest: bool = False) -> DataFrame:
+    """id_col as doc_id, fp (the fingerprint's 64 bits as a signed long), and on request digest
+    (of the text)."""
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    text = F.col(f"`{text_col}`").cast("string")
+    more = ["digest"] if digest else []
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *[_digest(text).alias(c) for c in more])
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + "".join(f", {c} string" for c in more))
 
 
 def signatures(n: int, occupancy: int = 64) -> list[int]:
@@ -189,25 +196,38 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _members(reps: DataFrame, bucket_rows: int) -> DataFrame:
+    """reps: a row for each fp. reps with root, the smallest fp of its component."""
+    roots = components(fingerprint_links(reps.select("fp"), bucket_rows=bucket_rows))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
+    return reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each row of docs: id_col, fingerprint (16 hex digits), component_id (the
     smallest id reachable over links)."""
     rows = checkpoint(fingerprints(docs, id_col, text_col))
     reps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(fingerprint_links(reps.select("fp"), bucket_rows=bucket_rows))
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
-    members = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    members = _members(reps, bucket_rows)
     ids = members.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = checkpoint(members.join(ids, "root").select("fp", "component_id"))
     return rows.join(labels, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group, that with the smallest id; all columns stay.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """docs with exactly one row of each group; all columns stay.
 
-    A row with a null id goes if its group has a row with an id, and stays if not.
+    That with the smallest id stays, of repeated ids that with the least digest of its text; a
+    row with a null id only if no row of the group has an id. Rows are told apart by id and text.
     """
-    groups = near_groups(docs, id_col, text_col, **options)
-    gone = groups.where(~F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("__tw_key")).distinct()
-    rows = docs.withColumn("__tw_key", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))
-    return rows.join(gone, "__tw_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    rows = checkpoint(fingerprints(docs, id_col, text_col, digest=True))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    reps = checkpoint(rows.groupBy("fp").agg(F.min(order).alias("rep")))
+    kept = _members(reps, bucket_rows).groupBy("root").agg(F.min("rep").alias("rep"))
+
+    def key(digest: Column, doc_id: Column) -> Column:
+        return F.concat_ws("|", digest, doc_id.cast("string"))  # a null id adds nothing
+
+    kept = kept.select(key(F.col("rep.digest"), F.col("rep.doc_id")).alias("__tw_key"))
+    docs_ = docs.withColumn("__tw_key", key(_digest(F.col(f"`{text_col}`").cast("string")), F.col(f"`{id_col}`")))
+    return docs_.join(kept, "__tw_key", "left_semi").dropDuplicates(["__tw_key"]).select(*[f"`{c}`" for c in docs.columns])

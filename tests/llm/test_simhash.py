@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 
 from tarnweave.llm.simhash import _links, drop_near_copies, fingerprint, fingerprint_links, near_groups, signatures
 
-from .data import documents, odd_rows
+from .data import documents, odd_rows, prose
 
 
 def roots(fps):
@@ -98,3 +99,16 @@ def test_groups_of_odd_rows(spark):
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in out.collect() if r["doc_id"] is not None} == {r["component_id"] for r in got if r["component_id"] is not None}
     assert near_groups(documents(spark, [])).count() == 0
+
+
+def test_exactly_one_row_of_each_group_stays(spark):
+    """Also where ids are null or repeated: (a) lone null ids, (b) an id in two groups, (c) copies that share an id."""
+    rows = odd_rows() + [(2, prose(40, 80), "a"), (30, prose(41, 80), "a"), (30, prose(41, 80).upper(), "b"), (None, prose(42, 80), "a"), (None, prose(42, 80).upper(), "b")]
+    comp = roots({fingerprint(t) for _, t, _ in rows})
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(comp[fingerprint(t)], []).append((i is None, i or 0, "null" if t is None else hashlib.sha256(t.encode()).hexdigest(), i, t))
+    want = [min(v)[3:] for v in groups.values()]
+    got = [(r["doc_id"], r["text"]) for r in drop_near_copies(documents(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert (None, "no id here") in got and (2, prose(40, 80)) in got and sum(i == 30 for i, _ in got) == 1
