@@ -2,12 +2,13 @@
 
 Fixpoints run as breadth-first levels: the frontier is joined to the edges, nodes that were
 reached before are taken out by an anti join, and each level is stored by checkpoint() in the
-shared folder, so lineage stays short and lost executors are no matter. A level cap ends cyclic
-graphs for certain.
+shared folder, so lineage stays short and lost executors are no matter. The anti join ends cyclic
+graphs; without a level cap, fixpoints run until the frontier is empty.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,14 +67,18 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return body.select("domain", F.concat(F.lit("digraph G {\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n}")).alias("text"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int, with_path: bool = False) -> DataFrame:
+def _levels(max_depth: int | None):
+    return itertools.count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, with_path: bool = False) -> DataFrame:
     """edges: src, dst. seeds: node. node, depth (fewest edges), and path, on request: of the
-    shortest ones the least. At most max_depth levels."""
+    shortest ones the least. At most max_depth levels, or all of them."""
     links = edges.select("src", "dst").distinct()
     path = [F.array("node").alias("path")] if with_path else []
     found = checkpoint(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), *path))
     frontier = found
-    for depth in range(1, max_depth + 1):
+    for depth in _levels(max_depth):
         cols = [F.min(F.array_append("path", F.col("dst"))).alias("path")] if with_path else []
         step = frontier.join(links, frontier["node"] == links["src"])
         step = step.groupBy(F.col("dst")).agg(*cols) if with_path else step.select("dst").distinct()
@@ -100,7 +105,7 @@ def program_edges(uses: DataFrame, stores: DataFrame, loads: DataFrame, frame_st
     return use.unionByName(by_prop).unionByName(by_frame).unionByName(passed).where("src <> dst").distinct()
 
 
-def taint_routes(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, max_depth: int = 40) -> DataFrame:
+def taint_routes(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """source, sink, path: the shortest path of each pair, the least of several. sources, sinks: node.
 
     A path never visits a value twice, and ends at the sink.
@@ -108,7 +113,7 @@ def taint_routes(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, max_
     links = edges.select("src", "dst").distinct()
     frontier = checkpoint(sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path")).distinct())
     found = frontier
-    for _ in range(max_depth):
+    for _ in _levels(max_depth):
         step = frontier.join(links, frontier["node"] == links["src"]).where(~F.array_contains("path", F.col("dst")))
         step = step.groupBy("source", F.col("dst")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path")).withColumnRenamed("dst", "node")
         frontier = checkpoint(step.join(found.select("source", "node"), ["source", "node"], "left_anti"))

@@ -27,6 +27,23 @@ def test_taint_moves_through_properties_frames_and_calls(spark):
     assert [(r["source"], r["sink"], r["path"]) for r in got] == [(1, 5, [1, 2, 3, 4, 5])]
 
 
+def test_fixpoints_run_until_nothing_is_new(spark):
+    """All pairs of sources and sinks, more than 40 levels away, on a cycle; by brute force."""
+    pairs = [(i, i + 1) for i in range(45)] + [(45, 0), (3, 60)]
+    e, seeds = edges(spark, pairs).coalesce(1), (0, 20)
+    depth = {s: {s: 0} for s in seeds}
+    for s, seen in depth.items():
+        todo = [s]
+        for x in todo:
+            for y in (b for a, b in pairs if a == x and b not in seen):
+                seen[y] = seen[x] + 1
+                todo.append(y)
+    everything = nodes(spark, *range(61))
+    got = {(r["source"], r["sink"]): len(r["path"]) - 1 for r in G.taint_routes(e, nodes(spark, *seeds), everything).collect()}
+    assert got == {(s, x): n for s, seen in depth.items() for x, n in seen.items() if x != s} and max(got.values()) == 45
+    assert {r["node"]: r["depth"] for r in G.reach(edges(spark, pairs[:12]), nodes(spark, 0)).collect()} == {i: i for i in range(13)}
+
+
 def test_call_links_take_the_first_function(spark):
     calls = spark.createDataFrame([(1, "send"), (2, "push"), (3, "ab"), (4, "global")], "call_id long, prop string")
     funcs = spark.createDataFrame([(10, "send", 2), (11, "send", 1), (12, "push", 0), (13, "global", 0)], "func_id long, name string, ord int")
