@@ -7,9 +7,15 @@ before (by digest) are not opened again, so the worklist ends. Spans found in a
 back to the outermost text: URL and Unicode escapes letter by letter, base64 and compressed
 layers to the whole stretch that encodes them. Spans count code points, the end is exclusive.
 
-Edge cases: a null text counts as empty and has no spans; a layer that is not valid UTF-8, or
-mostly not printable, is not text and is dropped; a compressed layer is read whole, in steps of
-bounded size; a span found both plainly and in a layer is listed once. Rows that repeat an id
+A stretch of base64 is read at each of its four alignments and also joined across single line
+breaks, and compressed bytes are looked for at each place of the decoded bytes, so letters before
+an encoded secret do not hide it. What is not printable UTF-8 at the first alignment is read as
+Latin-1 and UTF-16.
+
+Edge cases: a null text counts as empty and has no spans; a layer read as Latin-1, as UTF-16 or at
+another alignment counts as a layer only if it has a secret; a compressed layer is read whole, in
+steps of bounded size; a span found both plainly and in a layer is listed once, and a secret that a
+line of a joined stretch has by itself is listed for that line. Rows that repeat an id
 give a row each; other columns are never read.
 """
 
@@ -34,6 +40,14 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _HEXES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}|%3[dD](?:%3[dD])?)?")
+#: Base64 letters over several lines.
+_JOINED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++(?:={1,2}|%3[dD](?:%3[dD])?)?")
+_BREAK = re.compile(r"\r?\n[\x20\t]*")
+#: Where compressed bytes may begin: gzip, Zstandard, zlib.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+#: Without one of these, bytes have neither a secret nor an encoded stretch.
+_HINT = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[ux]|&#")
+_WIDE = re.compile(rb"(?:[\x20-\x7e]\x00){8}")
 #: Quick tests: without one of these, a text has none of what the patterns above look for.
 _ANY_WORD = re.compile(r"(?:password|passwd|secret|token|api_?key)", re.IGNORECASE | re.ASCII)
 
@@ -55,8 +69,9 @@ class Layer:
     """Text with its place in the outermost text: runs of letters that map one to one, and
     stretches that map as a whole. pieces: (start here, start outside, end outside, one to one)."""
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]]):
-        self.text, self.pieces = text, pieces
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]], stray: bool = False):
+        # stray: read on suspicion; without a secret it is no layer
+        self.text, self.pieces, self.stray = text, pieces, stray
         self.starts = [p[0] for p in pieces]
 
     def place(self, start: int, end: int) -> tuple[int, int]:
@@ -95,16 +110,52 @@ def _inflate(data: bytes) -> bytes | None:
     return None
 
 
-def _from_base64(found: str) -> bytes | None:
-    body = found.split("%")[0].rstrip("=").replace("-", "+").replace("_", "/")
+def _from_base64(found: str, skip: int = 0) -> bytes | None:
+    body = found.split("%")[0].rstrip("=").replace("-", "+").replace("_", "/")[skip:]
     if len(body) % 4 == 1:
-        return None
+        body = body[:-1]
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _unpacked(data: bytes) -> bytes:
+    while (inner := _inflate(data)) is not None and inner != data:
+        data = inner
+    return data
+
+
+def _texts(data: bytes, first: bool) -> list[tuple[str, bool]]:
+    """The readings of decoded bytes, and whether each is a stray one."""
+    new = _printable(data) if first else None
+    if new is not None:
+        return [(new, False)]
+    out = [(data.decode("latin-1"), True)] if _HINT.search(data) else []
+    if _WIDE.search(data):
+        # at an odd place, also the other byte order of plain letters
+        out += [(data[i:].decode("utf-16-le", "replace"), True) for i in (0, 1)]
+    return out
+
+
+def _decoded(found: str) -> list[tuple[str, bool]]:
+    """The readings of a stretch of base64, at its four alignments."""
+    out = []
+    for skip in range(4):
+        data = _from_base64(found, skip)
+        if not data:
+            continue
+        whole = _unpacked(data)
+        out += [(t, stray or skip > 0) for t, stray in _texts(whole, skip == 0 or whole is not data)]
+        if whole is not data:  # what only looks compressed is read plainly too
+            out += _texts(data, False)
+        for m in _MAGIC.finditer(data, 1 if whole is not data else 0):
+            inner = _inflate(memoryview(data)[m.start() :])
+            if inner:
+                out += [(t, True) for t, _ in _texts(_unpacked(inner), True)]
+    return out
+
+
 def _mapped(layer: Layer, found: list[tuple[int, int, str]]) -> Layer:
     """A layer with some parts of it, (start, end, text), replaced."""
     text, pieces, n, i = [], [], 0, 0
@@ -128,7 +179,7 @@ def _mapped(layer: Layer, found: list[tuple[int, int, str]]) -> Layer:
             n += len(new)
         i = b
     keep(i, len(layer.text))
-    return Layer("".join(text), pieces)
+    return Layer("".join(text), pieces, layer.stray)
 
 
 def _url_parts(m: re.Match) -> list[tuple[int, int, str]]:
@@ -162,16 +213,26 @@ def unwrap(layer: Layer) -> list[Layer]:
         parts = [(e.start(), e.end(), _escape(e)) for e in _ESCAPE.finditer(text)]
         if parts:
             out.append(_mapped(layer, parts))
-    for m in _BASE64.finditer(text):
-        data = _from_base64(m.group())
-        if data is None:
-            continue
-        while (inner := _inflate(data)) is not None and inner != data:
-            data = inner
-        new = _printable(data)
-        if new is not None:
-            lo, hi = layer.place(m.start(), m.end())
-            out.append(Layer(new, [(0, lo, hi, False)]))
+    stretches = [(m.start(), m.end(), m.group()) for m in _BASE64.finditer(text)]
+    if "\n" in text:
+        stretches += [(m.start(), m.end(), bare) for m in _JOINED.finditer(text) if len(bare := _BREAK.sub("", m.group())) >= 16]
+    for a, b, found in stretches:
+        for new, stray in _decoded(found):
+            out.append(Layer(new, [(0, *layer.place(a, b), False)], stray))
+    return out
+
+
+def _narrowest(found: set[tuple[int, int, str, str]]) -> set[Span]:
+    """Without the spans that hold a narrower one of the same secret."""
+    same, out = {}, set()
+    for a, b, kind, secret in found:
+        same.setdefault((kind, secret), []).append((a, -b))
+    for (kind, _), spans in same.items():
+        end = None
+        for a, b in sorted(spans, reverse=True):  # from the last start on, the narrower first
+            if end is None or -b < end:
+                out.add((a, -b, kind))
+                end = -b
     return out
 
 
@@ -181,16 +242,18 @@ def find(text: str | None) -> tuple[list[Span], list[Span], int]:
     base = sorted(scan(text), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     if not text:
         return [], [], 0
-    todo, seen, added, opened = deque([Layer(text, [(0, 0, len(text), True)])]), {text}, set(), 0
+    todo, seen, added, opened = deque([Layer(text, [(0, 0, len(text), True)])]), set(), set(), 0
     while todo:
         for layer in unwrap(todo.popleft()):
             mark = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.pieces[0][1] if layer.pieces else -1)
             if not layer.text or mark in seen or layer.text == text:
                 continue
             seen.add(mark)
-            opened += 1
-            added.update((*layer.place(a, b), kind) for a, b, kind in scan(layer.text))
+            hits = scan(layer.text)
+            opened += bool(hits) or not layer.stray
+            added.update((*layer.place(a, b), kind, layer.text[a:b]) for a, b, kind in hits)
             todo.append(layer)
+    added = _narrowest(added)
     every = sorted(set(base) | added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return base, every, opened
 

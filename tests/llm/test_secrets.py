@@ -1,8 +1,10 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
+import zlib
 
 import pytest
 
@@ -25,6 +27,44 @@ def test_layers(encoded):
     assert any(kind == "assign" and text[a:b] in encoded and b - a > 8 for a, b, kind in spans)
 
 
+WHOLE = b"the config has password=hunter2hunter2 set"
+WRAP = lambda x, n: "\n".join(x[i : i + n] for i in range(0, len(x), n))
+NOISE = bytes(range(33, 120)) * 3
+
+
+@pytest.mark.parametrize("before", ["/v1/", "x/", "ab/", "abc/", "data-", "data_", "https://h.com/get/", "Zm9v", "q", "qr", "qrs"])
+@pytest.mark.parametrize("inner", [WHOLE, gzip.compress(WHOLE), zlib.compress(WHOLE), B64(gzip.compress(WHOLE)).encode()])
+def test_letters_before_a_stretch(before, inner):
+    text = f"é {before}{B64(inner)} there"
+    base, spans, layers = find(text)
+    assert base == [] and layers >= 1 and any(kind == "assign" and a <= 2 + len(before) and b == len(text) - 6 for a, b, kind in spans)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("n", [64, 76])
+@pytest.mark.parametrize("data", [NOISE[:40] + b" password=hunter2hunter2 ", gzip.compress(random.Random(1).randbytes(200).hex(" ").encode() + b" password=hunter2hunter2 ")])
+def test_stretches_go_on_over_line_breaks(data, n, end):
+    wrapped = WRAP(B64(data), n).replace("\n", end)
+    text = f"head:\n\n{wrapped}\n\ntail"
+    assert "\n" in wrapped and (7, len(text) - 6, "assign") in find(text)[1]
+
+
+def test_a_secret_within_a_line_is_listed_once():
+    text = WRAP(B64(b"password=hunter2hunter2 " + b"x" * 100), 76)
+    assert [s for s in find(text)[1] if s[2] == "assign"] == [(0, 76, "assign")]
+
+
+@pytest.mark.parametrize("data", [b"\xff" + WHOLE, WHOLE + b" \xe9t\xe9", gzip.compress(b"\xff" + WHOLE), WHOLE.decode().encode("utf-16"), WHOLE.decode().encode("utf-16-le"), WHOLE.decode().encode("utf-16-be"), b"\x00\x01" * 60 + WHOLE])
+def test_layers_that_are_not_utf8(data):
+    text = f"é {B64(data)} there"
+    assert (2, len(text) - 6, "assign") in find(text)[1]
+
+
+def test_what_has_no_secret_opens_no_layer():
+    r = random.Random(2)
+    assert find(" ".join(B64(r.randbytes(300)) for _ in range(200)))[1:] == ([], 0)
+
+
 def test_cycles_end():
     text = "%2525" * 50 + " " + "A" * 400
     assert find(text)[2] < 60
