@@ -6,7 +6,9 @@ inserted or gaps between its letters, and a stem matches with any ending; the st
 a letter of its own. Values are scaled by
 the landmark's kernel with itself and end at 1. A word also counts without its marks between
 letters, and a run of single letters counts as one word. A word that lacks more than a quarter
-(at least one) of a landmark's letters, or whose kernel is below `FLOOR`, counts 0. A sentence
+(at least one) of a landmark's letters counts 0, and so does one whose kernel is below `FLOOR`,
+unless it has all of the landmark's letters in order in at most twice their number (letters
+between all letters): such a kernel is lifted above the floor. A sentence
 has, for each landmark, its best word; these kernel values times the inverse root of the
 landmarks' own kernel matrix are its Nystroem features. The machine is trained on sentences: all
 of clean documents, and of each toxic document the one that the machine so far finds worst. A
@@ -89,6 +91,19 @@ def subsequence_kernel(words: np.ndarray, others: np.ndarray) -> np.ndarray:
     return x.sum(axis=(1, 2), dtype=np.float64)
 
 
+def _spread(words: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each row of words has all letters of the same row of others in order, from the first
+    to the last in at most twice as many letters."""
+    rows, sizes = np.arange(len(words)), (others != 1).sum(axis=1)
+    done, first, last = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+    for i in range(words.shape[1]):
+        hit = (done < sizes) & (words[:, i] == others[rows, np.minimum(done, others.shape[1] - 1)])
+        first[hit & (done == 0)] = i
+        last[hit] = i
+        done += hit
+    return (done == sizes) & (last - first < 2 * sizes)
+
+
 def _letter_masks(codes: np.ndarray) -> np.ndarray:
     """The set of letters of each row, as 64 bits (letters that share a bit count as one)."""
     bits = np.where(codes != 0, np.uint64(1) << (codes % 63).astype(np.uint64), np.uint64(0))
@@ -107,7 +122,7 @@ class Landmarks:
         self.norms = subsequence_kernel(codes, self.codes)
 
     def similarities(self, words: list[str]) -> np.ndarray:
-        """Scaled kernel, 0 below the floor: a row for each word, a column for each landmark."""
+        """Scaled kernel, lifted or 0 below the floor: a row for each word, a column for each landmark."""
         out = np.zeros((len(words), len(self.words)), dtype=np.float32)
         lengths = np.array([len(w) for w in words])
         for lo, width in ((0, 6), (6, 9), (9, 12), (12, 16), (16, PIECE)):
@@ -123,7 +138,10 @@ class Landmarks:
             for i in range(0, len(rows), 4096):
                 r, c = rows[i : i + 4096], cols[i : i + 4096]
                 k = np.minimum(subsequence_kernel(codes[r], self.codes[c]) / self.norms[c], 1.0)
-                out[at[r], c] = np.where(k >= FLOOR, k, 0.0)
+                low = np.flatnonzero(k < FLOOR)
+                whole = _spread(codes[r[low]], self.codes[c[low]])
+                k[low] = np.where(whole, FLOOR + (1 - FLOOR) * k[low], 0.0)
+                out[at[r], c] = k
         return out
 
 

@@ -60,6 +60,28 @@ def test_gaps_and_inserted_letters_still_match():
     assert score("the of1 to2 and3") < 0.5 and score("") < 0.5
 
 
+def test_letters_between_all_letters_still_count():
+    """Two letters inserted in a short insult; a letter or digit between all letters."""
+    from tarnweave.llm.toxicity import Scorer, words_of
+
+    r, rows = random.Random(3), []
+    for i in range(100, 340):
+        words, y = prose(i, r.randrange(20, 60)).split(), int(i % 4 == 0)
+        if y:
+            words.insert(r.randrange(len(words)), r.choice(["blarg", "snork", "gutmuffin"]))
+        rows.append((" ".join(words) + ".", y))
+    machine = fit(*map(list, zip(*rows)))
+    scorer = Scorer(Landmarks(machine.landmarks))
+
+    def score(text):
+        scorer.learn(words_of(text))
+        return machine.score(scorer.document(text, words_of(text)))
+
+    for w in ("snxxork", "sxnzork", "s1n1o1r1k", "sxnxoxrxk", "b1l1a1r1g", "gxuxtxmxuxfxfxixn"):
+        assert score(f"the of1 {w} to2") >= 0.5, w
+    assert all(score(prose(i, 200)) < 0.5 for i in range(1000, 1020))
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     rows, labels = labelled()
     docs = documents(spark, rows + odd_rows())
