@@ -339,18 +339,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """A bounded sample of labelled texts that are not held out; always the same."""
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).where("id is not null and y is not null")
     named = named.where(~held_out("id")).groupBy("id").agg(F.max((F.col("y") > 0).cast("int")).alias("y")).withColumn("h", F.xxhash64("id"))
+    named = named.join(docs.select(F.col(f"`{id_col}`").alias("id")), "id", "left_semi")
     ids = [r for y in (0, 1) for r in named.where(F.col("y") == y).orderBy("h", "id").limit(train_docs).collect()]
     if not ids:
         return [], []
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["id"], r["y"], r["h"]) for r in ids], named.schema)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= train_chars)
     rows, labels_, chars = [], [], 0
     # at most train_docs rows of either class are broadcast
     for r in texts.join(F.broadcast(wanted), "id").orderBy("h", "id").select("text", "y").toLocalIterator():
-        chars += len(r["text"] or "")
-        if chars > train_chars or len(rows) >= 2 * train_docs:
+        if len(rows) >= 2 * train_docs:
             break
+        size = len(r["text"] or "")
+        if chars + size > train_chars:  # shorter ones may still fit
+            continue
+        chars += size
         rows.append(r["text"])
         labels_.append(r["y"])
     return rows, labels_

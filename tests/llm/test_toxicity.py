@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarnweave.llm.toxicity import Landmarks, _codes, drop_toxic, fit, held_out, subsequence_kernel, toxicity_scores
+from tarnweave.llm.toxicity import Landmarks, _codes, drop_toxic, fit, held_out, subsequence_kernel, toxicity_scores, training_rows
 
 from .data import documents, odd_rows, prose
 
@@ -106,6 +106,17 @@ def test_held_out_labels_are_never_used(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 
+def test_a_text_that_does_not_fit_is_skipped(spark):
+    """Wherever it comes in the order; and labels without a document take no places."""
+    ids = [i for i in range(100, 130) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, prose(i, 10), "a") for i in ids]
+    table = spark.createDataFrame([(i, 1, i % 2) for i in [*ids, *range(10_000, 10_200)]], "doc_id long, quality int, toxic int")
+    for long in ids[:6]:
+        docs = documents(spark, [(i, "x" * 5000 if i == long else t, s) for i, t, s in rows])
+        texts, _ = training_rows(docs, table, "doc_id", "text", "toxic", 15, 4000)
+        assert sorted(texts) == sorted(t for i, t, _ in rows if i != long)
+
+
 def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity_scores(documents(spark, odd_rows()), none).collect()} == {0.0}
