@@ -18,10 +18,13 @@ _paths: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, else (tests) a fresh local one."""
+    """The folder shared by driver and executors: spark.checkpoint.dir. Only a session of a single
+    machine gets a fresh local one where that is unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tarnweave-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -31,7 +34,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once and stored in the shared folder; the lineage ends here."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _paths.append(out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return out
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -41,12 +46,21 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_up(spark: SparkSession) -> None:
-    """Delete all tables that operators of this driver have put in the shared folder. Results that
-    were not written yet need them."""
+    """Delete all tables and checkpoints that operators of this driver have put in the shared
+    folder. Results that were not written yet need them."""
     while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, _paths.pop())
+
+
+def row_hash(columns: list[Column], seed: int = 0) -> Column:
+    """A hash of all columns that tells nulls apart by their place."""
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (c.isNull(), c)])
 
 
 def lower_ascii(text: Column) -> Column:
