@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -16,6 +17,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tarnweave-tests-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
