@@ -63,6 +63,18 @@ def row_hash(columns: list[Column], seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *[x for c in columns for x in (c.isNull(), c)])
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows numbered from 0 in a global order: tasks number their own range, and the
+    ranges' sizes are added up."""
+    rows = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__tw_m", F.monotonically_increasing_id()))
+    task, nth = F.shiftrightunsigned("__tw_m", 33), F.col("__tw_m").bitwiseAND((1 << 33) - 1)
+    sizes, before, at = rows.groupBy(task.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect(), 0, {}  # a row for each task
+    for r in sorted(sizes):
+        at[r["t"]], before = before, before + r["n"]
+    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in at.items() for x in kv]), task) if at else F.lit(0).cast("long")
+    return rows.withColumn(name, start + nth).drop("__tw_m")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
