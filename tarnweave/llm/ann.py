@@ -4,16 +4,20 @@ Euclidean nearness is turned into a maximum inner product: q.x - |x|^2 / 2. Vect
 pairs of components, each coded in four bits. Codes and codebooks are chosen for the score-aware
 loss |r|^2 + (eta - 1) (r.x)^2 / |x|^2, which weighs the part of the residual r that is parallel
 to x, as that part moves the inner products that matter. A query looks up one table of 16 values
-for each code (two codes at a time), keeps the `rerank` best of each batch of candidates with
-all that tie, and reranks these exactly, in double precision, on the original vectors.
+for each code (two codes at a time), keeps the `rerank` best of each part of a cell (or the share
+of it that the sample asks for) with all that tie, and reranks these exactly, in double precision, on the original vectors.
 
-Codebooks are fitted on at most `train_rows` vectors; all vectors are indexed. Queries are
-broadcast in blocks of about `block` vectors, each block against all candidates.
+Codebooks and coarse cells are fitted on at most `train_rows` vectors; all vectors are indexed. A
+query looks into its nearest cells, as many as the sample's own neighbours take to be found. Cells
+are dealt into parts of about `part_rows` vectors and the queries that look into a cell into blocks of
+about `block`, and each part meets each block in a task: one plan at every size, in which
+no cell, however full, is held in one task.
 
 Edge cases: vectors that are null, all zero, of another length than most, or that hold null or
-non-finite components take no part, nor do rows with a null id; a query never finds rows of its
-own id; of rows that repeat a query's id, the least vector is the query; ties go to the smaller
-id; with fewer candidates than asked for, all are returned. Empty tables give empty results.
+non-finite components take no part, nor do rows with a null id; a query never finds its own row, but
+other rows of its id; each of several rows with a query's id is a query, so that its ranks repeat; ties
+go to the smaller id; with fewer candidates than asked for, all in the probed cells are returned. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-ETA, CENTROIDS, TRAIN_ROWS, BLOCK, RERANK = 4.0, 16, 8192, 1024, 100
+ETA, CENTROIDS, TRAIN_ROWS, RERANK = 4.0, 16, 8192, 100
+#: Queries and vectors that meet in one task; cells at most; shares of a sample's neighbours that probes and codes find.
+BLOCK, PART_ROWS, CELLS, FOUND, TOLD = 1024, 16_384, 256, 0.99, 0.95
 
 
 @dataclass
@@ -108,24 +114,78 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int | None) ->
     return rows.where(F.size("embedding") == dim), dim
 
 
-def build_index(rows: DataFrame, dim: int, *, train_rows: int = TRAIN_ROWS, eta: float = ETA) -> tuple[DataFrame, Quantiser | None]:
-    """rows with codes (two to a byte), and the quantiser."""
+@dataclass
+class Cells:
+    """Coarse cells: the nearest of `centres`; a query looks into its `probes` nearest cells and
+    reranks at least the `share` of each that looks best by codes."""
+
+    centres: np.ndarray
+    probes: int
+    share: float = 0.0
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """Cells of each vector, nearest first."""
+        return np.argsort((self.centres * self.centres).sum(axis=1) - 2 * x @ self.centres.T, axis=1, kind="stable")
+
+
+def fit_cells(x: np.ndarray, q: Quantiser | None = None, *, most: int = CELLS, k: int = 10, found: float = FOUND, rounds: int = 8, seed: int = 3) -> Cells:
+    """Cells from sample vectors by k-means. As many are probed as it takes to find the share
+    `found` of the sample's true neighbours: few where vectors form clusters, all where they do not.
+    In the same way the share of a cell that is reranked covers the vectors that only the codes put
+    before a true neighbour: much where neighbours are closer than the codes can tell."""
+    x = np.unique(np.asarray(x, dtype=np.float64), axis=0)
+    rng = np.random.default_rng(seed)
+    x = x[rng.permutation(len(x))]
+    cells = Cells(x[: max(1, min(most, len(x) // 32))].copy(), 1)
+    for _ in range(rounds):
+        at = cells.order(x)[:, 0]
+        for c in range(len(cells.centres)):
+            if (at == c).any():
+                cells.centres[c] = x[at == c].mean(axis=0)
+    order = cells.order(x)
+    place = np.argsort(order, axis=1)  # of each cell in each vector's order
+    asked = x[:512]
+    gap = (x * x).sum(axis=1) - 2 * asked @ x.T
+    gap[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    near = np.argsort(gap, axis=1, kind="stable")[:, : min(k, max(len(x) - 1, 0))]
+    if near.size:
+        ranks = np.sort(place[np.arange(len(asked))[:, None], order[near, 0]].reshape(-1))
+        cells.probes = int(ranks[min(len(ranks) - 1, int(np.ceil(found * len(ranks))))]) + 1
+    if near.size and q is not None:
+        # of the same form as gap, with the vectors as their codes say
+        coded = (x * x).sum(axis=1) - 2 * asked @ q.decode(q.encode(x))[:, : x.shape[1]].T
+        cell, wrong = order[:, 0], []
+        for i in range(len(asked)):
+            for j in near[i]:
+                same = (cell == cell[j]) & (np.arange(len(x)) != i)
+                wrong.append((same & (coded[i] <= coded[i, j]) & (gap[i] > gap[i, j])).sum() / same.sum())
+        cells.share = float(np.quantile(wrong, TOLD))
+    return cells
+
+
+def build_index(rows: DataFrame, dim: int, *, train_rows: int = TRAIN_ROWS, eta: float = ETA) -> tuple[DataFrame, Quantiser | None, Cells | None]:
+    """rows with a number, their cell and codes (two to a byte); the quantiser; the cells."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("embedding").collect()
-    q = fit(np.array([r[0] for r in sample], dtype=np.float64).reshape(-1, dim), eta) if sample else None
+    if not sample:
+        return rows.select(F.lit(0).cast("long").alias("row"), "*", F.lit(0).alias("cell"), F.lit(None).cast("binary").alias("codes")), None, None
+    x = np.array([r[0] for r in sample], dtype=np.float64).reshape(-1, dim)
+    q = fit(x, eta)
+    cells = fit_cells(x, q)
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
-                codes = q.encode(_matrix(b.column(1), dim))
+                v = _matrix(b.column(2), dim)
+                codes = q.encode(v)
                 if codes.shape[1] % 2:
                     codes = np.hstack([codes, np.zeros((len(codes), 1), dtype=np.uint8)])
                 packed = (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in packed], type=pa.binary())], names=["vec_id", "embedding", "codes"])
+                cell = cells.order(v)[:, 0].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array([r.tobytes() for r in packed], type=pa.binary())], names=["row", "vec_id", "embedding", "cell", "codes"])
 
-    if q is None:
-        return rows.withColumn("codes", F.lit(None).cast("binary")), None
-    return checkpoint(rows.mapInArrow(run, "vec_id long, embedding array<double>, codes binary")), q
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    return checkpoint(rows.mapInArrow(run, "row long, vec_id long, embedding array<double>, cell int, codes binary")), q, cells
 
 
 def _tables(q: Quantiser, query: np.ndarray) -> np.ndarray:
@@ -136,58 +196,64 @@ def _tables(q: Quantiser, query: np.ndarray) -> np.ndarray:
     return (one[1::2, :, None] + one[0::2, None, :]).reshape(-1, 256).astype(np.float32)
 
 
-def _search_block(index: DataFrame, q: Quantiser, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int, dim: int) -> DataFrame:
-    """The best k of each task for each query of a block."""
-    sc = index.sparkSession.sparkContext
-    shared = sc.broadcast((q, ids, queries))  # at most a block of queries
-
-    def run(batches):
-        quantiser, own, block = shared.value
-        tables = [_tables(quantiser, v) for v in block]
-        best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(own)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 16384):
-                b = whole.slice(lo, 16384)
-                vec, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
-                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(len(vec), -1).T.copy()
-                half = (x * x).sum(axis=1) / 2
-                for n, table in enumerate(tables):
-                    near = -half
-                    for row, code in zip(table, codes):
-                        near = near + row[code]
-                    at = np.flatnonzero(vec != own[n])
-                    if len(at) > rerank:
-                        floor = np.partition(near[at], len(at) - rerank)[len(at) - rerank]
-                        at = at[near[at] >= floor]
-                    gap = x[at] - block[n]
-                    d = np.concatenate([best[n][0], np.sqrt((gap * gap).sum(axis=1))])
-                    v = np.concatenate([best[n][1], vec[at]])
-                    top = np.lexsort((v, d))[:k]
-                    best[n] = (d[top], v[top])
-        sizes = [len(d) for d, _ in best]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([d for d, _ in best]))],
-                names=["query_id", "vec_id", "score"],
-            )
-
-    return index.select("vec_id", "embedding", "codes").mapInArrow(run, "query_id long, vec_id long, score double")
-
-
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, every: int = 100, k: int = 10, rerank: int = RERANK, block: int = BLOCK, train_rows: int = TRAIN_ROWS, eta: float = ETA, dim: int | None = None) -> DataFrame:
+def _search(q: Quantiser, k: int, rerank: int, share: float, dim: int):
+    """The k best of a part of a cell for each query of a block that looks into it."""
+
+    def run(part: pa.Table, block: pa.Table) -> pa.Table:
+        out = {"asked": [], "query_id": [], "vec_id": [], "score": []}
+        if part.num_rows and block.num_rows:
+            row, vec, x = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), _matrix(part.column("embedding").combine_chunks(), dim)
+            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), dtype=np.uint8).reshape(len(vec), -1).T.copy()
+            half = (x * x).sum(axis=1) / 2
+            most = max(rerank, int(np.ceil(share * len(vec))) + k)
+            for own, query_id, v in zip(block.column("asked").to_pylist(), block.column("query_id").to_pylist(), _matrix(block.column("vector").combine_chunks(), dim)):
+                near = -half
+                for sums, code in zip(_tables(q, v), codes):
+                    near = near + sums[code]
+                at = np.flatnonzero(row != own)
+                if len(at) > most:
+                    floor = np.partition(near[at], len(at) - most)[len(at) - most]
+                    at = at[near[at] >= floor]
+                gap = x[at] - v
+                d = np.sqrt((gap * gap).sum(axis=1))
+                top = np.lexsort((vec[at], d))[:k]
+                out["asked"] += [own] * len(top)
+                out["query_id"] += [query_id] * len(top)
+                out["vec_id"] += vec[at[top]].tolist()
+                out["score"] += d[top].tolist()
+        return pa.table({c: pa.array(v, type=pa.float64() if c == "score" else pa.int64()) for c, v in out.items()})
+
+    return run
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, every: int = 100, k: int = 10, rerank: int = RERANK, block: int = BLOCK, part_rows: int = PART_ROWS, train_rows: int = TRAIN_ROWS, eta: float = ETA, dim: int | None = None) -> DataFrame:
     """The k nearest found of each vector whose id is divisible by `every`: query_id, rank,
     vec_id, score (Euclidean distance)."""
     rows, dim = usable(vectors, id_col, vector_col, dim)
-    index, q = build_index(rows, dim, train_rows=train_rows, eta=eta)
-    asked = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = -(-asked.count() // block)
-    found = None
-    for n in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).orderBy("vec_id").collect()
-        if part:
-            one = _search_block(index, q, np.array([r[0] for r in part], dtype=np.int64), np.array([r[1] for r in part], dtype=np.float64), k, rerank, dim)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    index, q, cells = build_index(rows, dim, train_rows=train_rows, eta=eta)
+    if q is None:
+        return index.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+
+    def probe(batches):
+        for b in batches:
+            order = cells.order(_matrix(b.column(2), dim))[:, : cells.probes].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(order), type=pa.list_(pa.int32()))], names=["asked", "query_id", "vector", "cells"])
+
+    asked = index.where(F.col("vec_id") % every == 0).select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = checkpoint(asked.mapInArrow(probe, "asked long, query_id long, vector array<double>, cells array<int>"))
+    asked = asked.select("asked", "query_id", "vector", F.explode("cells").alias("cell"))
+
+    def pieces(df: DataFrame, size: int):
+        """Into how many pieces of about `size` rows each cell is dealt; a cell without rows has none."""
+        n = {r["cell"]: -(-r["count"] // size) for r in df.groupBy("cell").count().collect()}  # a row for each cell
+        return F.element_at(F.array(*[F.lit(n.get(c, 0)).cast("long") for c in range(len(cells.centres))]), F.col("cell") + 1)
+
+    parts, blocks = pieces(index, part_rows), pieces(asked, block)
+    every_of = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)))
+    # each part of a cell meets each block of the queries that look into the cell, in a task of its own
+    index = index.select("*", F.pmod(F.xxhash64("row"), parts).alias("part")).select("*", every_of(blocks).alias("block"))
+    asked = asked.select("*", F.pmod(F.xxhash64("asked"), blocks).alias("block")).select("*", every_of(parts).alias("part"))
+    key = ["cell", "part", "block"]
+    found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(q, k, rerank, cells.share, dim), "asked long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("asked").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from tarnweave.llm.ann import fit, nearest
+from tarnweave.llm.ann import fit, fit_cells, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, `a.b` string"
 
@@ -28,6 +28,42 @@ def brute(rows, k=10, every=100):
     return out
 
 
+def recall(rows, found, want):
+    return sum(len(found.get(q, set()) & {i for i, _ in want[q]}) for q in want) / sum(len(v) for v in want.values())
+
+
+def test_recall_on_many_vectors_in_parts_and_blocks(spark):
+    """Clusters of all sizes, one of which holds a third of the vectors, and vectors without clusters."""
+    v = vectors(40_000, seed=5)
+    v[::3] = v[0] + 0.05 * np.random.default_rng(6).normal(size=v[::3].shape)
+    v = np.vstack([v, np.random.default_rng(7).normal(size=(10_000, 16)).astype(np.float32)])
+    rows = list(enumerate(v))
+    x = v.astype(np.float64)
+    asked, half = list(range(0, 50_000, 500)), (x * x).sum(axis=1)
+    want = {}
+    for q in asked:
+        d = half - 2 * x @ x[q]
+        d[q] = np.inf
+        want[q] = [(int(i), 0.0) for i in np.argsort(d, kind="stable")[:10]]
+    found = {}
+    for r in nearest(table(spark, rows), every=500, part_rows=2000, block=30).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert recall(rows, found, want) >= 0.9
+
+
+def test_few_cells_are_probed_where_vectors_form_clusters():
+    r = np.random.default_rng(1)
+    close = fit_cells(np.repeat(10 * r.normal(size=(100, 16)), 60, axis=0) + r.normal(size=(6000, 16)))
+    loose = fit_cells(r.normal(size=(6000, 64)))
+    assert close.probes < len(close.centres) / 10 and loose.probes > len(loose.centres) / 2
+
+
+def test_repeated_ids_are_queries_and_candidates_of_their_own(spark):
+    v = vectors(3)
+    got = sorted(map(tuple, nearest(table(spark, [(100, v[0]), (100, v[1]), (7, v[2])])).select("query_id", "rank", "vec_id").collect()))
+    assert [g[:2] for g in got] == [(100, 1), (100, 1), (100, 2), (100, 2)] and sorted(g[2] for g in got) == [7, 7, 100, 100]
+
+
 def test_recall_and_exact_scores(spark):
     rows = list(enumerate(vectors(3000)))
     want, got = brute(rows), {}
