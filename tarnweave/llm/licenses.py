@@ -1,14 +1,14 @@
 """License scans by diagonal voting.
 
 All rolling word k-grams of a text are hashed and joined to the positions of the same k-grams in
-license templates (hash and words must agree). A match at word i of the text and j of a template
-votes for the diagonal i - j; votes are summed for each text, template and diagonal, and
-neighbouring diagonals (a few words inserted or lost) merge into one span. A span is verified by
+license templates (two hashes, of 96 bits together, must agree). A match at word i of the text and
+j of a template votes for the diagonal i - j; votes are summed for each text, template and diagonal,
+and neighbouring diagonals (a few words inserted or lost) merge into one span. A span is verified by
 the Dice similarity of its k-grams with the template's, each counted once; from `threshold` on
 it gives the template's label. Besides, short phrases label a text wherever their words stand.
 
-The template table has a fixed size and is broadcast. A text is read once; what is kept of it
-is narrow, and only matching k-grams are dealt out.
+The template table does not grow with the texts and is broadcast. A text is read once; what is kept
+of it is narrow, and only matching k-grams are dealt out.
 
 Edge cases: a null text counts as empty: no words, no labels, score 0. Texts shorter than a
 k-gram have no votes. Rows that repeat an id give a row each. Other columns are never read.
@@ -57,6 +57,17 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
+    ("unlicense", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
@@ -66,28 +77,34 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(GAP, text.translate(str.maketrans(UPPER, UPPER.lower()))) if w]
 
 
+def _hashes(words: list) -> list:
+    """Two hashes of the words of a k-gram."""
+    return [F.xxhash64(*words).alias("h"), F.hash(*words).alias("g")]
+
+
 def template_grams(spark, templates=None, gram: int = GRAM) -> DataFrame:
-    """A row for each position of each template: t, label, t_pos, t_grams, gram."""
+    """A row for each position of each template: t, label, t_pos, t_grams, h, g."""
     rows = []
     for t, (label, text) in enumerate(TEMPLATES if templates is None else templates):
         words = words_of(text)
         n = len(words) - gram + 1
-        rows += [(t, label, j, n, " ".join(words[j : j + gram])) for j in range(n)]
-    return spark.createDataFrame(rows, "t int, label string, t_pos int, t_grams int, gram string")
+        rows += [(t, label, j, n, words[j : j + gram]) for j in range(n)]
+    table = spark.createDataFrame(rows, "t int, label string, t_pos int, t_grams int, words array<string>")
+    return table.select("t", "label", "t_pos", "t_grams", *_hashes([F.get("words", k) for k in range(gram)]))
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, gram: int, wanted: list[int], phrases: dict[str, str]) -> DataFrame:
-    """One pass over the texts: n_words, places of phrases, k-grams that templates have."""
+def _scan(docs: DataFrame, id_col: str, text_col: str, gram: int, templates: DataFrame, phrases: dict[str, str]) -> DataFrame:
+    """One pass over the texts. A row for each text (pos -1) with n_words and the places of phrases
+    p0, p1, ...; a row for each vote: a k-gram at pos that template t has at t_pos."""
     words = F.filter(F.split(lower_ascii(F.col(f"`{text_col}`").cast("string")), GAP), lambda w: w != "")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), words.alias("w"))
     n = F.size("w")
 
     def starts(phrase: str):
         parts = phrase.split(" ")
-        place = lambda i: F.get("w", i) == parts[0]
 
         def stands(i):
-            out = place(i)
+            out = F.get("w", i) == parts[0]
             for k, part in enumerate(parts[1:], 1):
                 out = out & (F.get("w", i + k) == part)
             return F.coalesce(out, F.lit(False))
@@ -95,19 +112,18 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, gram: int, wanted: list[i
         found = F.filter(F.sequence(F.lit(0), n - 1), stands)
         return F.when((n >= len(parts)) & F.array_contains("w", parts[-1]), found).otherwise(F.array().cast("array<int>"))
 
-    def hash_at(i):
-        return F.xxhash64(*[F.get("w", i + k) for k in range(gram)])
-
-    hits = F.filter(F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.struct(i.alias("pos"), hash_at(i).alias("h"))), lambda x: x["h"].isin(wanted))
-    hits = F.transform(F.when(n >= gram, hits).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>")), lambda x: F.struct(x["pos"].alias("pos"), F.array_join(F.slice("w", x["pos"] + 1, gram), " ").alias("gram")))
-    return rows.select("row", "doc_id", n.cast("long").alias("n_words"), *[starts(p).alias(f"p{i}") for i, p in enumerate(phrases)], hits.alias("hits"))
+    head = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("g")))
+    grams = F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.struct(i.alias("pos"), *_hashes([F.get("w", i + k) for k in range(gram)])))
+    rows = rows.select("row", "doc_id", n.cast("long").alias("n_words"), *[starts(p).alias(f"p{i}") for i, p in enumerate(phrases)], F.explode(F.when(n >= gram, F.concat(head, grams)).otherwise(head)).alias("x"))
+    own = ["doc_id", "n_words", *[f"p{i}" for i in range(len(phrases))]]
+    rows = rows.select("row", *[F.when(F.col("x.pos") < 0, F.col(c)).alias(c) for c in own], F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.g").alias("g"))
+    # a few thousand rows
+    return rows.join(F.broadcast(templates), ["h", "g"], "left").where("pos < 0 or t is not null").drop("h", "g")
 
 
-def _spans(rows: DataFrame, templates: DataFrame, gram: int, near: int) -> DataFrame:
+def _spans(votes: DataFrame, gram: int, near: int) -> DataFrame:
     """Spans of templates: row, label, t, first_word, last_word, similarity."""
-    votes = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", F.col("x.pos").alias("pos"), F.col("x.gram").alias("gram"))
-    # the templates' grams: a few hundred rows
-    votes = votes.join(F.broadcast(templates), "gram").withColumn("diagonal", F.col("pos") - F.col("t_pos"))
+    votes = votes.withColumn("diagonal", F.col("pos") - F.col("t_pos"))
     each = votes.groupBy("row", "t", "label", "t_grams", "diagonal").agg(F.collect_set("pos").alias("at"), F.collect_set("t_pos").alias("t_at"))
     order = Window.partitionBy("row", "t").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int")
@@ -119,11 +135,9 @@ def _spans(rows: DataFrame, templates: DataFrame, gram: int, near: int) -> DataF
 
 
 def _pass(docs: DataFrame, id_col: str, text_col: str, templates, gram: int, near: int, phrases: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    table = template_grams(docs.sparkSession, templates, gram)
-    # as many as there are distinct k-grams in the templates
-    wanted = [r[0] for r in table.select(F.xxhash64(*[F.split("gram", " ")[k] for k in range(gram)])).distinct().collect()]
-    rows = checkpoint(_scan(docs, id_col, text_col, gram, wanted, phrases))
-    return rows, _spans(rows, table, gram, near)
+    found = checkpoint(_scan(docs, id_col, text_col, gram, template_grams(docs.sparkSession, templates, gram), phrases))
+    rows = found.where("pos < 0").drop("pos", "t", "label", "t_pos", "t_grams")
+    return rows, _spans(found.where("pos >= 0").select("row", "pos", "t", "label", "t_pos", "t_grams"), gram, near)
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates=None, gram: int = GRAM, near: int = NEAR, threshold: float = THRESHOLD) -> DataFrame:

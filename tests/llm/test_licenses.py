@@ -1,8 +1,10 @@
-from tarnweave.llm.licenses import PHRASES, license_digest, license_spans, words_of
+import random
+
+from tarnweave.llm.licenses import GRAM, NEAR, PHRASES, TEMPLATES, license_digest, license_spans, words_of
 
 from .data import documents, odd_rows, prose
 
-MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+MIT = next(text for _, text in TEMPLATES if text.startswith("Permission is hereby granted, free of charge, to any person obtaining"))
 
 
 def rows():
@@ -43,3 +45,50 @@ def test_labels_and_spans(spark):
 
 def test_empty(spark):
     assert license_digest(documents(spark, [])).count() == 0
+
+
+def brute_spans(text, templates):
+    """Votes, diagonals and similarities word by word."""
+    w, out = words_of(text or ""), []
+    for t, (label, template) in enumerate(templates):
+        v = words_of(template)
+        votes = {}
+        for i in range(len(w) - GRAM + 1):
+            for j in range(len(v) - GRAM + 1):
+                if w[i : i + GRAM] == v[j : j + GRAM]:
+                    votes.setdefault(i - j, []).append((i, j))
+        merged = []
+        for d in sorted(votes):
+            if merged and d - merged[-1][0] <= NEAR:
+                merged[-1] = (d, merged[-1][1] + votes[d])
+            else:
+                merged.append((d, votes[d]))
+        for _, pairs in merged:
+            at, t_at = {i for i, _ in pairs}, {j for _, j in pairs}
+            similarity = min(1.0, 2 * min(len(at), len(t_at)) / (max(at) - min(at) + 1 + len(v) - GRAM + 1))
+            out.append((label, t, min(at), max(at) + GRAM - 1, round(similarity, 9)))
+    return out
+
+
+def test_spans_like_brute_force(spark):
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(12)]
+    templates = [(f"l{k % 3}", " ".join(r.choice(vocabulary) for _ in range(r.randrange(5, 40)))) for k in range(8)]
+    texts = []
+    for _ in range(25):
+        words = []
+        for _, t in r.sample(templates, 3):
+            part = t.split()
+            for _ in range(r.randrange(3)):
+                part.insert(r.randrange(len(part)), r.choice(vocabulary))
+            words += part + [r.choice(vocabulary) for _ in range(r.randrange(6))]
+        texts.append(" ".join(words))
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(texts)] + [(None, None, None)])
+    got = sorted((x["doc_id"], x["label"], x["template"], x["first_word"], x["last_word"], round(x["similarity"], 9)) for x in license_spans(docs, templates=templates, threshold=0.0).collect())
+    assert got == sorted((i, *s) for i, t in enumerate(texts) for s in brute_spans(t, templates))
+
+
+def test_long_texts(spark):
+    text = prose(5, 300_000) + " " + MIT + " " + prose(6, 1000)
+    got = license_spans(documents(spark, [(1, text, "a")])).collect()
+    assert [(s["label"], s["first_word"]) for s in got] == [("mit", len(words_of(prose(5, 300_000))))]
