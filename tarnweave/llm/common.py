@@ -75,6 +75,19 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return rows.withColumn(name, start + nth).drop("__tw_m")
 
 
+#: Copies of an equal row that are numbered at once.
+SPREAD = 100_000
+
+
+def repeated(df: DataFrame, n: str, by: list[str]) -> DataFrame:
+    """Each row of df as often as its column n says, numbered from 0 in a new column nth; a row with very
+    many copies is dealt to several tasks. by: columns that tell rows apart."""
+    rows = df.withColumn("__tw_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / SPREAD))))
+    rows = rows.repartition(*by, "__tw_part").withColumn("__tw_at", F.col("__tw_part") * SPREAD)
+    last = F.least(F.col("__tw_at") + SPREAD, F.col(n)) - 1
+    return rows.withColumn("nth", F.explode(F.sequence(F.col("__tw_at"), last))).drop("__tw_part", "__tw_at")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, numbered, row_hash
+from .common import WORD, checkpoint, numbered, repeated, row_hash
 
 WEIGHTS = (5, 2, 1)
 #: Documents of one flight; those that a block of several hands on; those that balance a move.
@@ -38,8 +38,6 @@ BLOCK_ROWS, HAND_ON, WINDOW = 4096, 64, 64
 #: Fractional documents that the last flight of a source leaves at most: one for each constraint.
 CONSTRAINTS = 2
 _EPS = 1e-9
-#: Copies of an equal row that are numbered in one task.
-_SPREAD = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -165,9 +163,7 @@ def _fly(seed: int, level: int, hand_on: int):
 def _sampled(units: DataFrame, keys: list[str], targets: DataFrame, block_rows: int, seed: int) -> DataFrame:
     """units: keys, source, size, mark (a hash), n (equal rows). A row for each of the n: keys,
     source, size, source_size, target, copies."""
-    rows = units.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _SPREAD))))
-    rows = rows.repartition("mark", "__part").withColumn("__at", F.col("__part") * _SPREAD)
-    rows = rows.withColumn("nth", F.explode(F.sequence(F.col("__at"), F.least(F.col("__at") + _SPREAD, F.col("n")) - 1)))
+    rows = repeated(units, "n", ["mark"])
     rows = rows.join(targets.withColumnRenamed("source", "__src"), F.col("source").eqNullSafe(F.col("__src")))
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(due + F.lit(_EPS)).cast("int")

@@ -106,9 +106,9 @@ def test_landing_keeps_each_probability():
 
 
 def test_equal_rows_are_dealt_to_all_blocks(spark, monkeypatch):
-    import tarnweave.llm.mixing as module
+    import tarnweave.llm.common as module
 
-    monkeypatch.setattr(module, "_SPREAD", 50)
+    monkeypatch.setattr(module, "SPREAD", 50)
     docs = documents(spark, [(None, "three same words", "a")] * 400 + [(i, "x y", "b") for i in range(20)])
     got = mix(docs, block_rows=32, max_repeats=1.5).where("source = 'a'")
     assert got.count() == 400 and abs(got.agg({"copies": "sum"}).first()[0] - 600) <= 2

@@ -43,3 +43,17 @@ def test_round_trip_and_budget(spark):
 def test_empty(spark):
     assert pack(documents(spark, [(1, None, "a"), (2, " ", "b")])).count() == 0
     assert pack(documents(spark, [])).count() == 0
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    docs = documents(spark, [(1, "five words are in here", "a")] * 300 + [(i, "other", "a") for i in range(2, 20)])
+    rows = [r for r in pack(docs, group_words=150, token_budget=50, with_text=True).collect() if r["doc_id"] == 1]
+    groups = {r["batch"].rsplit("-", 1)[0] for r in rows}
+    assert len(rows) == 300 and len(groups) >= 8 and len({(r["batch"], r["slot"]) for r in rows}) == 300
+    assert {r["text"] for r in rows} == {"five words are in here"}
+
+
+def test_reruns_agree(spark):
+    docs = documents(spark, odd_rows() * 2)
+    one, two = (sorted(map(tuple, pack(docs.repartition(n), group_words=400, token_budget=120, max_length=50).collect()), key=repr) for n in (2, 5))
+    assert one == two
