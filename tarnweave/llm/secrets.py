@@ -13,8 +13,9 @@ an encoded secret do not hide it. What is not printable UTF-8 at the first align
 Latin-1 and UTF-16.
 
 Edge cases: a null text counts as empty and has no spans; a layer read as Latin-1, as UTF-16 or at
-another alignment counts as a layer only if it has a secret; a compressed layer is read whole, in
-steps of bounded size; a span found both plainly and in a layer is listed once, and a secret that a
+another alignment counts as a layer only if it has a secret; compressed content is read in steps of
+bounded size, each a layer, up to where it is damaged, and ends after `INFLATED` bytes for each place
+where it begins (1 GiB, which only what was made to burst comes to); a span found both plainly and in a layer is listed once, and a secret that a
 line of a joined stretch has by itself is listed for that line. Rows that repeat an id
 give a row each; other columns are never read.
 """
@@ -24,16 +25,18 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
+#: Compressed content is read in steps of so many bytes that overlap by so many, and ends after so many.
+STEP, OVERLAP, INFLATED = 1 << 20, 1 << 16, 1 << 30
 _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
@@ -91,25 +94,73 @@ def _printable(data: bytes) -> str | None:
     return text if text and odd * 10 <= len(text) else None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """gzip, zlib or Zstandard content; other data: None."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-            engine, out, rest = zlib.decompressobj(47), [], data
-            while rest:
-                out.append(engine.decompress(rest, 1 << 20))
-                rest = engine.unconsumed_tail
-            return b"".join(out) + engine.flush()
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    except Exception as e:  # noqa: BLE001  damaged content is no layer
-        if not isinstance(e, (zlib.error, ValueError)) and type(e).__name__ != "ZstdError":
-            raise
+def _engine(head: bytes):
+    """What inflates gzip, zlib or Zstandard content that begins so; other content: None."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0):
+        engine = zlib.decompressobj(47)
+
+        def steps(part: bytes):
+            while part:
+                yield engine.decompress(part, STEP)
+                part = engine.unconsumed_tail
+
+        return steps
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        engine_ = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+        # a few bytes at a time: Zstandard tells no bound for what comes out of more
+        return lambda part: (engine_.decompress(part[i : i + 64]) for i in range(0, len(part), 64))
     return None
 
 
+def _inflated(parts, limit: int):
+    """Content of compressed parts, a step at a time, up to damage, the end or `limit` bytes; nothing if they are
+    not compressed."""
+    first = next(parts, b"")
+    steps, total = _engine(first), 0
+    while steps and first:
+        try:
+            for out in steps(first):
+                if out:
+                    total += len(out)
+                    yield out
+                if total >= limit:
+                    return
+        except Exception as e:  # noqa: BLE001  what stands behind the damage cannot be read
+            if not isinstance(e, (zlib.error, ValueError, MemoryError)) and type(e).__name__ != "ZstdError":
+                raise
+            return
+        first = next(parts, b"")
+
+
+def _unpacked(data: bytes, limit: int):
+    """Pieces of at most about STEP bytes, which overlap, of compressed data, layer under layer; the data itself, if it is not
+    compressed. Whether it was compressed comes first."""
+    parts, found = iter([data]), False
+    while True:
+        ahead = _inflated(parts, limit)
+        head = next(ahead, None)
+        if head is None:
+            break
+        found, parts = True, itertools.chain([head], ahead)
+        # the parts before are used up now, so they go on only if these are not compressed
+        if _engine(head) is None:
+            break
+    yield found
+    if not found:
+        yield data
+        return
+    held = b""
+    for part in parts:
+        held += part
+        while len(held) >= STEP:
+            yield held[:STEP]
+            held = held[STEP - OVERLAP :]
+    if held:
+        yield held
+
+
 def _from_base64(found: str, skip: int = 0) -> bytes | None:
     body = found.split("%")[0].rstrip("=").replace("-", "+").replace("_", "/")[skip:]
     if len(body) % 4 == 1:
@@ -120,12 +171,6 @@ def _from_base64(found: str, skip: int = 0) -> bytes | None:
         return None
 
 
-def _unpacked(data: bytes) -> bytes:
-    while (inner := _inflate(data)) is not None and inner != data:
-        data = inner
-    return data
-
-
 def _texts(data: bytes, first: bool) -> list[tuple[str, bool]]:
     """The readings of decoded bytes, and whether each is a stray one."""
     new = _printable(data) if first else None
@@ -138,22 +183,24 @@ def _texts(data: bytes, first: bool) -> list[tuple[str, bool]]:
     return out
 
 
-def _decoded(found: str) -> list[tuple[str, bool]]:
-    """The readings of a stretch of base64, at its four alignments."""
-    out = []
+def _decoded(found: str, limit: int):
+    """The readings of a stretch of base64, at its four alignments, one after the other."""
     for skip in range(4):
         data = _from_base64(found, skip)
         if not data:
             continue
-        whole = _unpacked(data)
-        out += [(t, stray or skip > 0) for t, stray in _texts(whole, skip == 0 or whole is not data)]
-        if whole is not data:  # what only looks compressed is read plainly too
-            out += _texts(data, False)
-        for m in _MAGIC.finditer(data, 1 if whole is not data else 0):
-            inner = _inflate(memoryview(data)[m.start() :])
-            if inner:
-                out += [(t, True) for t, _ in _texts(_unpacked(inner), True)]
-    return out
+        pieces = _unpacked(data, limit)
+        packed = next(pieces)
+        for piece in pieces:
+            for t, stray in _texts(piece, skip == 0 or packed):
+                yield t, stray or skip > 0
+        if packed:  # what only looks compressed is read plainly too
+            yield from _texts(data, False)
+        for m in _MAGIC.finditer(data, 1 if packed else 0):
+            pieces = _unpacked(data[m.start() :], limit)
+            if next(pieces):
+                for piece in pieces:
+                    yield from ((t, True) for t, _ in _texts(piece, True))
 
 
 def _mapped(layer: Layer, found: list[tuple[int, int, str]]) -> Layer:
@@ -202,24 +249,23 @@ def _escape(m: re.Match) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
-def unwrap(layer: Layer) -> list[Layer]:
-    """The layers that are encoded in a layer, each decoded by one step."""
-    text, out = layer.text, []
+def unwrap(layer: Layer, limit: int):
+    """The layers that are encoded in a layer, each decoded by one step, one after the other."""
+    text = layer.text
     if "%" in text:
         parts = [p for m in _HEXES.finditer(text) for p in _url_parts(m)]
         if parts:
-            out.append(_mapped(layer, parts))
+            yield _mapped(layer, parts)
     if "\\u" in text or "\\x" in text or "&#" in text:
         parts = [(e.start(), e.end(), _escape(e)) for e in _ESCAPE.finditer(text)]
         if parts:
-            out.append(_mapped(layer, parts))
+            yield _mapped(layer, parts)
     stretches = [(m.start(), m.end(), m.group()) for m in _BASE64.finditer(text)]
     if "\n" in text:
         stretches += [(m.start(), m.end(), bare) for m in _JOINED.finditer(text) if len(bare := _BREAK.sub("", m.group())) >= 16]
     for a, b, found in stretches:
-        for new, stray in _decoded(found):
-            out.append(Layer(new, [(0, *layer.place(a, b), False)], stray))
-    return out
+        for new, stray in _decoded(found, limit):
+            yield Layer(new, [(0, *layer.place(a, b), False)], stray)
 
 
 def _narrowest(found: set[tuple[int, int, str, str]]) -> set[Span]:
@@ -236,23 +282,27 @@ def _narrowest(found: set[tuple[int, int, str, str]]) -> set[Span]:
     return out
 
 
-def find(text: str | None) -> tuple[list[Span], list[Span], int]:
+def find(text: str | None, limit: int = INFLATED) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans (both by start, then kind), and the number of layers opened."""
     text = text or ""
     base = sorted(scan(text), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     if not text:
         return [], [], 0
-    todo, seen, added, opened = deque([Layer(text, [(0, 0, len(text), True)])]), set(), set(), 0
+    # the worklist: of each open layer those that are still to come, the innermost first
+    todo, seen, added, opened = [unwrap(Layer(text, [(0, 0, len(text), True)]), limit)], set(), set(), 0
     while todo:
-        for layer in unwrap(todo.popleft()):
-            mark = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.pieces[0][1] if layer.pieces else -1)
-            if not layer.text or mark in seen or layer.text == text:
-                continue
-            seen.add(mark)
-            hits = scan(layer.text)
-            opened += bool(hits) or not layer.stray
-            added.update((*layer.place(a, b), kind, layer.text[a:b]) for a, b, kind in hits)
-            todo.append(layer)
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        mark = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.pieces[0][1] if layer.pieces else -1)
+        if not layer.text or mark in seen or layer.text == text:
+            continue
+        seen.add(mark)
+        hits = scan(layer.text)
+        opened += bool(hits) or not layer.stray
+        added.update((*layer.place(a, b), kind, layer.text[a:b]) for a, b, kind in hits)
+        todo.append(unwrap(layer, limit))
     added = _narrowest(added)
     every = sorted(set(base) | added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return base, every, opened

@@ -7,6 +7,7 @@ import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from tarnweave.llm.secrets import find, secret_digest, secret_spans
 
@@ -60,6 +61,55 @@ def test_layers_that_are_not_utf8(data):
     assert (2, len(text) - 6, "assign") in find(text)[1]
 
 
+def test_damaged_content_is_read_up_to_the_damage():
+    data = gzip.compress(WHOLE + random.Random(1).randbytes(4000))
+    text = "é " + B64(data[:-900])
+    assert (2, len(text), "assign") in find(text)[1]
+    assert find("é " + B64(b"\x1f\x8b\x08" + b"\xff" * 60))[1] == []
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.ZstdCompressor().compress])
+def test_what_bursts_is_read_in_steps(pack):
+    import resource
+
+    bomb = pack(b"0" * 60_000_000 + b" " + WHOLE)
+    text = "é " + B64(pack(bomb))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert {s[2] for s in find(text)[1] if s[:2] == (2, len(text))} >= {"assign", "hex"}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000
+    assert not any(s[2] == "assign" for s in find(text, limit=1 << 20)[1])
+
+
+ENCODERS = {
+    "url": lambda x: "".join(f"%{c:02X}" for c in x.encode()), "unicode": lambda x: "".join(f"\\u{ord(c):04x}" for c in x), "entity": lambda x: "".join(f"&#{ord(c)};" for c in x),
+    "base64": lambda x: B64(x.encode()), "gzip": lambda x: B64(gzip.compress(x.encode())), "zlib": lambda x: B64(zlib.compress(x.encode())), "zstd": lambda x: B64(zstandard.ZstdCompressor().compress(x.encode())),
+}
+
+
+@pytest.mark.parametrize("outer", ENCODERS)
+@pytest.mark.parametrize("inner", ENCODERS)
+def test_each_nesting_of_two(inner, outer):
+    """Escapes map letter by letter, base64 and compressed layers as a whole."""
+    clear, unit = "the config has password=hunter2hunter2 set", {"url": 3, "unicode": 6}
+    code = ENCODERS[inner](clear)
+    text = "é " + ENCODERS[outer](code) + " end"
+    a, b = clear.index("password"), clear.index(" set")
+    if inner == "entity":
+        a, b = (len(ENCODERS[inner](clear[:x])) for x in (a, b))
+    elif inner in unit:
+        a, b = a * unit[inner], b * unit[inner]
+    else:
+        a, b = 0, len(code.rstrip("=")) if outer in unit or outer == "entity" else len(code)
+    if outer == "entity":
+        a, b = (len(ENCODERS[outer](code[:x])) for x in (a, b))
+    elif outer in unit:
+        a, b = a * unit[outer], b * unit[outer]
+    else:
+        a, b = 0, len(ENCODERS[outer](code))
+    got = [s for s in find(text)[1] if s[2] == "assign"]
+    assert len(got) == 1 and got[0][0] == 2 + a and abs(got[0][1] - 2 - b) <= 2 * 6
+
+
 def test_what_has_no_secret_opens_no_layer():
     r = random.Random(2)
     assert find(" ".join(B64(r.randbytes(300)) for _ in range(200)))[1:] == ([], 0)
