@@ -29,7 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
@@ -257,7 +257,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not sizes.where(F.col("k") > group_phrases).isEmpty():
         strings = texts_with(open_.where(F.col("k") > group_phrases)).mapInArrow(_cut_strings(k), "string binary, n long, row binary, start long")
         many = strings.groupBy("string").agg(F.sum("n").alias("places")).where("places > 1")
-        marks = marks.unionByName(strings.where("n = 1").join(many, "string", "left_semi").select("row", "start", F.lit(1).alias("run")))
+        # strings that start one after the other are one mark
+        found = strings.where("n = 1").join(many, "string", "left_semi").select("row", "start")
+        found = found.withColumn("gap", F.col("start") - F.row_number().over(Window.partitionBy("row").orderBy("start")))
+        marks = marks.unionByName(found.groupBy("row", "gap").agg(F.min("start").alias("start"), F.count(F.lit(1)).cast("int").alias("run")).drop("gap"))
     # stored, so that the shuffle of the texts that were cut is gone before the texts are dealt again
     return texts, store(marks.groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("marks")), "marks")
 

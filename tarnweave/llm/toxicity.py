@@ -9,8 +9,9 @@ letters, and a run of single letters counts as one word. A word that lacks more
 (at least one) of a landmark's letters counts 0, and so does one whose kernel is below `FLOOR`,
 unless it has all of the landmark's letters in order in at most twice their number (letters
 between all letters): such a kernel is lifted above the floor. A sentence
-has, for each landmark, its best word; these kernel values times the inverse root of the
-landmarks' own kernel matrix are its Nystroem features. The machine is trained on sentences: all
+has, for each landmark, its best word; these values times the inverse root of the
+landmarks' own kernel matrix (of the pure kernel, so that it is positive semidefinite) are its Nystroem
+features. The machine is trained on sentences: all
 of clean documents, and of each toxic document the one that the machine so far finds worst. A
 document scores as its worst sentence, through a logistic curve fitted to training documents.
 
@@ -27,13 +28,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import release_memory, small_batches
 
@@ -77,18 +78,18 @@ def subsequence_kernel(words: np.ndarray, others: np.ndarray) -> np.ndarray:
     x[:, i, j]: weight of common subsequences that end at letters i and j; each round extends
     them by one letter, with the decay of the letters between.
     """
-    match = (words[:, :, None] == others[:, None, :]).astype(np.float32) * np.float32(DECAY * DECAY)
+    match = (words[:, :, None] == others[:, None, :]) * (DECAY * DECAY)
     n = others.shape[1]
-    lag = np.array([[DECAY ** (j - k - 1) if k < j else 0.0 for j in range(n)] for k in range(n)], dtype=np.float32)
+    lag = np.array([[DECAY ** (j - k - 1) if k < j else 0.0 for j in range(n)] for k in range(n)])
     x = match
     for _ in range(P - 1):
         y = np.zeros_like(x)
-        down = np.zeros((len(words), n), dtype=np.float32)
+        down = np.zeros((len(words), n))
         for i in range(1, words.shape[1]):
-            down = down * np.float32(DECAY) + x[:, i - 1, :]
+            down = down * DECAY + x[:, i - 1, :]
             y[:, i, :] = down @ lag
         x = y * match
-    return x.sum(axis=(1, 2), dtype=np.float64)
+    return x.sum(axis=(1, 2))
 
 
 def _spread(words: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -121,6 +122,14 @@ class Landmarks:
         self.codes = np.where(codes == 0, np.uint32(1), codes)
         self.norms = subsequence_kernel(codes, self.codes)
 
+    def matrix(self) -> np.ndarray:
+        """The pure kernel of all pairs of landmarks, scaled by both; positive semidefinite."""
+        n = len(self.words)
+        rows, cols = np.divmod(np.arange(n * n), n)
+        plain = np.where(self.codes == 1, np.uint32(0), self.codes)
+        k = subsequence_kernel(plain[rows], self.codes[cols]).reshape(n, n)
+        return k / np.sqrt(np.outer(self.norms, self.norms))
+
     def similarities(self, words: list[str]) -> np.ndarray:
         """Scaled kernel, lifted or 0 below the floor: a row for each word, a column for each landmark."""
         out = np.zeros((len(words), len(self.words)), dtype=np.float32)
@@ -138,7 +147,8 @@ class Landmarks:
             for i in range(0, len(rows), 4096):
                 r, c = rows[i : i + 4096], cols[i : i + 4096]
                 k = np.minimum(subsequence_kernel(codes[r], self.codes[c]) / self.norms[c], 1.0)
-                low = np.flatnonzero(k < FLOOR)
+                # sums may differ in their last bits from one machine to the next
+                low = np.flatnonzero(k < FLOOR - 1e-9)
                 whole = _spread(codes[r[low]], self.codes[c[low]])
                 k[low] = np.where(whole, FLOOR + (1 - FLOOR) * k[low], 0.0)
                 out[at[r], c] = k
@@ -283,9 +293,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | float:
     if not marks:
         return share
     landmarks = Landmarks(marks)
-    gram = landmarks.similarities(marks).astype(np.float64)
-    gram = (gram + gram.T) / 2
-    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.linalg.eigh(landmarks.matrix())
     keep = values > 1e-3
     root = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
     scorer = Scorer(landmarks)
@@ -365,43 +373,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(*training_rows(docs, labels, id_col, text_col, label_col, train_docs, train_chars))
 
 
-def score(docs: DataFrame, machine: Machine | float, text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: __tw_row, a struct of all its columns, and __tw_score."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__tw_row"))
-    place = docs.columns.index(text_col)
+def score(docs: DataFrame, machine: Machine | float, text_col: str = "text", name: str = "__tw_score") -> DataFrame:
+    """docs with a column `name`. Only texts go to the Python workers, and only scores come back."""
     small_batches(docs.sparkSession)
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(Landmarks(machine.landmarks)) if isinstance(machine, Machine) else None
         for whole in batches:
-            for lo in range(0, whole.num_rows, BATCH_DOCS):
-                b = whole.slice(lo, BATCH_DOCS)
-                text = whole.column(0).field(place).slice(lo, BATCH_DOCS)
+            out = []
+            for lo in range(0, len(whole), BATCH_DOCS):
+                texts = [(t or "").lower() for t in whole.slice(lo, BATCH_DOCS).to_pylist()]
                 if scorer is None:
-                    out = [float(machine)] * b.num_rows
+                    out += [float(machine)] * len(texts)
                 else:
-                    texts = [(t or "").lower() for t in text.to_pylist()]
                     sets = [words_of(t) for t in texts]
                     scorer.learn(set().union(*sets))
-                    out = [machine.score(scorer.document(t, w)) for t, w in zip(texts, sets)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.float64())], names=["__tw_row", "__tw_score"])
-        scorer = texts = sets = whole = b = text = None
+                    out += [machine.score(scorer.document(t, w)) for t, w in zip(texts, sets)]
+            yield pa.array(out, type=pa.float64())
+        scorer = texts = sets = whole = None
         release_memory()
 
-    return rows.mapInArrow(run, StructType([rows.schema["__tw_row"], StructField("__tw_score", DoubleType())]))
+    return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(f"`{text_col}`").cast("string")))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
     """A row for each row of docs: id_col, held_out, score, predicted."""
     machine = train(docs, labels, id_col, text_col, label_col, **options)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = score(rows, machine).select(F.col("__tw_row.id").alias(id_col), "__tw_score")
-    return rows.select(f"`{id_col}`", held_out(id_col).alias("held_out"), F.col("__tw_score").alias("score"), (F.col("__tw_score") >= 0.5).cast("int").alias("predicted"))
+    rows = score(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), machine, name="score")
+    return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
     """docs without the rows that score 0.5 or more; all columns stay. training: where labelled
     texts are found, if not docs."""
     machine = train(docs if training is None else training, labels, id_col, text_col, label_col, **options)
-    rows = score(docs, machine, text_col).where("__tw_score < 0.5")
-    return rows.select(*[F.col("__tw_row").getField(c).alias(c) for c in docs.columns])
+    return score(docs, machine, text_col).where("__tw_score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
