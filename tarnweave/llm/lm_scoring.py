@@ -6,11 +6,14 @@ the target model's loss less the background model's. Low scores are like the tar
 background is every document; the target is the documents whose label says so. A document that a
 model has counted is left out of that model's counts while it is scored.
 
-Counting and scoring work on chunks of whole documents. A chunk sends each of its distinct
-words and word pairs once, as a sorted list of hashes with counts, to the partition of that
-hash; the partition sums all chunks and sends each chunk the totals of what it asked for. So a
-word that is everywhere costs a row for each chunk, not for each place; nothing is broadcast,
-and the totals are those of all documents.
+Counting and scoring work on chunks of whole documents, which are read and stored once. A chunk sends
+each of its distinct words and word pairs once, as a sorted list of hashes with counts, to the
+partition of that hash; the partition sums all chunks and sends each chunk the totals of what it
+asked for. So a word that is everywhere costs a row for each chunk, not for each place; nothing is
+broadcast, and the totals are those of all documents. A sender has at most 2 ** `FAN_BITS` receivers: where
+there are more partitions, rows go by the first bits of their hashes to nodes that merge those of
+about as many senders and pass them on by the next bits, and the totals come back the same way, so
+rows grow in proportion to the corpus (times the number of steps).
 
 p(w | v) = mix * c(v w) / c(v) + (1 - mix) * (c(w) + add) / (T + add * (V + 1)); words outside
 the vocabulary are one word; after such a word, and at the start, only the second term counts.
@@ -32,10 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, store
+from .common import store
 
 #: Characters of a chunk (a longer document is a chunk of its own) and of a hash partition.
 CHUNK_CHARS, PART_CHARS = 6_000_000, 12_000_000
+#: A sender's receivers, and a node's senders, as a power of two.
+FAN_BITS = 8
 MIN_COUNT, MIX, ADD = 2, 0.6, 0.5
 
 
@@ -101,8 +106,7 @@ def _unpack_keys(first: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
 
 
 def _chunks(batches, size_of):
-    """Rows in chunks of whole documents: chunk number, list of rows. The same rows in the same
-    order give the same chunks."""
+    """Rows in chunks of whole documents: chunk number, list of rows."""
     base, seq, held, chars = TaskContext.get().partitionId() << 24, 0, [], 0
     for b in batches:
         for row in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)]):
@@ -201,68 +205,134 @@ def _flags(numbers, docs: int) -> np.ndarray:
     return out
 
 
+def _blob(keys: np.ndarray, every: np.ndarray, some: np.ndarray) -> bytes:
+    return _pack(*_pack_keys(keys), _shrink(every), _shrink(some))
+
+
+def _unblob(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, raw, every, some = _unpack(data)
+    return _unpack_keys(first, raw, len(every)), every.astype(np.int64), some.astype(np.int64)
+
+
+_ASKED, _TOLD = "part long, src long, asked binary", "part long, src long, told binary"
+
+
+def _dealt(src: int, keys: np.ndarray, every: np.ndarray, some: np.ndarray, bits: int):
+    """Rows of sorted keys, one for each value of their first bits."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(keys))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield int(part[lo]), src, _blob(keys[lo:hi], every[lo:hi], some[lo:hi])
+
+
+def _rows(found, names: tuple[str, str, str]) -> pa.Table:
+    found = list(found)
+    return pa.table({n: pa.array([f[i] for f in found], type=pa.binary() if i == 2 else pa.int64()) for i, n in enumerate(names)})
+
+
+def _merged(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
+    """Of rows by sender: the senders, their distinct keys, where each row's keys are among them, the sums, and where rows end."""
+    table = table.sort_by("src")
+    asked = [_unblob(x) for x in table.column("asked").to_pylist()]
+    distinct, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    sums = [np.bincount(inverse, weights=np.concatenate([a[i] for a in asked]), minlength=len(distinct)).astype(np.int64) for i in (1, 2)]
+    return table.column("src").to_pylist(), distinct, inverse, sums, np.cumsum([len(a[0]) for a in asked])[:-1].tolist()
+
+
+def _answers(part: int, senders: list[int], inverse: np.ndarray, totals: list[np.ndarray], cuts: list[int]):
+    for src, every, some in zip(senders, *[np.split(t[inverse], cuts) for t in totals]):
+        yield part, src, _pack(_shrink(every), _shrink(some))
+
+
+def _merge(bits: int):
+    """A node: the sums of its senders, dealt by the next step's bits."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, keys, _, sums, _ = _merged(table)
+        return _rows(_dealt(table.column("node")[0].as_py(), keys, *sums, bits), ("part", "src", "asked"))
+
+    return run
+
+
+def steps_of(parts: int) -> list[int]:
+    """How many of a hash's first bits tell its receiver at each step."""
+    bits = max(0, int(parts - 1).bit_length())
+    return [*range(FAN_BITS, bits, FAN_BITS), bits]
+
+
+def corpus_totals(asked: DataFrame, senders: int, steps: list[int], min_count: int) -> DataFrame:
+    """asked: part, src, asked: the chunks' keys with their counts, dealt by the first step's bits.
+    told: part, src, told: the counts in all chunks of the keys of each row; src -1: each part's statistics."""
+    levels = []
+    for n, bits in enumerate(steps[1:], 1):
+        nodes = -(-senders >> FAN_BITS) or 1
+        asked = store(asked.withColumn("node", F.pmod(F.xxhash64("src"), F.lit(nodes))), f"asked{n}")
+        levels.append(asked)
+
+        asked, senders = asked.groupBy("part", "node").applyInArrow(_merge(bits), _ASKED), nodes
+
+    def answer(table: pa.Table) -> pa.Table:
+        src, keys, inverse, totals, cuts = _merged(table)
+        part = table.column("part")[0].as_py()
+        word = (keys & np.uint64(1)).astype(bool)
+        known = word & (totals[0] >= min_count)
+        stats = np.array([known.sum(), *[t[word].sum() for t in totals], *[t[known].sum() for t in totals]], dtype=np.int64)
+        return _rows([*_answers(part, src, inverse, totals, cuts), (part, -1, _pack(stats))], ("part", "src", "told"))
+
+    told = store(asked.groupBy("part").applyInArrow(answer, _TOLD), "totals")
+    stats = told.where("src = -1")
+    for n in range(len(levels) - 1, -1, -1):
+        width = steps[n + 1] - steps[n]
+
+        def back(rows: pa.Table, totals: pa.Table) -> pa.Table:
+            if rows.num_rows == 0:
+                return _rows([], ("part", "src", "told"))
+            src, keys, inverse, _, cuts = _merged(rows)
+            got = [_unpack(t) for t in totals.sort_by("part").column("told").to_pylist()]
+            both = [np.concatenate([g[i].astype(np.int64) for g in got]) for i in (0, 1)]
+            return _rows(_answers(rows.column("part")[0].as_py(), src, inverse, both, cuts), ("part", "src", "told"))
+
+        up = told.where("src >= 0").withColumn("above", F.shiftright("part", width))
+        told = store(levels[n].groupBy("part", "node").cogroup(up.groupBy("above", "src")).applyInArrow(back, _TOLD), f"told{n}")
+    return told.where("src >= 0").unionByName(stats)
+
+
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_count: int = MIN_COUNT, mix: float = MIX, add: float = ADD) -> DataFrame:
     """docs: the documents, all of them background. targets: the ids of target documents. A row
     for each row of docs: id_col, n_words, target_loss, background_loss (per word), score."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
     id_type = kind.simpleString()
-
-    def number(batches):
-        for chunk, held in _chunks(batches, lambda r: r[1]):
-            ids = pa.array([r[0] for r in held], type=arrow_id)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(held)), pa.array(range(len(held)), type=pa.int32()), ids, pa.array([r[1] for r in held], type=pa.int64())], names=["chunk", "no", "doc_id", "chars"])
-
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id = to_arrow_type(kind)
-    places = checkpoint(rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")).mapInArrow(number, f"chunk long, no int, doc_id {id_type}, chars long"))
-    parts = -(-(places.agg(F.sum("chars")).first()[0] or 1) // PART_CHARS)
-    wanted = targets.select(F.col(f"`{id_col}`").alias("doc_id"), F.lit(True).alias("hit")).where("doc_id is not null").distinct()
-    marked = places.join(wanted, "doc_id", "left").groupBy("chunk").agg(F.collect_list(F.when(F.col("hit"), F.col("no"))).alias("target"), F.count(F.lit(1)).alias("n_docs"))
-    marked = checkpoint(marked)
+    wanted = targets.select(F.col(f"`{id_col}`").alias("target_id")).where("target_id is not null").distinct().withColumn("target_key", F.xxhash64("target_id"))
+    # rows without an id are dealt by their text; the same plan at every size: targets are hashed, texts are not sorted
+    rows = rows.withColumn("key", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
+    rows = rows.join(wanted.hint("shuffle_hash"), (F.col("key") == F.col("target_key")) & (F.col("doc_id") == F.col("target_id")), "left")
+    rows = rows.select("doc_id", "text", F.col("target_id").isNotNull().alias("hit"))
 
     def read(batches):
         for chunk, held in _chunks(batches, lambda r: len(r[1] or "")):
             words = _pack_words(*read_words(r[1] for r in held))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([[r[0] for r in held]], type=pa.list_(arrow_id)), pa.array([words], type=pa.binary())], names=["chunk", "ids", "words"])
+            ids, hits, chars = [r[0] for r in held], [n for n, r in enumerate(held) if r[2]], sum(len(r[1] or "") for r in held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk]), pa.array([ids], type=pa.list_(arrow_id)), pa.array([words], type=pa.binary()), pa.array([hits], type=pa.list_(pa.int32())), pa.array([chars])],
+                names=["chunk", "ids", "words", "target", "chars"],
+            )
+
+    chunks = store(rows.mapInArrow(read, f"chunk long, ids array<{id_type}>, words binary, target array<int>, chars long"), "chunks")
+    chars, n_chunks = chunks.agg(F.sum("chars"), F.count(F.lit(1))).first()
+    steps = steps_of(-(-(chars or 1) // PART_CHARS))
 
     def ask(batches):
         for b in batches:
-            for chunk, words, target, n_docs in zip(*[b.column(i).to_pylist() for i in range(4)]):
+            for chunk, words, target in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 c = Chunk(*_unpack_words(words))
-                if len(c.ends) != n_docs:
-                    raise RuntimeError("the chunks differ between two reads of the documents")
-                every, some = c.counts(_flags(target, n_docs))
-                part = ((c.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                for p in range(parts):
-                    lo, hi = cuts[p], cuts[p + 1]
-                    if hi > lo:
-                        yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([chunk]), pa.array([_pack(*_pack_keys(c.keys[lo:hi]), _shrink(every[lo:hi]), _shrink(some[lo:hi]))], type=pa.binary())], names=["part", "chunk", "asked"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        chunks, keys, every, some = table.column("chunk").to_pylist(), [], [], []
-        for asked in table.column("asked"):
-            first, raw, a, s = _unpack(asked.as_py())
-            keys.append(_unpack_keys(first, raw, len(a)))
-            every.append(a.astype(np.int64))
-            some.append(s.astype(np.int64))
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = [np.bincount(inverse, weights=np.concatenate(x), minlength=len(distinct)).astype(np.int64) for x in (every, some)]
-        word = (distinct & np.uint64(1)).astype(bool)
-        known = word & (totals[0] >= min_count)
-        stats = [known.sum(), *[t[word].sum() for t in totals], *[t[known].sum() for t in totals]]
-        split = [np.split(t[inverse], cuts) for t in totals]
-        out = [_pack(_shrink(a), _shrink(s)) for a, s in zip(*split)]
-        part = table.column("part")[0].as_py()
-        return pa.table({"part": pa.array([part] * (len(chunks) + 1), type=pa.int32()), "chunk": pa.array(chunks + [-1], type=pa.int64()), "told": pa.array(out + [_pack(np.array(stats, dtype=np.int64))], type=pa.binary())})
+                for row in _dealt(chunk, c.keys, *c.counts(_flags(target, len(c.ends))), steps[0]):
+                    yield from _rows([row], ("part", "src", "asked")).to_batches()
 
-    # the same plan at every size: marks are hashed, words are not sorted
-    asked = rows.mapInArrow(read, f"chunk long, ids array<{id_type}>, words binary").select("chunk", "words").join(marked.hint("shuffle_hash"), "chunk")
-    asked = asked.select("chunk", "words", "target", "n_docs").mapInArrow(ask, "part int, chunk long, asked binary")
-    told = store(asked.groupBy("part").applyInArrow(answer, "part int, chunk long, told binary"), "totals")
+    told = corpus_totals(chunks.select("chunk", "words", "target").mapInArrow(ask, _ASKED), n_chunks, steps, min_count)
     numbers = [f"s{i}" for i in range(5)]
 
     def stated(batches):
@@ -270,7 +340,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
             rows = np.array([_unpack(x)[0] for x in b.column(0).to_pylist()], dtype=np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=numbers)
 
-    totals = told.where("chunk = -1").select("told").mapInArrow(stated, ", ".join(f"{c} long" for c in numbers))
+    totals = told.where("src = -1").select("told").mapInArrow(stated, ", ".join(f"{c} long" for c in numbers))
     sums = [x or 0 for x in totals.agg(*[F.sum(c) for c in numbers]).first()]
     stats = {"vocabulary": int(sums[0]), "tokens": (int(sums[1]), int(sums[2])), "known": (int(sums[3]), int(sums[4]))}
 
@@ -279,19 +349,15 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         if words.num_rows == 0:
             return pa.table({k: pa.array([], type=t) for k, t in names.items()})
         c = Chunk(*_unpack_words(words.column("words")[0].as_py()))
-        n_docs = words.column("n_docs")[0].as_py()
-        if len(c.ends) != n_docs:
-            raise RuntimeError("the chunks differ between two reads of the documents")
-        by_part = sorted(zip(totals.column("part").to_pylist(), totals.column("told").to_pylist()))
-        got = [_unpack(t) for _, t in by_part]
+        got = [_unpack(t) for t in totals.sort_by("part").column("told").to_pylist()]
         both = tuple(np.concatenate([g[i].astype(np.int64) for g in got]) if got else np.empty(0, dtype=np.int64) for i in (0, 1))
-        target = _flags(words.column("target")[0].as_py(), n_docs)
+        target = _flags(words.column("target")[0].as_py(), len(c.ends))
         losses = c.losses(both, target, stats, min_count, mix, add)
         size = np.diff(c.ends, prepend=0)
         per = [x / np.maximum(size, 1) for x in losses]
         ids = words.column("ids").combine_chunks().flatten()
         return pa.table({k: pa.array(v, type=t) if not isinstance(v, pa.Array) else v for (k, t), v in zip(names.items(), (ids, size, *per))})
 
-    words = rows.mapInArrow(read, f"chunk long, ids array<{id_type}>, words binary").join(marked.hint("shuffle_hash"), "chunk")
-    out = words.groupBy("chunk").cogroup(told.where("chunk >= 0").groupBy("chunk")).applyInArrow(finish, f"doc_id {id_type}, n_words long, target_loss double, background_loss double")
+    words = chunks.select("chunk", "ids", "words", "target")
+    out = words.groupBy("chunk").cogroup(told.where("src >= 0").groupBy("src")).applyInArrow(finish, f"doc_id {id_type}, n_words long, target_loss double, background_loss double")
     return out.select(F.col("doc_id").alias(id_col), "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -1,7 +1,9 @@
 import math
 from collections import Counter
 
-from tarnweave.llm import lm_scoring
+import pytest
+
+from tarnweave.llm import common, lm_scoring
 from tarnweave.llm.lm_scoring import cross_entropy_difference
 
 from .data import documents, odd_rows, prose
@@ -41,8 +43,12 @@ def same(a, b):
     return a == b
 
 
-def test_like_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("fan", [8, 1])
+def test_like_brute_force(spark, monkeypatch, fan):
+    """Also by way of many steps of two receivers each."""
     monkeypatch.setattr(lm_scoring, "PART_CHARS", 900)
+    monkeypatch.setattr(lm_scoring, "CHUNK_CHARS", 700)
+    monkeypatch.setattr(lm_scoring, "FAN_BITS", fan)
     rows = odd_rows() + [(i, prose(i, 40), "a") for i in range(20, 60)]
     good = {1, 3, 9, 20, 21, 22, 23, 59, 999}
     targets = spark.createDataFrame([(g,) for g in good] + [(None,), (20,)], "doc_id long")
@@ -57,6 +63,28 @@ def test_no_target_and_empty(spark):
     assert cross_entropy_difference(documents(spark, []), none).count() == 0
 
 
+def test_rows_grow_with_the_corpus(spark, monkeypatch):
+    """Four times the documents, with other words: four times the rows, and one step more at most."""
+    monkeypatch.setattr(lm_scoring, "PART_CHARS", 200)
+    monkeypatch.setattr(lm_scoring, "CHUNK_CHARS", 400)
+    monkeypatch.setattr(lm_scoring, "FAN_BITS", 2)
+    counts, steps = [], []
+    for n in (100, 400):
+        written = []
+        monkeypatch.setattr(lm_scoring, "store", lambda df, name: written.append((name, common.store(df, name))) or written[-1][1])
+        rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "a") for i in range(n)]
+        cross_entropy_difference(documents(spark, rows).coalesce(1), spark.createDataFrame([(1,)], "doc_id long")).count()
+        counts.append(sum(df.count() for name, df in written if name != "chunks"))
+        steps.append(sum(name.startswith("asked") for name, _ in written))
+    assert steps[0] < steps[1] <= steps[0] + 2 and counts[1] <= 4 * counts[0] * (steps[1] + 1) / (steps[0] + 1) * 1.3
+
+
+def test_inputs_behind_a_shuffle(spark):
+    rows = odd_rows() + [(i, prose(i, 40), "a") for i in range(20, 60)]
+    docs = documents(spark, rows).repartition(7)
+    assert same([tuple(r) for r in cross_entropy_difference(docs, spark.createDataFrame([(1,)], "doc_id long")).collect()], brute(rows, {1}))
+
+
 def test_keys_round_trip():
     import numpy as np
 
