@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -112,3 +113,41 @@ def test_exactly_one_row_of_each_group_stays(spark):
     got = [(r["doc_id"], r["text"]) for r in drop_near_copies(documents(spark, rows)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert (None, "no id here") in got and (2, prose(40, 80)) in got and sum(i == 30 for i, _ in got) == 1
+
+
+def test_a_string_id_null_is_not_a_null_id(spark):
+    schema = "doc_id string, text string, lang string"
+    rows = [("null", prose(50, 80), "x"), (None, prose(50, 80), "x"), (None, prose(51, 80), "x"), ("7", prose(52, 80), "x")]
+    got = sorted(map(tuple, drop_near_copies(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[3]], key=repr)
+
+
+def test_fingerprints_like_the_sessions_own_hash(spark):
+    """XXH64 with seed 42 of each shingle, by the session's function; more than half of the hashes have the bit."""
+    from pyspark.sql import functions as F
+
+    texts = [t for _, t, _ in odd_rows() if t] + ["ÄB Çd\tE\x0bF  g h", "a b c d", "a b c d e", "İ ſ K a"]
+    for t in texts:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) if w]
+        shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+        df = spark.createDataFrame([(s,) for s in shingles], "s string").select(F.xxhash64("s").alias("h"))
+        hashes = [r["h"] % (1 << 64) for r in df.collect()]
+        assert fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_long_signatures_give_the_same_groups(spark, monkeypatch):
+    """As with 10 ** 10 fingerprints."""
+    import tarnweave.llm.simhash as module
+
+    fps = cluster(11, 150)
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    monkeypatch.setattr(module, "signatures", lambda n: signatures(10**10))
+    got, want = union([tuple(r) for r in module.fingerprint_links(df).collect()], map(signed, fps)), roots(fps)
+    groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
+    assert groups(got) == groups({signed(k): signed(v) for k, v in want.items()})
+
+
+def test_long_texts(spark):
+    text = prose(9, 400_000)
+    got = near_groups(documents(spark, [(1, text, "a"), (2, text + " one more word", "a"), (3, prose(8, 50), "a")])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
