@@ -1,8 +1,8 @@
 """License scans by diagonal voting.
 
 All rolling word k-grams of a text are hashed and joined to the positions of the same k-grams in
-license templates (two hashes, of 96 bits together, must agree). A match at word i of the text and
-j of a template votes for the diagonal i - j; votes are summed for each text, template and diagonal,
+license templates (64 bits; a vote that only a hash's collision gives cannot verify a span by itself). A
+match at word i of the text and j of a template votes for the diagonal i - j; votes are summed for each text, template and diagonal,
 and neighbouring diagonals (a few words inserted or lost) merge into one span. A span is verified by
 the Dice similarity of its k-grams with the template's, each counted once; from `threshold` on
 it gives the template's label. Besides, short phrases label a text wherever their words stand.
@@ -77,20 +77,15 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(GAP, text.translate(str.maketrans(UPPER, UPPER.lower()))) if w]
 
 
-def _hashes(words: list) -> list:
-    """Two hashes of the words of a k-gram."""
-    return [F.xxhash64(*words).alias("h"), F.hash(*words).alias("g")]
-
-
 def template_grams(spark, templates=None, gram: int = GRAM) -> DataFrame:
-    """A row for each position of each template: t, label, t_pos, t_grams, h, g."""
+    """A row for each position of each template: t, label, t_pos, t_grams, h (the gram's hash)."""
     rows = []
     for t, (label, text) in enumerate(TEMPLATES if templates is None else templates):
         words = words_of(text)
         n = len(words) - gram + 1
         rows += [(t, label, j, n, words[j : j + gram]) for j in range(n)]
     table = spark.createDataFrame(rows, "t int, label string, t_pos int, t_grams int, words array<string>")
-    return table.select("t", "label", "t_pos", "t_grams", *_hashes([F.get("words", k) for k in range(gram)]))
+    return table.select("t", "label", "t_pos", "t_grams", F.xxhash64(*[F.get("words", k) for k in range(gram)]).alias("h"))
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, gram: int, templates: DataFrame, phrases: dict[str, str]) -> DataFrame:
@@ -112,13 +107,16 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, gram: int, templates: Dat
         found = F.filter(F.sequence(F.lit(0), n - 1), stands)
         return F.when((n >= len(parts)) & F.array_contains("w", parts[-1]), found).otherwise(F.array().cast("array<int>"))
 
-    head = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("g")))
-    grams = F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.struct(i.alias("pos"), *_hashes([F.get("w", i + k) for k in range(gram)])))
-    rows = rows.select("row", "doc_id", n.cast("long").alias("n_words"), *[starts(p).alias(f"p{i}") for i, p in enumerate(phrases)], F.explode(F.when(n >= gram, F.concat(head, grams)).otherwise(head)).alias("x"))
+    # place 0 stands for the text itself
+    head, grams = F.array(F.lit(None).cast("long")), F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(gram)]))
     own = ["doc_id", "n_words", *[f"p{i}" for i in range(len(phrases))]]
-    rows = rows.select("row", *[F.when(F.col("x.pos") < 0, F.col(c)).alias(c) for c in own], F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.g").alias("g"))
+    found = F.struct("doc_id", n.cast("long").alias("n_words"), *[starts(p).alias(f"p{i}") for i, p in enumerate(phrases)])
+    # computed before the rows are exploded, so that the words stay behind
+    rows = rows.select("row", found.alias("own"), F.when(n >= gram, F.concat(head, grams)).otherwise(head).alias("grams"))
+    rows = rows.select("row", "own", F.posexplode("grams").alias("pos", "h"))
     # a few thousand rows
-    return rows.join(F.broadcast(templates), ["h", "g"], "left").where("pos < 0 or t is not null").drop("h", "g")
+    rows = rows.join(F.broadcast(templates), "h", "left").where("pos = 0 or t is not null").withColumn("pos", F.col("pos") - 1)
+    return rows.select("row", *[F.when(F.col("pos") < 0, F.col(f"own.{c}")).alias(c) for c in own], "pos", "t", "label", "t_pos", "t_grams")
 
 
 def _spans(votes: DataFrame, gram: int, near: int) -> DataFrame:
