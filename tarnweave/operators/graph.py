@@ -9,19 +9,12 @@ graphs; without a level cap, fixpoints run until the frontier is empty.
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registries as R
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tarnweave-"))
-    return df.checkpoint(eager=True)
+from .common import checkpoint
 
 
 def node_id(label: Column) -> Column:
@@ -108,9 +101,12 @@ def program_edges(uses: DataFrame, stores: DataFrame, loads: DataFrame, frame_st
 def taint_routes(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """source, sink, path: the shortest path of each pair, the least of several. sources, sinks: node.
 
-    A path never visits a value twice, and ends at the sink.
+    A path never visits a value twice, and ends at the sink. Values from which no sink can be reached
+    are found first, backwards, and not followed.
     """
     links = edges.select("src", "dst").distinct()
+    useful = reach(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), sinks).select("node")
+    links = checkpoint(links.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
     frontier = checkpoint(sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path")).distinct())
     found = frontier
     for _ in _levels(max_depth):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registries as R
+from .common import checkpoint, numbered
 from ..functions import urls as U
 
 
@@ -253,7 +254,8 @@ def refined_party() -> Column:
 
 def classify(routes: DataFrame, netlog: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
     """Routes and logs in, scored and merged threats out; min_rule and domain give their order."""
-    merged = merge_threats(threats(rewrite_routes(routes, netlog), netlog, handlers))
+    # stored, as routes and their sites' and sources' facts all come from it
+    merged = merge_threats(threats(checkpoint(rewrite_routes(routes, netlog)), netlog, handlers))
     scored = merged.withColumn("confidence", confidence(F.col("threat_type"), F.col("trigger_context"), F.col("destination")))
     scored = scored.withColumn("party", refined_party())
     return scored.withColumn("min_rule", F.coalesce(F.element_at(rule_numbers(F.col("threat_type")), 1), F.lit(99)))
@@ -293,5 +295,6 @@ def domain_summary(merged: DataFrame) -> DataFrame:
 
 
 def with_order(merged: DataFrame) -> DataFrame:
-    """A position for each row in the report's order."""
-    return merged.withColumn("position", F.row_number().over(Window.orderBy("min_rule", "domain", "source", "sink", "destination")))
+    """A position for each row in the report's order, numbered range by range."""
+    rows = numbered(merged, [F.col(c) for c in ("min_rule", "domain", "source", "sink", "destination")], "position")
+    return rows.withColumn("position", (F.col("position") + 1).cast("int"))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint, numbered
+
 
 def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, value: str) -> DataFrame:
     """left with the value of the last right row of the same key at or before it; null if none.
@@ -75,9 +77,9 @@ def time_delta(rows: DataFrame, by: str, time: str, order: list[str]) -> DataFra
 
 
 def ids_by_first_sight(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """key, id: 0, 1, 2 ... by first appearance; numbered after aggregation."""
+    """key, id: 0, 1, 2 ... by first appearance; numbered after aggregation, range by range."""
     first = rows.groupBy(key).agg(F.min(order).alias("__first"))
-    return first.select(key, (F.row_number().over(Window.orderBy("__first", key)) - 1).alias("id"))
+    return numbered(first, [F.col("__first"), F.col(key)], "id").select(key, "id")
 
 
 def moments(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -135,19 +137,21 @@ def heap_nodes(snapshot: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select("id", "no", *[F.get("numbers", (F.col("no") * k + i).cast("int")).alias(f) for i, f in enumerate(fields)])
 
 
-def ancestors(parents: DataFrame, *, max_depth: int = 64) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """parents: node, parent (0: none). node, stack: ancestors from the root down, the node last.
 
-    Chains double in length with each round: stack[node] = stack[ancestor] + stack[node].
+    Chains double in length with each round: stack[node] = stack[ancestor] + stack[node]; rounds go
+    on until every chain has come to its root. A parent that is no node ends a chain like a root; nodes whose
+    chain comes back to itself have none, and an error names the first of them.
     """
-    from .graph import checkpoint
-
     rows = checkpoint(parents.select("node", F.col("parent").alias("up"), F.array("node").alias("stack")))
-    depth = 1
-    while depth < max_depth and not rows.where("up <> 0").isEmpty():
+    longest, nodes = 1, rows.count()
+    while not (open_ := rows.where("up <> 0")).isEmpty():
+        if longest > nodes:  # longer than any chain without a cycle
+            raise ValueError(f"the chain of node {open_.agg(F.min('node')).first()[0]} has no root")
         above = rows.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("stack").alias("__stack"))
         rows = rows.join(above, "up", "left").select("node", F.when(F.col("up") == 0, F.lit(0)).otherwise(F.coalesce("__up", F.lit(0))).cast("long").alias("up"), F.when(F.col("__stack").isNull(), F.col("stack")).otherwise(F.concat("__stack", "stack")).alias("stack"))
-        rows, depth = checkpoint(rows), depth * 2
+        rows, longest = checkpoint(rows), longest * 2
     return rows.select("node", "stack")
 
 

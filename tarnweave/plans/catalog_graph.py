@@ -47,15 +47,6 @@ def event_closure(spark, d):
     return O.reach(X.edges(spark, d), X.table(spark, d, "part").where("p_partkey % 97 = 5").select(F.col("p_partkey").alias("node")), max_depth=10)
 
 
-@query("taint_paths", f"""WITH RECURSIVE {X.EDGES_SQL}, r(node, path) AS (SELECT p_partkey, [p_partkey] FROM part WHERE p_partkey = 3
-    UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN (SELECT DISTINCT * FROM fx_edges) ON src = node WHERE NOT list_contains(path, dst) AND len(path) < 7)
-  SELECT 3::BIGINT AS source, node AS sink, len(arg_min(path, (len(path), path)))::INT AS steps, arg_min(path, (len(path), path))::VARCHAR AS path FROM r WHERE node % 2 = 0 GROUP BY node""")
-def taint_paths(spark, d):
-    part = X.table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    out = O.taint_routes(X.edges(spark, d), part.where("node = 3"), part.where("node % 2 = 0"), max_depth=6)
-    return out.select("source", "sink", F.size("path").alias("steps"), F.concat(F.lit("["), F.array_join(F.transform("path", lambda x: x.cast("string")), ", "), F.lit("]")).alias("path"))
-
-
 @query("call_links", f"""WITH f AS (SELECT p_type AS name, min(p_partkey) AS func_id FROM part WHERE length(p_type) > 0 GROUP BY p_type)
   SELECT l_orderkey * 10 + l_linenumber AS call_id, func_id FROM lineitem JOIN part ON l_partkey = p_partkey JOIN f ON name = p_type WHERE length(p_type) > 2""")
 def call_links(spark, d):

@@ -22,16 +22,16 @@ def text_scrub(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(O.scrubbed(F.concat("text", F.lit("😀")))).alias("clean"))
 
 
-@query("separator_escape", "SELECT doc_id, replace(replace(substr(text, 1, 20) || chr(8232) || 'x' || chr(8233), chr(8232), '\\u2028'), chr(8233), '\\u2029') AS t FROM documents")
+@query("separator_escape", "SELECT doc_id, md5(replace(replace(text || chr(8232) || 'x' || chr(8233), chr(8232), '\\u2028'), chr(8233), '\\u2029')) AS t FROM documents")
 def separator_escape(spark, d):
-    return _docs(spark, d).select("doc_id", O.escaped_separators(F.concat(F.substring("text", 1, 20), F.lit(" x "))).alias("t"))
+    return _docs(spark, d).select("doc_id", F.md5(O.escaped_separators(F.concat("text", F.lit(" x ")))).alias("t"))
 
 
-@query("mojibake_repair", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '한국어 ' ELSE 'í ' END || substr(text, 1, 60) AS t FROM documents")
+@query("mojibake_repair", "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN '한국어 ' ELSE 'í ' END || text) AS t FROM documents")
 def mojibake_repair(spark, d):
-    text = F.concat(F.when(_C("doc_id") % 2 == 0, "한국어 ").otherwise("í "), F.substring("text", 1, 60))
+    text = F.concat(F.when(_C("doc_id") % 2 == 0, "한국어 ").otherwise("í "), "text")
     garbled = F.when(_C("doc_id") % 2 == 0, F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")).otherwise(text)
-    return _docs(spark, d).select("doc_id", O.repaired(garbled, ("한국",)).alias("t"))
+    return _docs(spark, d).select("doc_id", F.md5(O.repaired(garbled, ("한국",))).alias("t"))
 
 
 @query("empty_script_drop", "SELECT doc_id FROM documents WHERE trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END) <> ''")
@@ -41,27 +41,26 @@ def empty_script_drop(spark, d):
 
 def _banners(spark, d):
     mark = "\n\n" + O.SEPARATOR + O.BANNER
-    body = lambda n: F.substring("text", n, 30)
-    part = lambda n: F.concat(F.lit(mark + f" https://cdn{n}.example.com/"), _C("doc_id").cast("string"), F.lit(f"/a{n}.js\n" + O.SEPARATOR), body(n * 10))
+    part = lambda n: F.concat(F.lit(mark + f" https://cdn{n}.example.com/"), _C("doc_id").cast("string"), F.lit(f"/a{n}.js\n" + O.SEPARATOR), F.col("text"))
     return _docs(spark, d).select(_C("doc_id").alias("key"), F.concat(F.when(_C("doc_id") % 2 == 0, "var a;").otherwise(" "), part(1), part(2)).alias("text"))
 
 
-_BAN = """WITH t AS (SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'var a;' ELSE ' ' END || m || ' https://cdn1.example.com/' || doc_id || '/a1.js' || chr(10) || s || substr(text, 10, 30) || m || ' https://cdn2.example.com/' || doc_id || '/a2.js' || chr(10) || s || substr(text, 20, 30) AS text
+_BAN = """WITH t AS (SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'var a;' ELSE ' ' END || m || ' https://cdn1.example.com/' || doc_id || '/a1.js' || chr(10) || s || text || m || ' https://cdn2.example.com/' || doc_id || '/a2.js' || chr(10) || s || text AS text
   FROM documents, (SELECT '// ==========================================' || chr(10) AS s, chr(10) || chr(10) || '// ==========================================' || chr(10) || '// [FILE] Source:' AS m)),
 p AS (SELECT key, string_split(text, '// ==========================================' || chr(10) || '// [FILE] Source:') AS c FROM t),
 x AS (SELECT key, i::INT AS part, c[i + 1] AS chunk FROM (SELECT *, unnest(range(len(c))) AS i FROM p)),
 parts AS (SELECT key, part, CASE WHEN part > 0 THEN trim(string_split(chunk, chr(10))[1]) END AS source_url, CASE WHEN part > 0 THEN substr(chunk, instr(chunk, chr(10))) ELSE chunk END AS body FROM x WHERE part > 0 OR regexp_replace(chunk, '\\s+', '', 'g') <> '')"""
 
 
-@query("banner_split", f"{_BAN} SELECT key, part, source_url, body FROM parts")
+@query("banner_split", f"{_BAN} SELECT key, part, source_url, md5(body) AS body FROM parts")
 def banner_split(spark, d):
-    return O.split_banners(_banners(spark, d))
+    return O.split_banners(_banners(spark, d)).withColumn("body", F.md5("body"))
 
 
 @query("script_concat", f"""{_BAN}, w AS (SELECT key, part, source_url, ';(function(){{try{{' || chr(10) || body || chr(10) || '}}catch(e){{}}}})()' AS b FROM parts)
-  SELECT key, string_agg(CASE WHEN source_url IS NULL THEN b ELSE '// ==========================================' || chr(10) || '// [FILE] Source:' || source_url || chr(10) || '// ==========================================' || chr(10) || b END, chr(10) ORDER BY part) AS text FROM w GROUP BY key""")
+  SELECT key, md5(string_agg(CASE WHEN source_url IS NULL THEN b ELSE '// ==========================================' || chr(10) || '// [FILE] Source:' || source_url || chr(10) || '// ==========================================' || chr(10) || b END, chr(10) ORDER BY part)) AS text FROM w GROUP BY key""")
 def script_concat(spark, d):
-    return O.join_parts(O.split_banners(_banners(spark, d)))
+    return O.join_parts(O.split_banners(_banners(spark, d))).withColumn("text", F.md5("text"))
 
 
 @query("inline_scripts", "SELECT page_id, i::INT AS no, c[i + 1] AS code FROM (SELECT page_id, c, unnest(range(len(c))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS c FROM pages)) WHERE trim(c[i + 1]) <> ''")
@@ -103,39 +102,39 @@ def human_formats(spark, d):
     return X.table(spark, d, "part").select("p_partkey", O.human_size(k * 1280).alias("size"), O.human_time(k * 7).alias("time"))
 
 
-_T = "substr(text, 1, 24)"
+_T = "text"
 
 
 @query("str_slices", f"SELECT doc_id, substr(t, 3, 4) AS slice, CASE WHEN length(t) >= 4 THEN substr(t, length(t) - 3, 3) ELSE substr(t, 1, greatest(length(t) - 1, 0)) END AS tail, substr(t, 3, 5) AS sub, CASE WHEN length(t) > 5 THEN substr(t, 6, 1) END AS letter, substr(t, length(t), 1) AS last FROM (SELECT doc_id, {_T} AS t FROM documents)")
 def str_slices(spark, d):
-    t = F.substring("text", 1, 24)
+    t = _C("text")
     return _docs(spark, d).select("doc_id", J.js_slice(t, 2, 6).alias("slice"), J.js_slice(t, -4, -1).alias("tail"), J.js_substring(t, 7, 2).alias("sub"), J.at(t, 5).alias("letter"), J.at(t, -1).alias("last"))
 
 
 @query("str_search", f"""SELECT doc_id, contains(t, 'th') AS has, starts_with(t, 'Th') AS begins, ends_with(t, 'e') AS ends, instr(t, 'th') - 1 AS first, CASE WHEN instr(reverse(t), 'ht') = 0 THEN -1 ELSE length(t) - instr(reverse(t), 'ht') - 1 END AS last,
-  CASE WHEN instr(t, 'e') = 0 THEN t ELSE substr(t, 1, instr(t, 'e') - 1) || '_' || substr(t, instr(t, 'e') + 1) END AS once, replace(t, 'e', '_') AS every FROM (SELECT doc_id, {_T} AS t FROM documents)""")
+  md5(CASE WHEN instr(t, 'e') = 0 THEN t ELSE substr(t, 1, instr(t, 'e') - 1) || '_' || substr(t, instr(t, 'e') + 1) END) AS once, md5(replace(t, 'e', '_')) AS every FROM (SELECT doc_id, {_T} AS t FROM documents)""")
 def str_search(spark, d):
-    t = F.substring("text", 1, 24)
-    return _docs(spark, d).select("doc_id", F.contains(t, F.lit("th")).alias("has"), F.startswith(t, F.lit("Th")).alias("begins"), F.endswith(t, F.lit("e")).alias("ends"), J.index_of(t, "th").alias("first"), J.last_index_of(t, "th").alias("last"), J.replace_first(t, "e", "_").alias("once"), F.replace(t, F.lit("e"), F.lit("_")).alias("every"))
+    t = _C("text")
+    return _docs(spark, d).select("doc_id", F.contains(t, F.lit("th")).alias("has"), F.startswith(t, F.lit("Th")).alias("begins"), F.endswith(t, F.lit("e")).alias("ends"), J.index_of(t, "th").alias("first"), J.last_index_of(t, "th").alias("last"), F.md5(J.replace_first(t, "e", "_")).alias("once"), F.md5(F.replace(t, F.lit("e"), F.lit("_"))).alias("every"))
 
 
-@query("str_pad", f"SELECT doc_id, replace(upper(t), 'ẞ', 'SS') AS up, lower(t) AS low, trim(t) AS trimmed, repeat(substr(t, 1, 3), 3) AS rep, CASE WHEN length(t) >= 12 THEN t ELSE lpad(t, 12, '*') END AS ps, CASE WHEN length(t) >= 12 THEN t ELSE rpad(t, 12, '*') END AS pe, ascii(t) AS code FROM (SELECT doc_id, substr(text, 1, (8 + doc_id % 10)::INT) AS t FROM documents)")
+@query("str_pad", f"SELECT doc_id, md5(replace(upper(t), 'ẞ', 'SS')) AS up, md5(lower(t)) AS low, md5(trim(t)) AS trimmed, md5(repeat(t, 3)) AS rep, md5(CASE WHEN length(t) >= 1000 THEN t ELSE lpad(t, 1000, '*') END) AS ps, md5(CASE WHEN length(t) >= 1000 THEN t ELSE rpad(t, 1000, '*') END) AS pe, ascii(t) AS code FROM (SELECT doc_id, text AS t FROM documents)")
 def str_pad(spark, d):
-    t = F.substring(_C("text"), F.lit(1), (_C("doc_id") % 10 + 8).cast("int"))
-    return _docs(spark, d).select("doc_id", F.upper(t).alias("up"), F.lower(t).alias("low"), F.trim(t).alias("trimmed"), F.repeat(F.substring(t, 1, 3), 3).alias("rep"), J.pad_start(t, 12, "*").alias("ps"), J.pad_end(t, 12, "*").alias("pe"), F.ascii(t).alias("code"))
+    t = _C("text")
+    return _docs(spark, d).select("doc_id", F.md5(F.upper(t)).alias("up"), F.md5(F.lower(t)).alias("low"), F.md5(F.trim(t)).alias("trimmed"), F.md5(F.repeat(t, F.lit(3))).alias("rep"), F.md5(J.pad_start(t, 1000, "*")).alias("ps"), F.md5(J.pad_end(t, 1000, "*")).alias("pe"), F.ascii(t).alias("code"))
 
 
-@query("regexp_functions", f"SELECT doc_id, regexp_matches(t, '[A-Z]h') AS test, len(regexp_extract_all(t, '[aeiou]')) AS matches, regexp_extract(t, '([a-z]+)[,.]', 1) AS word, regexp_replace(t, '[aeiou]+', '#', 'g') AS changed, len(regexp_split_to_array(t, '[ ,.]')) AS parts FROM (SELECT doc_id, {_T} AS t FROM documents)")
+@query("regexp_functions", f"SELECT doc_id, regexp_matches(t, '[A-Z]h') AS test, len(regexp_extract_all(t, '[aeiou]')) AS matches, regexp_extract(t, '([a-z]+)[,.]', 1) AS word, md5(regexp_replace(t, '[aeiou]+', '#', 'g')) AS changed, len(regexp_split_to_array(t, '[ ,.]')) AS parts FROM (SELECT doc_id, {_T} AS t FROM documents)")
 def regexp_functions(spark, d):
-    t = F.substring("text", 1, 24)
-    return _docs(spark, d).select("doc_id", t.rlike("[A-Z]h").alias("test"), F.size(F.regexp_extract_all(t, F.lit("[aeiou]"), 0)).alias("matches"), F.regexp_extract(t, "([a-z]+)[,.]", 1).alias("word"), F.regexp_replace(t, "[aeiou]+", "#").alias("changed"), F.size(F.split(t, "[ ,.]", -1)).alias("parts"))
+    t = _C("text")
+    return _docs(spark, d).select("doc_id", t.rlike("[A-Z]h").alias("test"), F.size(F.regexp_extract_all(t, F.lit("[aeiou]"), 0)).alias("matches"), F.regexp_extract(t, "([a-z]+)[,.]", 1).alias("word"), F.md5(F.regexp_replace(t, "[aeiou]+", "#")).alias("changed"), F.size(F.split(t, "[ ,.]", -1)).alias("parts"))
 
 
-_A = "list_transform(embedding[1:8], lambda x: floor(x * 100)::INT)"
+_A = "list_transform(embedding, lambda x: floor(x * 100)::INT)"
 
 
 def _arr(spark, d):
-    return X.table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 100).cast("int")).alias("a"))
+    return X.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 100).cast("int")).alias("a"))
 
 
 @query("arr_iterate", f"""SELECT vec_id, list_transform(a, lambda x: x * 2) AS mapped, list_filter(a, lambda x: x > 0) AS kept, list_sum(a)::INT AS total, len(list_filter(a, lambda x: x <= 50)) = len(a) AS every_, len(list_filter(a, lambda x: x > 15)) > 0 AS some_,
@@ -145,11 +144,11 @@ def arr_iterate(spark, d):
     return _arr(spark, d).select("vec_id", F.transform(a, lambda x: x * 2).alias("mapped"), F.filter(a, lambda x: x > 0).alias("kept"), F.aggregate(a, F.lit(0), lambda s, x: s + x).alias("total"), F.forall(a, lambda x: x <= 50).alias("every_"), F.exists(a, lambda x: x > 15).alias("some_"), J.find_first(a, neg).alias("first"), J.find_last(a, neg).alias("last"))
 
 
-@query("arr_edit", f"""SELECT vec_id, list_contains(a, 5) AS has, coalesce(list_position(a, 5), 0) - 1 AS at, list_reverse(a) AS rev, a[3:5] AS cut, list_append(a, 7) AS pushed, list_prepend(7, a) AS shifted, a[1:7] AS popped, array_to_string(a, '-') AS joined,
-  a[1:2] || [99] || a[5:8] AS spliced, a[1:3] || [0] || a[5:8] AS changed, list_sort(a) AS sorted, list_sort(list_distinct(a)) AS uniq FROM (SELECT vec_id, {_A} AS a FROM embeddings)""")
+@query("arr_edit", f"""SELECT vec_id, list_contains(a, 5) AS has, coalesce(list_position(a, 5), 0) - 1 AS at, list_reverse(a) AS rev, a[3:5] AS cut, list_append(a, 7) AS pushed, list_prepend(7, a) AS shifted, a[1:-2] AS popped, array_to_string(a, '-') AS joined,
+  a[1:2] || [99] || a[5:] AS spliced, a[1:3] || [0] || a[5:] AS changed, list_sort(a) AS sorted, list_sort(list_distinct(a)) AS uniq FROM (SELECT vec_id, {_A} AS a FROM embeddings)""")
 def arr_edit(spark, d):
     a = _C("a")
-    return _arr(spark, d).select("vec_id", F.array_contains(a, 5).alias("has"), J.index_in(a, 5).alias("at"), F.reverse(a).alias("rev"), F.slice(a, 3, 3).alias("cut"), F.array_append(a, F.lit(7)).alias("pushed"), F.array_prepend(a, F.lit(7)).alias("shifted"), F.slice(a, 1, 7).alias("popped"), F.array_join(F.transform(a, lambda x: x.cast("string")), "-").alias("joined"), J.spliced(a, 2, 2, F.array(F.lit(99))).alias("spliced"), J.with_at(a, 3, 0).alias("changed"), F.array_sort(a).alias("sorted"), F.array_sort(F.array_distinct(a)).alias("uniq"))
+    return _arr(spark, d).select("vec_id", F.array_contains(a, 5).alias("has"), J.index_in(a, 5).alias("at"), F.reverse(a).alias("rev"), F.slice(a, 3, 3).alias("cut"), F.array_append(a, F.lit(7)).alias("pushed"), F.array_prepend(a, F.lit(7)).alias("shifted"), F.slice(a, F.lit(1), F.size(a) - 1).alias("popped"), F.array_join(F.transform(a, lambda x: x.cast("string")), "-").alias("joined"), J.spliced(a, 2, 2, F.array(F.lit(99))).alias("spliced"), J.with_at(a, 3, 0).alias("changed"), F.array_sort(a).alias("sorted"), F.array_sort(F.array_distinct(a)).alias("uniq"))
 
 
 @query("arr_comparator_sort", f"SELECT vec_id, list_sort(a, 'DESC') AS down, flatten([a[1:2], a[5:6]]) AS flat FROM (SELECT vec_id, {_A} AS a FROM embeddings)")
@@ -181,7 +180,7 @@ def number_parse(spark, d):
     return X.table(spark, d, "events").select("event_id", J.parse_int(s).alias("whole"), J.parse_float(s).alias("number"), (s == "").alias("nothing"))
 
 
-@query("date_parts", """SELECT event_id, year(ts) AS y, month(ts) - 1 AS m, day(ts) AS d, dayofweek(ts) AS w, hour(ts) AS h, epoch_ms(ts) AS ms, epoch_ms(make_date(2024 + (event_id % 30 // 12)::INT, (event_id % 30 % 12)::INT + 1, 1)::TIMESTAMP) + (event_id % 40) * 86400000 AS made FROM events""")
+@query("date_parts", """SELECT event_id, year(ts) AS y, month(ts) - 1 AS m, day(ts) AS d, dayofweek(ts) AS w, hour(ts) AS h, epoch_us(ts) // 1000 AS ms, epoch_ms(make_date(2024 + (event_id % 30 // 12)::INT, (event_id % 30 % 12)::INT + 1, 1)::TIMESTAMP) + (event_id % 40) * 86400000 AS made FROM events""")
 def date_parts(spark, d):
     t, k = _C("ts"), _C("event_id")
     ms = F.floor(F.unix_micros(t.cast("timestamp")) / 1000)
@@ -194,10 +193,13 @@ def json_functions(spark, d):
     return X.table(spark, d, "events").select("event_id", j["k"].alias("k"), F.parse_json("props").isNotNull().alias("valid"), j["none"].isNull().alias("missing"))
 
 
-@query("map_functions", """SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber = 2 OR true AS has, 'A' || l_returnflag AS got, 2 AS size, l_returnflag || ',' || 'z' AS keys FROM lineitem WHERE l_linenumber < 3""")
+@query("map_functions", """SELECT l_orderkey * 10 + l_linenumber AS id, 'O' IN (l_returnflag, l_linestatus) AS has, CASE WHEN l_returnflag = 'R' THEN 'A' || l_linenumber END AS got, CASE WHEN l_linenumber > 2 THEN 3 ELSE 2 END AS size,
+  array_to_string(CASE WHEN l_linenumber > 2 THEN [l_returnflag, l_linestatus, 'z'] ELSE [l_returnflag, l_linestatus] END, ',') AS keys FROM lineitem""")
 def map_functions(spark, d):
-    m = F.map_from_arrays(F.array("l_returnflag", F.lit("z")), F.array(F.concat(F.lit("A"), "l_returnflag"), F.lit("B")))
-    return X.table(spark, d, "lineitem").where("l_linenumber < 3").select((_C("l_orderkey") * 10 + _C("l_linenumber")).alias("id"), F.map_contains_key(m, "z").alias("has"), F.try_element_at(m, _C("l_returnflag")).alias("got"), F.size(m).alias("size"), F.array_join(F.map_keys(m), ",").alias("keys"))
+    n = _C("l_linenumber")
+    m = F.map_from_arrays(F.array("l_returnflag", "l_linestatus"), F.array(F.concat(F.lit("A"), n.cast("string")), F.lit("B")))
+    m = F.when(n > 2, F.map_concat(m, F.create_map(F.lit("z"), F.lit("C")))).otherwise(m)
+    return X.table(spark, d, "lineitem").select((_C("l_orderkey") * 10 + n).alias("id"), F.map_contains_key(m, "O").alias("has"), F.try_element_at(m, F.lit("R")).alias("got"), F.size(m).alias("size"), F.array_join(F.map_keys(m), ",").alias("keys"))
 
 
 @query("encoding_functions", "SELECT page_id, to_base64(encode(url)) AS b64, url_encode(url) AS enc, octet_length(encode(url)) AS bytes FROM pages")
@@ -211,7 +213,7 @@ def uri_round_trip(spark, d):
     return X.table(spark, d, "pages").select("page_id", J.decode_uri_component(J.encode_uri_component(_C("url"))).alias("back"))
 
 
-@query("code_points")
+@query("code_points", "SELECT page_id, chr(127775) || chr((97 + page_id % 26)::INT) || chr(233) AS t, nfc_normalize('e' || chr(769)) AS nfc, 1.5::DOUBLE AS bits FROM pages")
 def code_points(spark, d):
     codes = F.array(F.lit(0x1F31F), (_C("page_id") % 26 + 97).cast("int"), F.lit(0xE9))
     return X.table(spark, d, "pages").select("page_id", J.from_code_points(codes).alias("t"), J.normalised_nfc(F.lit("é")).alias("nfc"), J.number_from_bits(F.lit("number:3ff8000000000000")).alias("bits"))

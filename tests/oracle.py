@@ -23,9 +23,12 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _plain(v):
     if isinstance(v, (bool, type(None), str, bytes)):
         return v
-    if isinstance(v, (int, float, decimal.Decimal)):
-        v = float(v)
-        return "nan" if math.isnan(v) else float(f"{v:.9g}")
+    if isinstance(v, (int, decimal.Decimal)) and v == int(v):
+        return float(v) if abs(v) < 1 << 53 else int(v)  # exact; a whole double of the same value is equal
+    if isinstance(v, decimal.Decimal):
+        return float(v)
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else v if v.is_integer() else float(f"{v:.9g}")
     if isinstance(v, (list, tuple)):
         return tuple(map(_plain, v))
     if isinstance(v, dict):
