@@ -26,6 +26,7 @@ rows that repeat an id give a row each. Columns other than id and text are never
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -71,25 +72,25 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return flat.reshape(len(words), width)
 
 
-def subsequence_kernel(words: np.ndarray, others: np.ndarray) -> np.ndarray:
+def subsequence_kernel(words: np.ndarray, others: np.ndarray, kind=np.float64) -> np.ndarray:
     """The kernel, before scaling, of each row of words with the same row of others (code points;
     0 and 1 pad words and others).
 
     x[:, i, j]: weight of common subsequences that end at letters i and j; each round extends
     them by one letter, with the decay of the letters between.
     """
-    match = (words[:, :, None] == others[:, None, :]) * (DECAY * DECAY)
+    match = (words[:, :, None] == others[:, None, :]).astype(kind) * kind(DECAY * DECAY)
     n = others.shape[1]
-    lag = np.array([[DECAY ** (j - k - 1) if k < j else 0.0 for j in range(n)] for k in range(n)])
+    lag = np.array([[DECAY ** (j - k - 1) if k < j else 0.0 for j in range(n)] for k in range(n)], dtype=kind)
     x = match
     for _ in range(P - 1):
         y = np.zeros_like(x)
-        down = np.zeros((len(words), n))
+        down = np.zeros((len(words), n), dtype=kind)
         for i in range(1, words.shape[1]):
-            down = down * DECAY + x[:, i - 1, :]
+            down = down * kind(DECAY) + x[:, i - 1, :]
             y[:, i, :] = down @ lag
         x = y * match
-    return x.sum(axis=(1, 2))
+    return x.sum(axis=(1, 2), dtype=np.float64)
 
 
 def _spread(words: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -105,10 +106,14 @@ def _spread(words: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (done == sizes) & (last - first < 2 * sizes)
 
 
+def _letter_bits(codes: np.ndarray) -> np.ndarray:
+    """Each letter as one of 63 bits (some share one)."""
+    return np.where(codes != 0, np.uint64(1) << (codes % 63).astype(np.uint64), np.uint64(0))
+
+
 def _letter_masks(codes: np.ndarray) -> np.ndarray:
     """The set of letters of each row, as 64 bits (letters that share a bit count as one)."""
-    bits = np.where(codes != 0, np.uint64(1) << (codes % 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+    return np.bitwise_or.reduce(_letter_bits(codes), axis=1)
 
 
 class Landmarks:
@@ -121,6 +126,16 @@ class Landmarks:
         self.need = letters - np.maximum(1, letters // 4)
         self.codes = np.where(codes == 0, np.uint32(1), codes)
         self.norms = subsequence_kernel(codes, self.codes)
+        self.bits = [_letter_bits(c[None, : len(w)])[0] for c, w in zip(codes, words)]
+        self._bounds: dict[tuple[int, int], float] = {}
+
+    def bound(self, z: int, missing: int) -> float:
+        """No word that has each of the landmark's letters once at most, and none of those missing, has a higher kernel."""
+        if (z, missing) not in self._bounds:
+            there = [i for i, b in enumerate(self.bits[z]) if not int(b) & missing]
+            triples = sum(DECAY ** (P + c[-1] - c[0] + 1) for c in itertools.combinations(there, P))
+            self._bounds[z, missing] = triples / self.norms[z]
+        return self._bounds[z, missing]
 
     def matrix(self) -> np.ndarray:
         """The pure kernel of all pairs of landmarks, scaled by both; positive semidefinite."""
@@ -139,16 +154,26 @@ class Landmarks:
             if not len(at):
                 continue
             codes = _codes([words[i] for i in at], width)
-            masks = _letter_masks(codes)
+            bits = _letter_bits(codes)
+            masks = np.bitwise_or.reduce(bits, axis=1)
             near = np.empty((len(at), len(self.words)), dtype=bool)
-            for z in range(len(self.words)):
-                near[:, z] = np.bitwise_count(masks & self.masks[z]) >= self.need[z]
+            for z, mask in enumerate(self.masks):
+                near[:, z] = np.bitwise_count(masks & mask) >= self.need[z]
+                # words that lack a letter, and cannot reach the floor for it
+                lack = np.flatnonzero(near[:, z] & (masks & mask != mask))
+                lack = lack[((bits[lack] & mask) != 0).sum(axis=1) == np.bitwise_count(masks[lack] & mask)]
+                missing, which = np.unique(mask & ~masks[lack], return_inverse=True)
+                low = np.array([self.bound(z, int(m)) < FLOOR - 1e-6 for m in missing], dtype=bool)
+                near[lack[low[which]], z] = False
             rows, cols = np.nonzero(near)
             for i in range(0, len(rows), 4096):
                 r, c = rows[i : i + 4096], cols[i : i + 4096]
-                k = np.minimum(subsequence_kernel(codes[r], self.codes[c]) / self.norms[c], 1.0)
-                # sums may differ in their last bits from one machine to the next
-                low = np.flatnonzero(k < FLOOR - 1e-9)
+                k = subsequence_kernel(codes[r], self.codes[c], np.float32) / self.norms[c]
+                # single precision may differ from one machine to the next, so what is near the floor is done again
+                close = np.flatnonzero(np.abs(k - FLOOR) < 1e-4)
+                k[close] = subsequence_kernel(codes[r[close]], self.codes[c[close]]) / self.norms[c[close]]
+                k = np.minimum(np.round(k, 6), 1.0)
+                low = np.flatnonzero(k < FLOOR)
                 whole = _spread(codes[r[low]], self.codes[c[low]])
                 k[low] = np.where(whole, FLOOR + (1 - FLOOR) * k[low], 0.0)
                 out[at[r], c] = k
@@ -159,16 +184,22 @@ class Scorer:
     """Landmark values of raw words, remembered for up to CACHE_WORDS words."""
 
     def __init__(self, landmarks: Landmarks):
-        self.landmarks, self.known = landmarks, {}
+        # telling: the known words that are like some landmark
+        self.landmarks, self.known, self.telling = landmarks, {}, set()
 
     def learn(self, words) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known = {w: v for w, v in self.known.items() if v is not None}
             if len(self.known) > CACHE_WORDS:
-                self.known = {}
+                self.known, self.telling = {}, set()
         fresh = [w for w in words if w not in self.known]
         pieces, owner = [], []
         for n, w in enumerate(fresh):
+            if len(w) < PIECE and w.isalnum():  # its only view
+                if len(w) >= P:
+                    pieces.append(START + w)
+                    owner.append(n)
+                continue
             for v in views(w):
                 pieces.append(v)
                 owner.append(n)
@@ -179,10 +210,11 @@ class Scorer:
                 w = fresh[owner[i]]
                 old = self.known[w]
                 self.known[w] = values[i] if old is None else np.maximum(old, values[i])
+                self.telling.add(w)
 
     def document(self, text: str, words: set[str]) -> np.ndarray:
         """Landmark values of each sentence that has any."""
-        hits = {w: v for w in words if (v := self.known[w]) is not None}
+        hits = {w: self.known[w] for w in words & self.telling}
         none = np.zeros((0, len(self.landmarks.words)), dtype=np.float32)
         if not hits:
             return none
