@@ -32,19 +32,24 @@ def ctg_edges(spark, d):
     return O.taint_graph_edges(O.resolved_routes(X.routes(spark, d)))
 
 
-def _reach_sql(seed, depth):
-    return f"""WITH RECURSIVE {X.EDGES_SQL}, r(node, depth) AS (SELECT p_partkey, 0 FROM part WHERE {seed} UNION SELECT dst, depth + 1 FROM r JOIN fx_edges ON src = node WHERE depth < {depth})
-  SELECT node, min(depth)::INT AS depth FROM r GROUP BY node"""
+#: Seeds are the largest parts; each node keeps its first level.
+_REACH = f"""WITH RECURSIVE {X.EDGES_SQL}, r(node, depth) USING KEY (node) AS (SELECT p_partkey, 0::BIGINT FROM part WHERE p_size = 50
+    UNION SELECT dst, min(r.depth) + 1 FROM r JOIN fx_edges ON src = r.node WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS x WHERE x.node = dst) GROUP BY dst)"""
 
 
-@query("reachability", _reach_sql("p_partkey = 0", 12))
+def _seeds(spark, d):
+    return X.table(spark, d, "part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
+
+
+@query("reachability", f"{_REACH} SELECT node, depth::INT AS depth FROM r")
 def reachability(spark, d):
-    return O.reach(X.edges(spark, d), X.table(spark, d, "part").where("p_partkey = 0").select(F.col("p_partkey").alias("node")), max_depth=12)
+    return O.reach(X.edges(spark, d), _seeds(spark, d))
 
 
-@query("event_closure", _reach_sql("p_partkey % 97 = 5", 10))
+@query("event_closure", f"{_REACH} SELECT node, depth::INT AS depth FROM r WHERE depth <= 10")
 def event_closure(spark, d):
-    return O.reach(X.edges(spark, d), X.table(spark, d, "part").where("p_partkey % 97 = 5").select(F.col("p_partkey").alias("node")), max_depth=10)
+    """The closure of event functions ends after ten rounds, as a feature."""
+    return O.reach(X.edges(spark, d), _seeds(spark, d), max_depth=10)
 
 
 @query("call_links", f"""WITH f AS (SELECT p_type AS name, min(p_partkey) AS func_id FROM part WHERE length(p_type) > 0 GROUP BY p_type)
@@ -55,35 +60,36 @@ def call_links(spark, d):
     return O.call_links(calls, part.select(F.col("p_partkey").alias("func_id"), F.col("p_type").alias("name"), F.col("p_partkey").alias("ord")))
 
 
+def _edges(spark, d, **tables):
+    """program_edges of some of its tables; the others are empty."""
+    p = X.table(spark, d, "part").limit(0)
+    pair = lambda a, b, c, n="p_size": p.select(F.col("p_partkey").alias(a), F.col(n).alias(b), F.col("p_partkey").alias(c))
+    none = {
+        "uses": p.select(F.col("p_partkey").alias("def_id"), F.col("p_partkey").alias("user_id")), "stores": pair("object_id", "prop", "value_id", "p_brand"), "loads": pair("object_id", "prop", "value_id", "p_brand"),
+        "frame_stores": pair("env_id", "name", "value_id", "p_brand"), "frame_loads": pair("env_id", "name", "value_id", "p_brand"), "arguments": pair("call_id", "ord", "value_id"),
+        "parameters": pair("func_id", "ord", "value_id"), "links": p.select(F.col("p_partkey").alias("call_id"), F.col("p_partkey").alias("func_id")),
+    }
+    return O.program_edges(**(none | tables))
+
+
 @query("property_join", """SELECT DISTINCT s.p_partkey AS src, l.p_partkey AS dst FROM part s JOIN part l ON s.p_partkey % 20 = l.p_partkey % 20 AND s.p_brand = l.p_brand AND s.p_size > 45 AND l.p_size < 5 AND s.p_partkey <> l.p_partkey""")
 def property_join(spark, d):
     p = X.table(spark, d, "part")
     side = lambda c: p.where(c).select((F.col("p_partkey") % 20).alias("object_id"), F.col("p_brand").alias("prop"), F.col("p_partkey").alias("value_id"))
-    none = p.limit(0)
-    frame = none.select(F.col("p_partkey").alias("env_id"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("value_id"))
-    return O.program_edges(
-        none.select(F.col("p_partkey").alias("def_id"), F.col("p_partkey").alias("user_id")), side("p_size > 45"), side("p_size < 5"), frame, frame,
-        none.select(F.col("p_partkey").alias("call_id"), F.col("p_size").alias("ord"), F.col("p_partkey").alias("value_id")),
-        none.select(F.col("p_partkey").alias("func_id"), F.col("p_size").alias("ord"), F.col("p_partkey").alias("value_id")),
-        none.select(F.col("p_partkey").alias("call_id"), F.col("p_partkey").alias("func_id")),
-    )
+    return _edges(spark, d, stores=side("p_size > 45"), loads=side("p_size < 5"))
 
 
-@query("frame_join", "SELECT DISTINCT s.p_partkey AS src, l.p_partkey AS dst FROM part s JOIN part l ON s.p_size = l.p_size AND s.p_type = l.p_type AND s.p_partkey % 3 = 0 AND l.p_partkey % 3 = 1")
+@query("frame_join", "SELECT DISTINCT s.p_partkey AS src, l.p_partkey AS dst FROM part s JOIN part l ON s.p_size = l.p_size AND s.p_type = l.p_type AND s.p_partkey <> l.p_partkey")
 def frame_join(spark, d):
     p = X.table(spark, d, "part").select(F.col("p_size").alias("env_id"), F.col("p_type").alias("name"), F.col("p_partkey").alias("value_id"))
-    s, t = p.where("value_id % 3 = 0"), p.where("value_id % 3 = 1")
-    return s.withColumnRenamed("value_id", "src").join(t.withColumnRenamed("value_id", "dst"), ["env_id", "name"]).select("src", "dst").distinct()
+    return _edges(spark, d, frame_stores=p, frame_loads=p)
 
 
 @query("argument_join", """SELECT DISTINCT a.l_partkey AS src, p.p_partkey AS dst FROM lineitem a JOIN part p ON p.p_partkey % 50 = a.l_suppkey % 50 AND p.p_size = a.l_linenumber - 1 AND a.l_partkey <> p.p_partkey""")
 def argument_join(spark, d):
-    li = X.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("call_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("value_id"))
-    p = X.table(spark, d, "part").select((F.col("p_partkey") % 50).alias("func_id"), F.col("p_size").alias("ord"), F.col("p_partkey").alias("value_id"))
-    links = p.select(F.col("func_id").alias("call_id"), "func_id").distinct()
-    params = p.select("func_id", (F.col("ord") + 1).alias("ord"), F.col("value_id").alias("dst"))
-    out = li.withColumnRenamed("value_id", "src").distinct().join(links, "call_id").join(params, ["func_id", "ord"])
-    return out.where("src <> dst").select("src", "dst").distinct()
+    args = X.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("call_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("value_id"))
+    params = X.table(spark, d, "part").select((F.col("p_partkey") % 50).alias("func_id"), F.col("p_size").alias("ord"), F.col("p_partkey").alias("value_id"))
+    return _edges(spark, d, arguments=args.distinct(), parameters=params, links=params.select(F.col("func_id").alias("call_id"), "func_id").distinct())
 
 
 @query("source_registry", f"WITH {X.BASE_SQL}, s(name, kind, returns) AS (VALUES {', '.join(repr(x) for x in R.SOURCES)}) SELECT domain, route_id, kind, returns FROM fx_routes JOIN s ON name = source_name")

@@ -25,13 +25,13 @@ _SEEN = ("None", "www.google-analytics.com", "stats.example.org | www.googletagm
 def labelled_routes(spark, d):
     r, i = X.routes(spark, d), F.col("route_id")
     return r.select(
-        "domain", X._pick(_THREATS, i % 7).alias("threat_type"), "trigger_context", F.col("source_name").alias("source"), F.col("sink_name").alias("sink"),
+        "domain", X._pick(_THREATS, F.when(F.length("domain") % 12 == 10, F.lit(1)).otherwise(i % 7)).alias("threat_type"), "trigger_context", F.col("source_name").alias("source"), F.col("sink_name").alias("sink"),
         F.col("destination_url").alias("destination"), X._pick(_SEEN, F.length("domain") % 3).alias("observed_trackers"), X._pick(_PARTIES, i % 5).alias("party"),
         (i % 5 + 1).cast("int").alias("confidence"), X._pick(_CLASSES, (F.length("domain") + (i % 97 == 0).cast("int")) % 6).alias("tracker_class"),
     )
 
 
-_L = f"""WITH {X.BASE_SQL}, lab AS (SELECT domain, {X._sql_pick(_THREATS, 'route_id % 7')} AS threat_type, trigger_context, source_name AS source, sink_name AS sink,
+_L = f"""WITH {X.BASE_SQL}, lab AS (SELECT domain, {X._sql_pick(_THREATS, 'CASE WHEN length(domain) % 12 = 10 THEN 1 ELSE route_id % 7 END')} AS threat_type, trigger_context, source_name AS source, sink_name AS sink,
   destination_url AS destination, {X._sql_pick(_SEEN, 'length(domain) % 3')} AS observed_trackers, {X._sql_pick(_PARTIES, 'route_id % 5')} AS party, (route_id % 5 + 1)::INT AS confidence,
   {X._sql_pick(_CLASSES, '(length(domain) + (route_id % 97 = 0)::INT) % 6')} AS tracker_class FROM fx_routes),
 ok AS (SELECT *, CASE WHEN tracker_class = 'Mixed Tracker - Known' THEN 'known' WHEN tracker_class IN ('Mixed Tracker - Unknown', 'Mixed Tracker - Novel') THEN 'novel'

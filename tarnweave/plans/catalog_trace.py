@@ -37,7 +37,7 @@ def interval_overlap(spark, d):
 @query("gap_fill", """WITH s AS (SELECT p_size AS grp, p_partkey::VARCHAR AS title, p_partkey * 100 AS s, p_partkey * 100 + 100 AS e FROM part WHERE p_partkey % 7 <> 0), g AS (SELECT *, lag(e) OVER (PARTITION BY grp ORDER BY s) AS b FROM s)
   SELECT grp, title, s AS start, e AS "end" FROM s UNION ALL SELECT grp, '<unknown>', b, s FROM g WHERE b < s""")
 def gap_fill(spark, d):
-    k = _C("p_partkey")
+    k = _C("p_partkey")  # the sections are all but every seventh, so that there are holes to fill
     s = X.table(spark, d, "part").where(k % 7 != 0).select(_C("p_size").alias("grp"), k.cast("string").alias("title"), (k * 100).alias("start"), (k * 100 + 100).alias("end"))
     return O.gap_fill(s, "grp")
 
@@ -202,7 +202,7 @@ def casemap_override(spark, d):
 @query("run_compression")
 def run_compression(spark, d):
     k = _C("p_partkey")
-    return O.compress_runs(X.table(spark, d, "part").where("p_size < 30").select(_C("p_brand").alias("grp"), k.alias("key"), (k + F.floor(k / 500) * 32).alias("value")), "grp", "key", "value")
+    return O.compress_runs(X.table(spark, d, "part").select(_C("p_brand").alias("grp"), k.alias("key"), (k + F.floor(k / 500) * 32).alias("value")), "grp", "key", "value")
 
 
 @query("heap_unnest", "SELECT vec_id AS id, i AS no, embedding[i * 4 + 1] AS a, embedding[i * 4 + 2] AS b, embedding[i * 4 + 3] AS c, embedding[i * 4 + 4] AS d FROM (SELECT *, unnest(range(len(embedding) // 4)) AS i FROM embeddings)")
@@ -210,9 +210,9 @@ def heap_unnest(spark, d):
     return O.heap_nodes(X.table(spark, d, "embeddings").select(_C("vec_id").alias("id"), _C("embedding").alias("numbers")), ["a", "b", "c", "d"])
 
 
-@query("heap_edges", "SELECT l_orderkey AS edge, l_partkey AS target, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1")
+@query("heap_edges", "SELECT l_orderkey * 10 + l_linenumber AS edge, l_partkey AS target, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey")
 def heap_edges(spark, d):
-    return X.table(spark, d, "lineitem").where("l_linenumber = 1").join(X.table(spark, d, "part"), _C("l_partkey") == _C("p_partkey")).select(_C("l_orderkey").alias("edge"), _C("l_partkey").alias("target"), _C("p_name").alias("name"))
+    return X.table(spark, d, "lineitem").join(X.table(spark, d, "part"), _C("l_partkey") == _C("p_partkey")).select((_C("l_orderkey") * 10 + _C("l_linenumber")).alias("edge"), _C("l_partkey").alias("target"), _C("p_name").alias("name"))
 
 
 @query("alloc_stack", """WITH RECURSIVE p AS (SELECT p_partkey + 1 AS node, (p_partkey + 1) // 3 AS up FROM part), r(node, up, stack) AS (SELECT node, up, [node] FROM p UNION ALL SELECT r.node, p.up, list_prepend(p.node, stack) FROM r JOIN p ON p.node = r.up WHERE r.up <> 0)
