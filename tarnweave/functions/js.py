@@ -155,3 +155,200 @@ def number_from_bits(s: pd.Series) -> pd.Series:
     import struct
 
     return s.map(lambda t: struct.unpack(">d", bytes.fromhex(t.removeprefix("number:").removeprefix("0x").rjust(16, "0")))[0] if t is not None else None)
+
+
+@F.pandas_udf(StringType())
+def to_fixed(x: pd.Series, digits: pd.Series) -> pd.Series:
+    """Exact value of the number, rounded with halves away from zero; SQL's formats round its shortest text."""
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    def one(v, n):
+        if pd.isna(v) or pd.isna(n):
+            return None
+        if abs(v) >= 1e21:
+            return _shortest(v)
+        with localcontext() as c:
+            c.prec = 60
+            text = f"{Decimal(abs(v)).quantize(Decimal(1).scaleb(-int(n)), ROUND_HALF_UP):f}"
+        return "-" + text if v < 0 and text.strip("0.") else text
+
+    return pd.Series([one(v, n) for v, n in zip(x, digits)], dtype=object)
+
+
+def _digits(v: float, n: int) -> tuple[str, int]:
+    """The n leading digits of a number above zero, rounded as in to_fixed, and the place of the first."""
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    d = Decimal(v)
+    with localcontext() as c:
+        c.prec, c.rounding = n, ROUND_HALF_UP
+        d = +d
+    digits = "".join(map(str, d.as_tuple().digits))[:n].ljust(n, "0")
+    return digits, d.adjusted()
+
+
+def _exponential(v: float, n: int) -> str:
+    digits, e = ("0" * n, 0) if v == 0 else _digits(abs(v), n)
+    return ("-" if v < 0 else "") + digits[0] + ("." + digits[1:] if n > 1 else "") + f"e{'+' if e >= 0 else '-'}{abs(e)}"
+
+
+def _shortest(v: float) -> str:
+    """The shortest text that reads back as the number."""
+    if v != v:
+        return "NaN"
+    if v in (float("inf"), float("-inf")):
+        return "Infinity" if v > 0 else "-Infinity"
+    if v == int(v) and abs(v) < 1 << 53:
+        return str(int(v))
+    mantissa, _, e = f"{abs(v)!r}".partition("e")
+    whole, _, part = mantissa.partition(".")
+    digits, point = (whole + part).lstrip("0"), len(whole) + int(e or 0) - (len(whole + part) - len((whole + part).lstrip("0")))
+    digits = digits.rstrip("0")
+    sign = "-" if v < 0 else ""
+    if -6 < point <= 21:
+        if point <= 0:
+            return f"{sign}0.{'0' * -point}{digits}"
+        return sign + (digits.ljust(point, "0") if len(digits) <= point else f"{digits[:point]}.{digits[point:]}")
+    e = point - 1
+    return f"{sign}{digits[0]}{'.' + digits[1:] if len(digits) > 1 else ''}e{'+' if e >= 0 else '-'}{abs(e)}"
+
+
+@F.pandas_udf(StringType())
+def to_exponential(x: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else _exponential(v, int(n) + 1) for v, n in zip(x, digits)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def to_precision(x: pd.Series, digits: pd.Series) -> pd.Series:
+    """Plain as long as the first digit stands at most that many places before the point, and seven behind it."""
+
+    def one(v, n):
+        if pd.isna(v):
+            return None
+        d, e = ("0" * n, 0) if v == 0 else _digits(abs(v), n)
+        if e < -6 or e >= n:
+            return _exponential(v, n)
+        text = d if e == n - 1 else f"{d[: e + 1]}.{d[e + 1 :]}" if e >= 0 else "0." + "0" * (-e - 1) + d
+        return "-" + text if v < 0 else text
+
+    return pd.Series([one(v, int(n)) for v, n in zip(x, digits)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def number_text(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if pd.isna(v) else _shortest(v))
+
+
+def to_radix(n: Column, radix: int) -> Column:
+    """A whole number in another base, small letters."""
+    text = F.lower(F.conv(F.abs(n).cast("string"), 10, radix))
+    return F.when(n < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
+def iso_text(ts: Column) -> Column:
+    """UTC, to the millisecond; null for what is no time."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def parse_iso(s: Column) -> Column:
+    """Milliseconds of an ISO text: a day alone is UTC; with a time, Z or an offset; null for other texts."""
+    good = s.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?)?$")
+    whole = F.regexp_replace(s, r"(T\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})?$", "$1:00$2")  # without seconds
+    return F.when(good, F.floor(F.unix_micros(F.when(good, whole).try_cast("timestamp")) / 1000))
+
+
+def set_date_parts(ms: Column, *, year: Column | None = None, month: Column | None = None, day: Column | None = None) -> Column:
+    """Milliseconds with some parts changed; months from 0, overflow is carried on, the time of day stays."""
+    days = F.floor(ms / 86_400_000)
+    date = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
+    parts = (F.year(date) if year is None else year, F.month(date) - 1 if month is None else month, F.day(date) if day is None else day)
+    return make_date(*parts) + ms - days * 86_400_000
+
+
+#: What encodeURI leaves besides the letters that encodeURIComponent leaves.
+RESERVED = ";/?:@&=+$,#"
+
+
+def encode_uri(s: Column) -> Column:
+    out = encode_uri_component(s)
+    for c in RESERVED:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
+def decode_uri(s: Column) -> Column:
+    """Escapes of reserved letters stay as they are."""
+    codes = "|".join(f"{ord(c):02X}|{ord(c):02x}" for c in RESERVED)
+    return decode_uri_component(F.regexp_replace(s, f"%({codes})", "%25$1"))
+
+
+def escaped(s: Column) -> Column:
+    """Letters, digits and @*_+-./ stay, units below 256 become %XX, others %uXXXX."""
+    unit = lambda n: F.concat(F.lit("%u"), F.lpad(F.hex(n), 4, "0"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        above = n - 0x10000
+        pair = F.concat(unit(F.floor(above / 1024) + 0xD800), unit(above % 1024 + 0xDC00))
+        return F.when(c.rlike(r"^[A-Za-z0-9@*_+\-./]$"), c).when(n < 256, F.concat(F.lit("%"), F.lpad(F.hex(n), 2, "0"))).when(n < 0x10000, unit(n)).otherwise(pair)
+
+    return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), one), "")
+
+
+@F.pandas_udf(StringType())
+def unescaped(s: pd.Series) -> pd.Series:
+    import re
+
+    code = re.compile(r"%u([0-9A-Fa-f]{4})|%([0-9A-Fa-f]{2})")
+
+    def one(t):
+        out = code.sub(lambda m: chr(int(m.group(1) or m.group(2), 16)), t)
+        return out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+    return s.map(lambda t: None if t is None else one(t))
+
+
+def _power(bits: int) -> Column:
+    return F.lit(str(1 << bits)).cast("decimal(38,0)")
+
+
+def as_uint_n(x: Column, bits: int) -> Column:
+    """A whole number of up to 38 digits modulo 2 ** bits; bits up to 126."""
+    return F.pmod(x.cast("decimal(38,0)"), _power(bits)).cast("decimal(38,0)")
+
+
+def as_int_n(x: Column, bits: int) -> Column:
+    """The same, signed."""
+    m = as_uint_n(x, bits)
+    return F.when(m >= _power(bits - 1), m - _power(bits)).otherwise(m).cast("decimal(38,0)")
+
+
+def folded(op: Column, left: Column, right: Column) -> Column:
+    """Constant numbers under a binary operator, as a double; null where the operator has no such value.
+    Comparisons give 1 or 0, bit operators work on 32 bits, a division by zero gives an infinity."""
+    a, b = left.cast("double"), right.cast("double")
+    x, y = to_int32(a), to_int32(b)
+    by = F.pmod(y, F.lit(32))
+    u = F.pmod(x.cast("long"), F.lit(1 << 32))
+    flag = lambda c: c.cast("int").cast("double")
+    shifts = lambda f: F.element_at(F.array(*[f(n) for n in range(32)]), by + 1)
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    ratio = F.when(b != 0, F.try_divide(a, b)).when((a == 0) | F.isnan(a), nan).otherwise(F.signum(a) * inf)
+    table = {
+        "+": a + b, "-": a - b, "*": a * b, "/": ratio, "%": F.when(b == 0, nan).otherwise(F.try_mod(a, b)),
+        "<": flag(a < b), "<=": flag(a <= b), ">": flag(a > b), ">=": flag(a >= b), "===": flag(a == b), "!==": flag(a != b),
+        "&": x.bitwiseAND(y).cast("double"), "|": x.bitwiseOR(y).cast("double"), "^": x.bitwiseXOR(y).cast("double"),
+        "<<": shifts(lambda n: to_int32(x.cast("long") * (1 << n))).cast("double"), ">>": shifts(lambda n: F.shiftright(x, n)).cast("double"),
+        ">>>": shifts(lambda n: F.shiftright(u, n)).cast("double"),
+    }
+    out = F.lit(None).cast("double")
+    for name, value in table.items():
+        out = F.when(op == name, value).otherwise(out)
+    return out
+
+
+def folded_unary(op: Column, value: Column) -> Column:
+    """A constant number under -, +, ~ or !."""
+    v = value.cast("double")
+    flag = ((v == 0) | F.isnan(v)).cast("int").cast("double")
+    return F.when(op == "-", -v).when(op == "+", v).when(op == "~", (-1 - to_int32(v).cast("long")).cast("double")).when(op == "!", flag)

@@ -231,10 +231,27 @@ def sink_instructions(stores: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def dependencies(scripts: DataFrame) -> DataFrame:
-    """key, name, kind: modules that a script asks for. scripts: key, text."""
-    kinds = {"ESM": r"\bimport\s+(?:[^'\"()]*?\bfrom\s+)?['\"]([^'\"]+)['\"]", "Async": r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]", "Require": r"\brequire\s*\(\s*['\"]([^'\"]+)['\"]"}
-    found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), _named(k)) for k, p in kinds.items()])
-    return scripts.select("key", F.explode(found).alias("x")).select("key", "x.name", "x.kind").distinct()
+    """key, name, kind: modules that a script asks for. scripts: key, text.
+
+    Kinds: ESM (imports and re-exports of values), Type (of types; an import list may have both), Async (import
+    calls), Require (also requireActual and requireMock of require or jest), Resource, PrefetchedResource,
+    GraphQL (operations in graphql templates). Read by pattern from the text, not from a syntax tree, so what stands
+    in comments or strings counts too.
+    """
+    quoted = r"['\"]([^'\"]+)['\"]"
+    called = lambda names: r"(?<![\w.$])(?:" + "|".join(names) + r")\s*\(\s*" + quoted
+    typed = r"\{[^{}'\"]*\btype\s+\w[^{}'\"]*\}"
+    kinds = {
+        "ESM": [r"\bimport\s+(?!type\b)(?:[^'\"();]*?\bfrom\s+)?" + quoted, r"\bexport\s+(?!type\b)(?:\*(?:\s+as\s+\w+)?|\{[^{}'\"]*\})\s*from\s+" + quoted],
+        "Type": [r"\bimport\s+type(?:of)?\s+[^'\"();]*?\bfrom\s+" + quoted, r"\bexport\s+type\s+[^'\"();]*?\bfrom\s+" + quoted, r"\bimport\s+(?!type\b)(?:\w+\s*,\s*)?" + typed + r"\s*from\s+" + quoted],
+        "Async": [r"\bimport\s*\(\s*" + quoted],
+        "Require": [called(["require"]), r"(?<![\w.$])(?:require|jest)\.(?:requireActual|requireMock)\s*\(\s*" + quoted],
+        "Resource": [called(R.RESOURCE_CALLS)], "PrefetchedResource": [called(R.PREFETCHED_CALLS)],
+    }
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), 1), _named(k)) for k, patterns in kinds.items() for p in patterns]
+    templates = F.regexp_extract_all("text", F.lit(r"(?<![\w.$])graphql\s*`([^`]*)`"), 1)
+    operations = F.flatten(F.transform(templates, lambda t: F.regexp_extract_all(t, F.lit(r"(?m)^\s*?(?:query|fragment|mutation|subscription) +(\w+)"), 1)))
+    return scripts.select("key", F.explode(F.concat(*found, F.transform(operations, _named("GraphQL")))).alias("x")).select("key", "x.name", "x.kind").distinct()
 
 
 def _named(kind: str):

@@ -8,6 +8,7 @@ is never gathered in one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,6 +167,28 @@ def fingerprinting(routes: DataFrame) -> DataFrame:
     return routes.where(_leak()).withColumn("label", F.lit(R.R5_FINGERPRINT))
 
 
+#: Rules by name: functions of rewritten routes and the network log, which give routes with a label. More can be added.
+RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "evasion": lambda routes, netlog: evasion(routes),
+    "isolated_exfiltration": lambda routes, netlog: isolated_only(routes),
+    "parasitic_branch": lambda routes, netlog: parasitic(routes),
+    "dual_execution_context": lambda routes, netlog: dual_context(routes),
+    "semantic_crossvalidation": lambda routes, netlog: semantic(routes, tracker_domains(netlog)),
+    "fingerprinting_leak": lambda routes, netlog: fingerprinting(routes),
+}
+
+
+def run_rules(routes: DataFrame, netlog: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """domain, route_id, rule, label of the named rules, or of all."""
+    out = None
+    for name in names or list(RULES):
+        if name not in RULES:
+            raise KeyError(f"no rule {name!r}; there are {', '.join(RULES)}")
+        part = RULES[name](routes, netlog).select("domain", "route_id", F.lit(name).alias("rule"), "label")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def threats(routes: DataFrame, netlog: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
     """All threat rows of rewritten routes: domain, seq, label, trigger_context, source, sink,
     destination, observed_trackers, party. seq orders the rows of a domain.

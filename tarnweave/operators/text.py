@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What stands before each captured file.
 SEPARATOR = "// ==========================================\n"
@@ -37,6 +39,57 @@ def charset(content_type: Column) -> Column:
     return F.when(c.rlike("euc-kr|ks_c_5601"), "EUC-KR").when(F.contains(c, F.lit("cp949")), "CP949").otherwise("UTF-8")
 
 
+@F.pandas_udf(StringType())
+def _decoded(content: pd.Series, name: pd.Series) -> pd.Series:
+    """The session's own decoder does not know the Korean charsets."""
+    names = {"EUC-KR": "euc_kr", "CP949": "cp949", "UTF-8": "utf-8"}
+
+    def one(data, charset_):
+        if data is None:
+            return None
+        text = data.decode(names[charset_], "replace")
+        if charset_ == "UTF-8" and "\ufffd" in text:  # once more, kept if it is clean
+            again = data.decode("euc_kr", "replace")
+            return text if "\ufffd" in again else again
+        return text
+
+    return pd.Series([one(d, c) for d, c in zip(content, name)], dtype=object)
+
+
+def decoded(content: Column, content_type: Column) -> Column:
+    """Captured bytes as text: by the charset of the content type; UTF-8 that is damaged is read once more as
+    EUC-KR, and that is kept if nothing in it is damaged."""
+    return _decoded(content, charset(content_type))
+
+
+#: Longer scripts are not transformed.
+TRANSFORMED = 250_000
+
+
+def is_transformable(text: Column, below: int = TRANSFORMED) -> Column:
+    """Scripts that are not empty and short enough to be beautified and transpiled."""
+    return has_code(text) & (F.length(text) < below)
+
+
+def has_code(text: Column) -> Column:
+    """Scripts that are not blank."""
+    return F.coalesce(F.trim(text), F.lit("")) != ""
+
+
+def crawl_outcome(scripts: DataFrame, domains: DataFrame) -> DataFrame:
+    """domain, scripts, status: a site is a success with at least one script, also sites without any row count.
+    scripts: domain. domains: all that were asked for."""
+    n = scripts.groupBy("domain").agg(F.count(F.lit(1)).alias("scripts"))
+    rows = domains.select("domain").distinct().join(n, "domain", "left").select("domain", F.coalesce("scripts", F.lit(0)).cast("long").alias("scripts"))
+    return rows.withColumn("status", F.when(F.col("scripts") > 0, "success").otherwise("fail"))
+
+
+def allow_listed(rows: DataFrame, listed: DataFrame, key: str, order: str, top: int = 100_000) -> DataFrame:
+    """rows whose key is among the first `top` of a list; all of them if the list is empty."""
+    first = listed.orderBy(order).limit(top).select(key).distinct()
+    return rows if first.isEmpty() else rows.join(first, key, "left_semi")
+
+
 def is_script(content_type: Column, url: Column) -> Column:
     return F.contains(F.coalesce(content_type, F.lit("")), F.lit("javascript")) | F.endswith(url, F.lit(".js"))
 

@@ -137,6 +137,38 @@ def heap_nodes(snapshot: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select("id", "no", *[F.get("numbers", (F.col("no") * k + i).cast("int")).alias(f) for i, f in enumerate(fields)])
 
 
+def heap_locations(locations: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """locations: id, object_index (a place in the flat array of nodes of `width` numbers), script_id, line,
+    column. nodes: id, no. Each location with its node's columns."""
+    at = locations.withColumn("no", F.floor(F.col("object_index") / width).cast("long")).drop("object_index")
+    return nodes.withColumn("no", F.col("no").cast("long")).join(at, ["id", "no"])
+
+
+def predicate_islands(rows: DataFrame, by: str, order: str, test: Column) -> DataFrame:
+    """Runs of consecutive rows for which test holds: by, first, last (of order), n."""
+    w = Window.partitionBy(by).orderBy(order)
+    good = rows.select(by, order, test.alias("__t"), F.row_number().over(w).alias("__n")).where("__t")
+    good = good.withColumn("__g", F.col("__n") - F.row_number().over(w))
+    return good.groupBy(by, "__g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("__g")
+
+
+def paired_ranges(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Runs of adjacent whole numbers, in which a row whose name ends in First> and the next, whose name ends in
+    Last>, stand for all numbers from one to the other: by, first, last."""
+    w = Window.partitionBy(by).orderBy(value)
+    rows = rows.withColumn("__end", F.when(F.col(name).endswith("First>") & F.lead(name).over(w).endswith("Last>"), F.lead(value).over(w)).otherwise(F.col(value)))
+    # half-open, so that neighbours touch
+    return merge_ranges(rows.select(by, F.col(value).alias("start"), (F.col("__end") + 1).alias("end")), by).select(by, F.col("start").alias("first"), (F.col("end") - 1).alias("last"))
+
+
+def top_blocks(blocks: DataFrame, k: int) -> DataFrame:
+    """The k blocks that ran most instructions: func, profile_index, instructions, average_loop (runs of the
+    block for each entry of its function; 0 if it was never entered). Index 0 gathers overflow and is left out."""
+    entries = blocks.groupBy("func").agg(F.max_by("count", "profile_index").alias("__entries"))
+    top = blocks.where("profile_index > 0").withColumn("instructions", F.col("count") * F.col("insts")).orderBy(F.desc("instructions"), "func", "profile_index").limit(k)
+    return top.join(entries, "func").select("func", "profile_index", "instructions", share(F.col("count"), F.col("__entries")).alias("average_loop"))
+
+
 def ancestors(parents: DataFrame) -> DataFrame:
     """parents: node, parent (0: none). node, stack: ancestors from the root down, the node last.
 

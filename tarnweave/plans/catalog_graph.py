@@ -123,16 +123,25 @@ def destination_accept(spark, d):
     return O.destination(X.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("ord")).agg(F.min(text).alias("text")))
 
 
-@query("dependencies", """WITH s AS (SELECT page_id AS key, 'import a from ''m' || page_id % 7 || '''; const b = require("r' || page_id % 5 || '"); import("l' || page_id % 3 || '.js")' AS t FROM pages)
-  SELECT DISTINCT key, unnest(regexp_extract_all(t, 'import\\s+[^''"()]*from\\s+[''"]([^''"]+)', 1)) AS name, 'ESM' AS kind FROM s
-  UNION SELECT key, unnest(regexp_extract_all(t, 'import\\s*\\(\\s*[''"]([^''"]+)', 1)), 'Async' FROM s UNION SELECT key, unnest(regexp_extract_all(t, 'require\\s*\\(\\s*[''"]([^''"]+)', 1)), 'Require' FROM s""")
+@query("dependencies", """WITH s AS (SELECT page_id AS key, page_id % 7 AS a, page_id % 5 AS b, page_id % 3 AS c FROM pages)
+  SELECT DISTINCT key, unnest(['m' || a, 'e' || b, 'v' || c, 'm' || a || 't', 'v' || c, 'l' || c || '.js', 'r' || b, 'q' || a, 's' || a, 'p' || b, 'Get' || a, 'Frag' || b]) AS name,
+    unnest(['ESM', 'ESM', 'ESM', 'Type', 'Type', 'Async', 'Require', 'Require', 'Resource', 'PrefetchedResource', 'GraphQL', 'GraphQL']) AS kind FROM s""")
 def dependencies(spark, d):
     k = F.col("page_id")
-    s = lambda n: (k % n).cast("string")
-    text = F.concat(F.lit("import a from 'm"), s(7), F.lit("'; const b = require(\"r"), s(5), F.lit("\"); import(\"l"), s(3), F.lit(".js\")"))
+    a, b, c = ((k % n).cast("string") for n in (7, 5, 3))
+    text = F.concat(
+        F.lit("import a from 'm"), a, F.lit("'; export * from \"e"), b, F.lit("\"; import {x, type T} from 'v"), c, F.lit("'; import type U from 'm"), a, F.lit("t';\nimport('l"), c,
+        F.lit(".js'); const b = require(\"r"), b, F.lit("\"); jest.requireActual('q"), a, F.lit("'); JSResource('s"), a, F.lit("'); PrefetchedJSResource('p"), b,
+        F.lit("'); graphql`\n  query Get"), a, F.lit(" { x }\n fragment Frag"), b, F.lit(" on Y { z } query`; my.require('no'); other`query No`"),
+    )
     return O.dependencies(X.pages(spark, d).select(k.alias("key"), text.alias("text")))
 
 
+@query("event_registry", f"WITH {X.BASE_SQL}, e(name) AS (VALUES {', '.join(f"('{n}')" for n in R.EVENT_NAMES)}) SELECT event_id, event_type IN (SELECT name FROM e) AS listened FROM events")
+def event_registry(spark, d):
+    return X.table(spark, d, "events").select("event_id", F.col("event_type").isin(*R.EVENT_NAMES).alias("listened"))
+
+
 @query("dot_export")
 def dot_export(spark, d):
     r = X.routes(spark, d)

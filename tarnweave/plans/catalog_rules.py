@@ -132,6 +132,16 @@ def r5_fingerprint(spark, d):
     return O.fingerprinting(_rewritten(spark, d)).select(*_COLS)
 
 
+_BY_NAME = {"evasion": "t4", "isolated_exfiltration": "t1", "parasitic_branch": "t2", "dual_execution_context": "t3", "semantic_crossvalidation": "t5", "fingerprinting_leak": "t6"}
+
+
+@query("rules_by_name", f"{S.REWRITE}, {S.T4}, {S.T1}, {S.T2}, {S.T3}, {S.T5}, {S.T6} " + " UNION ALL ".join(f"SELECT domain, route_id, '{rule}' AS rule, label FROM {t} WHERE label IS NOT NULL" for rule, t in _BY_NAME.items()))
+def rules_by_name(spark, d):
+    from ..operators.common import checkpoint
+
+    return O.run_rules(checkpoint(_rewritten(spark, d)), X.netlog(spark, d))
+
+
 @query("merge_threats", f"{S.ALL_THREATS} SELECT domain, threat_type, trigger_context, source, sink, destination, observed_trackers, party FROM merged")
 def merge_threats(spark, d):
     return O.merge_threats(O.threats(_rewritten(spark, d), X.netlog(spark, d)))

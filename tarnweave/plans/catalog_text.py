@@ -36,7 +36,24 @@ def mojibake_repair(spark, d):
 
 @query("empty_script_drop", "SELECT doc_id FROM documents WHERE trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END) <> ''")
 def empty_script_drop(spark, d):
-    return _docs(spark, d).withColumn("t", F.when(_C("doc_id") % 3 == 0, "  ").otherwise(_C("text"))).where(F.trim("t") != "").select("doc_id")
+    return _docs(spark, d).withColumn("t", F.when(_C("doc_id") % 3 == 0, "  ").otherwise(_C("text"))).where(O.has_code(_C("t"))).select("doc_id")
+
+
+@query("transform_guard", "SELECT doc_id, trim(text) <> '' AND length(text) < 2000 AS small FROM documents")
+def transform_guard(spark, d):
+    return _docs(spark, d).select("doc_id", O.is_transformable(_C("text"), 2000).alias("small"))
+
+
+#: The same words in two charsets, under content types that tell the charset and one that does not.
+@query("charset_decode", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN chr(65533) ELSE '한국어' END || url AS text FROM pages")
+def charset_decode(spark, d):
+    k = _C("page_id") % 4
+    words = F.when(k == 1, F.unhex(F.lit("ED959CEAB5ADEC96B4"))).when(k == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("C7D1B1B9BEEE")))
+    kind = X._pick(("text/html; charset=EUC-KR", "text/html", "text/html; charset=cp949", "text/html"), k)
+    content = F.concat(words, F.encode("url", "UTF-8"))
+    pages = X.table(spark, d, "pages")
+    # the second half leaves the charset of k = 2 out, so that it is found by the retry
+    return pages.select("page_id", O.decoded(content, F.when(_C("page_id") % 8 == 6, "text/html").otherwise(kind)).alias("text"))
 
 
 def _banners(spark, d):
@@ -80,9 +97,11 @@ def charset_choice(spark, d):
     return X.table(spark, d, "pages").select("page_id", O.charset(kind).alias("charset"))
 
 
-@query("crawl_split", f"WITH {X.BASE_SQL} SELECT domain, count(*) AS scripts, CASE WHEN count(*) > 3 THEN 'success' ELSE 'fail' END AS status FROM fx_netlog GROUP BY domain")
+@query("crawl_split", f"""WITH {X.BASE_SQL}, s AS (SELECT domain, count(*) AS scripts FROM fx_netlog WHERE ends_with(url, '.js') GROUP BY domain), d AS (SELECT DISTINCT domain FROM fx_netlog)
+  SELECT domain, coalesce(scripts, 0) AS scripts, CASE WHEN scripts > 0 THEN 'success' ELSE 'fail' END AS status FROM d LEFT JOIN s USING (domain)""")
 def crawl_split(spark, d):
-    return X.netlog(spark, d).groupBy("domain").agg(F.count(F.lit(1)).alias("scripts")).withColumn("status", F.when(_C("scripts") > 3, "success").otherwise("fail"))
+    log = X.netlog(spark, d)
+    return O.crawl_outcome(log.where(F.endswith("url", F.lit(".js"))), log)
 
 
 @query("formatters", """SELECT o_orderkey, regexp_replace(lower(trim(o_orderpriority)), '\\s+', '-', 'g') AS slug, 'N_' || substr(md5(o_orderpriority), 1, 10) AS node,

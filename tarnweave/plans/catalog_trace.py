@@ -66,10 +66,10 @@ def running_total_topk(spark, d):
     return O.running_topk(t, "l_partkey", "q", 100)
 
 
-@query("top_blocks", """SELECT l_partkey AS func, l_linenumber AS block, sum(l_quantity)::BIGINT AS hits FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL ORDER BY hits DESC, func, block LIMIT 100""")
+@query("top_blocks", """WITH b AS (SELECT l_suppkey AS func, l_partkey % 11 AS profile_index, sum(l_quantity)::BIGINT AS count, max(l_linenumber)::BIGINT AS insts FROM lineitem GROUP BY ALL), e AS (SELECT func, arg_max(count, profile_index) AS entries FROM b GROUP BY func)
+  SELECT func, profile_index, count * insts AS instructions, CASE WHEN entries = 0 THEN 0.0 ELSE count / entries END AS average_loop FROM b JOIN e USING (func) WHERE profile_index > 0 ORDER BY instructions DESC, func, profile_index LIMIT 100""")
 def top_blocks(spark, d):
-    b = X.table(spark, d, "lineitem").where("l_linenumber > 1").groupBy(_C("l_partkey").alias("func"), _C("l_linenumber").alias("block")).agg(F.sum("l_quantity").cast("long").alias("hits"))
-    return b.orderBy(F.desc("hits"), "func", "block").limit(100)
+    return O.top_blocks(_blocks(spark, d), 100)
 
 
 @query("time_delta", "SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta FROM events")
@@ -231,8 +231,10 @@ def resume_anti_join(spark, d):
 
 @query("allowlist_semi_join", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 500)")
 def allowlist_semi_join(spark, d):
-    top = X.table(spark, d, "customer").select(_C("c_custkey").alias("o_custkey")).orderBy("o_custkey").limit(500)
-    return X.table(spark, d, "orders").join(top, "o_custkey", "left_semi").select("o_orderkey")
+    from ..operators.text import allow_listed
+
+    listed = X.table(spark, d, "customer").select(_C("c_custkey").alias("o_custkey"))
+    return allow_listed(X.table(spark, d, "orders"), listed, "o_custkey", "o_custkey", 500).select("o_orderkey")
 
 
 @query("record_number", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS no FROM events")
@@ -261,3 +263,25 @@ def event_windows(spark, d):
   SELECT user_id, min(ts) AS first, count(*) AS n FROM g GROUP BY user_id, g""")
 def sessions(spark, d):
     return _events(spark, d).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("first"), F.count(F.lit(1)).alias("n")).select("user_id", "first", "n")
+
+
+@query("heap_locations", """WITH n AS (SELECT vec_id AS id, i AS no, embedding[i * 4 + 1] AS a FROM (SELECT *, unnest(range(len(embedding) // 4)) AS i FROM embeddings)), l AS (SELECT p_partkey AS id, (p_size % 16) * 4 AS object_index, p_size AS line FROM part)
+  SELECT id, no, a, line FROM l JOIN n USING (id) WHERE no = object_index // 4""")
+def heap_locations(spark, d):
+    nodes = O.heap_nodes(X.table(spark, d, "embeddings").select(_C("vec_id").alias("id"), _C("embedding").alias("numbers")), ["a", "b", "c", "d"])
+    places = X.table(spark, d, "part").select(_C("p_partkey").alias("id"), (_C("p_size") % 16 * 4).alias("object_index"), _C("p_size").alias("line"))
+    return O.heap_locations(places, nodes, 4).select("id", "no", "a", "line")
+
+
+@query("predicate_islands", """WITH n AS (SELECT user_id, event_id, event_type IN ('click', 'view', 'purchase') AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), g AS (SELECT *, n - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM n WHERE t)
+  SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY user_id, g""")
+def predicate_islands(spark, d):
+    return O.predicate_islands(_events(spark, d), "user_id", "event_id", _C("event_type").isin("click", "view", "purchase"))
+
+
+@query("paired_ranges", """WITH r AS (SELECT p_size AS grp, p_partkey AS v, CASE WHEN p_partkey % 3 = 0 THEN 'x, First>' ELSE 'x, Last>' END AS name FROM part), e AS (SELECT *, CASE WHEN ends_with(name, 'First>') AND ends_with(lead(name) OVER w, 'Last>') THEN lead(v) OVER w ELSE v END AS e FROM r WINDOW w AS (PARTITION BY grp ORDER BY v)),
+  b AS (SELECT *, CASE WHEN v <= max(e + 1) OVER (PARTITION BY grp ORDER BY v, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM e), g AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY v, e) AS g FROM b) SELECT grp, min(v) AS first, max(e) AS last FROM g GROUP BY grp, g""")
+def paired_ranges(spark, d):
+    k = _C("p_partkey")
+    rows = X.table(spark, d, "part").select(_C("p_size").alias("grp"), k.alias("v"), F.when(k % 3 == 0, "x, First>").otherwise("x, Last>").alias("name"))
+    return O.paired_ranges(rows, "grp", "v", "name")

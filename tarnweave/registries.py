@@ -51,33 +51,98 @@ LABELS = (
 R1, R2, R3, R4, R4_DYNAMIC, R4_CAMOUFLAGE, R5_CERTAIN, R5_LIKELY, R5_FINGERPRINT = (x[0] for x in LABELS)
 
 #: Sources of the taint analysis: name, kind (P property, M method, C constructor, G global function), what it returns.
-SOURCES = tuple(
-    tuple(x.split(":"))
-    for x in """
-navigator.userAgent:P:primitive navigator.appVersion:P:primitive navigator.platform:P:primitive navigator.language:P:primitive
-navigator.languages:P:array navigator.vendor:P:primitive navigator.vendorSub:P:primitive navigator.product:P:primitive
-navigator.productSub:P:primitive navigator.oscpu:P:primitive navigator.hardwareConcurrency:P:primitive navigator.deviceMemory:P:primitive
-navigator.maxTouchPoints:P:primitive navigator.geolocation:P:object navigator.plugins:P:object navigator.mimeTypes:P:object navigator.mediaDevices:P:object
-screen.width:P:primitive screen.height:P:primitive screen.availWidth:P:primitive screen.availHeight:P:primitive screen.colorDepth:P:primitive
-screen.pixelDepth:P:primitive screen.orientation:P:object
-document.cookie:P:primitive document.referrer:P:primitive document.domain:P:primitive document.URL:P:primitive document.documentURI:P:primitive document.title:P:primitive
-location.href:P:primitive location.protocol:P:primitive location.host:P:primitive location.hostname:P:primitive location.port:P:primitive
-location.pathname:P:primitive location.search:P:primitive location.hash:P:primitive location.origin:P:primitive
-window.name:P:primitive window.origin:P:primitive window.innerWidth:P:primitive window.innerHeight:P:primitive window.outerWidth:P:primitive
-window.outerHeight:P:primitive window.devicePixelRatio:P:primitive
-localStorage.getItem:M:primitive sessionStorage.getItem:M:primitive Date.now:M:primitive Date:C:object
-performance.now:M:primitive performance.timing:P:object performance.navigation:P:object performance.memory:P:object
-fetch:G:promise XMLHttpRequest.responseText:P:primitive XMLHttpRequest.response:P:object XMLHttpRequest.getResponseHeader:M:primitive
-window.getSelection:M:object document.getSelection:M:object navigator.clipboard.readText:M:promise navigator.clipboard.read:M:promise
-history.length:P:primitive history.state:P:object indexedDB.open:M:object WebSocket:C:object
-CanvasRenderingContext2D.getImageData:M:object HTMLCanvasElement.toDataURL:M:primitive HTMLCanvasElement.toBlob:M:promise
-WebGLRenderingContext.getParameter:M:primitive WebGLRenderingContext.getSupportedExtensions:M:array AudioContext:C:object AudioContext.createOscillator:M:object
-navigator.getBattery:M:promise navigator.connection:P:object navigator.mediaDevices.enumerateDevices:M:promise navigator.mediaDevices.getUserMedia:M:promise
-navigator.getGamepads:M:array Notification.permission:P:primitive DeviceOrientationEvent:C:object DeviceMotionEvent:C:object
-MessageEvent.data:P:object MessageEvent.origin:P:primitive HTMLInputElement.value:P:primitive HTMLTextAreaElement.value:P:primitive
-HTMLSelectElement.value:P:primitive FileReader.result:P:primitive File.name:P:primitive File.size:P:primitive
-crypto.getRandomValues:M:object crypto.randomUUID:M:primitive
-""".split()
+SOURCES = (
+    ("navigator.userAgent", "P", "primitive"),
+    ("navigator.appVersion", "P", "primitive"),
+    ("navigator.platform", "P", "primitive"),
+    ("navigator.language", "P", "primitive"),
+    ("navigator.languages", "P", "array"),
+    ("navigator.vendor", "P", "primitive"),
+    ("navigator.vendorSub", "P", "primitive"),
+    ("navigator.product", "P", "primitive"),
+    ("navigator.productSub", "P", "primitive"),
+    ("navigator.oscpu", "P", "primitive"),
+    ("navigator.hardwareConcurrency", "P", "primitive"),
+    ("navigator.deviceMemory", "P", "primitive"),
+    ("navigator.maxTouchPoints", "P", "primitive"),
+    ("navigator.geolocation", "P", "object"),
+    ("navigator.plugins", "P", "object"),
+    ("navigator.mimeTypes", "P", "object"),
+    ("navigator.mediaDevices", "P", "object"),
+    ("screen.width", "P", "primitive"),
+    ("screen.height", "P", "primitive"),
+    ("screen.availWidth", "P", "primitive"),
+    ("screen.availHeight", "P", "primitive"),
+    ("screen.colorDepth", "P", "primitive"),
+    ("screen.pixelDepth", "P", "primitive"),
+    ("screen.orientation", "P", "object"),
+    ("document.cookie", "P", "primitive"),
+    ("document.referrer", "P", "primitive"),
+    ("document.domain", "P", "primitive"),
+    ("document.URL", "P", "primitive"),
+    ("document.documentURI", "P", "primitive"),
+    ("document.title", "P", "primitive"),
+    ("location.href", "P", "primitive"),
+    ("location.protocol", "P", "primitive"),
+    ("location.host", "P", "primitive"),
+    ("location.hostname", "P", "primitive"),
+    ("location.port", "P", "primitive"),
+    ("location.pathname", "P", "primitive"),
+    ("location.search", "P", "primitive"),
+    ("location.hash", "P", "primitive"),
+    ("location.origin", "P", "primitive"),
+    ("window.name", "P", "primitive"),
+    ("window.origin", "P", "primitive"),
+    ("window.innerWidth", "P", "primitive"),
+    ("window.innerHeight", "P", "primitive"),
+    ("window.outerWidth", "P", "primitive"),
+    ("window.outerHeight", "P", "primitive"),
+    ("window.devicePixelRatio", "P", "primitive"),
+    ("localStorage.getItem", "M", "primitive"),
+    ("sessionStorage.getItem", "M", "primitive"),
+    ("Date.now", "M", "primitive"),
+    ("Date", "C", "object"),
+    ("performance.now", "M", "primitive"),
+    ("performance.timing", "P", "object"),
+    ("performance.navigation", "P", "object"),
+    ("performance.memory", "P", "object"),
+    ("fetch", "G", "promise"),
+    ("XMLHttpRequest.responseText", "P", "primitive"),
+    ("XMLHttpRequest.response", "P", "object"),
+    ("XMLHttpRequest.getResponseHeader", "M", "primitive"),
+    ("window.getSelection", "M", "object"),
+    ("document.getSelection", "M", "object"),
+    ("navigator.clipboard.readText", "M", "promise"),
+    ("navigator.clipboard.read", "M", "promise"),
+    ("history.length", "P", "primitive"),
+    ("history.state", "P", "object"),
+    ("indexedDB.open", "M", "object"),
+    ("WebSocket", "C", "object"),
+    ("CanvasRenderingContext2D.getImageData", "M", "object"),
+    ("HTMLCanvasElement.toDataURL", "M", "primitive"),
+    ("HTMLCanvasElement.toBlob", "M", "promise"),
+    ("WebGLRenderingContext.getParameter", "M", "primitive"),
+    ("WebGLRenderingContext.getSupportedExtensions", "M", "array"),
+    ("AudioContext", "C", "object"),
+    ("AudioContext.createOscillator", "M", "object"),
+    ("navigator.getBattery", "M", "promise"),
+    ("navigator.connection", "P", "object"),
+    ("navigator.mediaDevices.enumerateDevices", "M", "promise"),
+    ("navigator.mediaDevices.getUserMedia", "M", "promise"),
+    ("navigator.getGamepads", "M", "array"),
+    ("Notification.permission", "P", "primitive"),
+    ("DeviceOrientationEvent", "C", "object"),
+    ("DeviceMotionEvent", "C", "object"),
+    ("MessageEvent.data", "P", "object"),
+    ("MessageEvent.origin", "P", "primitive"),
+    ("HTMLInputElement.value", "P", "primitive"),
+    ("HTMLTextAreaElement.value", "P", "primitive"),
+    ("HTMLSelectElement.value", "P", "primitive"),
+    ("FileReader.result", "P", "primitive"),
+    ("File.name", "P", "primitive"),
+    ("File.size", "P", "primitive"),
+    ("crypto.getRandomValues", "M", "object"),
+    ("crypto.randomUUID", "M", "primitive"),
 )
 
 #: Sinks of the taint analysis: name, type, method or not.
@@ -116,3 +181,23 @@ SEVERITIES = (
     ("Network", "[CRITICAL]", "Data Exfiltration (Tracking)"), ("Storage", "[WARNING]", "Fingerprinting / Storage"),
     ("Code Injection", "[HIGH]", "Code Injection"), ("XSS", "[MEDIUM]", "DOM Manipulation (XSS)"), ("Navigation", "[LOW]", "Page Navigation"),
 )
+
+#: Events that a page can listen to.
+EVENT_NAMES = (
+    "click", "dblclick", "mousedown", "mouseup", "mousemove", "mouseenter", "mouseleave", "mouseover", "mouseout", "contextmenu",
+    "keydown", "keyup", "keypress", "submit", "input", "change", "focus", "blur",
+    "touchstart", "touchend", "touchmove", "touchcancel", "drag", "dragstart", "dragend", "dragenter", "dragleave", "dragover", "drop",
+    "copy", "cut", "paste", "online", "offline", "message", "messageerror", "storage", "deviceorientation", "devicemotion",
+)
+
+#: Properties of events that carry data.
+EVENT_PROPERTIES = (
+    "clientX", "clientY", "screenX", "screenY", "pageX", "pageY", "offsetX", "offsetY", "button", "buttons", "relatedTarget",
+    "key", "code", "keyCode", "charCode", "which", "altKey", "ctrlKey", "shiftKey", "metaKey",
+    "touches", "targetTouches", "changedTouches", "dataTransfer", "clipboardData",
+    "target", "currentTarget", "type", "timeStamp", "data", "origin", "source",
+)
+
+#: Calls whose first argument names a module that is loaded later.
+RESOURCE_CALLS = ("__jsResource", "__conditionallySplitJSResource", "JSResource", "ConditionallySplitJSResource", "prefetchImport")
+PREFETCHED_CALLS = ("PrefetchedJSResource",)
