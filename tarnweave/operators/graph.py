@@ -53,11 +53,13 @@ def resolved_routes(routes: DataFrame) -> DataFrame:
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """domain, text: a DOT file for each site."""
-    n = nodes.select("domain", F.lit(0).alias("part"), F.format_string('    "%s" [label="%s"];', "node", F.replace(F.replace("label", F.lit('"'), F.lit("'")), F.lit("\n"), F.lit("\\n"))).alias("line"))
-    e = edges.select("domain", F.lit(1).alias("part"), F.format_string('    "%s" -> "%s";', "src", "dst").alias("line"))
-    body = n.unionByName(e).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("all"))
-    return body.select("domain", F.concat(F.lit("digraph G {\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n}")).alias("text"))
+    """domain, part, line: the lines of a DOT file for each site, in order of part and line. A site's lines are rows of
+    their own, so that no site is held in one."""
+    label = F.replace(F.replace("label", F.lit('"'), F.lit("'")), F.lit("\n"), F.lit("\\n"))
+    n = nodes.select("domain", F.lit(1).alias("part"), F.format_string('    "%s" [label="%s"];', "node", label).alias("line"))
+    e = edges.select("domain", F.lit(2).alias("part"), F.format_string('    "%s" -> "%s";', "src", "dst").alias("line"))
+    frame = nodes.select("domain").distinct().select("domain", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("digraph G {").alias("line")), F.struct(F.lit(3).alias("part"), F.lit("}").alias("line")))).alias("x"))
+    return n.unionByName(e).unionByName(frame.select("domain", "x.part", "x.line"))
 
 
 def _levels(max_depth: int | None):

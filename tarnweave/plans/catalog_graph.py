@@ -142,7 +142,10 @@ def event_registry(spark, d):
     return X.table(spark, d, "events").select("event_id", F.col("event_type").isin(*R.EVENT_NAMES).alias("listened"))
 
 
-@query("dot_export")
+@query("dot_export", f"""{_LAB}, e AS ({_EDGES.format(t='chain')}), n AS (SELECT DISTINCT domain, {_ID('source')} AS node, source AS label FROM lab UNION SELECT DISTINCT domain, {_ID('sink_key')}, sink_key FROM lab
+  UNION ALL SELECT domain, {_ID("route_id || '_' || i || '_' || path_nodes[i + 1]")}, path_nodes[i + 1] FROM (SELECT *, unnest(range(len(path_nodes))) AS i FROM lab))
+  SELECT domain, 1 AS part, '    "' || node || '" [label="' || replace(replace(label, '"', ''''), chr(10), '\\n') || '"];' AS line FROM n UNION ALL SELECT domain, 2, '    "' || src || '" -> "' || dst || '";' FROM e
+  UNION ALL SELECT DISTINCT domain, 0, 'digraph G {{' FROM lab UNION ALL SELECT DISTINCT domain, 3, '}}' FROM lab""")
 def dot_export(spark, d):
     r = X.routes(spark, d)
     return O.dot_lines(O.taint_graph_nodes(r), O.taint_graph_edges(r))

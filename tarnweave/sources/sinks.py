@@ -25,8 +25,8 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 
 def write_dot(dot: DataFrame, path: str) -> None:
-    """One folder for each site."""
-    dot.write.partitionBy("domain").text(path)
+    """One folder for each site, with the lines of dot_lines in order."""
+    dot.repartition("domain").sortWithinPartitions("domain", "part", "line").select("domain", "line").write.partitionBy("domain").text(path)
 
 
 def report_lines(modules: DataFrame, routes: DataFrame) -> DataFrame:

@@ -100,3 +100,14 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("wc").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("wc").where("event_type = 'click'").collect()) == [1, 2]
+
+
+def test_dot_files_are_whole(spark, tmp_path):
+    from tarnweave.operators import graph
+
+    nodes = spark.createDataFrame([("a.b", "N_1", "source", 'say "x"'), ("a.b", "N_2", "sink", "s\nd"), ("c.d", "N_3", "source", "y")], "domain string, node string, kind string, label string")
+    edges = spark.createDataFrame([("a.b", "N_1", "N_2")], "domain string, src string, dst string")
+    S.write_dot(graph.dot_lines(nodes, edges), str(tmp_path / "dot"))
+    files = {p.parent.name: p.read_text() for p in (tmp_path / "dot").glob("domain=*/*.txt")}
+    assert files["domain=a.b"] == 'digraph G {\n    "N_1" [label="say \'x\'"];\n    "N_2" [label="s\\nd"];\n    "N_1" -> "N_2";\n}\n'
+    assert set(files) == {"domain=a.b", "domain=c.d"}
