@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import documents
@@ -51,7 +52,9 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality > 0")
-    return cross_entropy_difference(documents(spark, sf_dir), good)
+    rows = cross_entropy_difference(documents(spark, sf_dir), good)
+    # sums of logarithms differ in their last digits from one order to another
+    return rows.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +74,48 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+#: Each string of 200 bytes, by the hexadecimal text of its document; hexadecimal digits come in pairs.
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, h, unnest(range(greatest(length(h) // 2 - 199, 0))) AS i FROM d),
+k AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM s),
+c AS (SELECT r, i FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+e AS (SELECT r, i, CASE WHEN i <= lag(i) OVER w + 200 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM e),
+p AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM p),
+o AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN o USING (r)
+"""
+
+#: Both models word by word; c counts, own the document's part of them, k whether the word is in the vocabulary.
+_LOSS = """-ln(CASE WHEN vk AND v{m} - {inside} * vown > 0 THEN 0.6 * least(CASE WHEN xk THEN (coalesce(p{m}, 0) - {inside} * coalesce(pown, 0)) / (v{m} - {inside} * vown) ELSE 0 END, 1.0) + 0.4 * {one} ELSE {one} END)"""
+_ONE = """(CASE WHEN xk THEN x{m} - {inside} * xown ELSE tokens_{m} - known_{m} - {inside} * strange END + 0.5) / (tokens_{m} - {inside} * size + 0.5 * (vocabulary + 1))"""
+
+
+def _loss(m: str, inside: str) -> str:
+    return _LOSS.format(m=m, inside=inside, one="(" + _ONE.format(m=m, inside=inside) + ")")
+
+
+_OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w,
+  coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality > 0 AND doc_id IS NOT NULL), false) AS hit FROM documents),
+t AS (SELECT r, hit::INT AS hit, unnest(range(len(w))) AS i, unnest(w) AS x FROM d),
+p AS (SELECT *, lag(x) OVER (PARTITION BY r ORDER BY i) AS v FROM t),
+one AS (SELECT x, count(*) AS b, sum(hit) AS g, count(*) >= 2 AS k FROM t GROUP BY x),
+two AS (SELECT v, x, count(*) AS b, sum(hit) AS g FROM p WHERE v IS NOT NULL GROUP BY v, x),
+own1 AS (SELECT r, x, count(*) AS n FROM t GROUP BY r, x),
+own2 AS (SELECT r, v, x, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY r, v, x),
+stats AS (SELECT sum(b) AS tokens_b, sum(g) AS tokens_g, count(*) FILTER (WHERE k) AS vocabulary, coalesce(sum(b) FILTER (WHERE k), 0) AS known_b, coalesce(sum(g) FILTER (WHERE k), 0) AS known_g FROM one),
+odd AS (SELECT r, count(*) AS size, count(*) FILTER (WHERE NOT k) AS strange FROM t JOIN one USING (x) GROUP BY r),
+f AS (SELECT p.r, p.hit, size, strange, tokens_b, tokens_g, vocabulary, known_b, known_g, a.b AS xb, a.g AS xg, a.k AS xk, oa.n AS xown, c.b AS vb, c.g AS vg, coalesce(c.k, false) AS vk, oc.n AS vown, two.b AS pb, two.g AS pg, o2.n AS pown
+  FROM p JOIN odd ON odd.r = p.r CROSS JOIN stats JOIN one a ON a.x = p.x JOIN own1 oa ON oa.r = p.r AND oa.x = p.x LEFT JOIN one c ON c.x = p.v LEFT JOIN own1 oc ON oc.r = p.r AND oc.x = p.v
+  LEFT JOIN two ON two.v = p.v AND two.x = p.x LEFT JOIN own2 o2 ON o2.r = p.r AND o2.v = p.v AND o2.x = p.x),
+l AS (SELECT r, sum({_loss('g', 'hit')}) / any_value(size) AS tl, sum({_loss('b', '1')}) / any_value(size) AS bl FROM f GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(tl, 0), 6) AS target_loss, round(coalesce(bl, 0), 6) AS background_loss, round(coalesce(tl - bl, 0), 6) AS score FROM d LEFT JOIN l USING (r)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": _OP10}
+    return {"op8_repeats": _OP8, "op9_lm_scoring": _OP9, "op10_exact_dedup": _OP10}

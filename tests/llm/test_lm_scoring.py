@@ -100,3 +100,9 @@ def test_scores_tell_like_from_unlike(spark):
     targets = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
     got = {r["doc_id"]: r["score"] for r in cross_entropy_difference(documents(spark, like + other), targets).collect()}
     assert max(got[i] for i in range(20, 40)) < min(got[i] for i in range(40, 60))
+
+
+def test_long_texts(spark):
+    rows = [(1, prose(3, 300_000), "a"), (2, prose(4, 50), "a"), (3, prose(4, 50), "a")]
+    got = [tuple(r) for r in cross_entropy_difference(documents(spark, rows), spark.createDataFrame([(2,)], "doc_id long")).collect()]
+    assert same(got, brute(rows, {2}))

@@ -144,3 +144,9 @@ def test_operator_returns_the_texts(spark):
     r = secret_spans(documents(spark, [(1, text, "s")])).first()
     assert r["base"] == [] and r["layers"] == 1 and r["spans"][0]["found"] == text[2:]
     assert secret_digest(documents(spark, [])).count() == 0
+
+
+def test_long_texts(spark):
+    text = "word " * 400_000 + SECRET + " " + B64(SECRET.encode()) + " " + "f" * 3_000_000
+    r = secret_digest(documents(spark, [(1, text, "s")])).first()
+    assert (r["n_assign"], r["n_access"], r["n_hex"]) == (1, 0, 1) and r["spans"].count("assign") == 2

@@ -123,3 +123,32 @@ def test_without_labels(spark):
     assert toxicity_scores(documents(spark, []), none).count() == 0
     assert documents(spark, [(None, "x", "a")]).select(held_out()).first()[0] is False
     assert F is not None
+
+
+def test_long_texts_are_scored_whole(spark):
+    """The insult stands behind a million letters without a break, and behind many sentences."""
+    rows = [(i, "you are a snorkwit and a bad one" if i % 2 else f"a fine day number {i} for all of us", "a") for i in range(60)]
+    long = [(1001, "z" * 1_000_000 + " you are a snorkwit", "a"), (1002, "a fine day for all. " * 50_000, "a"), (1003, "a fine day for all. " * 50_000 + "you are a snorkwit and a bad one", "a")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity_scores(documents(spark, rows + long), labels).collect()}
+    assert (got[1001], got[1002], got[1003]) == (1, 0, 1)
+
+
+def test_pairs_left_out_cannot_reach_the_floor():
+    """The bound is never below the kernel of a word that has each of the landmark's letters once at most."""
+    r = random.Random(4)
+    marks = Landmarks(["^lose", "^snorkwit", "^gux", "^abab"])
+    for z, mark in enumerate(marks.words):
+        for _ in range(200):
+            kept = r.sample(sorted(set(mark)), r.randrange(3, len(set(mark)) + 1)) if len(set(mark)) >= 3 else sorted(set(mark))
+            r.shuffle(kept)
+            word = "".join(c + "123"[: r.randrange(3)] for c in kept)
+            codes = np.array([[ord(c) for c in word]], dtype=np.uint32)
+            kernel = subsequence_kernel(codes, marks.codes[z : z + 1])[0] / marks.norms[z]
+            missing = sum(1 << (ord(c) % 63) for c in set(mark) - set(kept))
+            assert kernel <= marks.bound(z, missing) + 1e-9
+
+
+def test_the_landmark_matrix_is_positive_semidefinite():
+    marks = Landmarks(["^snorkwit", "^snork", "^lose", "^loser", "^worthless", "^worth"])
+    assert np.linalg.eigvalsh(marks.matrix()).min() > -1e-9 and np.allclose(np.diag(marks.matrix()), 1)
