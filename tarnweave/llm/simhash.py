@@ -15,6 +15,11 @@ task: its members are linked by an exact second way, in which each fingerprint l
 within 2 bits of it, and two fingerprints are linked if and only if they share a point.
 Components come from alternating large-star and small-star steps.
 
+Near copies of a similarity of 0.8 or more differ in more bits than four as a rule, so `drop_near_copies` takes `COPIES` fingerprints
+of a text over five-word shingles, each from a mixing of its own of the shingles' hashes, and links texts that any of
+them links. A pair of five-word similarity 0.95 is linked by one with a probability of about 0.5, by one of four of 0.93; at 0.88
+of 0.14 and 0.44, and at 0.6, which is no near copy, of 0.001 and 0.005.
+
 Edge cases: texts without words (also null texts) have fingerprint zero and are linked like any
 other; a text of fewer words than a shingle is one shingle; null ids are never the smallest
 unless all ids of a component are null; rows that repeat an id or a text give a row each; empty
@@ -35,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import UPPER, checkpoint
 
 SHINGLE, DISTANCE, BITS = 4, 4, 64
+#: Of near copies in a stage: words of a shingle, fingerprints of a text.
+STAGE_SHINGLE, COPIES = 5, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET_ROWS = 8192
 #: Signatures are not made longer than about this.
@@ -44,46 +51,64 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _CHUNK = 1 << 15
 
 
+def _mixed(h: np.ndarray, copies: int) -> np.ndarray:
+    """A row for each hash: the hash itself and further mixings of it."""
+    out = np.empty((len(h), copies), dtype=np.uint64)
+    out[:, 0] = h
+    for k in range(1, copies):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The unsigned fingerprint of a whole text."""
+    return int(several(text, shingle, 1)[0])
+
+
+def several(text: str | None, shingle: int, copies: int) -> np.ndarray:
+    """Unsigned fingerprints of a whole text, the first from the hashes themselves."""
     words = [w.encode("utf-8", "surrogatepass") for w in _WORDS.findall((text or "").translate(_LOWER))]
     n = len(words)
     if n == 0:
-        return 0
+        return np.zeros(copies, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        return digest(b" ".join(words), 42)
+        return _mixed(np.array([digest(b" ".join(words), 42)], dtype=np.uint64), copies)[0]
     joined, ends, at = b" ".join(words), [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     starts = [0] + [e + 1 for e in ends[: n - shingle]]
-    total, counts = n - shingle + 1, np.zeros(BITS, dtype=np.int64)
+    total, counts = n - shingle + 1, np.zeros(BITS * copies, dtype=np.int64)
     for lo in range(0, total, _CHUNK):
         hi = min(lo + _CHUNK, total)
         h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[lo:hi], ends[lo + shingle - 1 : hi + shingle - 1])), dtype="<u8", count=hi - lo)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(_mixed(h, copies).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+    return np.packbits(counts * 2 > total, bitorder="little").view("<u8")
 
 
 def _digest(text: Column) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit("null"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, *, digest: bool = False) -> DataFrame:
-    """id_col as doc_id, fp (the fingerprint's 64 bits as a signed long), and on request digest
-    (of the text)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, *, copies: int = 0, digest: bool = False) -> DataFrame:
+    """id_col as doc_id, fp (the fingerprint's 64 bits as a signed long) or, for several copies, fp0, fp1 ..., and on request
+    digest (of the text)."""
+    names = [f"fp{k}" for k in range(copies)] or ["fp"]
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *more])
+            fps = np.array([several(t.as_py(), shingle, len(names)) for t in b.column(1)], dtype=np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T], *b.columns[2:]], names=["doc_id", *names, *more])
 
     text = F.col(f"`{text_col}`").cast("string")
     more = ["digest"] if digest else []
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *[_digest(text).alias(c) for c in more])
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + "".join(f", {c} string" for c in more))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}" + "".join(f", {c} string" for c in more))
 
 
 def signatures(n: int, occupancy: int = 64) -> list[int]:
@@ -203,6 +228,24 @@ def _members(reps: DataFrame, bucket_rows: int) -> DataFrame:
     return reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
 
 
+def _grouped(reps: DataFrame, copies: int, bucket_rows: int) -> DataFrame:
+    """reps: row (a number), fp0, fp1 ..., rep. row, root: of rows that any of their fingerprints links; a row by itself has
+    none. Rows meet at the fingerprints that they share or that are linked, which are nodes too."""
+    row = F.struct(F.lit(-1).alias("k"), F.col("row").alias("x"))
+    edges = None
+    for k in range(copies):
+        node = lambda c, k=k: F.struct(F.lit(k).alias("k"), F.col(c).alias("x"))
+        own = reps.select("row", F.col(f"fp{k}").alias("fp"))
+        sizes = checkpoint(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+        links = checkpoint(fingerprint_links(sizes.select("fp"), bucket_rows=bucket_rows))
+        met = sizes.where("n > 1").select("fp").unionByName(links.select(F.col("src").alias("fp"))).unionByName(links.select(F.col("dst").alias("fp"))).distinct()
+        part = links.select(node("src").alias("src"), node("dst").alias("dst")).unionByName(own.join(met, "fp").select(row.alias("src"), node("fp").alias("dst")))
+        edges = part if edges is None else edges.unionByName(part)
+    roots = components(edges)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return roots.where("node.k < 0").select(F.col("node.x").alias("row"), "root")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each row of docs: id_col, fingerprint (16 hex digits), component_id (the
     smallest id reachable over links)."""
@@ -214,16 +257,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(labels, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = STAGE_SHINGLE, copies: int = COPIES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs with exactly one row of each group; all columns stay.
 
     That with the smallest id stays, of repeated ids that with the least digest of its text; a
     row with a null id only if no row of the group has an id. Rows are told apart by id and text.
     """
-    rows = checkpoint(fingerprints(docs, id_col, text_col, digest=True))
+    names = [f"fp{k}" for k in range(copies)]
+    rows = fingerprints(docs, id_col, text_col, shingle, copies=copies, digest=True)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    reps = checkpoint(rows.groupBy("fp").agg(F.min(order).alias("rep")))
-    kept = _members(reps, bucket_rows).groupBy("root").agg(F.min("rep").alias("rep"))
+    reps = checkpoint(rows.groupBy(*names).agg(F.min(order).alias("rep")).withColumn("row", F.monotonically_increasing_id()))
+    groups = reps.join(_grouped(reps, copies, bucket_rows), "row", "left")
+    alone = F.struct(F.lit(-1).alias("k"), F.col("row").alias("x"))
+    kept = groups.groupBy(F.coalesce("root", alone).alias("root")).agg(F.min("rep").alias("rep"))
 
     def key(digest: Column, doc_id: Column) -> Column:
         return F.concat_ws("|", digest, doc_id.cast("string"))  # a null id adds nothing

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from tarnweave.llm.simhash import _links, drop_near_copies, fingerprint, fingerprint_links, near_groups, signatures
+from tarnweave.llm.simhash import _links, drop_near_copies, fingerprint, fingerprint_links, near_groups, several, signatures
 
 from .data import documents, odd_rows, prose
 
@@ -98,23 +98,55 @@ def test_groups_of_odd_rows(spark):
     assert fingerprint(None) == fingerprint(" ") == 0
     out = drop_near_copies(docs)
     assert out.columns == docs.columns
-    assert {r["doc_id"] for r in out.collect() if r["doc_id"] is not None} == {r["component_id"] for r in got if r["component_id"] is not None}
+    assert {r["doc_id"] for r in drop_near_copies(docs, shingle=4, copies=1).collect() if r["doc_id"] is not None} == {r["component_id"] for r in got if r["component_id"] is not None}
     assert near_groups(documents(spark, [])).count() == 0
 
 
-def test_exactly_one_row_of_each_group_stays(spark):
+def joined(texts, shingle, copies):
+    """A number for each text: those that any fingerprint links have the same."""
+    fps = {t: [int(x) for x in several(t, shingle, copies)] for t in texts}
+    pairs = [(a, b) for a in texts for b in texts if any(bin(x ^ y).count("1") <= 4 for x, y in zip(fps[a], fps[b]))]
+    order = {t: i for i, t in enumerate(texts)}
+    return union([(order[a], order[b]) for a, b in pairs], range(len(texts))), order
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_exactly_one_row_of_each_group_stays(spark, copies):
     """Also where ids are null or repeated: (a) lone null ids, (b) an id in two groups, (c) copies that share an id."""
     rows = odd_rows() + [(2, prose(40, 80), "a"), (30, prose(41, 80), "a"), (30, prose(41, 80).upper(), "b"), (None, prose(42, 80), "a"), (None, prose(42, 80).upper(), "b")]
-    comp = roots({fingerprint(t) for _, t, _ in rows})
+    r = random.Random(12)
+    for i in range(40, 60):  # chains of texts that differ by a few words
+        words = prose(60 + i // 5, 120).split()
+        for _ in range(i % 5):
+            words[r.randrange(120)] = "other"
+        rows.append((i, " ".join(words), "a"))
+    texts = sorted({t or "" for _, t, _ in rows})
+    comp, number = joined(texts, 5, copies)
     groups = {}
     for i, t, _ in rows:
-        groups.setdefault(comp[fingerprint(t)], []).append((i is None, i or 0, "null" if t is None else hashlib.sha256(t.encode()).hexdigest(), i, t))
+        groups.setdefault(comp[number[t or ""]], []).append((i is None, i or 0, "null" if t is None else hashlib.sha256(t.encode()).hexdigest(), i, t))
     want = [min(v)[3:] for v in groups.values()]
-    got = [(r["doc_id"], r["text"]) for r in drop_near_copies(documents(spark, rows)).collect()]
+    got = [(r["doc_id"], r["text"]) for r in drop_near_copies(documents(spark, rows), copies=copies).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert (None, "no id here") in got and (2, prose(40, 80)) in got and sum(i == 30 for i, _ in got) == 1
 
 
+def test_near_copies_are_caught_and_others_left_alone(spark):
+    """Five-word similarity: 0.95 and more, about 0.88, and 0.5."""
+    def changed(seed, n, k):
+        words = prose(seed, n).split()
+        for j in random.Random(seed).sample(range(5, n - 5), k):
+            words[j] = f"zz{j}"
+        return " ".join(words)
+
+    rows = []
+    for i in range(60):
+        rows += [(10 * i, prose(1000 + i, 400), "a"), (10 * i + 1, changed(1000 + i, 400, 2), "a"), (10 * i + 2, prose(2000 + i, 400), "a"), (10 * i + 3, changed(2000 + i, 400, 5), "a"), (10 * i + 4, prose(3000 + i, 400), "a"), (10 * i + 5, changed(3000 + i, 400, 27), "a")]
+    left = {r["doc_id"] for r in drop_near_copies(documents(spark, rows)).collect()}
+    gone = [sum(1 for i in range(60) if 10 * i + k not in left) for k in range(6)]
+    assert gone[0] == gone[2] == gone[4] == 0 and gone[1] >= 48 and gone[3] >= 18 and gone[5] <= 1
+
+
 def test_a_string_id_null_is_not_a_null_id(spark):
     schema = "doc_id string, text string, lang string"
     rows = [("null", prose(50, 80), "x"), (None, prose(50, 80), "x"), (None, prose(51, 80), "x"), ("7", prose(52, 80), "x")]
