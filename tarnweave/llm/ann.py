@@ -16,7 +16,8 @@ no cell, however full, is held in one task.
 Edge cases: vectors that are null, all zero, of another length than most, or that hold null or
 non-finite components take no part, nor do rows with a null id; a query never finds its own row, but
 other rows of its id; each of several rows with a query's id is a query, so that its ranks repeat; ties
-go to the smaller id; with fewer candidates than asked for, all in the probed cells are returned. Empty
+go to the smaller id; a query looks into further cells until they hold k others; with fewer candidates than that, all are
+returned. Empty
 tables give empty results.
 """
 
@@ -234,21 +235,26 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if q is None:
         return index.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
 
+    held = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # a row for each cell
+    sizes = np.array([held.get(c, 0) for c in range(len(cells.centres))])
+
     def probe(batches):
         for b in batches:
-            order = cells.order(_matrix(b.column(2), dim))[:, : cells.probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(order), type=pa.list_(pa.int32()))], names=["asked", "query_id", "vector", "cells"])
+            order = cells.order(_matrix(b.column(2), dim)).astype(np.int32)
+            # as many more cells as it takes to hold k others
+            most = np.maximum(cells.probes, (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o[:n] for o, n in zip(order, most)], type=pa.list_(pa.int32()))], names=["asked", "query_id", "vector", "cells"])
 
     asked = index.where(F.col("vec_id") % every == 0).select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     asked = checkpoint(asked.mapInArrow(probe, "asked long, query_id long, vector array<double>, cells array<int>"))
     asked = asked.select("asked", "query_id", "vector", F.explode("cells").alias("cell"))
 
-    def pieces(df: DataFrame, size: int):
+    def pieces(rows_of: dict[int, int], size: int):
         """Into how many pieces of about `size` rows each cell is dealt; a cell without rows has none."""
-        n = {r["cell"]: -(-r["count"] // size) for r in df.groupBy("cell").count().collect()}  # a row for each cell
+        n = {c: -(-x // size) for c, x in rows_of.items()}
         return F.element_at(F.array(*[F.lit(n.get(c, 0)).cast("long") for c in range(len(cells.centres))]), F.col("cell") + 1)
 
-    parts, blocks = pieces(index, part_rows), pieces(asked, block)
+    parts, blocks = pieces(held, part_rows), pieces({r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}, block)
     every_of = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)))
     # each part of a cell meets each block of the queries that look into the cell, in a task of its own
     index = index.select("*", F.pmod(F.xxhash64("row"), parts).alias("part")).select("*", every_of(blocks).alias("block"))

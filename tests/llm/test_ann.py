@@ -102,3 +102,11 @@ def test_parallel_error_weighs_more():
         return ((r * x).sum(axis=1) ** 2 / (x * x).sum(axis=1)).mean()
 
     assert along(aware) < 0.6 * along(plain)
+
+
+def test_every_query_finds_k_where_there_are_as_many(spark):
+    """Most vectors are the same, so that most cells hold next to nothing."""
+    r = np.random.default_rng(3)
+    v = np.vstack([np.repeat(r.normal(size=(1, 16)), 300, axis=0), 50 * r.normal(size=(200, 16))]).astype(np.float32)
+    got = [tuple(x) for x in nearest(table(spark, list(enumerate(v))), every=5, rerank=10).select("query_id", "rank").collect()]
+    assert len(got) == 1000 and len(set(got)) == 1000
