@@ -108,7 +108,9 @@ def sink_registry(spark, d):
     return rows.select("domain", "route_id", F.when(F.col("sink_name").rlike(r"\.(src|href) \(Evasion"), "Network").otherwise(F.coalesce("type", F.lit("Unknown"))).alias("found"), O.severity(F.col("sink_type")).alias("severity"))
 
 
-@query("string_reconstruct")
+@query("string_reconstruct", """WITH RECURSIVE c AS (SELECT p_partkey AS v, p_brand AS x FROM part WHERE p_partkey % 3 = 1), s AS (SELECT p_partkey AS v, p_partkey + 1 AS l, p_partkey // 2 AS r FROM part WHERE p_partkey % 3 = 0),
+  t(n, v, x) AS (SELECT 0, v, x FROM c UNION ALL SELECT k.n + 1, u.v, u.x FROM (SELECT max(n) AS n FROM t) k, (SELECT v, x FROM c UNION ALL SELECT s.v, coalesce(a.x, '{VAR}') || coalesce(b.x, '{VAR}') FROM s LEFT JOIN t a ON a.v = s.l LEFT JOIN t b ON b.v = s.r) u WHERE k.n < 8)
+  SELECT v AS value_id, x AS text FROM t WHERE n = 8""")
 def string_reconstruct(spark, d):
     p = X.table(spark, d, "part")
     sums = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("value_id"), (F.col("p_partkey") + 1).alias("lhs"), F.floor(F.col("p_partkey") / 2).cast("long").alias("rhs"))

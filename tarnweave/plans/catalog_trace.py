@@ -199,7 +199,10 @@ def casemap_override(spark, d):
     return O.override([layer("true", 0), layer("cp % 3 = 0", 1), layer("cp % 5 = 0", 2)], "cp", "mapped")
 
 
-@query("run_compression")
+@query("run_compression", """WITH RECURSIVE r AS (SELECT p_brand AS grp, p_partkey AS k, p_partkey + p_partkey // 500 * 32 AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
+  t(grp, n, f, l, s, d, id) AS (SELECT grp, n, k, k, 0::BIGINT, v - k, 1 FROM r WHERE n = 1 UNION ALL SELECT grp, n, CASE WHEN ok THEN f ELSE k END, k, CASE WHEN ok THEN k - l ELSE 0 END, v - k, CASE WHEN ok THEN id ELSE id + 1 END
+    FROM (SELECT r.*, t.f, t.l, t.id, r.v - r.k = t.d AND r.k - t.f < 256 AND (t.s = 0 OR r.k - t.l = t.s) AS ok FROM t JOIN r ON r.grp = t.grp AND r.n = t.n + 1) x)
+  SELECT grp, min(f) AS first, max(l) AS last, arg_max(s, n) AS stride, any_value(d) AS delta FROM t GROUP BY grp, id""")
 def run_compression(spark, d):
     k = _C("p_partkey")
     return O.compress_runs(X.table(spark, d, "part").select(_C("p_brand").alias("grp"), k.alias("key"), (k + F.floor(k / 500) * 32).alias("value")), "grp", "key", "value")
