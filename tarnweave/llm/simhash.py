@@ -158,20 +158,24 @@ def _links(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _bucket_links(batches):
+    """Of lists of fingerprints and, on request, the number k that a list has."""
     for b in batches:
         lists = b.column(0)
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         sizes = np.diff(offsets)
-        at = offsets[:-1][sizes == 2]
-        x, y = values[at], values[at + 1]
+        two, more = np.flatnonzero(sizes == 2), np.flatnonzero(sizes > 2)
+        x, y = values[offsets[two]], values[offsets[two] + 1]
         near = np.bitwise_count(x ^ y) <= DISTANCE
-        src, dst = [x[near]], [y[near]]
-        rest = [e for i in np.flatnonzero(sizes > 2) for e in _links(values[offsets[i] : offsets[i + 1]])]
-        if rest:
-            rest = np.array(rest, dtype=np.uint64)
-            src.append(rest[:, 0])
-            dst.append(rest[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (src, dst)], names=["src", "dst"])
+        src, dst, at = [x[near]], [y[near]], [two[near]]
+        for i in more:
+            found = _links(values[offsets[i] : offsets[i + 1]])
+            if found:
+                found = np.array(found, dtype=np.uint64)
+                src.append(found[:, 0])
+                dst.append(found[:, 1])
+                at.append(np.full(len(found), i))
+        k = [c.take(pa.array(np.concatenate(at))) for c in b.columns[1:]]
+        yield pa.RecordBatch.from_arrays([*k, *[pa.array(np.concatenate(v).view(np.int64)) for v in (src, dst)]], names=["k"][: len(k)] + ["src", "dst"])
 
 
 def _ball() -> list[int]:
@@ -180,23 +184,23 @@ def _ball() -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
 
 
-def fingerprint_links(fps: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, *, by: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """fps: distinct fp. src, dst: links, or pairs that are connected by links of a bucket; their
-    connected components are those of all links."""
+    connected components are those of all links. by: () or ("k",), a number of fps and links; only fps of the same are linked."""
     masks = signatures(fps.count())
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keys = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("no", "mask"))
-    keys = keys.select(F.xxhash64("no", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+    keys = fps.select(*by, "fp", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("no", "mask"))
+    keys = keys.select(*by, F.xxhash64(*by, "no", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
     crowded = checkpoint(sizes.select("key"))
     small = keys if crowded.isEmpty() else keys.join(crowded, "key", "left_anti")
-    lists = small.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    links = lists.mapInArrow(_bucket_links, "src long, dst long")
+    lists = small.groupBy("key", *by).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps", *by)
+    links = lists.mapInArrow(_bucket_links, ", ".join([*[f"{c} int" for c in by], "src long, dst long"]))
     if not crowded.isEmpty():
-        dense = keys.join(crowded, "key", "left_semi").select("fp").distinct()
-        points = dense.select("fp", F.explode(F.array(*[F.lit(m) for m in _ball()])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
-        hubs = points.groupBy("point").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        links = links.unionByName(points.join(hubs, "point").where("fp <> hub").select(F.col("hub").alias("src"), F.col("fp").alias("dst")).distinct())
+        dense = keys.join(crowded, "key", "left_semi").select(*by, "fp").distinct()
+        points = dense.select(*by, "fp", F.explode(F.array(*[F.lit(m) for m in _ball()])).alias("mask")).select(*by, "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
+        hubs = points.groupBy(*by, "point").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        links = links.unionByName(points.join(hubs, [*by, "point"]).where("fp <> hub").select(*by, F.col("hub").alias("src"), F.col("fp").alias("dst")).distinct())
     return links.distinct()
 
 
@@ -231,16 +235,13 @@ def _members(reps: DataFrame, bucket_rows: int) -> DataFrame:
 def _grouped(reps: DataFrame, copies: int, bucket_rows: int) -> DataFrame:
     """reps: row (a number), fp0, fp1 ..., rep. row, root: of rows that any of their fingerprints links; a row by itself has
     none. Rows meet at the fingerprints that they share or that are linked, which are nodes too."""
-    row = F.struct(F.lit(-1).alias("k"), F.col("row").alias("x"))
-    edges = None
-    for k in range(copies):
-        node = lambda c, k=k: F.struct(F.lit(k).alias("k"), F.col(c).alias("x"))
-        own = reps.select("row", F.col(f"fp{k}").alias("fp"))
-        sizes = checkpoint(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-        links = checkpoint(fingerprint_links(sizes.select("fp"), bucket_rows=bucket_rows))
-        met = sizes.where("n > 1").select("fp").unionByName(links.select(F.col("src").alias("fp"))).unionByName(links.select(F.col("dst").alias("fp"))).distinct()
-        part = links.select(node("src").alias("src"), node("dst").alias("dst")).unionByName(own.join(met, "fp").select(row.alias("src"), node("fp").alias("dst")))
-        edges = part if edges is None else edges.unionByName(part)
+    node = lambda k, x: F.struct(k.alias("k"), F.col(x).alias("x"))
+    own = reps.select("row", F.posexplode(F.array(*[f"fp{k}" for k in range(copies)])).alias("k", "fp"))
+    sizes = checkpoint(own.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n")))
+    links = checkpoint(fingerprint_links(sizes.select("k", "fp"), by=("k",), bucket_rows=bucket_rows))
+    met = sizes.where("n > 1").select("k", "fp").unionByName(links.select("k", F.explode(F.array("src", "dst")).alias("fp"))).distinct()
+    edges = links.select(node(F.col("k"), "src").alias("src"), node(F.col("k"), "dst").alias("dst"))
+    edges = edges.unionByName(own.join(met, ["k", "fp"]).select(node(F.lit(-1), "row").alias("src"), node(F.col("k"), "fp").alias("dst")))
     roots = components(edges)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     return roots.where("node.k < 0").select(F.col("node.x").alias("row"), "root")

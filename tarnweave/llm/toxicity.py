@@ -402,7 +402,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Machine | float:
-    return fit(*training_rows(docs, labels, id_col, text_col, label_col, train_docs, train_chars))
+    machine = fit(*training_rows(docs, labels, id_col, text_col, label_col, train_docs, train_chars))
+    release_memory()  # the sample's texts are not needed any more
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine | float, text_col: str = "text", name: str = "__tw_score") -> DataFrame:
