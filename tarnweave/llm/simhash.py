@@ -29,7 +29,6 @@ tables give empty results. Other columns are never read.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, checkpoint
+from .common import checkpoint
 
 SHINGLE, DISTANCE, BITS = 4, 4, 64
 #: Of near copies in a stage: words of a shingle, fingerprints of a text.
@@ -46,8 +45,6 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET_ROWS = 8192
 #: Signatures are not made longer than about this.
 MOST_BITS = 40
-_LOWER = str.maketrans(UPPER, UPPER.lower())
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _CHUNK = 1 << 15
 
 
@@ -70,22 +67,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def several(text: str | None, shingle: int, copies: int) -> np.ndarray:
     """Unsigned fingerprints of a whole text, the first from the hashes themselves."""
-    words = [w.encode("utf-8", "surrogatepass") for w in _WORDS.findall((text or "").translate(_LOWER))]
+    # of bytes, lower() changes A-Z only and split() parts at 0x20 and 0x09 to 0x0D only
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if n == 0:
         return np.zeros(copies, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
         return _mixed(np.array([digest(b" ".join(words), 42)], dtype=np.uint64), copies)[0]
-    joined, ends, at = b" ".join(words), [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0] + [e + 1 for e in ends[: n - shingle]]
+    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1)
+    starts, ends = [0, *ends[: n - shingle].tolist()], (ends[shingle - 1 :] - 1).tolist()
     total, counts = n - shingle + 1, np.zeros(BITS * copies, dtype=np.int64)
     for lo in range(0, total, _CHUNK):
         hi = min(lo + _CHUNK, total)
-        h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[lo:hi], ends[lo + shingle - 1 : hi + shingle - 1])), dtype="<u8", count=hi - lo)
+        h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[lo:hi], ends[lo:hi])), dtype="<u8", count=hi - lo)
         bits = np.unpackbits(_mixed(h, copies).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > total, bitorder="little").view("<u8")
