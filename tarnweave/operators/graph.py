@@ -159,7 +159,10 @@ def source_table(spark) -> DataFrame:
 
 
 def sink_table(spark) -> DataFrame:
-    return spark.createDataFrame(R.SINKS, "name string, type string, is_method boolean")
+    """name, type, is_method, url_arg, data_arg (places, -1: none), object_name, method (of methods)."""
+    places = {name: (url, data) for name, url, data in R.SINK_ARGUMENTS}
+    rows = [(n, t, m, *places[n], *(n.rsplit(".", 1) if m and "." in n else (None, None))) for n, t, m in R.SINKS]
+    return spark.createDataFrame(rows, "name string, type string, is_method boolean, url_arg int, data_arg int, object_name string, method string")
 
 
 def severity(sink_type: Column) -> Column:

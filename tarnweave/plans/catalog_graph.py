@@ -108,6 +108,14 @@ def sink_registry(spark, d):
     return rows.select("domain", "route_id", F.when(F.col("sink_name").rlike(r"\.(src|href) \(Evasion"), "Network").otherwise(F.coalesce("type", F.lit("Unknown"))).alias("found"), O.severity(F.col("sink_type")).alias("severity"))
 
 
+@query("sink_arguments", f"""WITH {X.BASE_SQL}, s(name, m) AS (VALUES {', '.join(f"('{a}', {str(c).lower()})" for a, _, c in R.SINKS)}), a(name, url_arg, data_arg) AS (VALUES {', '.join(map(str, R.SINK_ARGUMENTS))})
+  SELECT domain, route_id, url_arg, data_arg, CASE WHEN m AND contains(name, '.') THEN split_part(name, '.', 1) END AS object_name, CASE WHEN m AND contains(name, '.') THEN split_part(name, '.', 2) END AS method FROM fx_routes JOIN s ON name = sink_name JOIN a USING (name)""")
+def sink_arguments(spark, d):
+    # the registry has a fixed number of rows
+    table = F.broadcast(O.sink_table(spark))
+    return X.routes(spark, d).join(table, F.col("sink_name") == F.col("name")).select("domain", "route_id", "url_arg", "data_arg", "object_name", "method")
+
+
 @query("string_reconstruct", """WITH RECURSIVE c AS (SELECT p_partkey AS v, p_brand AS x FROM part WHERE p_partkey % 3 = 1), s AS (SELECT p_partkey AS v, p_partkey + 1 AS l, p_partkey // 2 AS r FROM part WHERE p_partkey % 3 = 0),
   t(n, v, x) AS (SELECT 0, v, x FROM c UNION ALL SELECT k.n + 1, u.v, u.x FROM (SELECT max(n) AS n FROM t) k, (SELECT v, x FROM c UNION ALL SELECT s.v, coalesce(a.x, '{VAR}') || coalesce(b.x, '{VAR}') FROM s LEFT JOIN t a ON a.v = s.l LEFT JOIN t b ON b.v = s.r) u WHERE k.n < 8)
   SELECT v AS value_id, x AS text FROM t WHERE n = 8""")

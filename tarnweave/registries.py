@@ -156,6 +156,15 @@ SINKS = (
     ("location.assign", "Navigation", True), ("location.replace", "Navigation", True), ("window.open", "Navigation", True),
 )
 
+#: Places of a sink's URL and data among its arguments, -1 without one.
+SINK_ARGUMENTS = (
+    ("fetch", 0, 1), ("XMLHttpRequest.open", 1, -1), ("XMLHttpRequest.send", -1, 0), ("XMLHttpRequest.setRequestHeader", -1, 1),
+    ("navigator.sendBeacon", 0, 1), ("src", -1, 0), ("WebSocket.send", -1, 0), ("localStorage.setItem", -1, 1), ("sessionStorage.setItem", -1, 1),
+    ("document.cookie", -1, 0), ("document.write", -1, 0), ("document.writeln", -1, 0), ("innerHTML", -1, 0), ("outerHTML", -1, 0), ("eval", -1, 0),
+    ("Function", -1, 0), ("setTimeout", -1, 0), ("setInterval", -1, 0), ("location.href", -1, 0), ("location.assign", -1, 0), ("location.replace", -1, 0),
+    ("window.open", 0, -1),
+)
+
 ENCODING_CALLS = ("atob", "btoa", "decodeURIComponent", "unescape", "decodeURI")
 
 #: Properties that are sources whatever object they are read from.
