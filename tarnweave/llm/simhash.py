@@ -43,6 +43,8 @@ SHINGLE, DISTANCE, BITS = 4, 4, 64
 STAGE_SHINGLE, COPIES = 5, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET_ROWS = 8192
+#: Signatures that a task makes.
+TASK_ROWS = 1_000_000
 #: Signatures are not made longer than about this.
 MOST_BITS = 40
 _CHUNK = 1 << 15
@@ -182,8 +184,11 @@ def _ball() -> list[int]:
 def fingerprint_links(fps: DataFrame, *, by: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """fps: distinct fp. src, dst: links, or pairs that are connected by links of a bucket; their
     connected components are those of all links. by: () or ("k",), a number of fps and links; only fps of the same are linked."""
-    masks = signatures(fps.count())
+    n = fps.count()
+    masks = signatures(n)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    # so many rows a task that none has to spill them
+    fps = fps.repartition(max(1, -(-n * len(masks) // TASK_ROWS)), "fp")
     keys = fps.select(*by, "fp", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("no", "mask"))
     keys = keys.select(*by, F.xxhash64(*by, "no", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
