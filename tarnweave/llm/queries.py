@@ -17,6 +17,7 @@ from .secrets import secret_digest
 from .simhash import near_groups
 from .topk import top_products
 from .toxicity import toxicity_scores
+from .whitening import whiten
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +63,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_simhash, op4_secrets, op5_packing, op6_licenses, op7_nearest, op8_repeats, op9_lm_scoring, op10_exact_dedup, op13_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_simhash, op4_secrets, op5_packing, op6_licenses, op7_nearest, op8_repeats, op9_lm_scoring, op10_exact_dedup, op11_whitening, op13_topk)}
 
 
 #: White space runs become one space, as in exact_dedup.normalised.
