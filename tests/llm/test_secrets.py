@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -150,3 +152,48 @@ def test_long_texts(spark):
     text = "word " * 400_000 + SECRET + " " + B64(SECRET.encode()) + " " + "f" * 3_000_000
     r = secret_digest(documents(spark, [(1, text, "s")])).first()
     assert (r["n_assign"], r["n_access"], r["n_hex"]) == (1, 0, 1) and r["spans"].count("assign") == 2
+
+
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "zstd": zstandard.ZstdCompressor().compress, "bzip2": bz2.compress, "xz": lzma.compress, "deflate": lambda x: zlib.compress(x)[2:-4]}
+
+
+@pytest.mark.parametrize("pack", PACKERS)
+def test_each_compression(pack):
+    text = "é " + B64(PACKERS[pack](WHOLE))
+    assert [s for s in find(text)[1] if s[2] == "assign"] == [(2, len(text), "assign")]
+
+
+def hidden(size):
+    """Words that do not compress away, a secret behind them."""
+    r = random.Random(size)
+    return " ".join(str(r.getrandbits(40)) for _ in range(size // 13)).encode() + b" " + WHOLE
+
+
+@pytest.mark.parametrize("outer, inner, size", [(o, i, n) for o, i in (("gzip", "gzip"), ("zstd", "plain"), ("gzip", "url"), ("zlib", "lines")) for n in (200_000, 3_000_000)] + [("gzip", "gzip", 20_000_000)])
+def test_nothing_is_lost_by_size(outer, inner, size):
+    data = hidden(size)
+    code = {"gzip": lambda: B64(gzip.compress(data, 1)), "plain": lambda: B64(data), "lines": lambda: WRAP(B64(zlib.compress(data, 1)), 76).replace("\n", "\r\n"), "url": lambda: urllib.parse.quote(B64(gzip.compress(data, 1)), safe="")}[inner]()
+    text = "é " + B64(PACKERS[outer](b"see " + code.encode() + b" there")) + " end"
+    assert [s for s in find(text)[1] if s[2] == "assign"] == [(2, len(text) - 4, "assign")]
+
+
+def test_three_long_layers():
+    data = hidden(4_000_000)
+    for pack in (gzip.compress, zlib.compress, bz2.compress):
+        data = B64(pack(data)).encode()
+    assert [s for s in find("é " + data.decode())[1] if s[2] == "assign"] == [(2, 2 + len(data), "assign")]
+
+
+def test_content_that_holds_itself_ends():
+    from tarnweave.llm.secrets import _Budget, _Inflated
+
+    head = gzip.compress(b"x" * 100)
+    inner = _Inflated(head, False, _Budget(None), frozenset({b"x" * 64}))
+    assert list(inner.feed(head)) == [] and inner.steps is None
+
+
+def test_what_was_cut_is_told(spark):
+    text = "é " + B64(gzip.compress(hidden(300_000)))
+    docs = documents(spark, [(1, text, "s"), (2, "plain", "s")])
+    assert [r["cut"] for r in secret_digest(docs, limit=100_000).orderBy("doc_id").collect()] == [True, False]
+    assert [(r["cut"], "assign" in r["spans"]) for r in secret_digest(docs, limit=None).orderBy("doc_id").collect()] == [(False, True), (False, False)]
