@@ -5,7 +5,9 @@ license templates (64 bits; a vote that only a hash's collision gives cannot ver
 match at word i of the text and j of a template votes for the diagonal i - j; votes are summed for each text, template and diagonal,
 and neighbouring diagonals (a few words inserted or lost) merge into one span. A span is verified by
 the Dice similarity of its k-grams with the template's, each counted once; from `threshold` on
-it gives the template's label. Besides, short phrases label a text wherever their words stand.
+it gives the template's label. Of a merged group the best is judged: the whole, or one diagonal, or two or three that follow each
+other; so words around a notice that votes for the same template too do not take away its label (a notice word for word is on one
+diagonal, and always verified). Besides, short phrases label a text wherever their words stand.
 
 The template table does not grow with the texts and is broadcast. A text is read once; what is kept
 of it is narrow, and only matching k-grams are dealt out.
@@ -126,10 +128,21 @@ def _spans(votes: DataFrame, gram: int, near: int) -> DataFrame:
     order = Window.partitionBy("row", "t").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int")
     each = each.withColumn("span", F.sum(F.coalesce(far, F.lit(0))).over(order))
-    merged = each.groupBy("row", "t", "label", "t_grams", "span").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_list("t_at"))).alias("t_at"))
-    first, last = F.array_min("at"), F.array_max("at")
-    similarity = 2.0 * F.least(F.size("at"), F.size("t_at")) / (last - first + 1 + F.col("t_grams"))
-    return merged.select("row", "label", "t", first.alias("first_word"), (last + gram - 1).alias("last_word"), F.least(similarity, F.lit(1.0)).alias("similarity"))
+    group = Window.partitionBy("row", "t", "span").orderBy("diagonal")
+
+    def judged(at, t_at):
+        first, last = F.array_min(at), F.array_max(at)
+        similarity = F.least(2.0 * F.least(F.size(at), F.size(t_at)) / (last - first + 1 + F.col("t_grams")), F.lit(1.0))
+        # of equal ones the first, then the longest
+        return F.struct(similarity.alias("similarity"), (-first).alias("first"), last.alias("last"))
+
+    def together(c: str, n: int):
+        return F.array_distinct(F.flatten(F.collect_list(c).over(group.rowsBetween(0, n))))
+
+    each = each.withColumn("own", F.greatest(judged(F.col("at"), F.col("t_at")), *[judged(together("at", n), together("t_at", n)) for n in (1, 2)]))
+    merged = each.groupBy("row", "t", "label", "t_grams", "span").agg(F.max("own").alias("own"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_list("t_at"))).alias("t_at"))
+    best = merged.select("row", "label", "t", F.greatest("own", judged(F.col("at"), F.col("t_at"))).alias("best"))
+    return best.select("row", "label", "t", (-F.col("best.first")).alias("first_word"), (F.col("best.last") + gram - 1).alias("last_word"), F.col("best.similarity").alias("similarity"))
 
 
 def _pass(docs: DataFrame, id_col: str, text_col: str, templates, gram: int, near: int, phrases: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -60,16 +60,33 @@ def brute_spans(text, templates):
         merged = []
         for d in sorted(votes):
             if merged and d - merged[-1][0] <= NEAR:
-                merged[-1] = (d, merged[-1][1] + votes[d])
+                merged[-1].append(d)
             else:
-                merged.append((d, votes[d]))
-        for _, pairs in merged:
-            at, t_at = {i for i, _ in pairs}, {j for _, j in pairs}
-            similarity = min(1.0, 2 * min(len(at), len(t_at)) / (max(at) - min(at) + 1 + len(v) - GRAM + 1))
-            out.append((label, t, min(at), max(at) + GRAM - 1, round(similarity, 9)))
+                merged.append([d])
+        for group in merged:
+            best = []
+            for some in [group] + [group[i : i + n] for i in range(len(group)) for n in (1, 2, 3)]:
+                at, t_at = {i for d in some for i, _ in votes[d]}, {j for d in some for _, j in votes[d]}
+                similarity = min(1.0, 2 * min(len(at), len(t_at)) / (max(at) - min(at) + 1 + len(v) - GRAM + 1))
+                best.append((similarity, -min(at), max(at)))
+            similarity, first, last = max(best)
+            out.append((label, t, -first, last + GRAM - 1, round(similarity, 9)))
     return out
 
 
+def test_words_around_a_notice_do_not_take_its_label(spark):
+    """Every template, with words before and after it that are often its own."""
+    r = random.Random(7)
+    texts = [("Licensed under CC BY-NC 4.0 (BY-NC 4.0).", "cc-by-nc"), ("Licensed under CC BY-SA 4.0, BY-SA 4.0", "cc-by-sa")]
+    for label, template in TEMPLATES:
+        words = words_of(template)
+        for _ in range(4):
+            parts = [words[(i := r.randrange(len(words))) : i + r.randrange(1, 9)] for _ in range(4)]
+            texts.append((" ".join(sum(parts[:2], []) + words + sum(parts[2:], [])), label))
+    got = {x["doc_id"]: x["labels"].split(",") for x in license_digest(documents(spark, [(i, t, "a") for i, (t, _) in enumerate(texts)])).collect()}
+    assert [(i, t) for i, (t, label) in enumerate(texts) if label not in got[i]] == []
+
+
 def test_spans_like_brute_force(spark):
     r = random.Random(6)
     vocabulary = [f"w{i}" for i in range(12)]
