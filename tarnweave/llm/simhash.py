@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, row_hash
 
 SHINGLE, DISTANCE, BITS = 4, 4, 64
 #: Of near copies in a stage: words of a shingle, fingerprints of a text.
@@ -262,7 +262,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with exactly one row of each group; all columns stay.
 
     That with the smallest id stays, of repeated ids that with the least digest of its text; a
-    row with a null id only if no row of the group has an id. Rows are told apart by id and text.
+    row with a null id only if no row of the group has an id; of rows equal in id and text that with the least hash of all columns,
+    however the rows are laid out.
     """
     names = [f"fp{k}" for k in range(copies)]
     rows = fingerprints(docs, id_col, text_col, shingle, copies=copies, digest=True)
@@ -277,4 +278,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     kept = kept.select(key(F.col("rep.digest"), F.col("rep.doc_id")).alias("__tw_key"))
     docs_ = docs.withColumn("__tw_key", key(_digest(F.col(f"`{text_col}`").cast("string")), F.col(f"`{id_col}`")))
-    return docs_.join(kept, "__tw_key", "left_semi").dropDuplicates(["__tw_key"]).select(*[f"`{c}`" for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = docs_.join(kept, "__tw_key", "left_semi").groupBy("__tw_key").agg(F.min_by(F.struct(*columns), row_hash(columns)).alias("__tw_row"))
+    return one.select(*[F.col("__tw_row").getField(c).alias(c) for c in docs.columns])
