@@ -11,7 +11,7 @@ def stage(name):
 
 def test_stages_are_the_stated_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
-    assert {k.split("_")[0] for k in queries.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.queries()} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_run_over_a_small_folder(spark, tmp_path):
