@@ -179,8 +179,11 @@ def _shards(total: int, length: int, shard_docs: int):
 def build_index(fwd: DataFrame, total: int, length: int, *, group_docs: int = GROUP_DOCS, shard_docs: int = SHARD_DOCS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """A row for each shard of the documents that hold a term: shard, doc_ids, terms, starts, docs, impacts, tops."""
     rows = fwd.where(F.size("terms") > 0)
-    levels = math.ceil(math.log2(max(1, rows.count() / group_docs)))
-    picked = rows.select("doc_id", "n", F.slice("terms", 1, SAMPLE_TERMS).alias("t")).orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n", "t").limit(sample_docs)
+    n = rows.count()
+    levels = math.ceil(math.log2(max(1, n / group_docs)))
+    picked = rows.select("doc_id", "n", F.slice("terms", 1, SAMPLE_TERMS).alias("t"), F.xxhash64("doc_id", "n", "terms").alias("h"))
+    # somewhat more than the sample by hash, so that tasks do not each send a whole sample
+    picked = picked.where(F.pmod("h", F.lit(1 << 32)) < int(1.5 * sample_docs * (1 << 32) / max(n, 1))).orderBy("h", "doc_id", "n", "t").limit(sample_docs)
     tree = fit_tree([r["t"] for r in picked.collect()] if levels else [], levels)
 
     def route(batches):
