@@ -223,11 +223,21 @@ def threats(routes: DataFrame, netlog: DataFrame, handlers: DataFrame | None = N
     )
 
 
+def with_key(rows: DataFrame) -> DataFrame:
+    """rows with the normal destination by which threats are merged."""
+    return rows.withColumn("key_dest", U.normal_destination(F.col("destination")))
+
+
 def merge_threats(rows: DataFrame) -> DataFrame:
     """One row for each (domain, source, sink, normal destination), folded in seq order."""
-    rows = rows.withColumn("key_dest", U.normal_destination(F.col("destination")))
     # a label, party and destination of the same text add nothing when folded again: keep the first of each
-    rows = rows.groupBy("domain", "source", "sink", "key_dest", "label", "destination", "party").agg(F.min(F.struct("seq", "trigger_context", "observed_trackers")).alias("first"))
+    rows = with_key(rows).groupBy("domain", "source", "sink", "key_dest", "label", "destination", "party").agg(F.min(F.struct("seq", "trigger_context", "observed_trackers")).alias("first"))
+    return fold_threats(rows).drop("key_dest")
+
+
+def fold_threats(rows: DataFrame) -> DataFrame:
+    """The merged row, with its key_dest, of what each threat is made of: a row for each label, destination and party, with the first
+    finding of it (first: seq, trigger_context, observed_trackers)."""
     item = F.struct(F.col("first.seq").alias("seq"), "label", "destination", "party", F.col("first.trigger_context").alias("trigger_context"), F.col("first.observed_trackers").alias("observed_trackers"))
     groups = rows.groupBy("domain", "source", "sink", "key_dest").agg(F.array_sort(F.collect_list(item)).alias("all"))
     text = "struct<label:string,destination:string,party:string>"
@@ -246,7 +256,7 @@ def merge_threats(rows: DataFrame) -> DataFrame:
     first = F.element_at("all", 1)
     start = F.struct(first["label"].alias("label"), first["destination"].alias("destination"), first["party"].alias("party")).cast(text)
     out = groups.withColumn("m", F.aggregate(F.slice("all", 2, 1 << 30), start, fold))
-    return out.select("domain", F.col("m.label").alias("threat_type"), first["trigger_context"].alias("trigger_context"), "source", "sink", F.col("m.destination").alias("destination"), first["observed_trackers"].alias("observed_trackers"), F.col("m.party").alias("party"))
+    return out.select("key_dest", "domain", F.col("m.label").alias("threat_type"), first["trigger_context"].alias("trigger_context"), "source", "sink", F.col("m.destination").alias("destination"), first["observed_trackers"].alias("observed_trackers"), F.col("m.party").alias("party"))
 
 
 def rule_numbers(threat_type: Column) -> Column:
