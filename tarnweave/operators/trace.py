@@ -7,55 +7,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, numbered
+from .prefix import Ordered
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, value: str) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, value: str, **options) -> DataFrame:
     """left with the value of the last right row of the same key at or before it; null if none.
 
-    One sort of the union of both sides by key and place, no join.
+    One order of the union of both sides by key and place, no join; a key may span tasks (options: see prefix.Ordered).
     """
     a = left.withColumns({"__at": F.col(left_on), "__side": F.lit(1), "__value": F.lit(None).cast(right.schema[value].dataType)})
     b = right.groupBy(by, right_on).agg(F.max(value).alias("__value")).select(by, F.col(right_on).alias("__at"), F.lit(0).alias("__side"), "__value")
-    order = Window.partitionBy(by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__value", ignorenulls=True).over(order))
+    rows = Ordered(a.unionByName(b, allowMissingColumns=True), [by], ["__at", "__side"], **options).last(value, F.col("__value")).rows
     return rows.where("__side = 1").drop("__at", "__side", "__value")
 
 
-def interval_overlap(sections: DataFrame, width: int) -> DataFrame:
-    """page, title: pages of `width` units and the sections [start, end) that touch them. Each
-    section is dealt to its pages, so no range join is needed."""
+#: The widest cell, as a power of two.
+LEVELS = 62
+
+
+def _cover(start: Column, end: Column) -> Column:
+    """Cells (level, no) of 2^level units that together are [start, end): at most two of each size."""
+    def at(level):
+        # the first whole cell from start on, and the first behind the last one before end
+        a, b = -F.call_function("shiftright", -start, level), F.call_function("shiftright", end, level)
+        cell = lambda test, no: F.when((a < b) & (test % 2 != 0), F.struct(level.cast("int").alias("level"), no.alias("no")))
+        return F.array(cell(a, a), cell(b, b - 1))
+
+    top = F.least(F.floor(F.log2((end - start).cast("double"))).cast("int") + 1, F.lit(LEVELS))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), top), at)))
+
+
+def cells(intervals: DataFrame, width: int = 1) -> DataFrame:
+    """intervals [start, end) dealt to cells of several sizes, of `width` units and powers of two more: level and no added. However
+    long an interval is, it has a few cells."""
+    first, behind = F.floor(F.col("start") / width).cast("long"), F.floor((F.col("end") - 1) / width).cast("long") + 1
+    return intervals.where(F.col("end") > F.col("start")).select("*", F.explode(_cover(first, behind)).alias("__cell")).select(*[f"`{c}`" for c in intervals.columns], "__cell.level", "__cell.no")
+
+
+def _in_cells(points: DataFrame, at: Column, dealt: DataFrame) -> DataFrame:
+    """points once for each size of cell that there is, with the cell of that size that holds them."""
+    levels = sorted(r["level"] for r in dealt.select("level").distinct().collect()) or [0]  # at most LEVELS + 1
+    return points.select("*", F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.call_function("shiftright", at.cast("long"), F.lit(x)).alias("no")) for x in levels])).alias("__cell")).select(*[f"`{c}`" for c in points.columns], "__cell.level", "__cell.no")
+
+
+def interval_overlap(sections: DataFrame, width: int, pages: DataFrame | None = None) -> DataFrame:
+    """page, title: pages of `width` units and the sections [start, end) that touch them. With pages (page), only those, found by
+    cells; else every page that a section touches, a row each."""
+    if pages is not None:
+        dealt = cells(sections, width)
+        return _in_cells(pages.select("page").distinct(), F.col("page"), dealt).join(dealt, ["level", "no"]).select("page", "title")
     last = F.floor((F.col("end") - 1) / width)
     return sections.where(F.col("end") > F.col("start")).select(F.explode(F.sequence(F.floor(F.col("start") / width), last)).alias("page"), "title")
 
 
-def gap_fill(sections: DataFrame, by: str, name: str = "<unknown>") -> DataFrame:
+def gap_fill(sections: DataFrame, by: str, name: str = "<unknown>", **options) -> DataFrame:
     """Sections of a group with the holes between them filled."""
-    order = Window.partitionBy(by).orderBy("start")
-    rows = sections.withColumn("__end", F.lag("end").over(order))
+    rows = Ordered(sections, [by], ["start", "end"], **options).previous("__end", F.col("end")).rows.withColumn("__end", F.col("__end.v"))
     holes = rows.where(F.col("__end") < F.col("start")).select(by, F.lit(name).alias("title"), F.col("__end").alias("start"), F.col("start").alias("end"))
     return sections.select(by, "title", "start", "end").unionByName(holes)
 
 
-def islands(rows: DataFrame, by: str, order: list[str], label: str, measure: str) -> DataFrame:
+def islands(rows: DataFrame, by: str, order: list[str], label: str, measure: str, **options) -> DataFrame:
     """Runs of consecutive rows with the same label: by, island, label, n, total."""
-    w = Window.partitionBy(by).orderBy(*order)
-    change = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    rows = rows.withColumn("__c", change).withColumn("island", F.sum("__c").over(w))
+    o = Ordered(rows, [by], order, **options).previous("__before", F.col(label))
+    same = F.col("__before").isNotNull() & F.col("__before.v").eqNullSafe(F.col(label))
+    rows = o.sum("island", F.when(same, 0).otherwise(1).cast("long")).rows
     return rows.groupBy(by, "island").agg(F.first(label).alias("label"), F.count(F.lit(1)).alias("n"), F.sum(measure).alias("total"))
 
 
-def value_islands(rows: DataFrame, by: str, value: str) -> DataFrame:
+def value_islands(rows: DataFrame, by: str, value: str, **options) -> DataFrame:
     """Runs of adjacent whole numbers: by, first, last."""
-    w = Window.partitionBy(by).orderBy(value)
-    rows = rows.select(by, value).distinct().withColumn("__g", F.col(value) - F.row_number().over(w))
+    rows = Ordered(rows.select(by, value).distinct(), [by], [value], **options).number("__g").rows.withColumn("__g", F.col(value) - F.col("__g"))
     return rows.groupBy(by, "__g").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("__g")
 
 
-def merge_ranges(rows: DataFrame, by: str) -> DataFrame:
+def merge_ranges(rows: DataFrame, by: str, **options) -> DataFrame:
     """Ranges [start, end) of a group that touch or overlap become one."""
-    w = Window.partitionBy(by).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__n", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("__g", F.sum("__n").over(w))
+    o = Ordered(rows, [by], ["start", "end"], **options).max("__before", F.col("end"), before=True)
+    rows = o.sum("__g", F.when(F.col("start") <= F.col("__before"), 0).otherwise(1).cast("long")).rows
     return rows.groupBy(by, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__g")
 
 
@@ -70,10 +99,11 @@ def running_topk(totals: DataFrame, key: str, value: str, k: int) -> DataFrame:
     return rows.where(F.col(value).isNotNull())
 
 
-def time_delta(rows: DataFrame, by: str, time: str, order: list[str]) -> DataFrame:
+def time_delta(rows: DataFrame, by: str, time: str, order: list[str], **options) -> DataFrame:
     """Microseconds since the row before; 0 for the first."""
     t = F.unix_micros(F.col(time).cast("timestamp"))
-    return rows.withColumn("delta", F.coalesce(t - F.lag(t).over(Window.partitionBy(by).orderBy(*order)), F.lit(0)))
+    rows = Ordered(rows, [by], order, **options).previous("__before", t).rows
+    return rows.withColumn("delta", F.coalesce(t - F.col("__before.v"), F.lit(0))).drop("__before")
 
 
 def ids_by_first_sight(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -108,9 +138,11 @@ def stack_trie(samples: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("x.path").alias("path"), F.col("x.depth").alias("depth")).agg(F.sum(F.col("n") * F.col("x.leaf")).alias("hits"), F.sum("n").alias("total"))
 
 
-def pages_touched(ranges: DataFrame, by: str, width: int) -> DataFrame:
-    """Distinct pages that a group's ranges [start, end) touch."""
-    return ranges.where(F.col("end") > F.col("start")).select(by, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("page")).groupBy(by).agg(F.count_distinct("page").alias("pages"))
+def pages_touched(ranges: DataFrame, by: str, width: int, **options) -> DataFrame:
+    """Distinct pages that a group's ranges [start, end) touch: page ranges are merged, and their lengths summed up."""
+    page = lambda c: F.floor(c / width).cast("long")
+    pages = ranges.where(F.col("end") > F.col("start")).select(by, page(F.col("start")).alias("start"), (page(F.col("end") - 1) + 1).alias("end"))
+    return merge_ranges(pages, by, **options).groupBy(by).agg(F.sum(F.col("end") - F.col("start")).alias("pages"))
 
 
 def function_stats(blocks: DataFrame) -> DataFrame:
@@ -144,21 +176,21 @@ def heap_locations(locations: DataFrame, nodes: DataFrame, width: int) -> DataFr
     return nodes.withColumn("no", F.col("no").cast("long")).join(at, ["id", "no"])
 
 
-def predicate_islands(rows: DataFrame, by: str, order: str, test: Column) -> DataFrame:
+def predicate_islands(rows: DataFrame, by: str, order: str, test: Column, **options) -> DataFrame:
     """Runs of consecutive rows for which test holds: by, first, last (of order), n."""
-    w = Window.partitionBy(by).orderBy(order)
-    good = rows.select(by, order, test.alias("__t"), F.row_number().over(w).alias("__n")).where("__t")
-    good = good.withColumn("__g", F.col("__n") - F.row_number().over(w))
+    o = Ordered(rows.select(by, order, F.coalesce(test, F.lit(False)).alias("__t")), [by], [order], **options)
+    # the rows for which it does not hold, so far, stay as many within a run
+    good = o.sum("__g", (~F.col("__t")).cast("long")).rows.where("__t")
     return good.groupBy(by, "__g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("__g")
 
 
-def paired_ranges(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+def paired_ranges(rows: DataFrame, by: str, value: str, name: str, **options) -> DataFrame:
     """Runs of adjacent whole numbers, in which a row whose name ends in First> and the next, whose name ends in
     Last>, stand for all numbers from one to the other: by, first, last."""
-    w = Window.partitionBy(by).orderBy(value)
-    rows = rows.withColumn("__end", F.when(F.col(name).endswith("First>") & F.lead(name).over(w).endswith("Last>"), F.lead(value).over(w)).otherwise(F.col(value)))
+    rows = Ordered(rows, [by], [value], **options).next("__next", F.struct(F.col(name).alias("name"), F.col(value).alias("value"))).rows
+    rows = rows.withColumn("__end", F.when(F.col(name).endswith("First>") & F.col("__next.v.name").endswith("Last>"), F.col("__next.v.value")).otherwise(F.col(value)))
     # half-open, so that neighbours touch
-    return merge_ranges(rows.select(by, F.col(value).alias("start"), (F.col("__end") + 1).alias("end")), by).select(by, F.col("start").alias("first"), (F.col("end") - 1).alias("last"))
+    return merge_ranges(rows.select(by, F.col(value).alias("start"), (F.col("__end") + 1).alias("end")), by, **options).select(by, F.col("start").alias("first"), (F.col("end") - 1).alias("last"))
 
 
 def top_blocks(blocks: DataFrame, k: int) -> DataFrame:
@@ -189,10 +221,12 @@ def ancestors(parents: DataFrame) -> DataFrame:
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
     """points: id, x. intervals: name, start, end, not overlapping. name of the interval that
-    holds x, else null: intervals are dealt to cells of `width`, points join on their cell."""
-    cells = intervals.where(F.col("end") > F.col("start")).select("name", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("cell"))
-    held = (F.floor(F.col("x") / width) == F.col("cell")) & (F.col("start") <= F.col("x")) & (F.col("x") < F.col("end"))
-    return points.join(cells, held, "left").select("id", "x", "name")
+    holds x, else null: intervals are dealt to cells of several sizes, points join on their cell of each size."""
+    dealt = cells(intervals.select("name", "start", "end"), width)
+    asked = _in_cells(points.select("id", "x", F.monotonically_increasing_id().alias("__row")), F.floor(F.col("x") / width), dealt)
+    held = asked.join(dealt, ["level", "no"], "left")
+    name = F.when((F.col("start") <= F.col("x")) & (F.col("x") < F.col("end")), F.struct("name"))
+    return held.groupBy("__row", "id", "x").agg(F.max(name).alias("__name")).select("id", "x", F.col("__name.name").alias("name"))
 
 
 def override(layers: list[DataFrame], key: str, value: str) -> DataFrame:
