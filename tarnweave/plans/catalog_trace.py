@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import records
 from ..operators import trace as O
 from . import fixtures as X
 from .registry import query
@@ -288,3 +289,77 @@ def paired_ranges(spark, d):
     k = _C("p_partkey")
     rows = X.table(spark, d, "part").select(_C("p_size").alias("grp"), k.alias("v"), F.when(k % 3 == 0, "x, First>").otherwise("x, Last>").alias("name"))
     return O.paired_ranges(rows, "grp", "v", "name")
+
+
+#: Records of all kinds from the order lines: a trace for every supplier's remainder, ids from few numbers so that they come again.
+_KINDS = ("CreateObjectRecord", "CreateHostFunctionRecord", "GetPropertyRecord", "SetPropertyNativeRecord", "CreatePropNameIDRecord", "CallFromNativeRecord", "ReturnToNativeRecord")
+
+
+def _records(spark, d):
+    # an order's line number may come twice, with another part
+    k, q, at = _C("l_partkey"), _C("l_quantity").cast("long"), (_C("l_orderkey") * 8 + _C("l_linenumber")) * 100_000_000 + _C("l_partkey") * 1000 + _C("l_suppkey") % 1000
+    t = _C("l_linenumber") % 7
+    value = lambda n: F.when((k + n) % 4 == 0, F.concat(F.lit("string:a:"), q.cast("string"))).when((k + n) % 4 == 1, F.concat(F.lit("object:"), (k % 61 + n).cast("string"))).when((k + n) % 4 == 2, "undefined:")
+    null = lambda kind: F.lit(None).cast(kind)
+    return X.table(spark, d, "lineitem").select(
+        (_C("l_suppkey") % 5).cast("long").alias("trace"), at.cast("long").alias("ord"), F.element_at(F.array(*map(F.lit, _KINDS)), (t + 1).cast("int")).alias("type"),
+        F.when(t != 5, k % 97).cast("long").alias("objID"), F.when(t == 5, k % 89).cast("long").alias("functionID"), null("long").alias("hostObjectID"), null("long").alias("propNamesID"), null("long").alias("propID"), null("long").alias("propNameID"),
+        F.when(t.isin(2, 3), F.concat(F.lit("p"), (k % 7).cast("string"))).alias("propName"), F.when((t == 1) & (k % 2 == 0), "f").alias("functionName"), null("string").alias("encoding"),
+        F.when(t == 4, F.concat(F.lit("n"), (k % 11).cast("string"))).alias("chars"), F.when(t == 3, value(0)).alias("value"), F.when(t == 6, value(1)).alias("retval"), F.when(t == 5, "undefined:").alias("thisArg"),
+        F.when(t == 5, F.array(value(0), value(1), value(2), value(4))).alias("args"), null("array<string>").alias("properties"),
+    )
+
+
+def _value_sql(n: int) -> str:
+    return f"CASE (l_partkey + {n}) % 4 WHEN 0 THEN 'string:a:' || l_quantity::BIGINT WHEN 1 THEN 'object:' || (l_partkey % 61 + {n}) WHEN 2 THEN 'undefined:' END"
+
+
+_RECORDS = f"""rec AS (SELECT (l_suppkey % 5)::BIGINT AS trace, ((l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000)::BIGINT AS ord, l_linenumber % 7 AS t, {list(_KINDS)}[l_linenumber % 7 + 1] AS type,
+  CASE WHEN t <> 5 THEN l_partkey % 97 END AS objID, CASE WHEN t = 5 THEN l_partkey % 89 END AS functionID, CASE WHEN t IN (2, 3) THEN 'p' || (l_partkey % 7) END AS propName, CASE WHEN t = 1 AND l_partkey % 2 = 0 THEN 'f' END AS functionName,
+  CASE WHEN t = 4 THEN 'n' || (l_partkey % 11) END AS chars, CASE WHEN t = 3 THEN {_value_sql(0)} END AS value, CASE WHEN t = 6 THEN {_value_sql(1)} END AS retval, CASE WHEN t = 5 THEN 'undefined:' END AS thisArg, CASE WHEN t = 5 THEN [{_value_sql(0)}, {_value_sql(1)}, {_value_sql(2)}, {_value_sql(4)}] END AS args FROM lineitem)"""
+
+
+def _shown(rows):
+    return rows.select("trace", "ord", "type", "objID", "functionID", "propID", "propNameID", "propName", "chars", "value", "retval", F.array_join("args", ",", "-").alias("args"))
+
+
+@query("trace_upgrade", f"""WITH {_RECORDS},
+  news AS (SELECT *, list_concat(CASE WHEN t = 1 THEN [coalesce(functionName, '')] WHEN t IN (2, 3) THEN [propName] ELSE [] END, list_transform(list_filter(list_concat([value, retval], coalesce(args, [])), lambda v: starts_with(v, 'string:')), lambda v: substr(v, 8))) AS news FROM rec),
+  most AS (SELECT trace, max(i) AS most FROM (SELECT trace, greatest(objID, functionID) AS i FROM rec UNION ALL SELECT trace, substr(v, 8)::BIGINT FROM (SELECT trace, unnest(list_concat([value, retval], coalesce(args, []))) AS v FROM rec) WHERE starts_with(v, 'object:')) GROUP BY 1),
+  b AS (SELECT *, coalesce(sum(len(news)) OVER (PARTITION BY trace ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, row_number() OVER (PARTITION BY trace ORDER BY ord) AS nth FROM news JOIN most USING (trace)),
+  p AS (SELECT *, most + 1 + before AS id, before + nth - 1 AS place, CASE WHEN t IN (1, 2, 3) THEN 1 ELSE 0 END AS head FROM b),
+  a AS (SELECT trace, ord, i, CASE WHEN starts_with(v, 'string:') THEN 'string:' || (id + sum(CASE WHEN starts_with(v, 'string:') THEN 1 ELSE 0 END) OVER (PARTITION BY trace, ord ORDER BY i)::BIGINT - 1) ELSE v END AS v FROM (SELECT trace, ord, id, unnest(args) AS v, unnest(range(len(args))) AS i FROM p)),
+  g AS (SELECT trace, ord, string_agg(coalesce(v, '-'), ',' ORDER BY i) AS args FROM a GROUP BY ALL)
+  SELECT trace, place + len(news) AS ord, type, objID, functionID, CASE WHEN t = 2 THEN id END AS propID, CASE WHEN t IN (1, 3) THEN id END AS propNameID, propName, chars,
+    CASE WHEN starts_with(value, 'string:') THEN 'string:' || (id + head) ELSE value END AS value, CASE WHEN starts_with(retval, 'string:') THEN 'string:' || (id + head) ELSE retval END AS retval, g.args FROM p LEFT JOIN g USING (trace, ord)
+  UNION ALL SELECT trace, place + i, CASE WHEN i = 0 AND t IN (1, 3) THEN 'CreatePropNameIDRecord' ELSE 'CreateStringRecord' END, id + i, NULL, NULL, NULL, NULL, news[i + 1], NULL, NULL, NULL FROM (SELECT *, unnest(range(len(news))) AS i FROM p)""")
+def trace_upgrade(spark, d):
+    return _shown(records.upgrade(_records(spark, d)))
+
+
+@query("trace_normalise", f"""WITH {_RECORDS},
+  m0 AS (SELECT trace, ord, t = 4 AS makes, chars, unnest(list_concat([objID, functionID], list_transform(list_filter(list_concat([value, retval], coalesce(args, [])), lambda v: starts_with(v, 'object:')), lambda v: substr(v, 8)::BIGINT))) AS id, unnest(range(2 + len(list_filter(list_concat([value, retval], coalesce(args, [])), lambda v: starts_with(v, 'object:'))))) AS k FROM rec),
+  m AS (SELECT trace, ord, k, id, makes AND k = 0 AS makes, CASE WHEN k = 0 THEN chars END AS chars FROM m0 WHERE id IS NOT NULL),
+  f AS (SELECT *, row_number() OVER (PARTITION BY trace, id ORDER BY ord, k) AS n FROM m QUALIFY n = 1), o AS (SELECT * FROM f WHERE id <> trace * 3),
+  l AS (SELECT *, CASE WHEN makes THEN first_value(id) OVER (PARTITION BY trace, makes, chars ORDER BY ord, k) ELSE id END AS leader FROM o),
+  n AS (SELECT trace, id AS leader, row_number() OVER (PARTITION BY trace ORDER BY ord, k) AS normal FROM l WHERE leader = id),
+  w AS (SELECT trace, id, normal FROM l JOIN n USING (trace, leader) UNION ALL SELECT DISTINCT trace, trace * 3, 0 FROM rec),
+  a AS (SELECT r.trace, r.ord, i, CASE WHEN starts_with(v, 'object:') THEN 'object:' || normal ELSE v END AS v FROM (SELECT trace, ord, unnest(args) AS v, unnest(range(len(args))) AS i FROM rec) r LEFT JOIN w ON w.trace = r.trace AND starts_with(v, 'object:') AND w.id = try_cast(substr(v, 8) AS BIGINT)),
+  g AS (SELECT trace, ord, string_agg(coalesce(v, '-'), ',' ORDER BY i) AS args FROM a GROUP BY ALL)
+  SELECT rec.trace, rec.ord, type, x.normal AS objID, y.normal AS functionID, NULL::BIGINT AS propID, NULL::BIGINT AS propNameID, propName, chars, CASE WHEN starts_with(value, 'object:') THEN 'object:' || u.normal ELSE value END AS value, CASE WHEN starts_with(retval, 'object:') THEN 'object:' || v.normal ELSE retval END AS retval, g.args
+  FROM rec LEFT JOIN w x ON x.trace = rec.trace AND x.id = objID LEFT JOIN w y ON y.trace = rec.trace AND y.id = functionID LEFT JOIN w u ON u.trace = rec.trace AND starts_with(value, 'object:') AND u.id = try_cast(substr(value, 8) AS BIGINT)
+  LEFT JOIN w v ON v.trace = rec.trace AND starts_with(retval, 'object:') AND v.id = try_cast(substr(retval, 8) AS BIGINT) LEFT JOIN g ON g.trace = rec.trace AND g.ord = rec.ord""")
+def trace_normalise(spark, d):
+    r = _records(spark, d)
+    # strings are texts here, not ids: only objects are made dense
+    plain = r.withColumns({c: F.regexp_replace(c, "^string:", "text:") for c in ("value", "retval")} | {"args": F.transform("args", lambda v: F.regexp_replace(v, "^string:", "text:"))})
+    out = records.normalise(plain, r.select("trace").distinct().withColumn("globalObjID", _C("trace") * 3))
+    back = lambda c: F.regexp_replace(c, "^text:", "string:")
+    return _shown(out.withColumns({"value": back("value"), "retval": back("retval"), "args": F.transform("args", back)}))
+
+
+@query("page_sections", """WITH s AS (SELECT p_partkey::VARCHAR AS title, p_partkey * 100 AS s, p_partkey * 100 + p_size * 1000 AS e FROM part), p AS (SELECT DISTINCT l_partkey * 37 // 4096 AS page FROM lineitem) SELECT page, title FROM p JOIN s ON s < (page + 1) * 4096 AND e > page * 4096""")
+def page_sections(spark, d):
+    k = _C("p_partkey")
+    sections = X.table(spark, d, "part").select(k.cast("string").alias("title"), (k * 100).alias("start"), (k * 100 + _C("p_size") * 1000).alias("end"))
+    return O.interval_overlap(sections, 4096, X.table(spark, d, "lineitem").select(F.floor(_C("l_partkey") * 37 / 4096).alias("page")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import records
+
 ROUTE = "route_id int, source_name string, sink_name string, sink_type string, path_length int, path_nodes array<string>, trigger_context string, destination_url string"
 REPORT = f"target_url string, event_driven_functions int, s2s_routes array<struct<{', '.join(f'{a}: {b}' for a, b in (x.split(' ', 1) for x in ROUTE.split(', ')))}>>"
 THREAT_COLUMNS = ("Domain", "Threat_Type", "Trigger_Context", "Leaked_Data (Source)", "Leak_Method (Sink)", "Destination", "Observed_Trackers", "Party_Check", "Confidence_Score")
@@ -147,7 +149,11 @@ def source_map(maps: DataFrame) -> DataFrame:
     return maps.select("key", "mappings").mapInPandas(run, f"key {dict(maps.dtypes)['key']}, line long, gen_column long, source long, src_line long, src_column long")
 
 
-def upgraded_trace(traces: DataFrame) -> DataFrame:
-    """traces: id, version, records (array of JSON texts). Version 2 becomes 3: each record gets its number."""
-    number = F.transform("records", lambda r, i: F.concat(F.lit('{"no":'), i.cast("string"), F.lit(","), F.substr(r, F.lit(2))))
-    return traces.withColumn("records", F.when(F.col("version") == 2, number).otherwise(F.col("records"))).withColumn("version", F.greatest("version", F.lit(3)))
+def trace_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSON trace files: records (trace: the file, ord, and the columns of records.RECORD), and a row for each trace: trace, version,
+    globalObjID. Keys that no record of the format has are left out."""
+    columns = [c for c in records.RECORD.split(", ")[2:]]
+    entry = ",".join(c.replace(" ", ":", 1) for c in columns)
+    files = spark.read.option("multiLine", True).schema(f"version int, globalObjID long, trace array<struct<{entry}>>").json(path).withColumn("__file", F.input_file_name())
+    rows = files.select(F.col("__file").alias("file"), F.posexplode("trace").alias("ord", "r"))
+    return rows.select(F.col("file").alias("trace"), F.col("ord").cast("long").alias("ord"), "r.*"), files.select(F.col("__file").alias("trace"), "version", "globalObjID")
