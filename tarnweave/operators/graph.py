@@ -1,20 +1,24 @@
 """Threat graphs and reachability.
 
-Fixpoints run as breadth-first levels: the frontier is joined to the edges, nodes that were
-reached before are taken out by an anti join, and each level is stored by checkpoint() in the
-shared folder, so lineage stays short and lost executors are no matter. The anti join ends cyclic
-graphs; without a level cap, fixpoints run until the frontier is empty.
+Reachability deals the edges to parts of bounded size; each part is followed to its end in one task, and only what is
+nearer than known goes on to other parts, so that there are as many rounds as shortest paths cross parts, not as they have edges. Paths run as
+breadth-first levels: the frontier is joined to the edges, and nodes that were reached before are taken out by an anti join. Rounds
+and levels are stored by checkpoint() in the shared folder, so lineage stays short and lost executors are no matter; cycles end,
+as nothing in them is nearer; without a level cap, fixpoints run until nothing is new.
 """
 
 from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import registries as R
-from .common import checkpoint
+from .common import checkpoint, forget
 
 
 def node_id(label: Column) -> Column:
@@ -66,25 +70,106 @@ def _levels(max_depth: int | None):
     return itertools.count(1) if max_depth is None else range(1, max_depth + 1)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, with_path: bool = False) -> DataFrame:
-    """edges: src, dst. seeds: node. node, depth (fewest edges), and path, on request: of the
-    shortest ones the least. At most max_depth levels, or all of them."""
+#: Edges that are followed in one task; levels of paths after which they become one table.
+PART_EDGES, MERGED = 1 << 21, 8
+
+
+def _follow(most: int | None):
+    """All nodes that a part makes nearer: node, depth, part. The second table has the depths of its nodes; new: not yet followed."""
+
+    def run(edges: pa.Table, known: pa.Table) -> pa.Table:
+        names = {"node": edges.schema.field("src").type if edges.num_columns else pa.int64(), "depth": pa.int64(), "part": pa.int64()}
+        if not edges.num_rows or not known.num_rows:
+            return pa.table({c: pa.array([], type=t) for c, t in names.items()})
+        src, dst, own = (c.combine_chunks() for c in (edges.column("src"), edges.column("dst"), known.column("node")))
+        nodes = pa.chunked_array([src, dst, own]).unique()
+        at = lambda values: pc.index_in(values, value_set=nodes).to_numpy(zero_copy_only=False)
+        src, dst, own = at(src), at(dst), at(own)
+        order = np.argsort(src, kind="stable")
+        dst, starts = dst[order], np.searchsorted(src[order], np.arange(len(nodes) + 1))
+        far = np.iinfo(np.int64).max
+        depth, open_, nearer = np.full(len(nodes), far), np.zeros(len(nodes), dtype=bool), np.zeros(len(nodes), dtype=bool)
+        np.minimum.at(depth, own, known.column("depth").to_numpy())
+        open_[own[known.column("new").to_numpy(zero_copy_only=False)]] = True
+        waiting = {}  # nodes that are open, by depth
+        for d in np.unique(depth[open_]):
+            waiting[int(d)] = [np.flatnonzero(open_ & (depth == d))]
+        while waiting:
+            d = min(waiting)
+            front = np.unique(np.concatenate(waiting.pop(d)))
+            front = front[depth[front] == d]
+            if most is not None and d >= most:
+                continue
+            sizes = starts[front + 1] - starts[front]
+            places = np.arange(sizes.sum()) + np.repeat(starts[front] - (np.cumsum(sizes) - sizes), sizes)
+            reached = np.unique(dst[places])
+            reached = reached[depth[reached] > d + 1]
+            if len(reached):
+                depth[reached], nearer[reached] = d + 1, True
+                waiting.setdefault(d + 1, []).append(reached)
+        out = np.flatnonzero(nearer)
+        part = edges.column("part")[0].as_py()
+        return pa.table({"node": nodes.take(pa.array(out)), "depth": pa.array(depth[out]), "part": pa.array(np.full(len(out), part))})
+
+    return run
+
+
+def _paths(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
+    """As reach, level by level, with the least of the shortest paths."""
     links = edges.select("src", "dst").distinct()
-    path = [F.array("node").alias("path")] if with_path else []
-    found = checkpoint(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), *path))
+    found = checkpoint(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
     frontier = found
     for depth in _levels(max_depth):
-        cols = [F.min(F.array_append("path", F.col("dst"))).alias("path")] if with_path else []
-        step = frontier.join(links, frontier["node"] == links["src"])
-        step = step.groupBy(F.col("dst")).agg(*cols) if with_path else step.select("dst").distinct()
-        step = step.withColumnRenamed("dst", "node").join(found.select("node"), "node", "left_anti")
-        frontier = checkpoint(step.select("node", F.lit(depth).alias("depth"), *(["path"] if with_path else [])))
+        step = frontier.join(links, frontier["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
+        frontier = checkpoint(step.join(found.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "path"))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        if depth % MERGED == 0:  # else each level reads all earlier ones one by one
+            found = checkpoint(found)
     return found
 
 
+def reach(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, with_path: bool = False, part_edges: int = PART_EDGES) -> DataFrame:
+    """edges: src, dst. seeds: node. node, depth (fewest edges), and path, on request: of the shortest ones the least. At most
+    max_depth levels, or all of them. Null nodes take no part."""
+    if with_path:
+        return _paths(edges, seeds, max_depth)
+    links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    n = links.count()
+    parts = max(1, -(-n // part_edges))
+    if parts == 1:
+        part = F.lit(0)
+    else:
+        # a node with very many edges is dealt to several parts
+        large = links.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / part_edges).alias("__salts")).where("__salts > 1")
+        links = links.join(large, "src", "left")
+        part = F.pmod(F.xxhash64("src", F.pmod(F.xxhash64("dst"), F.coalesce("__salts", F.lit(1)))), F.lit(parts))
+    links = checkpoint(links.select("src", "dst", part.cast("long").alias("part")))
+    homes = links.select(F.col("src").alias("node"), "part").distinct()
+    kind = links.schema["src"].dataType.simpleString()
+    known = checkpoint(seeds.select(F.col("node").cast(kind).alias("node")).where("node is not null").distinct().select("node", F.lit(0).cast("long").alias("depth")))
+    new = known.join(homes, "node").select("node", "depth", "part")
+    while True:
+        active = new.select("part").distinct()
+        old = known.join(homes, "node").join(active, "part", "left_semi").select("node", "depth", "part")
+        told = new.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False))).select(*[F.col(c).alias(c) for c in ("node", "depth", "part", "new")])
+        followed = links.join(active, "part", "left_semi").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_follow(max_depth), f"node {kind}, depth long, part long")
+        followed = checkpoint(followed)
+        nearest = followed.groupBy("node").agg(F.min("depth").alias("depth"))
+        before, known = known, checkpoint(known.unionByName(nearest).groupBy("node").agg(F.min("depth").alias("depth")))
+        if parts == 1:
+            break
+        better = known.join(before.select("node", F.col("depth").alias("__was")), "node", "left").where("__was is null or depth < __was").select("node", "depth")
+        # to the parts that do not have it from themselves
+        new = checkpoint(better.join(homes, "node").join(followed, ["node", "depth", "part"], "left_anti").select("node", "depth", "part"))
+        forget(before)
+        forget(followed)
+        if new.isEmpty():
+            break
+    return known.select("node", F.col("depth").cast("int").alias("depth"))
+
+
 def program_edges(uses: DataFrame, stores: DataFrame, loads: DataFrame, frame_stores: DataFrame, frame_loads: DataFrame, arguments: DataFrame, parameters: DataFrame, links: DataFrame) -> DataFrame:
     """Where taint moves in a program, as src, dst.
 
@@ -111,13 +196,15 @@ def taint_routes(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *, max_
     links = checkpoint(links.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
     frontier = checkpoint(sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path")).distinct())
     found = frontier
-    for _ in _levels(max_depth):
+    for depth in _levels(max_depth):
         step = frontier.join(links, frontier["node"] == links["src"]).where(~F.array_contains("path", F.col("dst")))
         step = step.groupBy("source", F.col("dst")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path")).withColumnRenamed("dst", "node")
         frontier = checkpoint(step.join(found.select("source", "node"), ["source", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        if depth % MERGED == 0:
+            found = checkpoint(found)
     return found.join(sinks.select("node").distinct(), "node").where("source <> node").select("source", F.col("node").alias("sink"), "path")
 
 

@@ -42,12 +42,44 @@ def fragments(url: Column) -> Column:
     return F.filter(F.split(url, r"\{VAR\}"), lambda f: F.length(F.trim(f)) >= 2)
 
 
-def hybrid_targets(routes: DataFrame, netlog: DataFrame) -> DataFrame:
-    """For each distinct destination with holes of a domain: the first logged URL with all its parts."""
+#: Letters of a gram, and of one of a destination whose parts are all shorter; pairs of destinations and URLs of one domain that are tried as they are.
+GRAM, SHORT_GRAM, PAIRS = 6, 2, 1 << 20
+
+
+def _grams(text: Column, size: Column) -> Column:
+    return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size))).otherwise(F.array().cast("array<string>"))
+
+
+def candidates(open_: DataFrame, urls: DataFrame) -> DataFrame:
+    """domain, destination_url, parts, url, ord: the URLs of a domain that have the rarest gram of a destination's parts. open_: domain,
+    destination_url, parts; urls: domain, url, ord, a URL once.
+
+    An inverted index of the grams that are asked: a gram that no URL has rules the destination out, and of the others the
+    one in the fewest URLs is looked up. Grams are joined by hash; a collision gives a candidate that does not hold.
+    """
+    size = F.when(F.exists("parts", lambda f: F.length(f) >= GRAM), GRAM).otherwise(SHORT_GRAM)
+    open_ = open_.withColumn("size", size)
+    key = lambda gram: F.xxhash64("domain", "size", gram).alias("h")
+    own = F.array_distinct(F.flatten(F.transform("parts", lambda f: _grams(f, F.col("size")))))
+    asked = open_.select("domain", "destination_url", "size", F.explode(own).alias("gram")).select("domain", "destination_url", key("gram"))
+    urls = urls.withColumn("u", F.xxhash64("domain", "url"))
+    held = urls.join(open_.select("domain", "size").distinct(), "domain").select("domain", "size", "u", F.explode(F.array_distinct(_grams(F.col("url"), F.col("size")))).alias("gram"))
+    held = held.select(key("gram"), "u").join(asked.select("h").distinct(), "h", "left_semi")
+    found = asked.join(held.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = found.groupBy("domain", "destination_url").agg(F.min_by("h", F.struct("n", "h")).alias("h"), F.min("n").alias("n")).where("n > 0").drop("n")
+    return rarest.join(held, "h").drop("h").join(urls, ["domain", "u"]).drop("u").join(open_.drop("size"), ["domain", "destination_url"])
+
+
+def hybrid_targets(routes: DataFrame, netlog: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """For each distinct destination with holes of a domain: the first logged URL with all its parts. Where a domain has more
+    than `pairs` pairs of destinations and URLs, candidates are looked up by rare grams; else all pairs are tried."""
     open_ = routes.where(F.contains("destination_url", F.lit(R.HOLE)) & ~U.is_cookie(F.col("destination_url")))
     open_ = open_.select("domain", "destination_url").distinct().withColumn("parts", fragments(F.col("destination_url"))).where(F.size("parts") > 0)
-    met = open_.join(netlog, "domain").where(F.forall("parts", lambda f: F.contains("url", f)))
-    return met.groupBy("domain", "destination_url").agg(F.min_by("url", "ord").alias("hybrid_url"))
+    urls = netlog.groupBy("domain", "url").agg(F.min("ord").alias("ord"))
+    count = lambda df, name: df.groupBy("domain").agg(F.count(F.lit(1)).alias(name))
+    most = count(open_.select("domain", "destination_url"), "a").join(count(netlog, "b"), "domain").agg(F.max(F.col("a") * F.col("b"))).first()[0]
+    met = candidates(open_, urls) if (most or 0) > pairs else open_.join(netlog, "domain")
+    return met.where(F.forall("parts", lambda f: F.contains("url", f))).groupBy("domain", "destination_url").agg(F.min_by("url", "ord").alias("hybrid_url"))
 
 
 def cloaked_targets(netlog: DataFrame) -> DataFrame:

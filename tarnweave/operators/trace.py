@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,21 +237,45 @@ def override(layers: list[DataFrame], key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, "__n").alias(value))
 
 
-def compress_runs(rows: DataFrame, by: str, key: str, value: str, span: int = 256) -> DataFrame:
+def compress_runs(rows: DataFrame, by: str, key: str, value: str, span: int = 256, **options) -> DataFrame:
     """by, first, last, stride, delta: pairs in order of key join a block while value - key and
-    the stride stay the same and the block spans less than `span`."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for k, v in sorted(zip(pdf[key], pdf[value])):
-            top = out[-1] if out else None
-            if top and v - k == top[4] and k - top[1] < span and (top[3] == 0 or k - top[2] == top[3]):
-                top[3], top[2] = k - top[2], k
-            else:
-                out.append([pdf[by].iloc[0], k, k, 0, v - k])
-        return pd.DataFrame(out, columns=[by, "first", "last", "stride", "delta"])
-
-    return rows.groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, first long, last long, stride long, delta long")
+    the stride stay the same and the block spans less than `span`. Repeated pairs count once.
+
+    For every pair it is known where a block that began there would end: where delta or stride change, or the span is full. Blocks begin where
+    the delta changes, and where the block before ends; the latter are found by jumps that double in length, so that
+    rounds grow with the logarithm of the longest chain of blocks.
+    """
+    pairs = rows.select(F.col(by).alias("g"), F.col(key).cast("long").alias("k"), (F.col(value) - F.col(key)).cast("long").alias("delta")).distinct()
+    place = F.struct("k", "delta")
+    o = Ordered(pairs, ["g"], ["k", "delta"], **options).number("i").next("after", place).previous("before", place)
+    same = F.coalesce((F.col("after.v.delta") == F.col("delta")) & (F.col("after.v.k") > F.col("k")), F.lit(False))
+    stride = F.when(same, F.col("after.v.k") - F.col("k"))
+    begins = ~F.coalesce((F.col("before.v.delta") == F.col("delta")) & (F.col("before.v.k") < F.col("k")), F.lit(False))
+    runs = Ordered(o.rows.select("g", "k", "delta", "i", stride.alias("stride"), begins.alias("begins")), ["g"], ["i"], **options).previous("was", F.col("stride"))
+    change = F.col("was").isNull() | ~F.col("was.v").eqNullSafe(F.col("stride")) | F.col("begins")
+    pairs = runs.sum("run", change.cast("long")).rows.drop("was")
+    ends = pairs.groupBy("g", "run").agg((F.max("i") + 1).alias("end")).select(F.col("g").alias("__g"), "run", "end")
+    pairs = pairs.join(ends.withColumnRenamed("run", "__run"), F.col("g").eqNullSafe(F.col("__g")) & (F.col("run") == F.col("__run"))).drop("__g", "__run", "run")
+    jump = F.when(F.col("stride").isNull(), F.col("i") + 1).otherwise(F.least(F.col("end"), F.col("i") + F.floor(F.lit(span - 1) / F.col("stride"))) + 1)
+    pairs = checkpoint(pairs.withColumn("jump", jump).drop("end"))
+    jumps, starts = pairs.select("g", "i", "jump"), pairs.where("begins").select("g", "i")
+    # of blocks that fill their span, or whose stride changes: others end where the delta changes, where a block begins anyway
+    while True:
+        there = pairs.select(F.col("g").alias("__g"), F.col("i").alias("__i"))
+        landed = starts.select(F.col("g").alias("__sg"), F.col("i").alias("__si")).join(jumps, F.col("__sg").eqNullSafe(F.col("g")) & (F.col("__si") == F.col("i"))).select("g", F.col("jump").alias("i"))
+        landed = landed.distinct().join(there, F.col("g").eqNullSafe(F.col("__g")) & (F.col("i") == F.col("__i")), "left_semi")
+        known = starts.select(F.col("g").alias("__g"), F.col("i").alias("__i"))
+        new = checkpoint(landed.join(known, F.col("g").eqNullSafe(F.col("__g")) & (F.col("i") == F.col("__i")), "left_anti"))
+        if new.isEmpty():
+            break
+        starts = checkpoint(starts.unionByName(new))
+        far = jumps.select(F.col("g").alias("__g"), F.col("i").alias("__i"), F.col("jump").alias("__jump"))
+        jumps = checkpoint(jumps.join(far, F.col("g").eqNullSafe(F.col("__g")) & (F.col("jump") == F.col("__i"))).select("g", "i", F.col("__jump").alias("jump")))
+    begun = starts.select(F.col("g").alias("__g"), F.col("i").alias("__i"))
+    marked = pairs.join(begun, F.col("g").eqNullSafe(F.col("__g")) & (F.col("i") == F.col("__i")), "left").withColumn("start", F.col("__i").isNotNull().cast("long")).drop("__g", "__i")
+    blocks = Ordered(marked.select("g", "k", "delta", "i", "start"), ["g"], ["i"], **options).sum("block", F.col("start")).rows.groupBy("g", "block")
+    out = blocks.agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n"), F.first("delta").alias("delta"))
+    return out.select(F.col("g").alias(by), "first", "last", F.when(F.col("n") > 1, F.floor((F.col("last") - F.col("first")) / (F.col("n") - 1))).otherwise(0).cast("long").alias("stride"), "delta")
 
 
 def slowest(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:

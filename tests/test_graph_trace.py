@@ -96,3 +96,56 @@ def test_run_compression(spark):
 def test_interval_cells(spark):
     s = spark.createDataFrame([("a", 0, 100), ("b", 100, 4097), ("c", 5000, 5000)], "title string, start long, end long")
     assert sorted(map(tuple, T.interval_overlap(s, 4096).collect())) == [(0, "a"), (0, "b"), (1, "b")]
+
+
+def distances(pairs, seeds, most=None):
+    out, front, d = {s: 0 for s in seeds}, set(seeds), 0
+    while front and (most is None or d < most):
+        d += 1
+        front = {b for a, b in pairs if a in front} - set(out)
+        out |= dict.fromkeys(front, d)
+    return out
+
+
+def test_reach_over_many_parts(spark):
+    """Chains, cycles, and a node with many edges, in parts of a few edges; text nodes."""
+    import random
+
+    r = random.Random(3)
+    pairs = [(i, i + 1) for i in range(9)] + [(9, 0)] + [(7, 100 + i) for i in range(80)] + [(100 + r.randrange(80), 200 + r.randrange(60)) for _ in range(90)] + [(200 + i, 5) for i in range(9)] + [(900, 901)]
+    for most, part_edges in ((None, 1 << 21), (None, 60), (4, 60), (4, 1 << 21)):
+        got = {x["node"]: x["depth"] for x in G.reach(edges(spark, pairs), nodes(spark, 0, 205), max_depth=most, part_edges=part_edges).collect()}
+        assert got == distances(pairs, [0, 205], most)
+    text = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs] + [(None, "n1"), ("n1", None)], "src string, dst string")
+    got = {x["node"]: x["depth"] for x in G.reach(text, spark.createDataFrame([("n0",), (None,)], "node string"), part_edges=1 << 21).collect()}
+    assert got == {f"n{k}": v for k, v in distances(pairs, [0]).items()}
+    assert G.reach(edges(spark, []), nodes(spark, 5)).collect()[0]["node"] == 5 and G.reach(edges(spark, pairs), nodes(spark)).count() == 0
+
+
+def test_compression_like_a_walk(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for g in ("a", "b", None):
+        k = 0
+        for _ in range(300):
+            k += r.choice([1, 1, 1, 2, 2, 2, 40, 300])
+            rows.append((g, k, k + r.choice([5, 5, 5, 5, 7])))
+    rows += [("long", i, i + 1) for i in range(2000)] + [("wide", i * 3, i * 3) for i in range(700)]
+    want = []
+    for g in {x[0] for x in rows}:
+        blocks = []
+        for _, k, v in sorted(x for x in rows if x[0] == g):
+            b = blocks[-1] if blocks else None
+            if b and v - k == b[4] and k - b[1] < 256 and (b[3] == 0 or k - b[2] == b[3]):
+                b[3], b[2] = k - b[2], k
+            else:
+                blocks.append([g, k, k, 0, v - k])
+        want += map(tuple, blocks)
+    df = spark.createDataFrame(rows + rows[:50], "g string, k long, v long")
+    plan = T.compress_runs(df, "g", "k", "v")
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString() and "Pandas" not in plan._jdf.queryExecution().executedPlan().toString()
+    for options in ({}, {"key_rows": 0, "tasks": 5}):
+        assert sorted(map(tuple, T.compress_runs(df, "g", "k", "v", **options).collect()), key=str) == sorted(want, key=str)
+    assert T.compress_runs(df.where("false"), "g", "k", "v").count() == 0

@@ -65,3 +65,18 @@ def test_isolated_is_dropped_where_rule_four_speaks(spark):
 
 def test_whole_classification_is_empty_on_empty(spark):
     assert O.classify(_route(spark).limit(0), spark.createDataFrame([], "domain string, ord bigint, url string")).count() == 0
+
+
+def test_hot_site_is_looked_up_by_rare_grams(spark):
+    """Destinations and URLs of one site: candidates are few, and the same URLs are found as by trying all pairs."""
+    from pyspark.sql import functions as F
+
+    names = [f"item{i:03d}x" for i in range(150)]
+    urls = [("hot.com", i, f"https://hot.com/collect/{n}?user={i}&z=1") for i, n in enumerate(names)] + [("hot.com", 900, "https://hot.com/q"), ("b.com", 1, "https://b.com/collect/item000x?a=b"), ("hot.com", 500, "https://hot.com/collect/item003x?user=77&z=1")]
+    dests = [("hot.com", "https://hot.com/collect/" + n + "?user={VAR}&z=1") for n in names[::2]] + [("hot.com", d) for d in ("{VAR}/q{VAR}", "https://hot.com/none{VAR}", "{VAR}", "ab{VAR}", "{VAR}&z=1", "https://{VAR}/collect/item149x{VAR}")] + [("b.com", "https://b.com{VAR}a=b"), ("c.com", "https://c.com/{VAR}")]
+    routes = spark.createDataFrame(dests, "domain string, destination_url string")
+    log = spark.createDataFrame(urls, "domain string, ord long, url string")
+    plain, grams = (sorted(map(tuple, O.hybrid_targets(routes, log, pairs=p).collect())) for p in (1 << 20, 0))
+    assert plain == grams and len(plain) >= 78
+    open_ = routes.withColumn("parts", O.fragments(F.col("destination_url"))).where(F.size("parts") > 0)
+    assert O.candidates(open_, log.groupBy("domain", "url").agg(F.min("ord").alias("ord"))).count() < 150 * 4
