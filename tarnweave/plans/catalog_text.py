@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import js as J
+from ..functions import regexp as RE
 from ..operators import reports as RP
 from ..operators import text as O
 from . import fixtures as X
@@ -236,3 +237,31 @@ def uri_round_trip(spark, d):
 def code_points(spark, d):
     codes = F.array(F.lit(0x1F31F), (_C("page_id") % 26 + 97).cast("int"), F.lit(0xE9))
     return X.table(spark, d, "pages").select("page_id", J.from_code_points(codes).alias("t"), J.normalised_nfc(F.lit("é")).alias("nfc"), J.number_from_bits(F.lit("number:3ff8000000000000")).alias("bits"))
+
+
+_MARKED = "regexp_replace(text, '\\b([A-Za-z])([a-z0-9_]{3,})[.,]', chr(1) || '\\0' || chr(2) || '\\1' || chr(2) || '\\2' || chr(3), 'g')"
+
+
+@query("regexp_match_all", f"""WITH p AS (SELECT row_number() OVER () AS r, doc_id, string_split({_MARKED}, chr(1)) AS p FROM documents WHERE text IS NOT NULL), u AS (SELECT r, doc_id, unnest(range(len(p))) AS no, unnest(p) AS x FROM p),
+  m AS (SELECT r, doc_id, no, CASE WHEN no > 0 THEN string_split(string_split(x, chr(3))[1], chr(2)) END AS m, CASE WHEN no > 0 THEN length(string_split(string_split(x, chr(3))[1], chr(2))[1]) + length(x) - length(string_split(x, chr(3))[1]) - 1 ELSE length(x) END AS n FROM u),
+  s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY r ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM m)
+  SELECT doc_id, no::INT AS no, start, start + length(m[1]) AS "end", m[1] AS match, m[2] AS head, m[3] AS tail FROM s WHERE no > 0""")
+def regexp_match_all(spark, d):
+    pattern = r"\b(?<head>[A-Za-z])(?<tail>[a-z\d_]{3,})[.,]"
+    names, _ = RE.groups(pattern)
+    out = RE.matches(X.table(spark, d, "documents").select("doc_id", "text"), "text", pattern, "g")
+    return out.select("doc_id", "no", "start", "end", "match", *[F.get("groups", F.lit(n - 1)).alias(name) for name, n in names.items()])
+
+
+#: A letter beyond the basic plane after every e, so that units and code points differ.
+_WIDE = "replace(coalesce(text, ''), 'e', 'e😀')"
+
+
+@query("utf16_strings", f"""WITH t AS (SELECT doc_id, {_WIDE} AS t FROM documents), n AS (SELECT *, length(t) + length(t) - length(replace(t, '😀', '')) AS n FROM t)
+  SELECT doc_id, n::BIGINT AS units, CASE WHEN instr(t, 'th') = 0 THEN -1 ELSE instr(t, 'th') - 1 + length(substr(t, 1, instr(t, 'th') - 1)) - length(replace(substr(t, 1, instr(t, 'th') - 1), '😀', '')) END::BIGINT AS place,
+    CASE WHEN n > 0 THEN unicode(t) END AS code, md5(replace(t, '😀', '__')) AS wide FROM n""")
+def utf16_strings(spark, d):
+    t = F.replace(F.coalesce("text", F.lit("")), F.lit("e"), F.lit("e😀"))
+    rows = X.table(spark, d, "documents").select("doc_id", t.alias("t"))
+    t = _C("t")
+    return rows.select("doc_id", RE.utf16_length(t).alias("units"), RE.utf16_index_of(t, "th").alias("place"), RE.utf16_code_at(t, 0).alias("code"), F.md5(RE.replace_all(t, r"\ud83d\ude00", "__")).alias("wide"))
