@@ -322,13 +322,24 @@ def sink_instructions(stores: DataFrame, calls: DataFrame) -> DataFrame:
     return forced.unionByName(hit.select("value_id", F.col("x.name").alias("sink"), F.col("x.type").alias("type"))).unionByName(asked.select("value_id", F.col("name").alias("sink"), "type"))
 
 
+#: A string or template, as a whole; a comment. Possessive, so that long ones are read once.
+STRING = r"(?:\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\[\s\S])*+`)"
+COMMENT = r"(?://[^\n]*+|/\*[\s\S]*?\*/)"
+
+
+def blanked(code: Column) -> Column:
+    """A script's text with a space for each comment; what looks like one inside a string or template stays."""
+    return F.regexp_replace(code, f"({STRING})|{COMMENT}", "$1 ")
+
+
 def dependencies(scripts: DataFrame) -> DataFrame:
     """key, name, kind: modules that a script asks for. scripts: key, text.
 
     Kinds: ESM (imports and re-exports of values), Type (of types; an import list may have both), Async (import
     calls), Require (also requireActual and requireMock of require or jest), Resource, PrefetchedResource,
-    GraphQL (operations in graphql templates). Read by pattern from the text, not from a syntax tree, so what stands
-    in comments or strings counts too.
+    GraphQL (operations in graphql templates). Read by pattern, not from a syntax tree, but not from comments, strings and other
+    templates: comments are blanked first, and strings and templates are passed over as a whole, as every pattern comes after
+    theirs in one alternation. (A quote inside a pattern literal of the language may begin a string too many, up to its line's end.)
     """
     quoted = r"['\"]([^'\"]+)['\"]"
     called = lambda names: r"(?<![\w.$])(?:" + "|".join(names) + r")\s*\(\s*" + quoted
@@ -340,8 +351,13 @@ def dependencies(scripts: DataFrame) -> DataFrame:
         "Require": [called(["require"]), r"(?<![\w.$])(?:require|jest)\.(?:requireActual|requireMock)\s*\(\s*" + quoted],
         "Resource": [called(R.RESOURCE_CALLS)], "PrefetchedResource": [called(R.PREFETCHED_CALLS)],
     }
-    found = [F.transform(F.regexp_extract_all("text", F.lit(p), 1), _named(k)) for k, patterns in kinds.items() for p in patterns]
-    templates = F.regexp_extract_all("text", F.lit(r"(?<![\w.$])graphql\s*`([^`]*)`"), 1)
+    code = blanked(F.col("text"))
+
+    def outside(pattern: str) -> Column:
+        return F.filter(F.regexp_extract_all(code, F.lit(f"{STRING}|{pattern}"), 1), lambda x: x != "")
+
+    found = [F.transform(outside(p), _named(k)) for k, patterns in kinds.items() for p in patterns]
+    templates = outside(r"(?<![\w.$])graphql\s*`([^`]*)`")
     operations = F.flatten(F.transform(templates, lambda t: F.regexp_extract_all(t, F.lit(r"(?m)^\s*?(?:query|fragment|mutation|subscription) +(\w+)"), 1)))
     return scripts.select("key", F.explode(F.concat(*found, F.transform(operations, _named("GraphQL")))).alias("x")).select("key", "x.name", "x.kind").distinct()
 

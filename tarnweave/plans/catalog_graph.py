@@ -140,7 +140,7 @@ def dependencies(spark, d):
     k = F.col("page_id")
     a, b, c = ((k % n).cast("string") for n in (7, 5, 3))
     text = F.concat(
-        F.lit("import a from 'm"), a, F.lit("'; export * from \"e"), b, F.lit("\"; import {x, type T} from 'v"), c, F.lit("'; import type U from 'm"), a, F.lit("t';\nimport('l"), c,
+        F.lit("// require('c1')\n/* import 'c2';\n from 'c3' */ var s = \"require('c4') // \", t = `import 'c5' /*`, u = 'it\\'s \"';\nimport a from 'm"), a, F.lit("'; export * from \"e"), b, F.lit("\"; import {x, type T} from 'v"), c, F.lit("'; import type U from 'm"), a, F.lit("t';\nimport('l"), c,
         F.lit(".js'); const b = require(\"r"), b, F.lit("\"); jest.requireActual('q"), a, F.lit("'); JSResource('s"), a, F.lit("'); PrefetchedJSResource('p"), b,
         F.lit("'); graphql`\n  query Get"), a, F.lit(" { x }\n fragment Frag"), b, F.lit(" on Y { z } query`; my.require('no'); other`query No`"),
     )

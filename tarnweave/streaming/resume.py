@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +29,67 @@ def run_available(spark: SparkSession, source: str, schema: str, sink: str, chec
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def guarded(f: Callable, out: str):
-    """A row-wise step for mapInPandas: status OK, or the error of that row alone."""
+class _Watched:
+    """A step in a process of its own, which is ended when a row takes longer than `limit` seconds; the next row gets a new one."""
+
+    def __init__(self, f: Callable, limit: float):
+        self.f, self.limit, self.child = f, limit, None
+
+    def _serve(self, there) -> None:
+        while True:
+            try:
+                row = there.recv()
+            except EOFError:
+                return
+            try:
+                there.send((self.f(row), "OK"))
+            except Exception as e:  # noqa: BLE001  one row's failure is its status
+                there.send((None, f"FAILED ({type(e).__name__})"))
+
+    def __call__(self, row: dict) -> tuple:
+        if self.child is None:
+            fork = multiprocessing.get_context("fork")
+            self.here, there = fork.Pipe()
+            self.child = fork.Process(target=self._serve, args=(there,), daemon=True)
+            self.child.start()
+            there.close()
+        try:
+            self.here.send(row)
+            if self.here.poll(self.limit):
+                return self.here.recv()
+            status = "TIMEOUT"
+        except (EOFError, OSError):
+            status = "FAILED (died)"
+        self.close()
+        return None, status
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.here.close()
+            self.child = None
+
+
+def guarded(f: Callable, out: str, limit: float | None = None):
+    """A row-wise step for mapInPandas: status OK, or the error of that row alone. With a limit in seconds rows are watched: one
+    that takes longer has the status TIMEOUT, one that ends its process FAILED (died), and the batch goes on."""
+
+    def plain(row: dict) -> tuple:
+        try:
+            return f(row), "OK"
+        except Exception as e:  # noqa: BLE001  one row's failure is its status
+            return None, f"FAILED ({type(e).__name__})"
 
     def run(batches):
-        for pdf in batches:
-            values, status = [], []
-            for row in pdf.to_dict("records"):
-                try:
-                    values.append(f(row))
-                    status.append("OK")
-                except Exception as e:  # noqa: BLE001  one row's failure is its status
-                    values.append(None)
-                    status.append(f"FAILED ({type(e).__name__})")
-            yield pdf.assign(**{out: values, "status": status})
+        step = _Watched(f, limit) if limit is not None else plain
+        try:
+            for pdf in batches:
+                found = [step(row) for row in pdf.to_dict("records")]
+                yield pdf.assign(**{out: [v for v, _ in found], "status": [s for _, s in found]})
+        finally:
+            if limit is not None:
+                step.close()
 
     return run
 

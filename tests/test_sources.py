@@ -111,3 +111,33 @@ def test_dot_files_are_whole(spark, tmp_path):
     files = {p.parent.name: p.read_text() for p in (tmp_path / "dot").glob("domain=*/*.txt")}
     assert files["domain=a.b"] == 'digraph G {\n    "N_1" [label="say \'x\'"];\n    "N_2" [label="s\\nd"];\n    "N_1" -> "N_2";\n}\n'
     assert set(files) == {"domain=a.b", "domain=c.d"}
+
+
+def test_a_row_that_never_ends_does_not_stop_its_batch(spark):
+    def step(row):
+        import os
+        import re
+
+        if row["id"] == 1:
+            while True:
+                pass
+        if row["id"] == 2:
+            re.match("(a+)+$", "a" * 40 + "b")  # does not come back to the interpreter for very long
+        if row["id"] == 3:
+            os._exit(1)
+        return 10 / (row["id"] - 4)
+
+    rows = spark.createDataFrame([(i,) for i in range(7)], "id long").coalesce(1)
+    got = {r["id"]: r["status"] for r in rows.mapInPandas(resume.guarded(step, "value", limit=1.0), "id long, value double, status string").collect()}
+    assert got == {0: "OK", 1: "TIMEOUT", 2: "TIMEOUT", 3: "FAILED (died)", 4: "FAILED (ZeroDivisionError)", 5: "OK", 6: "OK"}
+
+
+def test_dependencies_outside_comments_and_strings(spark):
+    from tarnweave.operators import graph
+
+    texts = [
+        ("a", "// require('x')\nrequire('y') /* require('z')\n import 'w' */"), ("b", "var s = \"require('x')\"; require(\"y\")"), ("c", "`require('x') ${1}`; import(`n`); import('y')"), ("d", "'http://a'; require('y')"),
+        ("e", r"'it\'s // '; require('y') // '"), ("f", "graphql`query Q { a } // 'x`; other`query N`; /* graphql`query M` */"), ("g", "'open\nrequire('y')"), ("h", "/* open require('x')"), ("i", ""), ("j", None),
+    ]
+    got = sorted((r["key"], r["name"]) for r in graph.dependencies(spark.createDataFrame(texts, "key string, text string")).collect())
+    assert got == [("a", "y"), ("b", "y"), ("c", "y"), ("d", "y"), ("e", "y"), ("f", "Q"), ("g", "y"), ("h", "x")]
