@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records
+from ..operators.common import checkpoint
+from ..operators.prefix import Ordered
 
 ROUTE = "route_id int, source_name string, sink_name string, sink_type string, path_length int, path_nodes array<string>, trigger_context string, destination_url string"
 REPORT = f"target_url string, event_driven_functions int, s2s_routes array<struct<{', '.join(f'{a}: {b}' for a, b in (x.split(' ', 1) for x in ROUTE.split(', ')))}>>"
@@ -157,3 +159,55 @@ def trace_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     files = spark.read.option("multiLine", True).schema(f"version int, globalObjID long, trace array<struct<{entry}>>").json(path).withColumn("__file", F.input_file_name())
     rows = files.select(F.col("__file").alias("file"), F.posexplode("trace").alias("ord", "r"))
     return rows.select(F.col("file").alias("trace"), F.col("ord").cast("long").alias("ord"), "r.*"), files.select(F.col("__file").alias("trace"), "version", "globalObjID")
+
+
+#: What stands before an element that begins a list, and behind one that ends it.
+_LIST_OPENS = r"^\s*(?:\{\s*|\"\w+\"\s*:\s*\{\s*)*\"(\w+)\"\s*:\s*\["
+_LIST_ENDS = r"\s*\]\s*[\]}\s]*$"
+
+
+def list_elements(spark: SparkSession, path: str, lists: list[str], *, split_bytes: int | None = None, **options) -> DataFrame:
+    """file, list, at (from 0), value: the elements of some flat lists of JSON files of any size. value is JSON text: a number, or a
+    string in quotes.
+
+    A file is read in splits, cut at its commas, so that many tasks read it. Commas inside strings are told by the number of
+    quotes before them, and places by running counts, split by split (options: see prefix.Ordered). Only what stands between two
+    commas outside strings is put together in one row. Lists of lists are not read.
+    """
+    reader = spark.read.option("lineSep", ",")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        if split_bytes:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        parts = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+        # within a block rows stand in their order, and blocks in theirs: stored, as the row's number depends on the splits
+        parts = checkpoint(parts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plain = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"')))
+    o = Ordered(parts, ["file"], ["block", "row"], **options).sum("quotes", quotes.cast("long"), before=True)
+    o = o.sum("no", F.when(F.col("quotes") % 2 == 0, 1).otherwise(0).cast("long"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda x: x["value"]), ",")
+    found = o.rows.groupBy("file", "no").agg(text.alias("text"))
+    opens, ends = F.regexp_extract("text", _LIST_OPENS, 1), F.col("text").rlike(_LIST_ENDS)
+    o = Ordered(found, ["file"], ["no"], **options).last("begun", F.when(opens != "", F.struct(opens.alias("name"), F.col("no").alias("no"))))
+    o = o.last("ended", F.when(ends, F.col("no")), before=True)
+    inside = o.rows.where(F.col("begun.name").isin(lists) & (F.coalesce("ended", F.lit(-1)) < F.col("begun.no")))
+    value = F.trim(F.regexp_replace(F.regexp_replace("text", _LIST_OPENS, ""), _LIST_ENDS, ""), F.lit(" \t\r\n"))
+    return inside.select("file", F.col("begun.name").alias("list"), (F.col("no") - F.col("begun.no")).alias("at"), value.alias("value")).where("value <> ''")
+
+
+def list_rows(elements: DataFrame, name: str, fields: list[str]) -> DataFrame:
+    """file, no and a column for each field: a flat list of numbers, len(fields) of them to a row."""
+    k = len(fields)
+    rows = elements.where(F.col("list") == name).select("file", F.floor(F.col("at") / k).alias("no"), (F.col("at") % k).alias("k"), F.col("value").try_cast("long").alias("v"))
+    return rows.groupBy("file", "no").agg(*[F.max(F.when(F.col("k") == i, F.col("v"))).alias(f) for i, f in enumerate(fields)])
+
+
+def list_strings(elements: DataFrame, name: str = "strings") -> DataFrame:
+    """file, at, text: a list of strings, without quotes and escapes."""
+    rows = elements.where((F.col("list") == name) & F.startswith("value", F.lit('"')))
+    return rows.select("file", "at", F.from_json(F.concat(F.lit('{"t":'), "value", F.lit("}")), "t string")["t"].alias("text"))

@@ -141,3 +141,28 @@ def test_dependencies_outside_comments_and_strings(spark):
     ]
     got = sorted((r["key"], r["name"]) for r in graph.dependencies(spark.createDataFrame(texts, "key string, text string")).collect())
     assert got == [("a", "y"), ("b", "y"), ("c", "y"), ("d", "y"), ("e", "y"), ("f", "Q"), ("g", "y"), ("h", "x")]
+
+
+SNAPSHOT = {
+    "snapshot": {"meta": {"node_fields": ["type", "name", "id"], "node_types": [["a", "b"], "string"]}, "node_count": 3}, "nodes": list(range(100, 400)), "edges": [5, 6, 7, 8], "samples": [], "locations": [-1, 0, 2],
+    "strings": ["", "plain", "with, comma", "quote \" and, \\", "\\\\\",\"", "nodes", "\"nodes\":[1,2", "] }", "é😀, ,x", "a" * 500 + ",,", ",", "]"],
+}
+
+
+@pytest.mark.parametrize("split_bytes, options", [(None, {}), (700, {}), (700, {"key_rows": 0, "tasks": 4}), (97, {"key_rows": 0, "tasks": 3})])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_a_file_in_splits_gives_the_rows_of_one(spark, tmp_path, split_bytes, options, indent):
+    for n in (1, 2):
+        (tmp_path / f"{n}.heapsnapshot").write_text(json.dumps(SNAPSHOT | {"edges": [n] * 8}, indent=indent, ensure_ascii=n == 1))
+    got = R.list_elements(spark, str(tmp_path), ["nodes", "edges", "samples", "locations", "strings"], split_bytes=split_bytes, **options).cache()
+    found = {}
+    for r in got.collect():
+        found.setdefault((r["file"][-14:-13], r["list"]), {})[r["at"]] = json.loads(r["value"])
+    for n in (1, 2):
+        want = SNAPSHOT | {"edges": [n] * 8}
+        for name in ("nodes", "edges", "locations", "strings"):
+            assert [v for _, v in sorted(found[str(n), name].items())] == want[name], name
+    assert not any(name == "samples" for _, name in found)
+    rows = sorted((r["no"], r["a"], r["b"], r["c"]) for r in R.list_rows(got, "nodes", ["a", "b", "c"]).where("file like '%1.heapsnapshot'").collect())
+    assert rows == [(i, 100 + 3 * i, 101 + 3 * i, 102 + 3 * i) for i in range(100)]
+    assert {r["at"]: r["text"] for r in R.list_strings(got).where("file like '%2.heapsnapshot'").collect()} == dict(enumerate(SNAPSHOT["strings"]))
