@@ -334,10 +334,23 @@ def final_stats(merged: DataFrame) -> DataFrame:
     return per.unionByName(merged.agg(F.countDistinct("domain").alias("cases")).select(F.lit("total_malicious").alias("statistic"), "cases"))
 
 
-def context_histogram(routes: DataFrame) -> DataFrame:
-    """domain, autonomous, event_driven, dual (both are there)."""
-    per = routes.groupBy("domain").agg(F.count_if(F.col("trigger_context") == "AUTONOMOUS").alias("autonomous"), F.count_if(F.col("trigger_context") == "EVENT_DRIVEN").alias("event_driven"))
-    return per.withColumn("context", F.when((F.col("autonomous") > 0) & (F.col("event_driven") > 0), "Mixed (Dual Context)").otherwise("Single Context"))
+def context_histogram(routes: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
+    """domain, autonomous, event_driven, context (Mixed if both are there). With handlers (domain, event_driven_functions) also unknown (routes
+    of no known context) and event_driven_functions, which count as event-driven code too; sites without routes have a row if they have handlers."""
+    count = lambda kind: F.count_if(F.col("trigger_context") == kind)
+    per = routes.groupBy("domain").agg(count("AUTONOMOUS").alias("autonomous"), count("EVENT_DRIVEN").alias("event_driven"), F.count(F.lit(1)).alias("__all"))
+    event = F.col("event_driven") > 0
+    if handlers is not None:
+        more = handlers.groupBy("domain").agg(F.coalesce(F.sum("event_driven_functions"), F.lit(0)).alias("event_driven_functions"))
+        per = per.join(more, "domain", "full").fillna(0, ["autonomous", "event_driven", "__all", "event_driven_functions"])
+        per, event = per.withColumn("unknown", F.col("__all") - F.col("autonomous") - F.col("event_driven")), event | (F.col("event_driven_functions") > 0)
+    return per.drop("__all").withColumn("context", F.when((F.col("autonomous") > 0) & event, "Mixed (Dual Context)").otherwise("Single Context"))
+
+
+def missing_logs(routes: DataFrame, netlog: DataFrame) -> DataFrame:
+    """domain, warning: sites with routes but without a network log, whose destinations cannot be compared."""
+    lost = routes.select("domain").distinct().join(netlog.select("domain").distinct(), "domain", "left_anti")
+    return lost.withColumn("warning", F.concat(F.lit("network log not found for "), "domain"))
 
 
 def domain_rules(merged: DataFrame) -> DataFrame:

@@ -94,9 +94,14 @@ def is_script(content_type: Column, url: Column) -> Column:
     return F.contains(F.coalesce(content_type, F.lit("")), F.lit("javascript")) | F.endswith(url, F.lit(".js"))
 
 
-def safe_name(url: Column) -> Column:
-    """File name of a captured script."""
-    return F.regexp_replace(F.regexp_extract(url, r"([^/?#]*)(?:[?#].*)?$", 1), r"(?i)[^a-z0-9.]", "_")
+def safe_name(url: Column, moment: Column | None = None) -> Column:
+    """File name of a captured script; with the moment of its capture (a timestamp) also that, in milliseconds, so that a script
+    that is captured again gets a name of its own. A URL that ends in a slash is script.js."""
+    name = F.regexp_extract(url, r"([^/?#]*)(?:[?#].*)?$", 1)
+    if moment is not None:
+        name = F.when(name == "", "script.js").otherwise(name)
+    name = F.regexp_replace(name, r"(?i)[^a-z0-9.]", "_")
+    return name if moment is None else F.concat(name, F.lit("_"), F.unix_millis(moment.cast("timestamp")).cast("string"), F.lit(".js"))
 
 
 def wrapped(body: Column) -> Column:

@@ -237,6 +237,30 @@ def override(layers: list[DataFrame], key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, "__n").alias(value))
 
 
+def case_maps(data: DataFrame, special: DataFrame, folding: DataFrame) -> DataFrame:
+    """cp, upper, lower, fold of each letter, from the lines (value) of the tables of letters, of special cases and of folds.
+
+    Special cases without a condition come before the table's; a form of several letters is the letter itself. Of the folds those of status C
+    and S count; the others of a letter are itself.
+    """
+    field = lambda i: F.trim(F.get(F.split(F.split("value", "#")[0], ";"), i))
+    number = lambda c: F.conv(c, 16, 10).cast("long")
+    single = lambda c, cp: F.when((c != "") & (F.size(F.split(c, r"\s+")) == 1), number(c)).otherwise(cp)
+    cp = number(field(0))
+    form = lambda upper, lower: F.struct(single(field(upper), cp).alias("upper"), single(field(lower), cp).alias("lower")).alias("form")
+    letters = data.where(F.coalesce(field(0), F.lit("")) != "").select(cp.alias("cp"), form(12, 13))
+    parts = F.split(F.split("value", "#")[0], ";")
+    cases = special.where((F.size(parts) >= 5) & (field(4) == "")).select(cp.alias("cp"), form(3, 1))
+    folds = folding.where((F.size(parts) == 4) & field(1).isin("C", "S")).select(cp.alias("cp"), number(field(2)).alias("fold"))
+    out = override([letters, cases], "cp", "form").join(folds.groupBy("cp").agg(F.max("fold").alias("fold")), "cp", "left")
+    return out.select("cp", "form.upper", "form.lower", F.coalesce("fold", "cp").alias("fold"))
+
+
+def canonical(maps: DataFrame) -> DataFrame:
+    """maps with canonical: what a letter is compared as where case is ignored without the unicode flag (with it: fold). Only ASCII may become ASCII."""
+    return maps.withColumn("canonical", F.when((F.col("upper") < 128) & (F.col("cp") >= 128), F.col("cp")).otherwise(F.col("upper")))
+
+
 def compress_runs(rows: DataFrame, by: str, key: str, value: str, span: int = 256, **options) -> DataFrame:
     """by, first, last, stride, delta: pairs in order of key join a block while value - key and
     the stride stay the same and the block spans less than `span`. Repeated pairs count once.

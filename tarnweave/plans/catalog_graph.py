@@ -52,12 +52,19 @@ def event_closure(spark, d):
     return O.reach(X.edges(spark, d), _seeds(spark, d), max_depth=10)
 
 
-@query("call_links", f"""WITH f AS (SELECT p_type AS name, min(p_partkey) AS func_id FROM part WHERE length(p_type) > 0 GROUP BY p_type)
-  SELECT l_orderkey * 10 + l_linenumber AS call_id, func_id FROM lineitem JOIN part ON l_partkey = p_partkey JOIN f ON name = p_type WHERE length(p_type) > 2""")
+#: Every seventh call asks for a common name, every eleventh for one of two letters; functions of these names are there.
+_COMMON = "CASE WHEN l_partkey % 7 = 0 THEN 'push' WHEN l_partkey % 11 = 0 THEN 'ab' ELSE p_type END"
+
+
+@query("call_links", f"""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'push' WHEN p_partkey % 17 = 0 THEN 'ab' WHEN p_partkey % 19 = 0 THEN 'global' WHEN p_partkey % 23 = 0 THEN '' ELSE p_type END AS name FROM part),
+  f AS (SELECT name, min(p_partkey) AS func_id FROM n WHERE name NOT IN ('', 'global') GROUP BY name)
+  SELECT l_orderkey * 10 + l_linenumber AS call_id, func_id FROM lineitem JOIN part ON l_partkey = p_partkey JOIN f ON name = {_COMMON} WHERE length(name) > 2 AND name NOT IN {R.COMMON_METHODS}""")
 def call_links(spark, d):
-    part = X.table(spark, d, "part").select("p_partkey", "p_type")
-    calls = X.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("p_type").alias("prop"))
-    return O.call_links(calls, part.select(F.col("p_partkey").alias("func_id"), F.col("p_type").alias("name"), F.col("p_partkey").alias("ord")))
+    part, k, c = X.table(spark, d, "part").select("p_partkey", "p_type"), F.col("p_partkey"), F.col("l_partkey")
+    prop = F.when(c % 7 == 0, "push").when(c % 11 == 0, "ab").otherwise(F.col("p_type"))
+    calls = X.table(spark, d, "lineitem").join(part, c == k).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), prop.alias("prop"))
+    name = F.when(k % 13 == 0, "push").when(k % 17 == 0, "ab").when(k % 19 == 0, "global").when(k % 23 == 0, "").otherwise(F.col("p_type"))
+    return O.call_links(calls, part.select(k.alias("func_id"), name.alias("name"), k.alias("ord")))
 
 
 def _edges(spark, d, **tables):

@@ -172,6 +172,26 @@ def context_histogram(spark, d):
     return O.context_histogram(X.routes(spark, d))
 
 
+#: Functions that events call, of each site: a number from its pages, none for every third page.
+_HANDLERS = "fx_handlers AS (SELECT domain, sum(page_id % 3)::BIGINT AS event_driven_functions FROM fx_pages WHERE page_id % 5 < 3 GROUP BY domain)"
+
+
+def _handlers(spark, d):
+    return X.pages(spark, d).where("page_id % 5 < 3").groupBy("domain").agg(F.sum(F.col("page_id") % 3).alias("event_driven_functions"))
+
+
+@query("context_handlers", f"""WITH {X.BASE_SQL}, {_HANDLERS}, c AS (SELECT domain, count(*) FILTER (WHERE trigger_context = 'AUTONOMOUS') AS a, count(*) FILTER (WHERE trigger_context = 'EVENT_DRIVEN') AS e, count(*) AS n FROM fx_routes GROUP BY domain)
+  SELECT domain, coalesce(a, 0) AS autonomous, coalesce(e, 0) AS event_driven, coalesce(n - a - e, 0) AS unknown, coalesce(event_driven_functions, 0) AS event_driven_functions, CASE WHEN a > 0 AND (e > 0 OR event_driven_functions > 0) THEN 'Mixed (Dual Context)' ELSE 'Single Context' END AS context FROM c FULL JOIN fx_handlers USING (domain)""")
+def context_handlers(spark, d):
+    return O.context_histogram(X.routes(spark, d), _handlers(spark, d))
+
+
+@query("missing_logs", f"WITH {X.BASE_SQL} SELECT domain, 'network log not found for ' || domain AS warning FROM (SELECT DISTINCT domain FROM fx_routes WHERE domain NOT IN (SELECT domain FROM fx_netlog WHERE length(url) % 4 = 0))")
+def missing_logs(spark, d):
+    # the log of a site with no URL of such a length counts as lost
+    return O.missing_logs(X.routes(spark, d), X.netlog(spark, d).where(F.length("url") % 4 == 0))
+
+
 @query("domain_rules", f"{S.ALL_THREATS} SELECT domain, string_agg('R' || n, ',' ORDER BY n) AS rules FROM (SELECT DISTINCT domain, unnest({S.NUMBERS('threat_type')}) AS n FROM scored) GROUP BY domain")
 def domain_rules(spark, d):
     return O.domain_rules(_classified(spark, d))

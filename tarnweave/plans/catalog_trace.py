@@ -174,9 +174,10 @@ def section_diff(spark, d):
     return O.section_diff(side("p_partkey % 2 = 0 AND p_brand <> 'Brand#1'"), side("p_partkey % 2 = 1 AND p_brand <> 'Brand#2'"))
 
 
-@query("new_functions_anti", "SELECT p_partkey AS func, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10) ORDER BY size DESC, func LIMIT 10")
+@query("new_functions_anti", "SELECT p_partkey AS func, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) ORDER BY size DESC, func LIMIT 10")
 def new_functions_anti(spark, d):
-    old = X.table(spark, d, "lineitem").where("l_quantity > 10").select(_C("l_partkey").alias("p_partkey")).distinct()
+    # few lines are that large, so that there are parts without one
+    old = X.table(spark, d, "lineitem").where("l_quantity > 48").select(_C("l_partkey").alias("p_partkey")).distinct()
     return X.table(spark, d, "part").join(old, "p_partkey", "left_anti").orderBy(F.desc("p_size"), "p_partkey").limit(10).select(_C("p_partkey").alias("func"), _C("p_size").alias("size"))
 
 
@@ -200,6 +201,27 @@ def casemap_override(spark, d):
     return O.override([layer("true", 0), layer("cp % 3 = 0", 1), layer("cp % 5 = 0", 2)], "cp", "mapped")
 
 
+def _hexed(c):
+    return F.hex(c.cast("long"))
+
+
+#: Lines of the three tables of letters: a letter's upper case is the next one's, some have special ones, of two letters or with a condition.
+_LETTERS = """u AS (SELECT p_partkey AS cp, CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 1 END AS upper, CASE WHEN p_partkey % 4 = 0 THEN p_partkey - 2 END AS lower FROM part WHERE p_partkey > 2),
+  x AS (SELECT p_partkey AS cp, p_partkey + 5 AS upper FROM part WHERE p_partkey % 10 = 7 AND p_size % 2 = 0 AND p_partkey > 2), two AS (SELECT p_partkey AS cp FROM part WHERE p_partkey % 10 = 9 AND p_partkey > 2), f AS (SELECT p_partkey AS cp, p_partkey + 32 AS fold FROM part WHERE p_partkey % 6 IN (1, 2) AND p_partkey > 2)"""
+
+
+@query("case_canonical", f"""WITH {_LETTERS}, m AS (SELECT cp, CASE WHEN two.cp IS NOT NULL THEN cp WHEN x.upper IS NOT NULL THEN x.upper ELSE coalesce(u.upper, cp) END AS upper, CASE WHEN x.cp IS NOT NULL OR two.cp IS NOT NULL THEN cp ELSE coalesce(lower, cp) END AS lower, coalesce(fold, cp) AS fold FROM u LEFT JOIN x USING (cp) LEFT JOIN two USING (cp) LEFT JOIN f USING (cp))
+  SELECT cp, upper, lower, fold, CASE WHEN upper < 128 AND cp >= 128 THEN cp ELSE upper END AS canonical FROM m""")
+def case_canonical(spark, d):
+    p, k = X.table(spark, d, "part").where("p_partkey > 2"), _C("p_partkey")
+    opt = lambda test, v: F.when(test, _hexed(v)).otherwise("")
+    data = p.select(F.concat(_hexed(k), F.lit(";LETTER;" + ";" * 10), opt(k % 3 == 0, k + 1), F.lit(";"), opt(k % 4 == 0, k - 2), F.lit(";")).alias("value"))
+    special = p.where("p_partkey % 10 = 7").select(F.concat(_hexed(k), F.lit("; "), _hexed(k), F.lit("; 41; "), _hexed(k + 5), F.lit("; "), F.when(_C("p_size") % 2 == 1, "tr; ").otherwise(""), F.lit("# note; x")).alias("value"))
+    special = special.union(p.where("p_partkey % 10 = 9").select(F.concat(_hexed(k), F.lit("; "), _hexed(k), F.lit(" 61; 41; 41 42; # two")).alias("value")))
+    folding = p.select(F.concat(_hexed(k), F.lit("; "), F.element_at(F.array(*map(F.lit, "TCSFTF")), (k % 6 + 1).cast("int")), F.lit("; "), _hexed(k + 32), F.lit("; # x")).alias("value"))
+    return O.canonical(O.case_maps(data, special, folding))
+
+
 @query("run_compression", """WITH RECURSIVE r AS (SELECT p_brand AS grp, p_partkey AS k, p_partkey + p_partkey // 500 * 32 AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
   t(grp, n, f, l, s, d, id) AS (SELECT grp, n, k, k, 0::BIGINT, v - k, 1 FROM r WHERE n = 1 UNION ALL SELECT grp, n, CASE WHEN ok THEN f ELSE k END, k, CASE WHEN ok THEN k - l ELSE 0 END, v - k, CASE WHEN ok THEN id ELSE id + 1 END
     FROM (SELECT r.*, t.f, t.l, t.id, r.v - r.k = t.d AND r.k - t.f < 256 AND (t.s = 0 OR r.k - t.l = t.s) AS ok FROM t JOIN r ON r.grp = t.grp AND r.n = t.n + 1) x)

@@ -14,14 +14,19 @@ def threat_table(merged: DataFrame) -> DataFrame:
     return merged.select(*[F.col(a).alias(b) for a, b in zip(names, THREAT_COLUMNS)])
 
 
-def write_threats(merged: DataFrame, path: str) -> None:
-    """CSV with header, in the report's order; statistics are a table of their own, not a trailer."""
+def _marked(rows: DataFrame, mark: bool) -> DataFrame:
+    """With a byte order mark before the header of each file, by which spreadsheets tell UTF-8."""
+    return rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]) if mark else rows
+
+
+def write_threats(merged: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with header, in the report's order; statistics are a table of their own, not a trailer. mark: with a byte order mark."""
     ordered = merged.orderBy("min_rule", "domain", "source", "sink", "destination") if "min_rule" in merged.columns else merged
-    threat_table(ordered).write.option("header", True).csv(path)
+    _marked(threat_table(ordered), mark).write.option("header", True).csv(path)
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
-    summary.orderBy(F.desc("total_routes"), "domain").write.option("header", True).csv(path)
+def write_summary(summary: DataFrame, path: str, mark: bool = False) -> None:
+    _marked(summary.orderBy(F.desc("total_routes"), "domain"), mark).write.option("header", True).csv(path)
 
 
 def write_dot(dot: DataFrame, path: str) -> None:

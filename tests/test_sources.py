@@ -166,3 +166,15 @@ def test_a_file_in_splits_gives_the_rows_of_one(spark, tmp_path, split_bytes, op
     rows = sorted((r["no"], r["a"], r["b"], r["c"]) for r in R.list_rows(got, "nodes", ["a", "b", "c"]).where("file like '%1.heapsnapshot'").collect())
     assert rows == [(i, 100 + 3 * i, 101 + 3 * i, 102 + 3 * i) for i in range(100)]
     assert {r["at"]: r["text"] for r in R.list_strings(got).where("file like '%2.heapsnapshot'").collect()} == dict(enumerate(SNAPSHOT["strings"]))
+
+
+def test_names_with_a_moment_and_files_with_a_mark(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarnweave.operators import text
+
+    df = spark.createDataFrame([("https://a.com/x/y z.js?q=1",), ("https://a.com/",)], "u string").select(text.safe_name(F.col("u"), F.timestamp_millis(F.lit(1700000000123))).alias("n"))
+    assert [r["n"] for r in df.collect()] == ["y_z.js_1700000000123.js", "script.js_1700000000123.js"]
+    rows = spark.createDataFrame([("a", 1)], "domain string, total_routes int").coalesce(1)
+    S.write_summary(rows, str(tmp_path / "s"), mark=True)
+    assert next((tmp_path / "s").glob("part-*.csv")).read_bytes() == b"\xef\xbb\xbfdomain,total_routes\na,1\n"
