@@ -1,22 +1,25 @@
 """Approximate nearest neighbours with score-aware (anisotropic) product quantisation.
 
-Euclidean nearness is turned into a maximum inner product: q.x - |x|^2 / 2. Vectors are cut into
+Euclidean nearness is turned into a maximum inner product: q.x - |x|^2 / 2. Vectors fall into coarse cells, about as many as the square root of
+their number; what is left of a vector beside its cell's centre is cut into
 pairs of components, each coded in four bits. Codes and codebooks are chosen for the score-aware
-loss |r|^2 + (eta - 1) (r.x)^2 / |x|^2, which weighs the part of the residual r that is parallel
-to x, as that part moves the inner products that matter. A query looks up one table of 16 values
-for each code (two codes at a time), keeps the `rerank` best of each part of a cell (or the share
-of it that the sample asks for) with all that tie, and reranks these exactly, in double precision, on the original vectors.
+loss |e|^2 + (eta - 1) (e.x)^2 / |x|^2, which weighs the part of the error e that is parallel
+to the vector x, as that part moves the inner products that matter. A query looks up one table of 16 values
+for each code (two codes at a time) and adds the product with the cell's centre; the `rerank` best by codes over all its cells are fetched and
+reranked exactly, in double precision, on the original vectors.
 
-Codebooks and coarse cells are fitted on at most `train_rows` vectors; all vectors are indexed. A
-query looks into its nearest cells, as many as the sample's own neighbours take to be found. Cells
-are dealt into parts of about `part_rows` vectors and the queries that look into a cell into blocks of
-about `block`, and each part meets each block in a task: one plan at every size, in which
-no cell, however full, is held in one task.
+Codebooks and centres are fitted on a sample of at most `train_rows` vectors (or 32 for each cell, at most MOST_TRAIN); all vectors are indexed. How many cells a query looks into
+and how many vectors are reranked is measured on the whole index: the true neighbours of `TRIALS` vectors of the sample are found by one exact
+pass, and a second one counts what the codes put before them.
+
+Cells are dealt to parts of about `part_rows` vectors, a large cell to several, and the queries that look into a part to blocks of
+about `block`; a part, as codes without vectors, meets each block in a task: one plan at every size, in which
+no cell, however full, is held in one task. Vectors are shuffled once, to meet what is reranked.
 
 Edge cases: vectors that are null, all zero, of another length than most, or that hold null or
 non-finite components take no part, nor do rows with a null id; a query never finds its own row, but
 other rows of its id; each of several rows with a query's id is a query, so that its ranks repeat; ties
-go to the smaller id; a query looks into further cells until they hold k others; with fewer candidates than that, all are
+go to the smaller id; a query looks into further cells until they hold as many others as are reranked; with fewer candidates than that, all are
 returned. Empty
 tables give empty results.
 """
@@ -30,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import store
 
-ETA, CENTROIDS, TRAIN_ROWS, RERANK = 4.0, 16, 8192, 100
-#: Queries and vectors that meet in one task; cells at most; shares of a sample's neighbours that probes and codes find.
-BLOCK, PART_ROWS, CELLS, FOUND, TOLD = 1024, 16_384, 256, 0.99, 0.95
+ETA, CENTROIDS, TRAIN_ROWS, RERANK = 4.0, 16, 8192, 512
+#: Queries and vectors that meet in one task; cells and sample at most; queries that are tried; shares of their neighbours that probes and codes find.
+BLOCK, PART_ROWS, CELLS, MOST_TRAIN, TRIALS, FOUND, TOLD = 1024, 16_384, 4096, 1 << 17, 64, 0.99, 0.98
 
 
 @dataclass
@@ -44,14 +47,15 @@ class Quantiser:
     books: np.ndarray
     eta: float = ETA
 
-    def encode(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
+    def encode(self, x: np.ndarray, rounds: int = 2, toward: np.ndarray | None = None) -> np.ndarray:
         """Codes, a row for each vector: each pair of components in turn takes the centroid with
-        the least score-aware loss, given the others."""
+        the least score-aware loss, given the others. toward: the whole vectors, where x is what is left of them."""
         m = len(self.books)
-        parts = _pairs(x)
-        weight = (self.eta - 1) / np.maximum((x * x).sum(axis=1), 1e-30)
+        toward = x if toward is None else toward
+        parts, ahead = _pairs(x), _pairs(toward)
+        weight = (self.eta - 1) / np.maximum((toward * toward).sum(axis=1), 1e-30)
         gap = parts[:, :, None, :] - self.books[None]
-        plain, along = (gap * gap).sum(axis=3), (gap * parts[:, :, None, :]).sum(axis=3)
+        plain, along = (gap * gap).sum(axis=3), (gap * ahead[:, :, None, :]).sum(axis=3)
         codes = plain.argmin(axis=2)
         rows = np.arange(len(x))
         total = np.take_along_axis(along, codes[:, :, None], axis=2)[:, :, 0].sum(axis=1)
@@ -72,26 +76,27 @@ def _pairs(x: np.ndarray) -> np.ndarray:
     return x.reshape(len(x), -1, 2)
 
 
-def fit(x: np.ndarray, eta: float = ETA, rounds: int = 8, seed: int = 3) -> Quantiser:
-    """Codebooks from sample vectors: coding and least-squares centroids take turns."""
+def fit(x: np.ndarray, eta: float = ETA, rounds: int = 8, seed: int = 3, toward: np.ndarray | None = None) -> Quantiser:
+    """Codebooks from sample vectors: coding and least-squares centroids take turns. toward: as for encode."""
     x = np.asarray(x, dtype=np.float64)
-    parts, rng = _pairs(x), np.random.default_rng(seed)
+    toward = x if toward is None else np.asarray(toward, dtype=np.float64)
+    parts, ahead, rng = _pairs(x), _pairs(toward), np.random.default_rng(seed)
     m = parts.shape[1]
     books = np.zeros((m, CENTROIDS, 2))
     for j in range(m):
         start = parts[rng.permutation(len(x))[:CENTROIDS], j]
         books[j, : len(start)] = start
     q = Quantiser(books, eta)
-    weight = (eta - 1) / np.maximum((x * x).sum(axis=1), 1e-30)
+    weight = (eta - 1) / np.maximum((toward * toward).sum(axis=1), 1e-30)
     for _ in range(rounds):
-        codes = q.encode(x, 1)
+        codes = q.encode(x, 1, toward)
         gap = parts - q.decode(codes).reshape(parts.shape)
-        along = (gap * parts).sum(axis=2)
+        along = (gap * ahead).sum(axis=2)
         total = along.sum(axis=1)
         for j in range(m):
-            p, rest = parts[:, j], total - along[:, j]
-            outer = np.eye(2)[None] + weight[:, None, None] * p[:, :, None] * p[:, None, :]
-            right = p + (weight * (rest + (p * p).sum(axis=1)))[:, None] * p
+            p, a, rest = parts[:, j], ahead[:, j], total - along[:, j]
+            outer = np.eye(2)[None] + weight[:, None, None] * a[:, :, None] * a[:, None, :]
+            right = p + (weight * (rest + (a * p).sum(axis=1)))[:, None] * a
             for c in range(CENTROIDS):
                 at = codes[:, j] == c
                 if at.any():
@@ -117,76 +122,79 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int | None) ->
 
 @dataclass
 class Cells:
-    """Coarse cells: the nearest of `centres`; a query looks into its `probes` nearest cells and
-    reranks at least the `share` of each that looks best by codes."""
+    """Coarse cells: the nearest of `centres`; a query looks into its `probes` nearest cells."""
 
     centres: np.ndarray
     probes: int
-    share: float = 0.0
 
     def order(self, x: np.ndarray) -> np.ndarray:
         """Cells of each vector, nearest first."""
-        return np.argsort((self.centres * self.centres).sum(axis=1) - 2 * x @ self.centres.T, axis=1, kind="stable")
+        return np.argsort(self._gap(x), axis=1, kind="stable")
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return self._gap(x).argmin(axis=1)
 
+    def _gap(self, x: np.ndarray) -> np.ndarray:
+        return (self.centres * self.centres).sum(axis=1) - 2 * x @ self.centres.T
 
-def fit_cells(x: np.ndarray, q: Quantiser | None = None, *, most: int = CELLS, k: int = 10, found: float = FOUND, rounds: int = 8, seed: int = 3) -> Cells:
+
+def fit_cells(x: np.ndarray, *, most: int = 256, k: int = 10, found: float = FOUND, rounds: int = 8, seed: int = 3) -> Cells:
     """Cells from sample vectors by k-means. As many are probed as it takes to find the share
-    `found` of the sample's true neighbours: few where vectors form clusters, all where they do not.
-    In the same way the share of a cell that is reranked covers the vectors that only the codes put
-    before a true neighbour: much where neighbours are closer than the codes can tell."""
+    `found` of the sample's true neighbours: few where vectors form clusters, all where they do not."""
     x = np.unique(np.asarray(x, dtype=np.float64), axis=0)
     rng = np.random.default_rng(seed)
     x = x[rng.permutation(len(x))]
     cells = Cells(x[: max(1, min(most, len(x) // 32))].copy(), 1)
     for _ in range(rounds):
-        at = cells.order(x)[:, 0]
-        for c in range(len(cells.centres)):
-            if (at == c).any():
-                cells.centres[c] = x[at == c].mean(axis=0)
-    order = cells.order(x)
-    place = np.argsort(order, axis=1)  # of each cell in each vector's order
+        at = cells.of(x)
+        order = np.argsort(at, kind="stable")
+        held, first = np.unique(at[order], return_index=True)
+        cells.centres[held] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
     asked = x[:512]
+    place = np.argsort(cells.order(asked), axis=1)  # of each cell in each vector's order
     gap = (x * x).sum(axis=1) - 2 * asked @ x.T
     gap[np.arange(len(asked)), np.arange(len(asked))] = np.inf
     near = np.argsort(gap, axis=1, kind="stable")[:, : min(k, max(len(x) - 1, 0))]
     if near.size:
-        ranks = np.sort(place[np.arange(len(asked))[:, None], order[near, 0]].reshape(-1))
-        cells.probes = int(ranks[min(len(ranks) - 1, int(np.ceil(found * len(ranks))))]) + 1
-    if near.size and q is not None:
-        # of the same form as gap, with the vectors as their codes say
-        coded = (x * x).sum(axis=1) - 2 * asked @ q.decode(q.encode(x))[:, : x.shape[1]].T
-        cell, wrong = order[:, 0], []
-        for i in range(len(asked)):
-            for j in near[i]:
-                same = (cell == cell[j]) & (np.arange(len(x)) != i)
-                wrong.append((same & (coded[i] <= coded[i, j]) & (gap[i] > gap[i, j])).sum() / same.sum())
-        cells.share = float(np.quantile(wrong, TOLD))
+        cells.probes = _enough(place[np.arange(len(asked))[:, None], cells.of(x)[near]], found) + 1
     return cells
 
 
-def build_index(rows: DataFrame, dim: int, *, train_rows: int = TRAIN_ROWS, eta: float = ETA) -> tuple[DataFrame, Quantiser | None, Cells | None]:
-    """rows with a number, their cell and codes (two to a byte); the quantiser; the cells."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("embedding").collect()
+def _enough(needed: np.ndarray, share: float) -> int:
+    """What is enough for this share of all that is needed."""
+    needed = np.sort(needed.reshape(-1))
+    return int(needed[min(len(needed) - 1, int(np.ceil(share * len(needed))))])
+
+
+def build_index(rows: DataFrame, dim: int, *, train_rows: int = TRAIN_ROWS, eta: float = ETA) -> tuple[DataFrame, Quantiser | None, Cells | None, np.ndarray]:
+    """A table of row (a number), vec_id, embedding, cell, codes (two to a byte) and half the squared length; the quantiser; the cells; the sample."""
+    rows = store(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding"), "vectors")
+    n = rows.count()
+    most = max(16, min(CELLS, int(n**0.5)))
+    wanted = max(train_rows, min(MOST_TRAIN, 32 * most))
+    # somewhat more than the sample by hash, so that tasks do not each send a whole sample
+    h = F.xxhash64("row", "vec_id")
+    some = rows.where(F.pmod(h, F.lit(1 << 32)) < int(1.5 * wanted * (1 << 32) / max(n, 1)))
+    sample = some.orderBy(h, "row").limit(wanted).select("embedding").collect()
     if not sample:
-        return rows.select(F.lit(0).cast("long").alias("row"), "*", F.lit(0).alias("cell"), F.lit(None).cast("binary").alias("codes")), None, None
+        return rows, None, None, np.zeros((0, dim))
     x = np.array([r[0] for r in sample], dtype=np.float64).reshape(-1, dim)
-    q = fit(x, eta)
-    cells = fit_cells(x, q)
+    cells = fit_cells(x, most=most)
+    q = fit(x - cells.centres[cells.of(x)], eta, toward=x)
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
                 v = _matrix(b.column(2), dim)
-                codes = q.encode(v)
+                cell = cells.of(v)
+                codes = q.encode(v - cells.centres[cell], toward=v)
                 if codes.shape[1] % 2:
                     codes = np.hstack([codes, np.zeros((len(codes), 1), dtype=np.uint8)])
                 packed = (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
-                cell = cells.order(v)[:, 0].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array([r.tobytes() for r in packed], type=pa.binary())], names=["row", "vec_id", "embedding", "cell", "codes"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in packed], type=pa.binary()), pa.array((v * v).sum(axis=1) / 2)], names=["row", "vec_id", "embedding", "cell", "codes", "half"])
 
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
-    return checkpoint(rows.mapInArrow(run, "row long, vec_id long, embedding array<double>, cell int, codes binary")), q, cells
+    return store(rows.mapInArrow(run, "row long, vec_id long, embedding array<double>, cell int, codes binary, half double"), "index"), q, cells, x
 
 
 def _tables(q: Quantiser, query: np.ndarray) -> np.ndarray:
@@ -197,69 +205,141 @@ def _tables(q: Quantiser, query: np.ndarray) -> np.ndarray:
     return (one[1::2, :, None] + one[0::2, None, :]).reshape(-1, 256).astype(np.float32)
 
 
-def _search(q: Quantiser, k: int, rerank: int, share: float, dim: int):
-    """The k best of a part of a cell for each query of a block that looks into it."""
+def _codes(column) -> np.ndarray:
+    """A row for each byte of the codes, a column for each vector."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1).T.copy()
+
+
+def _near(tables: np.ndarray, product: np.ndarray, codes: np.ndarray, cell: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Nearness by codes. product: of the query with every centre."""
+    near = product[cell] - half
+    for sums, code in zip(tables, codes):
+        near += sums[code]
+    return near
+
+
+def _calibrate(index: DataFrame, q: Quantiser, cells: Cells, asked: np.ndarray, dim: int, k: int) -> tuple[int, int]:
+    """Cells to probe and vectors to rerank, so that the shares FOUND and TOLD of the true neighbours of some vectors are found: by one
+    exact pass over the index, and one that counts what codes put before these neighbours."""
+
+    def exact(batches):
+        held: list[tuple[np.ndarray, ...] | None] = [None] * len(asked)
+        for b in batches:
+            v, cell, half = _matrix(b.column(0), dim), b.column(1).to_numpy(), b.column(3).to_numpy()
+            codes = np.array([np.frombuffer(c, dtype=np.uint8) for c in b.column(2).to_pylist()])
+            for i, a in enumerate(asked):
+                gap = ((v - a) ** 2).sum(axis=1)
+                # the vector itself and its copies are found by any way
+                at = np.flatnonzero(gap > 0)
+                at = at[np.argsort(gap[at], kind="stable")[:k]]
+                new = gap[at], cell[at], codes[at], half[at]
+                new = new if held[i] is None else tuple(np.concatenate(x) for x in zip(held[i], new))
+                best = np.argsort(new[0], kind="stable")[:k]
+                held[i] = tuple(x[best] for x in new)
+        for i, h in enumerate(held):
+            if h is not None and len(h[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[0]), i)), pa.array(h[0]), pa.array(h[1]), pa.array([c.tobytes() for c in h[2]], type=pa.binary()), pa.array(h[3])], names=["i", "gap", "cell", "codes", "half"])
+
+    best: dict[int, list] = {}
+    for r in index.select("embedding", "cell", "codes", "half").mapInArrow(exact, "i long, gap double, cell int, codes binary, half double").toLocalIterator():  # k rows a task and trial
+        best.setdefault(r["i"], []).append((r["gap"], r["cell"], bytes(r["codes"]), r["half"]))
+    trials = {i: sorted(v)[:k] for i, v in best.items()}
+    if not trials:
+        return 1, k
+    order, tables, product = np.argsort(cells.order(asked), axis=1), [_tables(q, a) for a in asked], asked @ cells.centres.T
+    probes = _enough(np.concatenate([[order[i, cell] for _, cell, _, _ in v] for i, v in trials.items()]), FOUND) + 1
+    wanted = {i: np.sort(_near(tables[i], product[i], np.array([np.frombuffer(c, dtype=np.uint8) for _, _, c, _ in v]).T, np.array([x[1] for x in v]), np.array([x[3] for x in v]))) for i, v in trials.items()}
+
+    def count(batches):
+        before = {i: np.zeros(len(w), dtype=np.int64) for i, w in wanted.items()}
+        for b in batches:
+            cell, codes, half = b.column(0).to_numpy(), _codes(b.column(1)), b.column(2).to_numpy()
+            for i, w in wanted.items():
+                near = np.sort(_near(tables[i], product[i], codes, cell, half))
+                before[i] += len(near) - np.searchsorted(near, w, side="left")
+        for i, n in before.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i)), pa.array(np.arange(len(n))), pa.array(n)], names=["i", "j", "n"])
+
+    counts = index.select("cell", "codes", "half").mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # k rows a trial
+    return probes, _enough(np.array([r["n"] for r in counts]), TOLD) + 1
+
+
+def _scan(q: Quantiser, cells: Cells, most: int, dim: int):
+    """The best by codes of a part for each query of a block, of the cells that it looks into."""
 
     def run(part: pa.Table, block: pa.Table) -> pa.Table:
-        out = {"asked": [], "query_id": [], "vec_id": [], "score": []}
+        out = {"asked": [], "row": [], "vec_id": [], "near": []}
         if part.num_rows and block.num_rows:
-            row, vec, x = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), _matrix(part.column("embedding").combine_chunks(), dim)
-            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), dtype=np.uint8).reshape(len(vec), -1).T.copy()
-            half = (x * x).sum(axis=1) / 2
-            most = max(rerank, int(np.ceil(share * len(vec))) + k)
-            for own, query_id, v in zip(block.column("asked").to_pylist(), block.column("query_id").to_pylist(), _matrix(block.column("vector").combine_chunks(), dim)):
-                near = -half
-                for sums, code in zip(_tables(q, v), codes):
-                    near = near + sums[code]
-                at = np.flatnonzero(row != own)
-                if len(at) > most:
-                    floor = np.partition(near[at], len(at) - most)[len(at) - most]
-                    at = at[near[at] >= floor]
-                gap = x[at] - v
-                d = np.sqrt((gap * gap).sum(axis=1))
-                top = np.lexsort((vec[at], d))[:k]
-                out["asked"] += [own] * len(top)
-                out["query_id"] += [query_id] * len(top)
-                out["vec_id"] += vec[at[top]].tolist()
-                out["score"] += d[top].tolist()
-        return pa.table({c: pa.array(v, type=pa.float64() if c == "score" else pa.int64()) for c, v in out.items()})
+            order = np.argsort(part.column("cell").to_numpy(), kind="stable")
+            row, vec, cell, half = (part.column(c).to_numpy()[order] for c in ("row", "vec_id", "cell", "half"))
+            codes = _codes(part.column("codes"))[:, order]
+            held, first = np.unique(cell, return_index=True)
+            ends = dict(zip(held.tolist(), zip(first.tolist(), np.append(first[1:], len(cell)).tolist())))
+            queries = _matrix(block.column("vector").combine_chunks(), dim)
+            for own, mine, v, product in zip(block.column("asked").to_pylist(), block.column("cells").to_pylist(), queries, queries @ cells.centres.T):
+                at = np.concatenate([np.arange(*ends[c]) for c in mine if c in ends] or [np.arange(0)])
+                at = at[row[at] != own]
+                near = _near(_tables(q, v), product, codes[:, at], cell[at], half[at])
+                best = np.lexsort((vec[at], -near))[:most]
+                out["asked"].append(np.full(len(best), own))
+                out["row"].append(row[at[best]])
+                out["vec_id"].append(vec[at[best]])
+                out["near"].append(near[best])
+        kinds = {"asked": pa.int64(), "row": pa.int64(), "vec_id": pa.int64(), "near": pa.float64()}
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], type=kinds[c]) for c, v in out.items()})
 
     return run
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, every: int = 100, k: int = 10, rerank: int = RERANK, block: int = BLOCK, part_rows: int = PART_ROWS, train_rows: int = TRAIN_ROWS, eta: float = ETA, dim: int | None = None) -> DataFrame:
     """The k nearest found of each vector whose id is divisible by `every`: query_id, rank,
-    vec_id, score (Euclidean distance)."""
+    vec_id, score (Euclidean distance). At least `rerank` vectors are reranked for each query."""
     rows, dim = usable(vectors, id_col, vector_col, dim)
-    index, q, cells = build_index(rows, dim, train_rows=train_rows, eta=eta)
+    index, q, cells, sample = build_index(rows, dim, train_rows=train_rows, eta=eta)
     if q is None:
         return index.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    cells.probes, needed = _calibrate(index, q, cells, sample[:TRIALS], dim, k)
+    rerank = max(rerank, needed, k)
 
     held = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # a row for each cell
     sizes = np.array([held.get(c, 0) for c in range(len(cells.centres))])
+    # whole cells share a part as long as they fit, a large one has several
+    first, pieces, at, room = [], [], -1, 0
+    for n in sizes.tolist():
+        need = max(1, -(-n // part_rows))
+        if need > 1 or n > room:
+            at, room = at + 1, part_rows
+        first.append(at)
+        pieces.append(need)
+        at, room = at + need - 1, 0 if need > 1 else room - n
 
     def probe(batches):
         for b in batches:
             order = cells.order(_matrix(b.column(2), dim)).astype(np.int32)
-            # as many more cells as it takes to hold k others
-            most = np.maximum(cells.probes, (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o[:n] for o, n in zip(order, most)], type=pa.list_(pa.int32()))], names=["asked", "query_id", "vector", "cells"])
+            # as many more cells as it takes to hold as many others as are reranked
+            most = np.maximum(cells.probes, (np.cumsum(sizes[order], axis=1) <= rerank).sum(axis=1) + 1)
+            looked = [o[:n] for o, n in zip(order, most)]
+            parts = [np.unique(np.concatenate([np.arange(first[c], first[c] + pieces[c]) for c in o])) for o in looked]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(looked, type=pa.list_(pa.int32())), pa.array(parts, type=pa.list_(pa.int64()))], names=["asked", "query_id", "vector", "cells", "parts"])
 
     asked = index.where(F.col("vec_id") % every == 0).select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    asked = checkpoint(asked.mapInArrow(probe, "asked long, query_id long, vector array<double>, cells array<int>"))
-    asked = asked.select("asked", "query_id", "vector", F.explode("cells").alias("cell"))
-
-    def pieces(rows_of: dict[int, int], size: int):
-        """Into how many pieces of about `size` rows each cell is dealt; a cell without rows has none."""
-        n = {c: -(-x // size) for c, x in rows_of.items()}
-        return F.element_at(F.array(*[F.lit(n.get(c, 0)).cast("long") for c in range(len(cells.centres))]), F.col("cell") + 1)
-
-    parts, blocks = pieces(held, part_rows), pieces({r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}, block)
-    every_of = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)))
-    # each part of a cell meets each block of the queries that look into the cell, in a task of its own
-    index = index.select("*", F.pmod(F.xxhash64("row"), parts).alias("part")).select("*", every_of(blocks).alias("block"))
-    asked = asked.select("*", F.pmod(F.xxhash64("asked"), blocks).alias("block")).select("*", every_of(parts).alias("part"))
-    key = ["cell", "part", "block"]
-    found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(q, k, rerank, cells.share, dim), "asked long, query_id long, vec_id long, score double")
+    asked = store(asked.mapInArrow(probe, "asked long, query_id long, vector array<double>, cells array<int>, parts array<bigint>"), "asked")
+    visits = asked.select("asked", "vector", "cells", F.explode("parts").alias("part"))
+    blocks = {r["part"]: -(-r["count"] // block) for r in visits.groupBy("part").count().collect()}  # a row for each part
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), c.cast("int") + 1)
+    n_blocks = pick([blocks.get(p, 0) for p in range(at + 1)], F.col("part"))
+    part = pick(first, F.col("cell")) + F.pmod(F.xxhash64("row"), pick(pieces, F.col("cell")))
+    codes = index.select("row", "vec_id", "cell", "codes", "half", part.alias("part"))
+    # each part meets each block of the queries that look into it, in a task of its own
+    codes = codes.select("*", F.explode(F.when(n_blocks > 0, F.sequence(F.lit(0).cast("long"), n_blocks - 1))).alias("block"))
+    visits = visits.select("*", F.pmod(F.xxhash64("asked"), n_blocks).alias("block"))
+    key = ["part", "block"]
+    found = codes.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(_scan(q, cells, rerank, dim), "asked long, row long, vec_id long, near double")
+    order = Window.partitionBy("asked").orderBy(F.desc("near"), "vec_id")
+    found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rerank).select("asked", "row", "vec_id")
+    found = found.join(index.select("row", "embedding"), "row").join(asked.select("asked", "query_id", "vector"), "asked")
+    squares = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    found = found.select("asked", "query_id", "vec_id", F.sqrt(squares).alias("score"))
     order = Window.partitionBy("asked").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

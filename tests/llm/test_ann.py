@@ -110,3 +110,35 @@ def test_every_query_finds_k_where_there_are_as_many(spark):
     v = np.vstack([np.repeat(r.normal(size=(1, 16)), 300, axis=0), 50 * r.normal(size=(200, 16))]).astype(np.float32)
     got = [tuple(x) for x in nearest(table(spark, list(enumerate(v))), every=5, rerank=10).select("query_id", "rank").collect()]
     assert len(got) == 1000 and len(set(got)) == 1000
+
+
+def test_the_codes_select_and_the_work_grows_with_the_vectors(spark, monkeypatch):
+    """Clusters: few of the vectors are reranked, and four times the vectors give at most eight times the pairs of codes and queries."""
+    from tarnweave.llm import ann
+
+    told, seen = [], []
+    calibrate = ann._calibrate
+
+    def counted(*args):
+        out = calibrate(*args)
+        told.append((out, args[0].count(), len(args[2].centres)))
+        return out
+
+    monkeypatch.setattr(ann, "_calibrate", counted)
+    for n in (4000, 16_000):
+        r = np.random.default_rng(2)
+        centres = 4 * r.normal(size=(n // 100, 16))
+        v = (centres[r.integers(0, len(centres), n)] + r.normal(size=(n, 16))).astype(np.float32)
+        found = {}
+        for x in nearest(table(spark, list(enumerate(v))), rerank=20, every=200, block=64, part_rows=1000).collect():
+            found.setdefault(x["query_id"], set()).add(x["vec_id"])
+        x, hits = v.astype(np.float64), 0
+        for q in range(0, n, 200):
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hits += len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+        assert hits >= 0.9 * 10 * len(range(0, n, 200))
+        (probes, rerank), rows, cells = told[-1]
+        assert rerank < 0.1 * rows and probes < 0.25 * cells
+        seen.append(probes / cells * n * n / 200)
+    assert seen[1] <= 8 * seen[0]
