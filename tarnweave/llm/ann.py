@@ -265,6 +265,19 @@ def _calibrate(index: DataFrame, q: Quantiser, cells: Cells, asked: np.ndarray,
     return probes, _enough(np.array([r["n"] for r in counts]), TOLD) + 1
 
 
+def deal_cells(sizes: list[int], part_rows: int) -> tuple[list[int], list[int]]:
+    """The first part and the number of parts of each cell: whole cells share a part as long as they fit, a large one has parts of its own."""
+    first, pieces, at, room = [], [], 0, part_rows
+    for n in sizes:
+        need = max(1, -(-n // part_rows))
+        if n > room:
+            at, room = at + 1, part_rows
+        first.append(at)
+        pieces.append(need)
+        at, room = at + need - 1, room - n if need == 1 else 0
+    return first, pieces
+
+
 def _scan(q: Quantiser, cells: Cells, most: int, dim: int):
     """The best by codes of a part for each query of a block, of the cells that it looks into."""
 
@@ -304,15 +317,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     held = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # a row for each cell
     sizes = np.array([held.get(c, 0) for c in range(len(cells.centres))])
-    # whole cells share a part as long as they fit, a large one has several
-    first, pieces, at, room = [], [], -1, 0
-    for n in sizes.tolist():
-        need = max(1, -(-n // part_rows))
-        if need > 1 or n > room:
-            at, room = at + 1, part_rows
-        first.append(at)
-        pieces.append(need)
-        at, room = at + need - 1, 0 if need > 1 else room - n
+    first, pieces = deal_cells(sizes.tolist(), part_rows)
 
     def probe(batches):
         for b in batches:
@@ -328,7 +333,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     visits = asked.select("asked", "vector", "cells", F.explode("parts").alias("part"))
     blocks = {r["part"]: -(-r["count"] // block) for r in visits.groupBy("part").count().collect()}  # a row for each part
     pick = lambda values, c: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), c.cast("int") + 1)
-    n_blocks = pick([blocks.get(p, 0) for p in range(at + 1)], F.col("part"))
+    n_blocks = pick([blocks.get(p, 0) for p in range(first[-1] + pieces[-1])], F.col("part"))
     part = pick(first, F.col("cell")) + F.pmod(F.xxhash64("row"), pick(pieces, F.col("cell")))
     codes = index.select("row", "vec_id", "cell", "codes", "half", part.alias("part"))
     # each part meets each block of the queries that look into it, in a task of its own

@@ -142,3 +142,16 @@ def test_the_codes_select_and_the_work_grows_with_the_vectors(spark, monkeypatch
         assert rerank < 0.1 * rows and probes < 0.25 * cells
         seen.append(probes / cells * n * n / 200)
     assert seen[1] <= 8 * seen[0]
+
+
+def test_cells_are_dealt_to_parts():
+    from tarnweave.llm.ann import deal_cells
+
+    for sizes in ([0, 0, 5], [0, 50, 0, 0, 3], [10, 10, 10], [25, 1, 9, 0, 10], [0], [100, 100]):
+        first, pieces = deal_cells(sizes, 10)
+        held = {}
+        for n, a, k in zip(sizes, first, pieces):
+            assert a >= 0 and k == max(1, -(-n // 10))
+            for p in range(a, a + k):
+                held.setdefault(p, []).append(n)
+        assert all(len(v) == 1 or sum(v) <= 10 or sum(n > 10 for n in v) == 1 and sum(n for n in v if n <= 10) == 0 for v in held.values())
