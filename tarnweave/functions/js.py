@@ -352,3 +352,9 @@ def folded_unary(op: Column, value: Column) -> Column:
     v = value.cast("double")
     flag = ((v == 0) | F.isnan(v)).cast("int").cast("double")
     return F.when(op == "-", -v).when(op == "+", v).when(op == "~", (-1 - to_int32(v).cast("long")).cast("double")).when(op == "!", flag)
+
+
+def locale_compare(a: Column, b: Column, locale: str = "UNICODE") -> Column:
+    """localeCompare: -1, 0 or 1 by the collation of a language, or of none in particular; null beside a null."""
+    x, y = F.collate(a, locale), F.collate(b, locale)
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)

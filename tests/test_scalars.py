@@ -85,3 +85,17 @@ def test_compressed_runs(spark):
     rows = [("a", k, k + 32) for k in range(10, 20)] + [("a", 30, 62), ("a", 40, 100), ("a", 42, 102), ("a", 44, 104), ("b", 1, 1)]
     got = sorted(map(tuple, trace.compress_runs(spark.createDataFrame(rows, "g string, k long, v long"), "g", "k", "v").collect()))
     assert got == [("a", 10, 19, 1, 32), ("a", 30, 30, 0, 32), ("a", 40, 44, 2, 60), ("b", 1, 1, 0, 0)]
+
+
+def test_locale_compare(spark):
+    """Letters come in the order of a language, not of their numbers; marks and case only tell equal words apart."""
+    from pyspark.sql import functions as F
+
+    from tarnweave.functions import js
+
+    words = ["Zebra", "apple", "Apple", "résumé", "resume", "resumes", "äpfel", "zoo", "", "a b", "ab", "10", "9"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words] + [(None, "a")], "a string, b string")
+    got = {(r["a"], r["b"]): (r["x"], r["de"], r["sv"]) for r in df.select("a", "b", *[js.locale_compare(F.col("a"), F.col("b"), c).alias(n) for c, n in (("UNICODE", "x"), ("de", "de"), ("sv", "sv"))]).collect()}
+    assert got[None, "a"] == (None, None, None) and all(got[a, a] == (0, 0, 0) for a in words) and all(got[a, b][0] == -got[b, a][0] for a in words for b in words)
+    assert got["apple", "Zebra"][0] == got["apple", "Apple"][0] == got["resume", "résumé"][0] == got["résumé", "resumes"][0] == got["", "9"][0] == got["10", "9"][0] == -1
+    assert got["äpfel", "zoo"][1:] == (-1, 1)
