@@ -14,7 +14,8 @@ pass, and a second one counts what the codes put before them.
 
 Cells are dealt to parts of about `part_rows` vectors, a large cell to several, and the queries that look into a part to blocks of
 about `block`; a part, as codes without vectors, meets each block in a task: one plan at every size, in which
-no cell, however full, is held in one task. Vectors are shuffled once, to meet what is reranked.
+no cell, however full, is held in one task. So that a query does not get `rerank` vectors from every part, its nearness to the sample tells a floor that
+about AMPLE times as many of all vectors reach; a part gives those that do, and its k best in any case. Vectors are shuffled once, to meet what is reranked.
 
 Edge cases: vectors that are null, all zero, of another length than most, or that hold null or
 non-finite components take no part, nor do rows with a null id; a query never finds its own row, but
@@ -38,6 +39,7 @@ from .common import store
 ETA, CENTROIDS, TRAIN_ROWS, RERANK = 4.0, 16, 8192, 512
 #: Queries and vectors that meet in one task; cells and sample at most; queries that are tried; shares of their neighbours that probes and codes find.
 BLOCK, PART_ROWS, CELLS, MOST_TRAIN, TRIALS, FOUND, TOLD = 1024, 16_384, 4096, 1 << 17, 64, 0.99, 0.98
+AMPLE = 1.5
 
 
 @dataclass
@@ -278,8 +280,8 @@ def deal_cells(sizes: list[int], part_rows: int) -> tuple[list[int], list[int]]:
     return first, pieces
 
 
-def _scan(q: Quantiser, cells: Cells, most: int, dim: int):
-    """The best by codes of a part for each query of a block, of the cells that it looks into."""
+def _scan(q: Quantiser, cells: Cells, most: int, k: int, dim: int):
+    """The best by codes of a part for each query of a block, of the cells that it looks into: at most `most` that reach the query's floor, at least k."""
 
     def run(part: pa.Table, block: pa.Table) -> pa.Table:
         out = {"asked": [], "row": [], "vec_id": [], "near": []}
@@ -290,11 +292,11 @@ def _scan(q: Quantiser, cells: Cells, most: int, dim: int):
             held, first = np.unique(cell, return_index=True)
             ends = dict(zip(held.tolist(), zip(first.tolist(), np.append(first[1:], len(cell)).tolist())))
             queries = _matrix(block.column("vector").combine_chunks(), dim)
-            for own, mine, v, product in zip(block.column("asked").to_pylist(), block.column("cells").to_pylist(), queries, queries @ cells.centres.T):
+            for own, mine, floor, v, product in zip(block.column("asked").to_pylist(), block.column("cells").to_pylist(), block.column("floor").to_pylist(), queries, queries @ cells.centres.T):
                 at = np.concatenate([np.arange(*ends[c]) for c in mine if c in ends] or [np.arange(0)])
                 at = at[row[at] != own]
                 near = _near(_tables(q, v), product, codes[:, at], cell[at], half[at])
-                best = np.lexsort((vec[at], -near))[:most]
+                best = np.lexsort((vec[at], -near))[: max(k, min(most, int((near >= floor).sum())))]
                 out["asked"].append(np.full(len(best), own))
                 out["row"].append(row[at[best]])
                 out["vec_id"].append(vec[at[best]])
@@ -319,28 +321,37 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sizes = np.array([held.get(c, 0) for c in range(len(cells.centres))])
     first, pieces = deal_cells(sizes.tolist(), part_rows)
 
+    # the sample as codes; how many of it reach a query's floor
+    own = cells.of(sample)
+    codes, half = q.encode(sample - cells.centres[own], toward=sample), (sample * sample).sum(axis=1) / 2
+    codes = np.hstack([codes, np.zeros((len(codes), codes.shape[1] % 2), dtype=np.uint8)])
+    codes = (codes[:, 0::2] | codes[:, 1::2] << 4).T.copy()
+    reach = min(len(sample), max(1, int(np.ceil(AMPLE * rerank * len(sample) / max(1, sizes.sum())))))
+
     def probe(batches):
         for b in batches:
-            order = cells.order(_matrix(b.column(2), dim)).astype(np.int32)
+            queries = _matrix(b.column(2), dim)
+            floors = [np.partition(_near(_tables(q, v), v @ cells.centres.T, codes, own, half), len(own) - reach)[len(own) - reach] for v in queries]
+            order = cells.order(queries).astype(np.int32)
             # as many more cells as it takes to hold as many others as are reranked
             most = np.maximum(cells.probes, (np.cumsum(sizes[order], axis=1) <= rerank).sum(axis=1) + 1)
             looked = [o[:n] for o, n in zip(order, most)]
             parts = [np.unique(np.concatenate([np.arange(first[c], first[c] + pieces[c]) for c in o])) for o in looked]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(looked, type=pa.list_(pa.int32())), pa.array(parts, type=pa.list_(pa.int64()))], names=["asked", "query_id", "vector", "cells", "parts"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(looked, type=pa.list_(pa.int32())), pa.array(parts, type=pa.list_(pa.int64())), pa.array(floors, type=pa.float64())], names=["asked", "query_id", "vector", "cells", "parts", "floor"])
 
     asked = index.where(F.col("vec_id") % every == 0).select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    asked = store(asked.mapInArrow(probe, "asked long, query_id long, vector array<double>, cells array<int>, parts array<bigint>"), "asked")
-    visits = asked.select("asked", "vector", "cells", F.explode("parts").alias("part"))
+    asked = store(asked.mapInArrow(probe, "asked long, query_id long, vector array<double>, cells array<int>, parts array<bigint>, floor double"), "asked")
+    visits = asked.select("asked", "vector", "cells", "floor", F.explode("parts").alias("part"))
     blocks = {r["part"]: -(-r["count"] // block) for r in visits.groupBy("part").count().collect()}  # a row for each part
     pick = lambda values, c: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), c.cast("int") + 1)
     n_blocks = pick([blocks.get(p, 0) for p in range(first[-1] + pieces[-1])], F.col("part"))
     part = pick(first, F.col("cell")) + F.pmod(F.xxhash64("row"), pick(pieces, F.col("cell")))
-    codes = index.select("row", "vec_id", "cell", "codes", "half", part.alias("part"))
+    scanned = index.select("row", "vec_id", "cell", "codes", "half", part.alias("part"))
     # each part meets each block of the queries that look into it, in a task of its own
-    codes = codes.select("*", F.explode(F.when(n_blocks > 0, F.sequence(F.lit(0).cast("long"), n_blocks - 1))).alias("block"))
+    scanned = scanned.select("*", F.explode(F.when(n_blocks > 0, F.sequence(F.lit(0).cast("long"), n_blocks - 1))).alias("block"))
     visits = visits.select("*", F.pmod(F.xxhash64("asked"), n_blocks).alias("block"))
     key = ["part", "block"]
-    found = codes.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(_scan(q, cells, rerank, dim), "asked long, row long, vec_id long, near double")
+    found = scanned.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(_scan(q, cells, rerank, k, dim), "asked long, row long, vec_id long, near double")
     order = Window.partitionBy("asked").orderBy(F.desc("near"), "vec_id")
     found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rerank).select("asked", "row", "vec_id")
     found = found.join(index.select("row", "embedding"), "row").join(asked.select("asked", "query_id", "vector"), "asked")
