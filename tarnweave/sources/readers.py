@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,30 +126,22 @@ def encode_vlq(numbers: list[int]) -> str:
     return "".join(out)
 
 
-def source_map(maps: DataFrame) -> DataFrame:
-    """maps: key, mappings. key, line, gen_column, source, src_line, src_column (the last three
-    null for segments of one field). Columns start anew on each line, the rest goes on."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf["key"], pdf["mappings"]):
-                src = line = col = 0
-                for n, group in enumerate((text or "").split(";")):
-                    at = 0
-                    for segment in filter(None, group.split(",")):
-                        f = decode_vlq(segment)
-                        at += f[0]
-                        if len(f) >= 4:
-                            src, line, col = src + f[1], line + f[2], col + f[3]
-                            rows.append((key, n, at, src, line, col))
-                        else:
-                            rows.append((key, n, at, None, None, None))
-            yield pd.DataFrame(rows, columns=["key", "line", "gen_column", "source", "src_line", "src_column"]).astype({c: "Int64" for c in ("line", "gen_column", "source", "src_line", "src_column")})
-
-    return maps.select("key", "mappings").mapInPandas(run, f"key {dict(maps.dtypes)['key']}, line long, gen_column long, source long, src_line long, src_column long")
+def source_map(maps: DataFrame, **options) -> DataFrame:
+    """maps: key (one map each), mappings. key, line, gen_column, source, src_line, src_column (the last three
+    null for segments of one field). Columns start anew on each line, the rest goes on: the numbers of a segment are steps, which
+    running sums add up, over as many tasks as a map needs (options: see prefix.Ordered). A null text has no segments."""
+
+    @F.pandas_udf("array<bigint>")
+    def numbers(segments: pd.Series) -> pd.Series:
+        return segments.map(decode_vlq)
+
+    lines = maps.select("key", F.posexplode(F.split("mappings", ";", -1)).alias("line", "t"))
+    segments = lines.select("key", F.col("line").cast("long").alias("line"), F.posexplode(F.split("t", ",", -1)).alias("seg", "s")).where("s <> ''").select("key", "line", "seg", numbers("s").alias("f"))
+    full = F.size("f") >= 4
+    step = lambda i: F.when(full, F.get("f", F.lit(i))).otherwise(F.lit(0).cast("long"))
+    rows = Ordered(segments, ["key", "line"], ["seg"], **options).sum("gen_column", F.get("f", F.lit(0))).rows
+    rows = Ordered(rows, ["key"], ["line", "seg"], **options).sum("source", step(1)).sum("src_line", step(2)).sum("src_column", step(3)).rows
+    return rows.select("key", "line", "gen_column", *[F.when(full, F.col(c)).alias(c) for c in ("source", "src_line", "src_column")])
 
 
 def trace_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

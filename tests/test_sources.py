@@ -67,6 +67,27 @@ def test_source_map(spark):
     assert got == [("k", 0, 0, 0, 0, 0), ("k", 0, 5, 0, 1, 2), ("k", 2, 3, 1, 0, 2), ("k", 2, 5, None, None, None)]
 
 
+@pytest.mark.parametrize("options", [{}, {"key_rows": 0, "tasks": 5}])
+def test_long_source_maps(spark, options):
+    r = random.Random(9)
+    texts, want = [("none", None), ("empty", "")], []
+    for key in ("a", "b"):
+        lines, at = [], [0, 0, 0]
+        for n in range(40):
+            segments, column = [], 0
+            for _ in range(r.choice([0, 1, 30])):
+                f = [r.randrange(9)] + ([r.randrange(-3, 4) for _ in range(r.choice([3, 4]))] if r.random() < 0.7 else [])
+                column += f[0]
+                if len(f) >= 4:
+                    at = [x + y for x, y in zip(at, f[1:4])]
+                want.append((key, n, column, *(at if len(f) >= 4 else [None] * 3)))
+                segments.append(R.encode_vlq(f))
+            lines.append(",".join(segments))
+        texts.append((key, ";".join(lines)))
+    got = R.source_map(spark.createDataFrame(texts, "key string, mappings string"), **options)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "t", "AUTONOMOUS", "s", "k", "d", "None", "p", 3)], "domain string, threat_type string, trigger_context string, source string, sink string, destination string, observed_trackers string, party string, confidence int")
     S.write_threats(rows, str(tmp_path / "out"))
