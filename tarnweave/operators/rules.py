@@ -42,8 +42,8 @@ def fragments(url: Column) -> Column:
     return F.filter(F.split(url, r"\{VAR\}"), lambda f: F.length(F.trim(f)) >= 2)
 
 
-#: Letters of a gram, and of one of a destination whose parts are all shorter; pairs of destinations and URLs of one domain that are tried as they are.
-GRAM, SHORT_GRAM, PAIRS = 6, 2, 1 << 20
+#: Letters of a gram, and of one of a destination whose parts are all shorter; URLs of one domain that are all tried for each destination.
+GRAM, SHORT_GRAM, URLS = 6, 2, 1 << 10
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -70,15 +70,14 @@ def candidates(open_: DataFrame, urls: DataFrame) -> DataFrame:
     return rarest.join(held, "h").drop("h").join(urls, ["domain", "u"]).drop("u").join(open_.drop("size"), ["domain", "destination_url"])
 
 
-def hybrid_targets(routes: DataFrame, netlog: DataFrame, pairs: int = PAIRS) -> DataFrame:
+def hybrid_targets(routes: DataFrame, netlog: DataFrame, tried: int = URLS) -> DataFrame:
     """For each distinct destination with holes of a domain: the first logged URL with all its parts. Where a domain has more
-    than `pairs` pairs of destinations and URLs, candidates are looked up by rare grams; else all pairs are tried."""
+    than `tried` logged URLs, candidates are looked up by rare grams; else all of them are tried for each destination."""
     open_ = routes.where(F.contains("destination_url", F.lit(R.HOLE)) & ~U.is_cookie(F.col("destination_url")))
     open_ = open_.select("domain", "destination_url").distinct().withColumn("parts", fragments(F.col("destination_url"))).where(F.size("parts") > 0)
+    most = netlog.groupBy("domain").count().agg(F.max("count")).first()[0] or 0
     urls = netlog.groupBy("domain", "url").agg(F.min("ord").alias("ord"))
-    count = lambda df, name: df.groupBy("domain").agg(F.count(F.lit(1)).alias(name))
-    most = count(open_.select("domain", "destination_url"), "a").join(count(netlog, "b"), "domain").agg(F.max(F.col("a") * F.col("b"))).first()[0]
-    met = candidates(open_, urls) if (most or 0) > pairs else open_.join(netlog, "domain")
+    met = candidates(open_, urls) if most > tried else open_.join(netlog, "domain")
     return met.where(F.forall("parts", lambda f: F.contains("url", f))).groupBy("domain", "destination_url").agg(F.min_by("url", "ord").alias("hybrid_url"))
 
 

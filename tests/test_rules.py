@@ -76,7 +76,7 @@ def test_hot_site_is_looked_up_by_rare_grams(spark):
     dests = [("hot.com", "https://hot.com/collect/" + n + "?user={VAR}&z=1") for n in names[::2]] + [("hot.com", d) for d in ("{VAR}/q{VAR}", "https://hot.com/none{VAR}", "{VAR}", "ab{VAR}", "{VAR}&z=1", "https://{VAR}/collect/item149x{VAR}")] + [("b.com", "https://b.com{VAR}a=b"), ("c.com", "https://c.com/{VAR}")]
     routes = spark.createDataFrame(dests, "domain string, destination_url string")
     log = spark.createDataFrame(urls, "domain string, ord long, url string")
-    plain, grams = (sorted(map(tuple, O.hybrid_targets(routes, log, pairs=p).collect())) for p in (1 << 20, 0))
+    plain, grams = (sorted(map(tuple, O.hybrid_targets(routes, log, tried=n).collect())) for n in (1 << 20, 0))
     assert plain == grams and len(plain) >= 78
     open_ = routes.withColumn("parts", O.fragments(F.col("destination_url"))).where(F.size("parts") > 0)
     assert O.candidates(open_, log.groupBy("domain", "url").agg(F.min("ord").alias("ord"))).count() < 150 * 4
