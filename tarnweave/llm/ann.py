@@ -1,16 +1,17 @@
 """Approximate nearest neighbours with score-aware (anisotropic) product quantisation.
 
-Euclidean nearness is turned into a maximum inner product: q.x - |x|^2 / 2. Vectors fall into coarse cells, about as many as the square root of
-their number; what is left of a vector beside its cell's centre is cut into
-pairs of components, each coded in four bits. Codes and codebooks are chosen for the score-aware
-loss |e|^2 + (eta - 1) (e.x)^2 / |x|^2, which weighs the part of the error e that is parallel
-to the vector x, as that part moves the inner products that matter. A query looks up one table of 16 values
-for each code (two codes at a time) and adds the product with the cell's centre; the `rerank` best by codes over all its cells are fetched and
+Vectors fall into coarse cells, about as many as the square root of their number. Of what is left of a vector x beside its cell's centre c, r = x - c,
+the length is kept and the direction is cut into pairs of components, each coded in four bits, so that small rests are told as well as large ones.
+Euclidean nearness is turned into a maximum inner product: (q - c).r - |r|^2 / 2 - |q - c|^2 / 2. Codes and codebooks are chosen for the score-aware
+loss |e|^2 + (eta - 1) (e.r)^2 / |r|^2, which weighs the part of the error e that is parallel
+to r, as that part moves the inner products that matter. A query looks up one table of 16 values
+for each code (two codes at a time); products of coded rests with their centres are kept with the codes; the `rerank` best by codes over all its cells are fetched and
 reranked exactly, in double precision, on the original vectors.
 
 Codebooks and centres are fitted on a sample of at most `train_rows` vectors (or 32 for each cell, at most MOST_TRAIN); all vectors are indexed. How many cells a query looks into
-and how many vectors are reranked is measured on the whole index: the true neighbours of `TRIALS` vectors of the sample are found by one exact
-pass, and a second one counts what the codes put before them.
+and how many vectors are reranked is measured on the whole index: the true neighbours of `TRIALS` queries are found by one exact
+pass, and a second one counts what the codes put before them. The trials are taken in turn from queries of all distances to their centres, by powers of two, and
+what is enough for each of these groups is taken, so that few queries that are unlike most vectors count as well.
 
 Cells are dealt to parts of about `part_rows` vectors, a large cell to several, and the queries that look into a part to blocks of
 about `block`; a part, as codes without vectors, meets each block in a task: one plan at every size, in which
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import store
 
 ETA, CENTROIDS, TRAIN_ROWS, RERANK = 4.0, 16, 8192, 512
-#: Queries and vectors that meet in one task; cells and sample at most; queries that are tried; shares of their neighbours that probes and codes find.
-BLOCK, PART_ROWS, CELLS, MOST_TRAIN, TRIALS, FOUND, TOLD = 1024, 16_384, 4096, 1 << 17, 64, 0.99, 0.98
+#: Queries and vectors that meet in one task; cells and sample at most; queries that are tried, of so many at most; shares of their neighbours that probes and codes find.
+BLOCK, PART_ROWS, CELLS, MOST_TRAIN, TRIALS, ASKED, FOUND, TOLD = 1024, 16_384, 4096, 1 << 17, 64, 2048, 0.99, 0.98
 AMPLE = 1.5
 
 
@@ -169,7 +170,7 @@ def _enough(needed: np.ndarray, share: float) -> int:
 
 
 def build_index(rows: DataFrame, dim: int, *, train_rows: int = TRAIN_ROWS, eta: float = ETA) -> tuple[DataFrame, Quantiser | None, Cells | None, np.ndarray]:
-    """A table of row (a number), vec_id, embedding, cell, codes (two to a byte) and half the squared length; the quantiser; the cells; the sample."""
+    """A table of row (a number), vec_id, embedding, cell, codes (two to a byte), the rest's length and what its nearness is less by; the quantiser; the cells; the sample."""
     rows = store(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding"), "vectors")
     n = rows.count()
     most = max(16, min(CELLS, int(n**0.5)))
@@ -182,21 +183,35 @@ def build_index(rows: DataFrame, dim: int, *, train_rows: int = TRAIN_ROWS, eta:
         return rows, None, None, np.zeros((0, dim))
     x = np.array([r[0] for r in sample], dtype=np.float64).reshape(-1, dim)
     cells = fit_cells(x, most=most)
-    q = fit(x - cells.centres[cells.of(x)], eta, toward=x)
+    distinct = np.unique(x, axis=0)
+    q = fit(_rests(cells, distinct)[2], eta)
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
                 v = _matrix(b.column(2), dim)
-                cell = cells.of(v)
-                codes = q.encode(v - cells.centres[cell], toward=v)
-                if codes.shape[1] % 2:
-                    codes = np.hstack([codes, np.zeros((len(codes), 1), dtype=np.uint8)])
-                packed = (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in packed], type=pa.binary()), pa.array((v * v).sum(axis=1) / 2)], names=["row", "vec_id", "embedding", "cell", "codes", "half"])
+                cell, packed, size, less = _coded(q, cells, v)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in packed], type=pa.binary()), pa.array(size), pa.array(less)], names=["row", "vec_id", "embedding", "cell", "codes", "size", "less"])
 
-    return store(rows.mapInArrow(run, "row long, vec_id long, embedding array<double>, cell int, codes binary, half double"), "index"), q, cells, x
+    return store(rows.mapInArrow(run, "row long, vec_id long, embedding array<double>, cell int, codes binary, size double, less double"), "index"), q, cells, x
+
+
+def _rests(cells: Cells, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cell of each vector, and the length and direction of what is left beside its centre."""
+    cell = cells.of(x)
+    rest = x - cells.centres[cell]
+    size = np.sqrt((rest * rest).sum(axis=1))
+    return cell, size, rest / np.maximum(size, 1e-300)[:, None]
+
+
+def _coded(q: Quantiser, cells: Cells, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each vector the cell, the codes (two to a byte), the rest's length, and what its nearness is less by."""
+    cell, size, way = _rests(cells, x)
+    codes = q.encode(way)
+    less = size * (cells.centres[cell] * q.decode(codes)[:, : x.shape[1]]).sum(axis=1) + size * size / 2
+    codes = np.hstack([codes, np.zeros((len(codes), codes.shape[1] % 2), dtype=np.uint8)])
+    return cell, (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8), size, less
 
 
 def _tables(q: Quantiser, query: np.ndarray) -> np.ndarray:
@@ -204,7 +219,12 @@ def _tables(q: Quantiser, query: np.ndarray) -> np.ndarray:
     one = (q.books * _pairs(query[None])[0][:, None, :]).sum(axis=2)
     if len(one) % 2:
         one = np.vstack([one, np.zeros((1, CENTROIDS))])
-    return (one[1::2, :, None] + one[0::2, None, :]).reshape(-1, 256).astype(np.float32)
+    return (one[1::2, :, None] + one[0::2, None, :]).reshape(-1, 256)
+
+
+def _away(cells: Cells, queries: np.ndarray) -> np.ndarray:
+    """Half the squared distance of each query to every centre, negative."""
+    return queries @ cells.centres.T - (queries * queries).sum(axis=1)[:, None] / 2 - (cells.centres * cells.centres).sum(axis=1) / 2
 
 
 def _codes(column) -> np.ndarray:
@@ -213,58 +233,75 @@ def _codes(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1).T.copy()
 
 
-def _near(tables: np.ndarray, product: np.ndarray, codes: np.ndarray, cell: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """Nearness by codes. product: of the query with every centre."""
-    near = product[cell] - half
+def _near(tables: np.ndarray, away: np.ndarray, codes: np.ndarray, cell: np.ndarray, size: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """Nearness by codes. away: of the query from every centre."""
+    near = np.zeros(len(cell))
     for sums, code in zip(tables, codes):
         near += sums[code]
-    return near
+    return near * size + away[cell] - less
+
 
+def pick_trials(cells: Cells, queries: np.ndarray, most: int = TRIALS) -> tuple[np.ndarray, np.ndarray]:
+    """Queries that are tried, and their groups: taken in turn from groups by the power of two of the distance to the centre."""
+    group = np.frexp(_rests(cells, queries)[1])[1]
+    turn = np.zeros(len(queries), dtype=np.int64)
+    for g in np.unique(group):
+        turn[group == g] = np.arange((group == g).sum())
+    chosen = np.lexsort((group, turn))[:most]
+    return queries[chosen], group[chosen]
 
-def _calibrate(index: DataFrame, q: Quantiser, cells: Cells, asked: np.ndarray, dim: int, k: int) -> tuple[int, int]:
-    """Cells to probe and vectors to rerank, so that the shares FOUND and TOLD of the true neighbours of some vectors are found: by one
+
+def _calibrate(index: DataFrame, q: Quantiser, cells: Cells, asked: np.ndarray, dim: int, k: int, group: np.ndarray) -> tuple[int, int]:
+    """Cells to probe and vectors to rerank, so that in each group the shares FOUND and TOLD of the true neighbours of some vectors are found: by one
     exact pass over the index, and one that counts what codes put before these neighbours."""
+    columns, names = "cell int, codes binary, size double, less double", ["cell", "codes", "size", "less"]
 
     def exact(batches):
         held: list[tuple[np.ndarray, ...] | None] = [None] * len(asked)
         for b in batches:
-            v, cell, half = _matrix(b.column(0), dim), b.column(1).to_numpy(), b.column(3).to_numpy()
+            v, cell, size, less = _matrix(b.column(0), dim), b.column(1).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy()
             codes = np.array([np.frombuffer(c, dtype=np.uint8) for c in b.column(2).to_pylist()])
             for i, a in enumerate(asked):
                 gap = ((v - a) ** 2).sum(axis=1)
                 # the vector itself and its copies are found by any way
                 at = np.flatnonzero(gap > 0)
                 at = at[np.argsort(gap[at], kind="stable")[:k]]
-                new = gap[at], cell[at], codes[at], half[at]
+                new = gap[at], cell[at], codes[at], size[at], less[at]
                 new = new if held[i] is None else tuple(np.concatenate(x) for x in zip(held[i], new))
                 best = np.argsort(new[0], kind="stable")[:k]
                 held[i] = tuple(x[best] for x in new)
         for i, h in enumerate(held):
             if h is not None and len(h[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[0]), i)), pa.array(h[0]), pa.array(h[1]), pa.array([c.tobytes() for c in h[2]], type=pa.binary()), pa.array(h[3])], names=["i", "gap", "cell", "codes", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[0]), i)), pa.array(h[0]), pa.array(h[1]), pa.array([c.tobytes() for c in h[2]], type=pa.binary()), pa.array(h[3]), pa.array(h[4])], names=["i", "gap", *names])
 
     best: dict[int, list] = {}
-    for r in index.select("embedding", "cell", "codes", "half").mapInArrow(exact, "i long, gap double, cell int, codes binary, half double").toLocalIterator():  # k rows a task and trial
-        best.setdefault(r["i"], []).append((r["gap"], r["cell"], bytes(r["codes"]), r["half"]))
+    for r in index.select("embedding", *names).mapInArrow(exact, f"i long, gap double, {columns}").toLocalIterator():  # k rows a task and trial
+        best.setdefault(r["i"], []).append((r["gap"], r["cell"], bytes(r["codes"]), r["size"], r["less"]))
     trials = {i: sorted(v)[:k] for i, v in best.items()}
     if not trials:
         return 1, k
-    order, tables, product = np.argsort(cells.order(asked), axis=1), [_tables(q, a) for a in asked], asked @ cells.centres.T
-    probes = _enough(np.concatenate([[order[i, cell] for _, cell, _, _ in v] for i, v in trials.items()]), FOUND) + 1
-    wanted = {i: np.sort(_near(tables[i], product[i], np.array([np.frombuffer(c, dtype=np.uint8) for _, _, c, _ in v]).T, np.array([x[1] for x in v]), np.array([x[3] for x in v]))) for i, v in trials.items()}
+    order, tables, away = np.argsort(cells.order(asked), axis=1), [_tables(q, a) for a in asked], _away(cells, asked)
+    places = {i: order[i, [cell for _, cell, _, _, _ in v]] for i, v in trials.items()}
+    groups = [[i for i in trials if group[i] == g] for g in np.unique(group[list(trials)])]
+    probes = max(_enough(np.concatenate([places[i] for i in g]), FOUND) for g in groups) + 1
+    wanted = {}
+    for i, v in trials.items():
+        _, cell, codes, size, less = zip(*v)
+        wanted[i] = np.sort(_near(tables[i], away[i], np.array([np.frombuffer(c, dtype=np.uint8) for c in codes]).T, np.array(cell), np.array(size), np.array(less)))
 
     def count(batches):
         before = {i: np.zeros(len(w), dtype=np.int64) for i, w in wanted.items()}
         for b in batches:
-            cell, codes, half = b.column(0).to_numpy(), _codes(b.column(1)), b.column(2).to_numpy()
+            cell, codes, size, less = b.column(0).to_numpy(), _codes(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy()
             for i, w in wanted.items():
-                near = np.sort(_near(tables[i], product[i], codes, cell, half))
+                near = np.sort(_near(tables[i], away[i], codes, cell, size, less))
                 before[i] += len(near) - np.searchsorted(near, w, side="left")
         for i, n in before.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i)), pa.array(np.arange(len(n))), pa.array(n)], names=["i", "j", "n"])
 
-    counts = index.select("cell", "codes", "half").mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # k rows a trial
-    return probes, _enough(np.array([r["n"] for r in counts]), TOLD) + 1
+    counts = index.select(*names).mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # k rows a trial
+    before = {i: [r["n"] for r in counts if r["i"] == i] for i in trials}
+    return probes, max(_enough(np.concatenate([before[i] for i in g]), TOLD) for g in groups) + 1
 
 
 def deal_cells(sizes: list[int], part_rows: int) -> tuple[list[int], list[int]]:
@@ -287,15 +324,15 @@ def _scan(q: Quantiser, cells: Cells, most: int, k: int, dim: int):
         out = {"asked": [], "row": [], "vec_id": [], "near": []}
         if part.num_rows and block.num_rows:
             order = np.argsort(part.column("cell").to_numpy(), kind="stable")
-            row, vec, cell, half = (part.column(c).to_numpy()[order] for c in ("row", "vec_id", "cell", "half"))
+            row, vec, cell, size, less = (part.column(c).to_numpy()[order] for c in ("row", "vec_id", "cell", "size", "less"))
             codes = _codes(part.column("codes"))[:, order]
             held, first = np.unique(cell, return_index=True)
             ends = dict(zip(held.tolist(), zip(first.tolist(), np.append(first[1:], len(cell)).tolist())))
             queries = _matrix(block.column("vector").combine_chunks(), dim)
-            for own, mine, floor, v, product in zip(block.column("asked").to_pylist(), block.column("cells").to_pylist(), block.column("floor").to_pylist(), queries, queries @ cells.centres.T):
+            for own, mine, floor, v, away in zip(block.column("asked").to_pylist(), block.column("cells").to_pylist(), block.column("floor").to_pylist(), queries, _away(cells, queries)):
                 at = np.concatenate([np.arange(*ends[c]) for c in mine if c in ends] or [np.arange(0)])
                 at = at[row[at] != own]
-                near = _near(_tables(q, v), product, codes[:, at], cell[at], half[at])
+                near = _near(_tables(q, v), away, codes[:, at], cell[at], size[at], less[at])
                 best = np.lexsort((vec[at], -near))[: max(k, min(most, int((near >= floor).sum())))]
                 out["asked"].append(np.full(len(best), own))
                 out["row"].append(row[at[best]])
@@ -314,7 +351,12 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     index, q, cells, sample = build_index(rows, dim, train_rows=train_rows, eta=eta)
     if q is None:
         return index.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    cells.probes, needed = _calibrate(index, q, cells, sample[:TRIALS], dim, k)
+    queries = index.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("row", "vec_id"), "row").limit(ASKED).select("embedding").collect()
+    if queries:
+        trials, group = pick_trials(cells, np.array([r[0] for r in queries], dtype=np.float64).reshape(-1, dim))
+        cells.probes, needed = _calibrate(index, q, cells, trials, dim, k, group)
+    else:
+        needed = k
     rerank = max(rerank, needed, k)
 
     held = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # a row for each cell
@@ -322,16 +364,14 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     first, pieces = deal_cells(sizes.tolist(), part_rows)
 
     # the sample as codes; how many of it reach a query's floor
-    own = cells.of(sample)
-    codes, half = q.encode(sample - cells.centres[own], toward=sample), (sample * sample).sum(axis=1) / 2
-    codes = np.hstack([codes, np.zeros((len(codes), codes.shape[1] % 2), dtype=np.uint8)])
-    codes = (codes[:, 0::2] | codes[:, 1::2] << 4).T.copy()
+    own, codes, size, less = _coded(q, cells, sample)
+    codes = codes.T.copy()
     reach = min(len(sample), max(1, int(np.ceil(AMPLE * rerank * len(sample) / max(1, sizes.sum())))))
 
     def probe(batches):
         for b in batches:
             queries = _matrix(b.column(2), dim)
-            floors = [np.partition(_near(_tables(q, v), v @ cells.centres.T, codes, own, half), len(own) - reach)[len(own) - reach] for v in queries]
+            floors = [np.partition(_near(_tables(q, v), away, codes, own, size, less), len(own) - reach)[len(own) - reach] for v, away in zip(queries, _away(cells, queries))]
             order = cells.order(queries).astype(np.int32)
             # as many more cells as it takes to hold as many others as are reranked
             most = np.maximum(cells.probes, (np.cumsum(sizes[order], axis=1) <= rerank).sum(axis=1) + 1)
@@ -346,7 +386,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     pick = lambda values, c: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), c.cast("int") + 1)
     n_blocks = pick([blocks.get(p, 0) for p in range(first[-1] + pieces[-1])], F.col("part"))
     part = pick(first, F.col("cell")) + F.pmod(F.xxhash64("row"), pick(pieces, F.col("cell")))
-    scanned = index.select("row", "vec_id", "cell", "codes", "half", part.alias("part"))
+    scanned = index.select("row", "vec_id", "cell", "codes", "size", "less", part.alias("part"))
     # each part meets each block of the queries that look into it, in a task of its own
     scanned = scanned.select("*", F.explode(F.when(n_blocks > 0, F.sequence(F.lit(0).cast("long"), n_blocks - 1))).alias("block"))
     visits = visits.select("*", F.pmod(F.xxhash64("asked"), n_blocks).alias("block"))

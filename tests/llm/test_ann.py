@@ -155,3 +155,21 @@ def test_cells_are_dealt_to_parts():
             for p in range(a, a + k):
                 held.setdefault(p, []).append(n)
         assert all(len(v) == 1 or sum(v) <= 10 or sum(n > 10 for n in v) == 1 and sum(n for n in v if n <= 10) == 0 for v in held.values())
+
+
+def test_queries_that_are_unlike_most_vectors(spark):
+    """Most vectors are small, and nearly equal beside the few large ones, of which the queries are."""
+    r = np.random.default_rng(8)
+    v = 1e-3 * r.normal(size=(8000, 16))
+    large = (r.random(8000) < 0.1) | (np.arange(8000) % 100 == 0)
+    v[large] = r.normal(size=(large.sum(), 16))
+    v = v.astype(np.float32)
+    x, found = v.astype(np.float64), {}
+    for q in nearest(table(spark, list(enumerate(v)))).collect():
+        found.setdefault(q["query_id"], set()).add(q["vec_id"])
+    shares = []
+    for q in range(0, 8000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        shares.append(len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
+    assert np.mean(shares) >= 0.97 and sum(s < 0.8 for s in shares) <= 1
