@@ -110,6 +110,11 @@ def encode_uri_component(s: Column) -> Column:
     return out
 
 
+def base64_text(s: Column) -> Column:
+    """Base64 of a text's UTF-8 in one line; SQL's breaks lines after 76 letters."""
+    return F.replace(F.base64(F.encode(s, "UTF-8")), F.lit("\r\n"), F.lit(""))
+
+
 def decode_uri_component(s: Column) -> Column:
     return F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))
 

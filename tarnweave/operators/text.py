@@ -134,11 +134,12 @@ def inline_scripts(pages: DataFrame) -> DataFrame:
     return rows.where(F.trim("code") != "")
 
 
-def human_size(n: Column) -> Column:
-    """1536 (1.5 KiB)."""
+def human_size(n: Column, largest: str = "GiB") -> Column:
+    """1536 (1.5 KiB). largest: MiB or GiB."""
     tenths = lambda x: F.floor(x * 10 + 0.5) / 10  # noqa: E731  halves go up
     unit = lambda k, name: F.format_string(f"%d (%.1f {name})", n, tenths(n / float(1 << (10 * k))))
-    return F.when(n < 1024, n.cast("string")).when(n < 1 << 20, unit(1, "KiB")).when(n < 1 << 30, unit(2, "MiB")).otherwise(unit(3, "GiB"))
+    small = F.when(n < 1024, n.cast("string")).when(n < 1 << 20, unit(1, "KiB"))
+    return small.otherwise(unit(2, "MiB")) if largest == "MiB" else small.when(n < 1 << 30, unit(2, "MiB")).otherwise(unit(3, "GiB"))
 
 
 def human_time(seconds: Column) -> Column:
