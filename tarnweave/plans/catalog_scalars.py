@@ -80,7 +80,10 @@ def constant_fold(spark, d):
     k = _C("event_id")
     a, b = k % 1001 - 500, F.floor(k / 7) % 41 - 20
     unary = J.folded_unary(X._pick(("-", "+", "~", "!"), k % 4), a)
-    return _events(spark, d).select("event_id", J.folded(X._pick(_OPS, k % len(_OPS)), a, b).alias("value"), unary.alias("unary"))
+    # operands of the SQL are whole numbers, whose zero has no sign but as a ratio
+    op, plain = X._pick(_OPS, k % len(_OPS)), lambda v: F.when(v == 0, 0.0).otherwise(v)
+    value = J.folded(op, a, b)
+    return _events(spark, d).select("event_id", F.when(op == "/", value).otherwise(plain(value)).alias("value"), plain(unary).alias("unary"))
 
 
 @query("shortest_numbers", "SELECT p_partkey, p_partkey * 3 || '' AS whole, CASE WHEN p_partkey < 10 THEN p_partkey || '.5e-7' ELSE '0.' || lpad(p_partkey || '5', 8, '0') END AS small, p_partkey || '.25' AS plain FROM part WHERE p_partkey > 0")
