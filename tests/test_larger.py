@@ -66,3 +66,10 @@ def test_only_the_last_store_of_a_block_and_property_meets_loads(spark):
     assert {(r["load_id"] % 2, r["name"]) for r in found.collect()} == {(0, "s398"), (1, "s399")}
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("max_by") >= 2
+
+
+@pytest.mark.parametrize("name", ["event_handlers", "event_functions", "transfer_edges", "taint_pairs", "sink_destinations", "returned_sources"])
+def test_program_tables_are_not_broadcast(spark, name):
+    """A few bytes of the file become sixteen values each."""
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
