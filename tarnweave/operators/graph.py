@@ -33,13 +33,30 @@ def _labels(routes: DataFrame) -> DataFrame:
     return routes.select("domain", "route_id", source.alias("source"), F.concat(sink, F.lit("\n"), dest).alias("sink_key"), "path_nodes", F.concat(F.array(source), steps, F.array(F.concat(sink, F.lit("\n"), dest))).alias("chain"))
 
 
+#: Nodes or edges that are told apart in one task.
+TASK_ROWS = 1 << 19
+
+
+def _once(rows: DataFrame, n: int) -> DataFrame:
+    """The distinct ones of at most n rows, few of which come twice: they are dealt out as they are, to as many tasks as they need, as
+    partial results would not be smaller."""
+    tasks = max(-(-n // TASK_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 1000)), 1)
+    return rows.repartition(tasks, *rows.columns).distinct()
+
+
+def _steps(routes: DataFrame) -> int:
+    """Steps of all routes, and one more for each: as many as edges."""
+    return routes.agg(F.sum(F.greatest(F.coalesce(F.size("path_nodes"), F.lit(0)), F.lit(0)) + 1)).first()[0] or 0
+
+
 def taint_graph_nodes(routes: DataFrame) -> DataFrame:
     """domain, node, kind (source, step, sink), label: one row for each node of a site's graph."""
     rows = _labels(routes)
     steps = F.transform("path_nodes", lambda x, i: F.struct(F.lit("step").alias("kind"), x.alias("label"), F.element_at("chain", i + 2).alias("key")))
     ends = [F.struct(F.lit("source").alias("kind"), F.col("source").alias("label"), F.col("source").alias("key")), F.struct(F.lit("sink").alias("kind"), F.col("sink_key").alias("label"), F.col("sink_key").alias("key"))]
-    out = rows.select("domain", F.explode(F.concat(F.array(ends[0]), steps, F.array(ends[1]))).alias("x"))
-    return out.select("domain", node_id(F.col("x.key")).alias("node"), "x.kind", "x.label").distinct()
+    out = lambda items: rows.select("domain", F.explode(items).alias("x")).select("domain", node_id(F.col("x.key")).alias("node"), "x.kind", "x.label")
+    # many routes have the same ends, a step is one route's
+    return out(F.array(*ends)).distinct().unionByName(_once(out(steps), _steps(routes)))
 
 
 def taint_graph_edges(routes: DataFrame) -> DataFrame:
@@ -47,7 +64,7 @@ def taint_graph_edges(routes: DataFrame) -> DataFrame:
     ids = F.transform("chain", node_id)
     pairs = F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("src"), F.slice("ids", 2, F.size("ids") - 1).alias("dst"))
     rows = _labels(routes).select("domain", ids.alias("ids"))
-    return rows.select("domain", F.explode(pairs).alias("x")).select("domain", F.col("x.src").alias("src"), F.col("x.dst").alias("dst")).distinct()
+    return _once(rows.select("domain", F.explode(pairs).alias("x")).select("domain", F.col("x.src").alias("src"), F.col("x.dst").alias("dst")), _steps(routes))
 
 
 def resolved_routes(routes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 from tarnweave import catalog
 from tarnweave.operators import graph as G
+from tarnweave.plans import fixtures as X
 
 from .oracle import connect, differences
 
@@ -73,3 +74,17 @@ def test_program_tables_are_not_broadcast(spark, name):
     """A few bytes of the file become sixteen values each."""
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_routes_are_numbered_in_groups_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A site's routes do not stay in one task: what is grouped by site and more is dealt out anew."""
+    monkeypatch.setattr(X, "GROUP_IDS", 7)
+    monkeypatch.setattr(G, "TASK_ROWS", 50)
+    d = folder(tmp_path, events="SELECT event_id * 3 AS event_id, * EXCLUDE (event_id) FROM '/root/testdata/sf0.001/events.parquet'")
+    for name in ("url_netloc", "gtg_nodes", "gtg_edges", "ctg_edges", "dot_export"):
+        assert same(spark, d, name) == "", name
+    routes = X.routes(spark, d)
+    plan = routes.groupBy("domain", "source_name").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(domain" in plan and "source_name" in plan[plan.index("hashpartitioning(domain") :].split(")")[0]
+    tasks = G.taint_graph_edges(routes)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in tasks
