@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import registries as R
 from .common import checkpoint, numbered
@@ -262,7 +263,15 @@ def with_key(rows: DataFrame) -> DataFrame:
 def merge_threats(rows: DataFrame) -> DataFrame:
     """One row for each (domain, source, sink, normal destination), folded in seq order."""
     # a label, party and destination of the same text add nothing when folded again: keep the first of each
-    rows = with_key(rows).groupBy("domain", "source", "sink", "key_dest", "label", "destination", "party").agg(F.min(F.struct("seq", "trigger_context", "observed_trackers")).alias("first"))
+    rows = with_key(rows)
+    kind = rows.schema["seq"].dataType
+    places = [F.col("seq")[f] for f in kind.names] if isinstance(kind, StructType) else [F.col("seq")]
+    # first the least last place beside equal other columns, as a number needs no sorting of all findings; little is left for the rest
+    *outer, last = (p.alias(f"__p{n}") for n, p in enumerate(places))
+    keys = ["domain", "source", "sink", "key_dest", "label", "destination", "party"]
+    names = [f"__p{n}" for n in range(len(places))]
+    rows = rows.select(*keys, "trigger_context", "observed_trackers", *outer, last).groupBy(*keys, "trigger_context", "observed_trackers", *names[:-1]).agg(F.min(names[-1]).alias(names[-1]))
+    rows = rows.groupBy(*keys).agg(F.min(F.struct(F.struct(*names).alias("seq"), "trigger_context", "observed_trackers")).alias("first"))
     return fold_threats(rows).drop("key_dest")
 
 
