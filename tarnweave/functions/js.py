@@ -287,28 +287,67 @@ def decode_uri(s: Column) -> Column:
     return decode_uri_component(F.regexp_replace(s, f"%({codes})", "%25$1"))
 
 
-def escaped(s: Column) -> Column:
+class _Escapes(dict):
+    """By code point, made when first asked: itself, %XX, %uXXXX or two of these."""
+
+    def __missing__(self, n: int) -> str:
+        c, above = chr(n), n - 0x10000
+        if n < 128 and (c.isalnum() or c in "@*_+-./"):
+            out = c
+        elif n < 0x10000:
+            out = f"%{n:02X}" if n < 256 else f"%u{n:04X}"
+        else:
+            out = f"%u{(above >> 10) + 0xD800:04X}%u{(above & 1023) + 0xDC00:04X}"
+        self[n] = out
+        return out
+
+
+class _Units(dict):
+    """By escape, made when first asked: its unit."""
+
+    def __missing__(self, escape: str) -> str:
+        self[escape] = out = chr(int(escape.lstrip("%u"), 16))
+        return out
+
+
+_ESCAPES, _UNITS = _Escapes(), _Units()
+#: Different letters of a text that are replaced one after the other; more of them letter by letter.
+_FEW = 48
+
+
+@F.pandas_udf(StringType())
+def escaped(s: pd.Series) -> pd.Series:
     """Letters, digits and @*_+-./ stay, units below 256 become %XX, others %uXXXX."""
-    unit = lambda n: F.concat(F.lit("%u"), F.lpad(F.hex(n), 4, "0"))
 
-    def one(c: Column) -> Column:
-        n = F.ascii(c)
-        above = n - 0x10000
-        pair = F.concat(unit(F.floor(above / 1024) + 0xD800), unit(above % 1024 + 0xDC00))
-        return F.when(c.rlike(r"^[A-Za-z0-9@*_+\-./]$"), c).when(n < 256, F.concat(F.lit("%"), F.lpad(F.hex(n), 2, "0"))).when(n < 0x10000, unit(n)).otherwise(pair)
+    def one(t):
+        odd = [c for c in set(t) if _ESCAPES[ord(c)] != c]
+        if len(odd) > _FEW:
+            return t.translate(_ESCAPES)
+        for c in sorted(odd, key=lambda c: c != "%"):  # the others' escapes hold % and letters that stay
+            t = t.replace(c, _ESCAPES[ord(c)])
+        return t
 
-    return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), one), "")
+    return s.map(lambda t: None if t is None else one(t))
 
 
 @F.pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
     import re
 
-    code = re.compile(r"%u([0-9A-Fa-f]{4})|%([0-9A-Fa-f]{2})")
+    code = re.compile(r"%u[0-9A-Fa-f]{4}|%[0-9A-Fa-f]{2}")
+    pair = re.compile(r"[\ud800-\udfff]")
 
     def one(t):
-        out = code.sub(lambda m: chr(int(m.group(1) or m.group(2), 16)), t)
-        return out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+        found, out = set(code.findall(t)), t
+        # units that are part of no escape can be put in one after the other; the rest at once
+        plain = [e for e in found if _UNITS[e] not in "%u0123456789ABCDEFabcdef"]
+        if len(found) <= _FEW:
+            for e in plain:
+                out = out.replace(e, _UNITS[e])
+        if len(found) > min(_FEW, len(plain)):
+            out = code.sub(lambda m: _UNITS[m.group()], out)
+        # units of one letter come as two
+        return out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if pair.search(out) else out
 
     return s.map(lambda t: None if t is None else one(t))
 
