@@ -6,17 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules as O
-from ..operators.common import checkpoint, work_path
+from ..operators.common import work_path
 from ..streaming import state
 from . import catalog_rules, fixtures as X  # noqa: F401  the SQL of merge_threats
 from .registry import SQL, query
 
 
 def in_parts(spark: SparkSession, rows: DataFrame, part: Column, run) -> str:
-    """Write rows in three parts, with a run(source, sink, checkpoint) after each; the sink. All of it is in the shared folder."""
-    base, rows = work_path(spark, "stream"), checkpoint(rows.withColumn("__part", part))
+    """Write rows once, in three parts, and let each part come in turn, with a run(source, sink, checkpoint) after it; the sink. All of it is in
+    the shared folder."""
+    base = work_path(spark, "stream")
+    rows.withColumn("__part", part).write.partitionBy("__part").parquet(f"{base}/parts")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place(f"{base}/in"))
     for n in range(3):
-        rows.where(F.col("__part") == n).drop("__part").write.parquet(f"{base}/in/{n}")
+        came = place(f"{base}/parts/__part={n}")  # not there if it has no rows
+        if files.exists(came) and not files.rename(came, place(f"{base}/in/{n}")):
+            raise OSError(f"{came} could not be moved below {base}/in")
         run(f"{base}/in", f"{base}/out", f"{base}/state")
     return f"{base}/out"
 

@@ -187,58 +187,27 @@ def _note(spark: SparkSession, checkpoint: str, batch: int, begin: int) -> None:
 
 # ---------------------------------------------------------------- merged threats
 
-#: What a merged threat is made of, and the parts of it that are folded.
+#: What a merged threat is made of, the parts of it that are folded, and what tells findings of a part apart besides the route.
 _THREAT = ["domain", "source", "sink", "key_dest"]
-_PART = ["label", "destination", "party"]
-_ITEM = "rule_group int, route_id long, trigger_context string, observed_trackers string"
-
-
-class _Threats(StatefulProcessor):
-    """Of each label, destination and party of a threat the first finding. Gives all of them anew when one has changed."""
-
-    def init(self, handle) -> None:
-        self.map = handle.getMapState("parts", "label string, destination string, party string", _ITEM)
-
-    def handleInputRows(self, key, rows, timerValues):
-        text = lambda v: None if v is None or v != v else v  # noqa: E731  pandas' missing values
-        place = lambda v: (v[0], v[1], v[2] is not None, v[2] or "", v[3] is not None, v[3] or "")  # noqa: E731  nulls first
-        held = {tuple(k): tuple(v) for k, v in self.map.iterator()} if self.map.exists() else {}
-        changed = set()
-        for pdf in rows:
-            for label, destination, party, group, route, context, trackers in zip(*(pdf[c] for c in (*_PART, "rule_group", "route_id", "trigger_context", "observed_trackers"))):
-                part, value = (text(label), text(destination), text(party)), (int(group), int(route), text(context), text(trackers))
-                if part not in held or place(value) < place(held[part]):
-                    held[part] = value
-                    changed.add(part)
-        for part in changed:
-            self.map.updateValue(part, held[part])
-        if changed:
-            out = pd.DataFrame([(*key, *part, *value) for part, value in held.items()], columns=[*_THREAT, *_PART, "rule_group", "route_id", "trigger_context", "observed_trackers"])
-            yield out
-
-    def close(self) -> None:
-        pass
+_FINDING = [*_THREAT, "label", "destination", "party", "rule_group", "trigger_context", "observed_trackers"]
 
 
 def run_threats(spark: SparkSession, source: str, sink: str, checkpoint: str) -> None:
-    """Merged threats of a stream of findings (the rows of rules.threats, with rule_group and route_id for seq), each folded
-    in seq order over all findings so far."""
+    """Keeps of a stream of findings (the rows of rules.threats, with rule_group and route_id for seq) the least route of each kind of
+    finding in the state: a streaming aggregate, so that a batch's findings are reduced before they are shuffled and no row leaves
+    the engine. The sink gets the kinds that a batch has; current_threats folds them."""
     schema = "domain string, rule_group int, route_id long, label string, trigger_context string, source string, sink string, destination string, observed_trackers string, party string"
-
-    def step(rows: DataFrame) -> DataFrame:
-        keyed = rules.with_key(rows)
-        out = ", ".join(f"{c} string" for c in (*_THREAT, *_PART)) + ", " + _ITEM
-        return keyed.groupBy(*_THREAT).transformWithStateInPandas(_Threats(), out, "Update", "None")
-
-    def finish(rows: DataFrame, batch: int) -> DataFrame:
-        return rules.fold_threats(rows.withColumn("first", F.struct(F.struct("rule_group", "route_id").alias("seq"), "trigger_context", "observed_trackers")))
-
-    run_stateful(spark, source, schema, sink, checkpoint, step, finish)
+    run_stateful(spark, source, schema, sink, checkpoint, lambda rows: rules.with_key(rows).groupBy(*_FINDING).agg(F.min("route_id").alias("route_id")))
 
 
 MERGED = "domain string, source string, sink string, key_dest string, threat_type string, trigger_context string, destination string, observed_trackers string, party string"
 
 
 def current_threats(spark: SparkSession, sink: str) -> DataFrame:
-    """The rows of rules.merge_threats, of all findings so far."""
-    return current(spark, sink, MERGED, _THREAT).drop("key_dest")
+    """The rows of rules.merge_threats, each folded in seq order over all findings so far."""
+    schema = ", ".join(f"{c} {'int' if c == 'rule_group' else 'string'}" for c in _FINDING) + ", route_id long"
+    # a kind's least route only falls from batch to batch, so that its latest row need not be told from the others
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    rows = spark.read.schema(schema + ", batch long").parquet(sink).drop("batch") if there else spark.createDataFrame([], schema)
+    return rules.merge_threats(rows.withColumn("seq", F.struct("rule_group", "route_id")))

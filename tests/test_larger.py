@@ -5,9 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnweave import catalog
+from tarnweave.functions import js as J
 from tarnweave.operators import graph as G
 from tarnweave.operators import rules as L
 from tarnweave.plans import fixtures as X
+from tarnweave.plans.catalog_stream import in_parts
+from tarnweave.streaming import state
 
 from .oracle import connect, differences
 
@@ -102,3 +105,27 @@ def test_findings_are_merged_without_sorting_all_of_them(spark):
     assert sorted(map(repr, merged.collect())) == sorted(map(repr, want.collect())) and merged.count() == 14
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[domain" in plan
+
+
+def test_escapes_of_many_and_few_letters(spark):
+    """Whole texts are escaped in Python, not letter by letter in expressions; what looks like an escape comes back as it was."""
+    texts = ["", "a b", "%", "%20", "%2520 %u0041", "x%u12%20y", "€%€ %u20AC", "😀한é\n\x00 ~!'()", "".join(map(chr, range(0x20, 0xD800))), "".join(map(chr, range(256))) * 3, "😀" * 50, None]
+
+    def plain(t):
+        units = [int.from_bytes(u, "little") for u in (t.encode("utf-16-le")[i : i + 2] for i in range(0, 2 * len(t.encode("utf-16-le")) // 2, 2))]
+        return "".join(chr(u) if u < 128 and (chr(u).isalnum() or chr(u) in "@*_+-./") else f"%{u:02X}" if u < 256 else f"%u{u:04X}" for u in units)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = rows.select("t", J.escaped(F.col("t")).alias("e"), J.unescaped(J.escaped(F.col("t"))).alias("b"), J.unescaped(F.col("t")).alias("u"))
+    for r in out.collect():
+        assert r["e"] == (None if r["t"] is None else plain(r["t"])) and r["b"] == r["t"]
+    assert [r["u"] for r in out.where("t in ('%2520 %u0041', 'x%u12%20y', '%')").collect()] == ["%", "%20 A", "x%u12 y"]
+    assert "transform" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_findings_are_reduced_before_the_state(spark, tmp_path):
+    """No row leaves the engine, and a batch's findings of a kind are one row before they are shuffled."""
+    found = spark.sql("SELECT 'd' AS domain, 1 AS rule_group, id AS route_id, 'l' AS label, 'c' AS trigger_context, 's' AS source, 'k' AS sink, 'x' AS destination, 'None' AS observed_trackers, 'p' AS party FROM range(5000)")
+    sink = in_parts(spark, found, F.col("route_id") % 2 * 2, lambda source, sink, ckpt: state.run_threats(spark, source, sink, ckpt))
+    assert spark.read.parquet(sink).count() == 2  # a row for each batch
+    assert state.current_threats(spark, sink).count() == 1
