@@ -13,8 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
 from .prefix import Ordered
 
+#: Ids of all traces that are held by each task; more of them are joined.
+TABLE_IDS = 1 << 16
+
 #: Keys that hold an id, in the order in which they are read; keys that hold a value; lists of values.
 ID_KEYS = ("objID", "functionID", "hostObjectID", "propNamesID", "propID", "propNameID")
 VALUE_KEYS = ("value", "retval")
@@ -109,7 +113,9 @@ def normalise(records: DataFrame, whole: DataFrame, **options) -> DataFrame:
     """Records with the ids of a trace made dense: 0 for the global object (whole: trace, globalObjID), then 1, 2 ... by first
     sight. Property names made with the same text share the id of the first, unless they were seen before they were made."""
     seen = records.select("trace", "ord", F.posexplode(_mentions()).alias("__k", "__x")).select("trace", "ord", "__k", "__x.*")
-    first = seen.groupBy("trace", "id").agg(F.min(F.struct("ord", "__k", "makes", "chars")).alias("f")).select("trace", "id", "f.*")
+    # the least place of each kind of mention first, by hash, so that only few are sorted; stored, as numbers and leaders both come from it
+    least = seen.groupBy("trace", "id", "__k", "makes", "chars").agg(F.min("ord").alias("ord"))
+    first = checkpoint(least.groupBy("trace", "id").agg(F.min(F.struct("ord", "__k", "makes", "chars")).alias("f")).select("trace", "id", "f.*"))
     first = first.join(whole.select(F.col("trace").alias("__t"), "globalObjID"), F.col("trace").eqNullSafe(F.col("__t")), "left").drop("__t")
     others = first.where(~F.col("id").eqNullSafe(F.col("globalObjID"))).drop("globalObjID")
     # one leader for each text that made a name first; every other id leads itself. A text may be made very often: no window by text
@@ -120,10 +126,12 @@ def normalise(records: DataFrame, whole: DataFrame, **options) -> DataFrame:
     numbers = numbers.select(F.col("trace").alias("__t"), F.col("leader").alias("__l"), "normal")
     led = led.join(numbers, F.col("trace").eqNullSafe(F.col("__t")) & (F.col("leader") == F.col("__l"))).select("trace", "id", "normal")
     zero = whole.where("globalObjID is not null").select("trace", F.col("globalObjID").alias("id"), F.lit(0).cast("long").alias("normal"))
-    table = led.unionByName(zero).select(F.col("trace").alias("__t"), F.col("id").alias("__i"), "normal")
+    table = checkpoint(led.unionByName(zero).select(F.col("trace").alias("__t"), F.col("id").alias("__i"), "normal"))
+    if table.count() <= TABLE_IDS:
+        table = F.broadcast(table)
     # each record gets the ids it mentions, as a map of its own
-    held = seen.select("trace", "ord", "id").distinct().join(table, F.col("trace").eqNullSafe(F.col("__t")) & (F.col("id") == F.col("__i")))
-    maps = held.groupBy("trace", "ord").agg(F.map_from_entries(F.collect_list(F.struct("id", "normal"))).alias("__map")).select(F.col("trace").alias("__t"), F.col("ord").alias("__o"), "__map")
+    held = seen.select("trace", "ord", "id").join(table, F.col("trace").eqNullSafe(F.col("__t")) & (F.col("id") == F.col("__i")))
+    maps = held.groupBy("trace", "ord").agg(F.map_from_entries(F.collect_set(F.struct("id", "normal"))).alias("__map")).select(F.col("trace").alias("__t"), F.col("ord").alias("__o"), "__map")
     rows = records.join(maps, F.col("trace").eqNullSafe(F.col("__t")) & F.col("ord").eqNullSafe(F.col("__o")), "left").drop("__t", "__o")
     of = lambda i: F.try_element_at("__map", i)
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tarnweave import catalog
 from tarnweave.functions import js as J
 from tarnweave.operators import graph as G
+from tarnweave.operators import records as N
 from tarnweave.operators import rules as L
+from tarnweave.operators.common import checkpoint
 from tarnweave.plans import fixtures as X
 from tarnweave.plans.catalog_stream import in_parts
 from tarnweave.streaming import state
@@ -129,3 +131,14 @@ def test_findings_are_reduced_before_the_state(spark, tmp_path):
     sink = in_parts(spark, found, F.col("route_id") % 2 * 2, lambda source, sink, ckpt: state.run_threats(spark, source, sink, ckpt))
     assert spark.read.parquet(sink).count() == 2  # a row for each batch
     assert state.current_threats(spark, sink).count() == 1
+
+
+@pytest.mark.parametrize("held", [0, 1 << 16])
+def test_first_mentions_are_found_once(spark, monkeypatch, held):
+    """Not anew for each step that needs them, and by hash; results are the same where ids are joined."""
+    monkeypatch.setattr(N, "TABLE_IDS", held)
+    stored = []
+    monkeypatch.setattr(N, "checkpoint", lambda df: stored.append(df._jdf.queryExecution().executedPlan().toString()) or checkpoint(df))
+    d = "/root/testdata/sf0.001"
+    assert same(spark, d, "trace_normalise") == ""
+    assert len(stored) == 2 and "HashAggregate(keys=[trace" in stored[0] and "posexplode" not in stored[1]
