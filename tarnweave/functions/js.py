@@ -375,15 +375,14 @@ def folded(op: Column, left: Column, right: Column) -> Column:
     by = F.pmod(y, F.lit(32))
     u = F.pmod(x.cast("long"), F.lit(1 << 32))
     flag = lambda c: c.cast("int").cast("double")
-    shifts = lambda f: F.element_at(F.array(*[f(n) for n in range(32)]), by + 1)
+    shifted = lambda f, v: F.call_function(f, v, by).cast("double")
     nan, inf = F.lit(float("nan")), F.lit(float("inf"))
     ratio = F.when(b != 0, F.try_divide(a, b)).when((a == 0) | F.isnan(a), nan).otherwise(F.signum(a) * inf)
     table = {
         "+": a + b, "-": a - b, "*": a * b, "/": ratio, "%": F.when(b == 0, nan).otherwise(F.try_mod(a, b)),
         "<": flag(a < b), "<=": flag(a <= b), ">": flag(a > b), ">=": flag(a >= b), "===": flag(a == b), "!==": flag(a != b),
         "&": x.bitwiseAND(y).cast("double"), "|": x.bitwiseOR(y).cast("double"), "^": x.bitwiseXOR(y).cast("double"),
-        "<<": shifts(lambda n: to_int32(x.cast("long") * (1 << n))).cast("double"), ">>": shifts(lambda n: F.shiftright(x, n)).cast("double"),
-        ">>>": shifts(lambda n: F.shiftright(u, n)).cast("double"),
+        "<<": shifted("shiftleft", x), ">>": shifted("shiftright", x), ">>>": shifted("shiftright", u),
     }
     out = F.lit(None).cast("double")
     for name, value in table.items():

@@ -78,7 +78,8 @@ _I32 = lambda x: f"(CASE WHEN ({x} % 4294967296 + 4294967296) % 4294967296 >= 21
   FROM (SELECT event_id, [{', '.join(repr(o) for o in _OPS)}][event_id % {len(_OPS)} + 1] AS op, event_id % 1001 - 500 AS a, (event_id // 7) % 41 - 20 AS b FROM events)""")
 def constant_fold(spark, d):
     k = _C("event_id")
-    a, b = k % 1001 - 500, F.floor(k / 7) % 41 - 20
+    # whole-number division: a ratio rounds large ids up
+    a, b = k % 1001 - 500, F.expr("event_id div 7") % 41 - 20
     unary = J.folded_unary(X._pick(("-", "+", "~", "!"), k % 4), a)
     # operands of the SQL are whole numbers, whose zero has no sign but as a ratio
     op, plain = X._pick(_OPS, k % len(_OPS)), lambda v: F.when(v == 0, 0.0).otherwise(v)

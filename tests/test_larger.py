@@ -39,6 +39,17 @@ def test_zeros_of_folded_whole_numbers_have_no_sign(spark):
     assert not any(str(x) == "-0.0" for r in rows for x in r)
 
 
+def test_large_ids_are_divided_as_whole_numbers(spark, tmp_path):
+    d = folder(tmp_path, events="SELECT event_id + 35000000000000000 AS event_id, * EXCLUDE (event_id) FROM '/root/testdata/sf0.01/events.parquet'")
+    assert same(spark, d, "constant_fold") == ""
+
+
+def test_folded_operators_are_compiled(spark):
+    """Places are shifted by an expression, not taken from a list of all that may be meant."""
+    plan = catalog.queries()["constant_fold"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("shiftright") < 20
+
+
 def test_long_texts_in_base64_are_one_line(spark, tmp_path):
     d = folder(tmp_path, pages="SELECT page_id, url || repeat('/abc', (page_id % 60)::INT) AS url, html FROM '/root/testdata/sf0.001/pages.parquet'")
     assert same(spark, d, "encoding_functions") == ""
