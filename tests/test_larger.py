@@ -1,5 +1,7 @@
 """Rows as larger tables hold them, and steps that must not grow with pairs or be held in the driver."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from tarnweave.plans.catalog_stream import in_parts
 from tarnweave.streaming import state
 
 from .oracle import connect, differences
+from .test_taint import shortest
 
 
 def folder(path, **tables):
@@ -78,6 +81,32 @@ def test_each_pair_once_however_many_keys_it_meets_at(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if a != b}
 
 
+@pytest.mark.parametrize("ways, own", [(1, 1 << 10), (4, 1 << 10), (4, 1), (6, 0), (1 << 20, 1)])
+def test_routes_through_hubs_are_the_shortest(spark, monkeypatch, ways, own):
+    """Whatever counts as a hub, sources and sinks that are hubs among them, and several hubs on the ways of a pair."""
+    monkeypatch.setattr(G, "HUB_WAYS", ways)
+    monkeypatch.setattr(G, "OWN_SINKS", own)
+    monkeypatch.setattr(G, "KEY_PAIRS", 9)
+    pick = random.Random(5)
+    edges = sorted({(f"v|{pick.randrange(26)}", f"v|{pick.randrange(26)}") for _ in range(62)} - {(f"v|{n}", f"v|{n}") for n in range(26)})
+    sources, sinks = [f"v|{n}" for n in range(0, 26, 3)], [f"v|{n}" for n in range(0, 26, 2)]
+    nodes = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    for most in (None, 3):
+        got = G.taint_routes(spark.createDataFrame(edges, "src string, dst string"), nodes(sources), nodes(sinks), max_depth=most).collect()
+        want = {k: list(v) for k, v in shortest(edges, sources, sinks).items() if most is None or len(v) <= most + 1}
+        assert len(got) == len(want) > 20 and {(r["source"], r["sink"]): r["path"] for r in got} == want
+
+
+def test_pairs_that_meet_at_a_hub_are_not_stored(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(G, "checkpoint", lambda df: stored.append(checkpoint(df)) or stored[-1])
+    edges = spark.sql("SELECT concat('s', id) AS src, 'h' AS dst FROM range(60) UNION ALL SELECT 'h', concat('t', id) FROM range(60)")
+    nodes = lambda x: spark.range(60).selectExpr(f"concat('{x}', id) AS node")
+    routes = G.taint_routes(edges, nodes("s"), nodes("t"))
+    assert max(df.count() for df in stored) < 200 and routes.count() == 3600
+    assert {tuple(r["path"]) for r in routes.collect()} == {(f"s{a}", "h", f"t{b}") for a in range(60) for b in range(60)}
+
+
 def test_only_the_last_store_of_a_block_and_property_meets_loads(spark):
     loads = spark.range(300).selectExpr("id AS load_id", "0L AS block_id", "cast(null AS string) AS literal", "id % 2 AS prop_id")
     stores = spark.range(400).selectExpr("0L AS block_id", "id AS pos", "id % 2 AS object_id", "5L AS prop_id", "concat('s', id) AS stored")
