@@ -81,6 +81,17 @@ def test_each_pair_once_however_many_keys_it_meets_at(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if a != b}
 
 
+def test_what_is_near_is_reached_by_joins(spark, monkeypatch):
+    """Edges are dealt to parts only for what lies beyond."""
+    dealt = []
+    monkeypatch.setattr(G, "reach", lambda *a, plain=G.reach: dealt.append(a) or plain(*a))
+    edges = spark.createDataFrame([(n, n + 1) for n in range(9)] + [(9, 3), (40, 41), (3, None)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (0,), (77,), (None,)], "node long")
+    for joined, calls in ((12, 0), (4, 1)):
+        monkeypatch.setattr(G, "JOINED", joined)
+        assert sorted(r["node"] for r in G.reached(edges, seeds).collect()) == [*range(10), 77] and len(dealt) == calls
+
+
 @pytest.mark.parametrize("ways, own", [(1, 1 << 10), (4, 1 << 10), (4, 1), (6, 0), (1 << 20, 1)])
 def test_routes_through_hubs_are_the_shortest(spark, monkeypatch, ways, own):
     """Whatever counts as a hub, sources and sinks that are hubs among them, and several hubs on the ways of a pair."""
